@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from graphloom.llm._common import read
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontam import digest
+
+    return digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.media import stored_texts
 
@@ -27,7 +33,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_media, op9_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_media, op9_warc, op10_line_dedup)}
 
 _LINES = """
 lines AS (
@@ -37,7 +43,22 @@ lines AS (
 hot AS (SELECT k, max(doc_id) AS last FROM lines WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
 """
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')"
+
 ORACLE = {
+    "op4_decontaminate": f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+j AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM j)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+occ AS (SELECT doc_id, item_id, n, p FROM dw JOIN win USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
     "op9_warc": """
 SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
        (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(coalesce(html, '')), 5 * i + 1, 5))::BIGINT >> (15 - 5 * j) & 31)::INT + 1, 1), '' ORDER BY i, j) FROM range(8) a(i), range(4) b(j)) AS payload_digest,
