@@ -20,6 +20,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(read(spark, sf_dir, "documents"))
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc import archived_pages
 
@@ -33,7 +39,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_media, op9_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_media, op8_pack, op9_warc, op10_line_dedup)}
 
 _LINES = """
 lines AS (
