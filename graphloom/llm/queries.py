@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from graphloom.llm._common import read
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.langid import predictions
+
+    return predictions(read(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import predictions
+
+    return predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.decontam import digest
 
@@ -39,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_media, op8_pack, op9_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op4_decontaminate, op7_media, op8_pack, op9_warc, op10_line_dedup)}
 
 _LINES = """
 lines AS (
