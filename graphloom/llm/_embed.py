@@ -23,7 +23,10 @@ SLICE = 1 << 19
 
 @dataclass(frozen=True)
 class Features:
-    """Which features a text has. Each kind has 2**bits buckets; the last row of the table belongs to no feature."""
+    """Which features a text has. Each kind has 2**bits buckets; the last row of the table belongs to no feature.
+
+    A word n-gram of one word repeated is one feature, whatever the word.
+    """
 
     chars: tuple[int, ...] = (2, 3, 4)
     words: tuple[int, ...] = ()
@@ -70,6 +73,11 @@ class Features:
                 g = h.copy()
                 for i in range(1, k):
                     g[:-i] = g[:-i] * _U(0xD6E8FEB86659FD93) + h[i:] if i < len(h) else g[:-i]
+                same = np.ones(len(h), bool)
+                for i in range(1, k):
+                    same[:-i] &= h[i:] == h[: len(h) - i]
+                if k > 1:
+                    g[same] = _U(k)
                 bucket = self._bucket(mix(g), len(self.chars) + j)
                 for i in range(1, k):
                     cut = first[1:] - i

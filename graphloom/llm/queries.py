@@ -20,6 +20,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.htmlcut import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.decontam import digest
 
@@ -51,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op4_decontaminate, op7_media, op8_pack, op9_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_main_text, op4_decontaminate, op7_media, op8_pack, op9_warc, op10_line_dedup)}
 
 _LINES = """
 lines AS (
