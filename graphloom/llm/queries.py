@@ -32,6 +32,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.suffix_dedup import dedup
+
+    out = dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.ngram_join import near_copies
 
@@ -63,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_main_text, op4_decontaminate, op6_near_copies, op7_media, op8_pack, op9_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_main_text, op4_decontaminate, op5_suffix_dedup, op6_near_copies, op7_media, op8_pack, op9_warc, op10_line_dedup)}
 
 _LINES = """
 lines AS (
