@@ -32,6 +32,8 @@ class Features:
     words: tuple[int, ...] = ()
     lower: bool = True
     bits: int = 15
+    #: So many features without a sign either way are added to each text, so that few features count for less.
+    prior: int = 0
 
     @property
     def size(self) -> int:
@@ -112,7 +114,7 @@ class Model:
                 for bucket, at in parts:
                     s = np.concatenate([[0.0], np.cumsum(column[bucket], dtype=np.float64)])
                     total += s[at[1:]] - s[at[:-1]]
-                out[i:j, c] = total / np.maximum(count, 1)
+                out[i:j, c] = total / np.maximum(count + self.features.prior, 1)
         return (out + self.bias) / self.temperature
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -146,7 +148,7 @@ def train(texts: list[str], labels: list[str], features: Features, *, dim: int =
         raw = np.frombuffer(t.encode(), np.uint8)
         found = np.concatenate([x for x, _ in features.of(raw, np.array([0, len(raw)]))]) if len(raw) else np.zeros(0, np.int64)
         u, n = np.unique(found[found < features.size], return_counts=True)
-        bags.append((u.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+        bags.append((u.astype(np.int32), (n / max(1, n.sum() + features.prior)).astype(np.float32)))
     fit = [i for i in np.flatnonzero(~held) if len(bags[i][0])]
     step, steps = 0, max(1, epochs * len(fit))
     for _ in range(epochs):

@@ -14,7 +14,7 @@ from graphloom.llm.langid import excerpts
 #: About so many labelled rows are fitted, half of each label, and from each at most PARTS excerpts of SPAN characters.
 FIT_ROWS = 4000
 PARTS, SPAN = 3, 500
-FEATURES = Features(chars=(3, 4), words=(1, 2), lower=False, bits=16)
+FEATURES = Features(chars=(3, 4), words=(1, 2), lower=False, bits=16, prior=20)
 THRESHOLD = 0.3
 
 
