@@ -11,9 +11,11 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import cut, slices
+from graphloom.llm._common import cut, slices, strings
 
 LENGTH = 2048
 END = 1
@@ -36,32 +38,73 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkTokenizer:
-    """Ids of texts by the tokenizer in a file whose words never cross ASCII white space."""
+    """Ids of texts by the tokenizer in a file whose words cross neither ASCII white space nor the end of a run of letters.
+
+    A text is cut at both, A-Z are lower-cased (as the tokenizer does), and each distinct piece is encoded once. Up to KEPT pieces
+    are kept from call to call.
+    """
+
+    KEPT, AT_ONCE = 300_000, 20_000
 
     def __init__(self, path: str) -> None:
+        # A task has a core; the tokenizer's own threads would only take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.slot: dict[str, int] = {}
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    @classmethod
+    def of(cls, path: str) -> ChunkTokenizer:
+        """The one of this Python worker, which may serve many tasks."""
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = cls(path)
+        return _TOKENIZERS[path]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, ids = [], []
+        for i in range(0, len(words), self.AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + self.AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, np.zeros(0, np.uint32)])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (none for null), without special tokens, as unsigned 32-bit numbers."""
-        chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        data, at = strings(texts)
+        # Not pc.ascii_lower, which is wrong for arrays whose first offset is not 0.
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(_LOWER[data]))
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z])([.,!?;:%&$#*])", r"\1 \2"))
         offsets = np.asarray(chunks.offsets)
         coded = chunks.flatten().dictionary_encode()
-        words = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        size = np.fromiter(map(len, words), np.int64, len(words))
+        words = coded.dictionary.to_pylist()
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        fresh = [words[i] for i in new]
+        n, ids = self._encode(fresh)
+        slots[new] = len(self.size) + np.arange(len(new))
+        size, flat = np.concatenate([self.size, n]), np.concatenate([self.flat, ids])
+        room = max(0, self.KEPT - len(self.slot))
+        if room:
+            self.slot.update(zip(fresh[:room], range(len(self.size), len(self.size) + room)))
+            self.size = size[: len(self.slot)]
+            self.flat = flat[: self.size.sum()]
         begin = np.cumsum(size) - size
-        flat = np.concatenate([*words, np.zeros(0, np.uint32)])
-        index = np.asarray(coded.indices)
+        index = slots[np.asarray(coded.indices)]
         n = size[index]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], n)
-        ids = flat[at]
+        ids = flat[np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], n)]
         cuts = ends[offsets - offsets[0]]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, source, doc_tokens, ids): little-endian ids with the end token; a null text has only that.
 
@@ -70,7 +113,7 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
-        chunked = ChunkTokenizer(path)
+        chunked = ChunkTokenizer.of(path)
         kind = f"<u{chunked.width}"
         last = np.array([end], np.uint32)
         for batch in batches:
