@@ -2,5 +2,609 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom import datasets as D
+from graphloom.functions import scalars as S
+from graphloom.model import Graph, Pattern
+from graphloom.operators import analytics as A
+from graphloom.operators import programs as P
+from graphloom.operators import sets as B
+from graphloom.operators import simulate as M
+from graphloom.plans import planner
+from graphloom.sources import generators as G
+from graphloom.sources import readers as R
+from graphloom.streaming import dynamic as Y
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- patterns ----------------------------------------------------------------------------------------------------------------
+
+PATH = Pattern.labelled(["view", "click", "purchase"], [(0, 1), (1, 2)])
+TWO_CYCLE = Pattern.labelled(["view", "click"], [(0, 1), (1, 0)])
+TRIANGLE = Pattern.labelled(["view", "click", "signup"], [(0, 1), (1, 2), (2, 0)])
+DIAMOND = Pattern.labelled(["view", "click", "error", "purchase"], [(0, 1), (0, 2), (1, 3), (2, 3), (3, 0)])
+COMMERCE = Pattern.labelled(["NATION", "BUILDING", "1-URGENT", "Brand#1", "SUPP"], [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0)])
+TURNS = Pattern.labelled(["user", "assistant"], [(0, 1)])
+UNMATCHED = Pattern.labelled(["view", "no such label"], [(0, 1)])
+TYPED = Pattern(({"k": 69}, {"k": 69.0, "id": 5}, {"k": "69"}, {}), ())
+DUPLICATES = Pattern.labelled(["view", "click", "purchase"], [(0, 1), (0, 1), (1, 2), (1, 2)])
+
+#: Rounds that the recursive SQL runs: more than any of these patterns needs on the test tables.
+ROUNDS = 40
+
+
+def _label_sql(pattern: Pattern) -> list[str]:
+    return [" AND ".join(f"contains(label, '{v}')" for v in n.values()) or "true" for n in pattern.nodes]
+
+
+def relation_sql(tables: str, pattern: Pattern, conditions: list[str] | None = None, isolated: bool = False, rounds: int = ROUNDS, all_or_nothing: bool = True) -> str:
+    """CTEs that end in m(q, id): the fixpoint as a recursion over rounds, ended at a fixed one."""
+    conditions = conditions or _label_sql(pattern)
+    start = " + ".join(f"CASE WHEN {c} THEN {1 << q} ELSE 0 END" for q, c in enumerate(conditions))
+    step = " + ".join(f"CASE WHEN p.mask & {1 << q} > 0" + (f" AND coalesce(k.cm, 0) & {need} = {need}" if need else "") + f" THEN {1 << q} ELSE 0 END" for q, need in enumerate(pattern.needs()))
+    touched = "" if isolated else " WHERE id IN (SELECT src FROM g UNION SELECT dst FROM g)"
+    full = (1 << len(pattern.nodes)) - 1
+    guard = f" AND (SELECT bit_or(mask) FROM s WHERE r = {rounds}) = {full}" if all_or_nothing else ""
+    return f"""WITH RECURSIVE {tables.strip()},
+g AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+s(r, id, mask) AS (
+  SELECT 0, id, ({start})::BIGINT FROM v{touched}
+  UNION ALL
+  SELECT p.r + 1, p.id, ({step})::BIGINT FROM s p LEFT JOIN (SELECT g.src, bit_or(c.mask) AS cm FROM g JOIN s c ON c.id = g.dst GROUP BY 1) k ON k.src = p.id WHERE p.r < {rounds}),
+m AS (SELECT q::INTEGER AS q, id FROM s, range({len(pattern.nodes)}) n(q) WHERE r = {rounds} AND mask & (1::BIGINT << q::INTEGER) > 0{guard})
+"""
+
+
+def _sim_sql(tables: str, pattern: Pattern, **options) -> str:
+    return relation_sql(tables, pattern, **options) + "SELECT q, id FROM m"
+
+
+# --- pattern matching --------------------------------------------------------------------------------------------------------
+
+
+@query(_sim_sql(D.SESSIONS_SQL, PATH))
+def sim_path(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.sessions(spark, d), PATH)
+
+
+@query(_sim_sql(D.TRANSITIONS_SQL, TRIANGLE))
+def sim_triangle(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.transitions(spark, d), TRIANGLE)
+
+
+@query(_sim_sql(D.TRANSITIONS_SQL, DIAMOND))
+def sim_diamond(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.transitions(spark, d), DIAMOND)
+
+
+@query(_sim_sql(D.SESSIONS_SQL, TWO_CYCLE))
+def sim_cycle_on_dag(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.sessions(spark, d), TWO_CYCLE)
+
+
+@query(_sim_sql(D.COMMERCE_SQL, COMMERCE))
+def sim_commerce_cycle(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.commerce(spark, d), COMMERCE)
+
+
+@query(_sim_sql(D.TURNS_SQL, TURNS))
+def sim_conversation(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.turns(spark, d), TURNS)
+
+
+@query(_sim_sql(D.TRANSITIONS_SQL, DIAMOND))
+def sim_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate_pairs(D.transitions(spark, d), DIAMOND)
+
+
+@query(_sim_sql(D.TRANSITIONS_SQL, DIAMOND))
+def sim_delta(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate_delta(D.transitions(spark, d), DIAMOND)
+
+
+@query(relation_sql(D.COMMERCE_SQL, COMMERCE) + "SELECT q::INTEGER AS q, (SELECT count(*) FROM m WHERE m.q = n.q)::BIGINT AS n_matches FROM range(5) n(q)")
+def sim_match_counts(spark: SparkSession, d: str) -> DataFrame:
+    return M.match_counts(D.commerce(spark, d), COMMERCE)
+
+
+@query(relation_sql(D.SESSIONS_SQL, UNMATCHED) + "SELECT count(*) > 0 AS matched FROM m")
+def sim_no_match_flag(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.sessions(spark, d), UNMATCHED).agg((F.count("*") > 0).alias("matched"))
+
+
+@query(_sim_sql(D.SESSIONS_SQL.replace("event_id AS id, event_type AS label, props", "event_id AS id, props"), TYPED, conditions=["json_extract(props, '$.k')::INT = 69", "json_extract(props, '$.k')::DOUBLE = 69", "false", "props IS NOT NULL"], all_or_nothing=False))
+def candidates_typed(spark: SparkSession, d: str) -> DataFrame:
+    """A numeric predicate matches whole and decimal numbers, a string none; a node without keys matches any vertex with attributes."""
+    g = D.sessions(spark, d)
+    typed = Graph(g.vertices.select("id", F.try_parse_json("props").alias("attrs")), g.edges, attrs="attrs")
+    state, _, _ = M.relation(typed, TYPED)
+    return M._pairs(state, len(TYPED.nodes))
+
+
+TYPED_SIM = Pattern(({"k": 69}, {}), ((0, 1),))
+
+
+@query(_sim_sql(D.SESSIONS_SQL, TYPED_SIM, conditions=["json_extract(props, '$.k')::INT = 69", "props IS NOT NULL"]))
+def sim_typed_predicate(spark: SparkSession, d: str) -> DataFrame:
+    g = D.sessions(spark, d)
+    return M.simulate(Graph(g.vertices.select("id", F.try_parse_json("props").alias("attrs")), g.edges, attrs="attrs"), TYPED_SIM)
+
+
+SUBSTRING = Pattern.labelled(["ick", "urch"], [(0, 1)])
+SINK = Pattern.labelled(["error"], [])
+
+
+@query(_sim_sql(D.SESSIONS_SQL, SUBSTRING))
+def sim_substring(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.sessions(spark, d), SUBSTRING)
+
+
+@query(_sim_sql(D.SESSIONS_SQL, SINK, isolated=True))
+def sim_isolated_included(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.sessions(spark, d), SINK, include_isolated=True)
+
+
+@query(_sim_sql(D.SESSIONS_SQL, SINK))
+def sim_edgeless(spark: SparkSession, d: str) -> DataFrame:
+    return M.simulate(D.sessions(spark, d), SINK)
+
+
+@query(_sim_sql(D.SESSIONS_SQL, PATH))
+def sim_duplicate_query_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = D.sessions(spark, d)
+    return M.simulate(Graph(g.vertices, g.edges.unionByName(g.edges)), DUPLICATES)
+
+
+@query(f"WITH {D.COMMERCE_SQL} SELECT q::INTEGER AS q, id FROM v, (VALUES " + ", ".join(f"({q}, '{n['label']}')" for q, n in enumerate(COMMERCE.nodes)) + ") n(q, x) WHERE contains(label, x)")
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    return M.candidates(D.commerce(spark, d), COMMERCE)
+
+
+@query(f"WITH {D.SESSIONS_SQL} SELECT 2 AS q, id FROM v WHERE contains(label, 'purchase')")
+def sink_matches(spark: SparkSession, d: str) -> DataFrame:
+    return M.sink_matches(D.sessions(spark, d), PATH)
+
+
+@query("SELECT q, n::BIGINT AS out_degree FROM (VALUES (0, 2), (1, 2), (2, 0)) t(q, n)")
+def query_out_degree(spark: SparkSession, d: str) -> DataFrame:
+    return DUPLICATES.node_table(spark)
+
+
+@query(_sim_sql(D.SESSIONS_SQL, PATH))
+def union_partition_matches(spark: SparkSession, d: str) -> DataFrame:
+    found = M.simulate(D.sessions(spark, d), PATH).persist()
+    return M.union_matches(found.where("id % 3 < 2"), found.where("id % 3 > 0"))
+
+
+@query(relation_sql(D.SESSIONS_SQL, PATH) + "SELECT count(*)::BIGINT AS n_results, (count(*) * 4)::BIGINT AS shipped_bytes FROM m")
+def shipped_report(spark: SparkSession, d: str) -> DataFrame:
+    return M.data_shipped(M.simulate(D.sessions(spark, d), PATH))
+
+
+@query(f"WITH RECURSIVE {D.TRANSITIONS_SQL}, r(n, id) AS (SELECT 0, id FROM (SELECT min(id) AS id FROM v) UNION SELECT n + 1, dst FROM r JOIN e ON src = r.id WHERE n < 2) SELECT DISTINCT id FROM r")
+def descendants(spark: SparkSession, d: str) -> DataFrame:
+    g = D.transitions(spark, d)
+    return M.reachable(g, g.vertices.agg(F.min("id").alias("id")), hops=2)
+
+
+# --- degrees, aggregations, top lists ----------------------------------------------------------------------------------------
+
+_DEGREES = "d AS (SELECT id, sum(i)::BIGINT AS indegree, sum(o)::BIGINT AS outdegree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id)"
+
+
+@query(f"WITH {D.COMMERCE_SQL}, {_DEGREES} SELECT * FROM d")
+def degrees(spark: SparkSession, d: str) -> DataFrame:
+    return A.degrees(D.commerce(spark, d).edges)
+
+
+@query(f"WITH {D.COMMERCE_SQL} SELECT 4::BIGINT AS id, count(*) FILTER (WHERE dst = 4) AS indegree, count(*) FILTER (WHERE src = 4) AS outdegree FROM e")
+def degree_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return A.degree_of(D.commerce(spark, d).edges, 4)
+
+
+@query(f"WITH {D.COMMERCE_SQL} SELECT max(greatest(src, dst)) + 1 AS n_vertices FROM e")
+def vertex_count(spark: SparkSession, d: str) -> DataFrame:
+    return A.num_vertices(D.commerce(spark, d).edges)
+
+
+@query("SELECT sum(o_custkey)::BIGINT AS total FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 5000")
+def sum_values(spark: SparkSession, d: str) -> DataFrame:
+    v = D.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("value"))
+    return A.sum_vertices(v, "value", 100, 5000)
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS value FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def top_k(spark: SparkSession, d: str) -> DataFrame:
+    return A.top_vertices(D.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")), 20)
+
+
+@query("SELECT user_id AS label, count(*) + 1 AS n FROM events WHERE event_id <> user_id GROUP BY user_id")
+def label_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return A.label_frequency(D.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("label")))
+
+
+_LINES = "SELECT l_partkey AS src, l_suppkey AS dst, l_quantity AS value FROM lineitem"
+
+
+def _line_edges(spark: SparkSession, d: str) -> DataFrame:
+    return D.read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"))
+
+
+@query(f"SELECT src, dst, max(value) AS value FROM ({_LINES}) GROUP BY src, dst")
+def dedup_edges_max(spark: SparkSession, d: str) -> DataFrame:
+    return A.reduce_duplicates(_line_edges(spark, d), F.max)
+
+
+@query(f"SELECT src, dst, min(value) AS value FROM ({_LINES}) GROUP BY src, dst")
+def dedup_edges_min(spark: SparkSession, d: str) -> DataFrame:
+    return A.reduce_duplicates(_line_edges(spark, d), F.min)
+
+
+@query("SELECT src, dst, min_by(value, place) AS value FROM (SELECT l_partkey AS src, l_suppkey AS dst, l_quantity AS value, l_orderkey * 8 + l_linenumber AS place FROM lineitem) GROUP BY src, dst")
+def dedup_edges_first(spark: SparkSession, d: str) -> DataFrame:
+    return A.first_duplicate(_line_edges(spark, d), "place")
+
+
+@query(f"WITH {D.TRANSITIONS_SQL}, {_DEGREES} SELECT id, row_number() OVER (ORDER BY indegree + outdegree, id) - 1 AS new_id FROM d")
+def order_by_degree(spark: SparkSession, d: str) -> DataFrame:
+    return A.order_by_degree(D.transitions(spark, d).edges)[0]
+
+
+@query(f"WITH {D.TRANSITIONS_SQL}, {_DEGREES}, x AS (SELECT id, row_number() OVER (ORDER BY indegree + outdegree, id) - 1 AS n FROM d) SELECT a.n AS src, b.n AS dst FROM e JOIN x a ON a.id = src JOIN x b ON b.id = dst")
+def renumbered_edges(spark: SparkSession, d: str) -> DataFrame:
+    return A.order_by_degree(D.transitions(spark, d).edges)[1]
+
+
+@query(f"""WITH {D.COMMERCE_SQL}, p AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), c AS (SELECT *, sum(n) OVER (ORDER BY dst) - n AS before FROM p)
+SELECT shard, min(dst) AS first, max(dst) AS last, sum(n)::BIGINT AS n_edges FROM (SELECT *, least(floor(before * 8 / (SELECT count(*) FROM e)), 7)::INTEGER AS shard FROM c) GROUP BY shard""")
+def range_shards(spark: SparkSession, d: str) -> DataFrame:
+    return A.range_shards(D.commerce(spark, d).edges, 8)
+
+
+@query(f"""WITH {D.COMMERCE_SQL}, p AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), c AS (SELECT *, sum(n) OVER (ORDER BY dst) - n AS before FROM p)
+SELECT least(floor(before * 4 / (SELECT count(*) FROM e)), 3)::INTEGER AS shard, sum(n)::BIGINT AS n FROM c GROUP BY shard""")
+def edges_in_shards(spark: SparkSession, d: str) -> DataFrame:
+    edges = D.commerce(spark, d).edges.persist()
+    return A.in_shards(edges, A.range_shards(edges, 4)).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {D.TRANSITIONS_SQL} SELECT id, list(o ORDER BY o) AS neighbours FROM (SELECT src AS id, dst AS o FROM e UNION ALL SELECT dst, src FROM e) GROUP BY id")
+def sorted_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return A.neighbours(D.transitions(spark, d).edges)
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, l_orderkey * 8 + l_linenumber AS place, (row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 8 + l_linenumber) - 1)::INTEGER AS valindex FROM lineitem")
+def edge_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    return A.ordinals(_line_edges(spark, d).drop("value"), "place")
+
+
+@query(f"WITH RECURSIVE {D.TRANSITIONS_SQL}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS id, min(b) AS label FROM r GROUP BY a")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return A.connected_components(D.transitions(spark, d).edges)
+
+
+@query("SELECT count(value) AS count, min(value) AS min, max(value) AS max, avg(value) AS avg, sum(value)::BIGINT AS sum FROM (SELECT c_custkey::BIGINT AS value FROM customer)")
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.metrics import summary
+
+    return summary(D.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("value")), "value")
+
+
+@query("SELECT sum(abs((c_custkey * 2)::DOUBLE - c_custkey::DOUBLE)) AS delta FROM customer")
+def iteration_delta(spark: SparkSession, d: str) -> DataFrame:
+    v = D.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("double").alias("value"))
+    return A.change(v, v.withColumn("value", F.col("value") * 2))
+
+
+# --- vertex programs ---------------------------------------------------------------------------------------------------------
+
+
+def _valued(spark: SparkSession, d: str) -> Graph:
+    g = D.transitions(spark, d)
+    return Graph(g.vertices.select("id", F.col("id").cast("long").alias("value")), g.edges)
+
+
+def _gather_sql(rows: str) -> str:
+    return f"WITH {D.TRANSITIONS_SQL}, t AS ({rows}) SELECT v.id, sum(t.o)::BIGINT AS acc FROM v LEFT JOIN t USING (id) GROUP BY v.id"
+
+
+@query(_gather_sql("SELECT dst AS id, src AS o FROM e"))
+def gas_gather_in(spark: SparkSession, d: str) -> DataFrame:
+    return P.gather(_valued(spark, d), F.col("other_value"), F.sum, P.Direction.IN)
+
+
+@query(_gather_sql("SELECT src AS id, dst AS o FROM e"))
+def gas_gather_out(spark: SparkSession, d: str) -> DataFrame:
+    return P.gather(_valued(spark, d), F.col("other_value"), F.sum, P.Direction.OUT)
+
+
+@query(_gather_sql("SELECT dst AS id, src AS o FROM e UNION ALL SELECT src, dst FROM e"))
+def gas_gather_all(spark: SparkSession, d: str) -> DataFrame:
+    return P.gather(_valued(spark, d), F.col("other_value"), F.sum, P.Direction.ALL)
+
+
+@query(f"WITH {D.TRANSITIONS_SQL} SELECT id, NULL::DOUBLE AS acc FROM v")
+def gas_gather_none(spark: SparkSession, d: str) -> DataFrame:
+    return P.gather(_valued(spark, d), F.col("other_value"), F.sum, P.Direction.NONE)
+
+
+@query(f"WITH {D.TRANSITIONS_SQL} SELECT (sum(abs(src - dst)) * 2)::BIGINT AS result FROM e")
+def edge_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return P.edge_aggregate(_valued(spark, d), F.abs(F.col("own_value") - F.col("other_value")), F.sum)
+
+
+def _min_label_sql(rounds: int) -> str:
+    return f"WITH RECURSIVE {D.TRANSITIONS_SQL}, s(r, id, x) AS (SELECT 0, id, id FROM v UNION ALL SELECT s.r + 1, s.id, least(s.x, coalesce(k.m, s.x)) FROM s LEFT JOIN (SELECT dst, min(c.x) AS m FROM e JOIN s c ON c.id = src GROUP BY dst) k ON k.dst = s.id WHERE s.r < {rounds})"
+
+
+@query(_min_label_sql(3) + " SELECT id, x AS value FROM s WHERE r = 3")
+def gas_min_label(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of taking the least label of the sources of one's in-edges."""
+    return P.gas(_valued(spark, d), F.least("value", F.coalesce("acc", "value")), 3, aggregate=F.min)[0]
+
+
+@query(_min_label_sql(6) + " SELECT id, x AS value FROM s WHERE r = 6")
+def gas_scheduled(spark: SparkSession, d: str) -> DataFrame:
+    """The same over six rounds, in which only vertices whose in-neighbours changed run."""
+    return P.gas(_valued(spark, d), F.least("value", F.coalesce("acc", "value")), 6, aggregate=F.min, scatter=P.Direction.OUT)[0]
+
+
+@query(_min_label_sql(3) + " SELECT a.r::INTEGER AS iteration, count(*) FILTER (WHERE a.x <> b.x) AS updates, (SELECT count(*) FROM e) AS work, sum(abs(b.x - a.x))::DOUBLE AS delta FROM s a JOIN s b ON b.id = a.id AND b.r = a.r + 1 GROUP BY a.r")
+def delta_log(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.sinks import history
+
+    context = P.gas(_valued(spark, d), F.least("value", F.coalesce("acc", "value")), 3, aggregate=F.min)[1]
+    return history(spark, context.deltas)
+
+
+@query(f"""WITH RECURSIVE {D.TRANSITIONS_SQL}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src AS id, count(*) AS o FROM e GROUP BY src),
+s(r, id, x) AS (SELECT 0, id, 1::DOUBLE FROM n UNION ALL SELECT s.r + 1, s.id, 0.15 + 0.85 * coalesce(k.m, 0) FROM s LEFT JOIN (SELECT dst, sum(c.x / o.o) AS m FROM e JOIN s c ON c.id = src JOIN o ON o.id = src GROUP BY dst) k ON k.dst = s.id WHERE s.r < 5)
+SELECT id, round(x, 6) AS value FROM s WHERE r = 5""")
+def kernel_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    out = P.run_kernel(D.transitions(spark, d).edges, P.pagerank_kernel(), 5)
+    return out.select("id", F.round("value", 6).alias("value"))
+
+
+def _counting() -> P.Kernel:
+    return P.Kernel(lambda i, a, b: F.lit(0), F.lit(0), lambda m: m, F.max, lambda old, acc: old + 1, lambda v, o: v)
+
+
+@query(f"WITH {D.TRANSITIONS_SQL} SELECT id, 4 AS value FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)")
+def kernel_bsp(spark: SparkSession, d: str) -> DataFrame:
+    """Each vertex counts rounds: after four of them every value is 4."""
+    return P.run_kernel(D.transitions(spark, d).edges, _counting(), 4)
+
+
+@query(f"""WITH RECURSIVE {D.TRANSITIONS_SQL}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(id, h) AS (SELECT min(id), 0 FROM n UNION SELECT dst, h + 1 FROM r JOIN e ON src = id WHERE h < 4)
+SELECT n.id, min(h)::INTEGER AS value FROM n LEFT JOIN r ON r.id = n.id GROUP BY n.id""")
+def kernel_hops(spark: SparkSession, d: str) -> DataFrame:
+    edges = D.transitions(spark, d).edges
+    return P.shortest_hops(edges, edges.agg(F.min(F.least("src", "dst"))).first()[0], 4)
+
+
+# --- sets and scalar functions -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(DISTINCT user_id)::BIGINT AS n FROM events")
+def bit_set_count(spark: SparkSession, d: str) -> DataFrame:
+    ids = D.read(spark, d, "events").select(F.col("user_id").alias("id"))
+    return B.bit_set_count(B.bit_set_union(B.bit_set(ids.where("id % 2 = 0")), B.bit_set(ids.where("id % 3 >= 0"))))
+
+
+@query("SELECT count(*) AS n_inserted, count(*) AS n_contained FROM (SELECT DISTINCT user_id FROM events)")
+def bloom_no_false_negative(spark: SparkSession, d: str) -> DataFrame:
+    ids = D.read(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    n = ids.count()
+    found = B.BloomFilter.sized(spark, max(1, n), 0.01).insert(ids).contains(ids)
+    return found.agg(F.count("*").alias("n_inserted"), F.count_if("may_contain").alias("n_contained"))
+
+
+@query("""WITH k AS (SELECT n, p, k, -k * n / ln(1 - pow(p, 1.0 / k)) AS m FROM (VALUES (1000, 0.75), (1000, 0.01), (250000, 0.001)) t(n, p), range(1, 1000) r(k)),
+b AS (SELECT n, p, arg_min(k, m) AS k, min(m) AS m FROM k GROUP BY n, p) SELECT n::BIGINT AS n, p::DOUBLE AS fpp, (ceil(floor(m) / 8) * 8)::BIGINT AS bits, k::INTEGER AS hashes FROM b""")
+def bloom_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, p, *planner.bloom_size(n, p)) for n, p in ((1000, 0.75), (1000, 0.01), (250000, 0.001))], "n long, fpp double, bits long, hashes int")
+
+
+@query("SELECT c_mktsegment AS segment, list(round(c, 9) ORDER BY i) AS cdf FROM (SELECT c_mktsegment, i, sum(n) OVER (PARTITION BY c_mktsegment ORDER BY i) / sum(n) OVER (PARTITION BY c_mktsegment) AS c FROM (SELECT c_mktsegment, c_nationkey AS i, count(*) AS n FROM customer GROUP BY ALL)) GROUP BY c_mktsegment")
+def pdf2cdf(spark: SparkSession, d: str) -> DataFrame:
+    pdf = D.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment"), "c_nationkey").agg(F.count("*").cast("double").alias("n"))
+    pdf = pdf.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_nationkey", "n"))), lambda x: x["n"]).alias("pdf"))
+    return pdf.select("segment", F.transform(S.pdf_to_cdf(F.col("pdf")), lambda x: F.round(x, 9)).alias("cdf"))
+
+
+TOKENS = "('1', 'int'), ('x', 'int'), ('4000000000', 'uint'), ('1.5', 'double'), ('1', 'bool'), ('2', 'bool'), ('hello', 'char'), ('3:4:5', 'int:list'), ('7', 'int-int')"
+
+
+@query("""SELECT * FROM (VALUES ('1', 'int', '1'), ('x', 'int', NULL), ('4000000000', 'uint', '4000000000'), ('1.5', 'double', '1.5'), ('1', 'bool', 'true'), ('2', 'bool', 'false'), ('hello', 'char', 'h'), ('3:4:5', 'int:list', '[3,4,5]'), ('7', 'int-int', '{"left":7,"right":7}')) t(token, kind, parsed)""")
+def parse_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(f"SELECT * FROM VALUES {TOKENS} AS t(token, kind)")
+    text = lambda k: F.to_json(S.parse_value(F.col("token"), k)) if ":" in k or "-" in k else S.parse_value(F.col("token"), k).cast("string")
+    kinds = ["int", "uint", "double", "bool", "char", "int:list", "int-int"]
+    return rows.withColumn("parsed", F.coalesce(*(F.when(F.col("kind") == k, text(k)) for k in kinds)))
+
+
+JSON_ROWS = """VALUES (0, 'null'), (1, 'true'), (2, '3'), (3, '2.5'), (4, '"a"'), (5, '{"a":1,"b":2}'), (6, '[1,2,3]')"""
+
+
+@query("SELECT * FROM (VALUES (0, 'null', 0), (1, 'boolean', 1), (2, 'integer', 1), (3, 'float', 1), (4, 'string', 1), (5, 'object', 2), (6, 'array', 3)) t(i, kind, size)")
+def json_kinds(spark: SparkSession, d: str) -> DataFrame:
+    v = F.parse_json("j")
+    return spark.sql(f"SELECT * FROM {JSON_ROWS} AS t(i, j)").select("i", S.json_kind(v).alias("kind"), S.json_size(v).alias("size"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, json_exists(props, '$.z') AS has_z FROM events")
+def json_access(spark: SparkSession, d: str) -> DataFrame:
+    v = F.try_parse_json("props")
+    return D.read(spark, d, "events").select("event_id", S.json_at(v, "$.k", "bigint").alias("k"), S.json_has(v, "z").alias("has_z"))
+
+
+# --- planner -----------------------------------------------------------------------------------------------------------------
+
+PLANS = "(1000, 10000, 4, 8, 50000, 2000), (4000000, 60000000, 6, 12, 90000000, 4000), (5000000, 100000000, 8, 16, 100000000, 2000), (100000000, 1000000000, 10, 20, 2000000000, 64000), (100000000, 1000000000, 10, 20, 2000000000, 1000), (20000000, 100000000, 4, 8, 100000000, 20000)"
+_IN_MEMORY = "ceil(4.0 * e * (32 + 4.0 * n) / nullif(m * 0.75 * 1e6 - (1152 + f + v * (124 + 24.0 * n + 4 * q)), 0))"
+_SWAPPED = "ceil((4.0 * e * (32 + 4.0 * n) + v * (120 + 24.0 * n + 4 * q) + f) / nullif(0.75 * m * 1e6 - (1152 + 4.0 * v), 0)) + floor(v / 1e7)"
+
+
+def _params(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT CAST(v AS LONG) AS vertices, CAST(e AS LONG) AS edges, n AS q_nodes, q AS q_edges, CAST(f AS LONG) AS vertex_file, m AS memory_mb FROM VALUES {PLANS} AS t(v, e, n, q, f, m)")
+
+
+_PARAMS = f"SELECT v::DOUBLE AS v, e::DOUBLE AS e, n::DOUBLE AS n, q::DOUBLE AS q, f::DOUBLE AS f, m::DOUBLE AS m FROM (VALUES {PLANS}) t(v, e, n, q, f, m)"
+_OUT = "v::BIGINT AS vertices, e::BIGINT AS edges, n::INTEGER AS q_nodes, q::INTEGER AS q_edges, f::BIGINT AS vertex_file, m::INTEGER AS memory_mb"
+
+
+@query(f"""SELECT {_OUT}, CASE WHEN a >= 1 AND a < 10 THEN CASE WHEN a = 1 THEN 1 ELSE a + 1 END ELSE s END::BIGINT AS parts,
+CASE WHEN a >= 1 AND a < 10 THEN 'memory' WHEN s < 1 THEN 'insufficient' ELSE 'swap' END AS worker
+FROM (SELECT *, CASE WHEN s0 = 2 THEN -1 ELSE s0 END AS s FROM (SELECT *, {_IN_MEMORY} AS a, {_SWAPPED} AS s0 FROM ({_PARAMS})))""")
+def worker_plan(spark: SparkSession, d: str) -> DataFrame:
+    return planner.worker_plan(_params(spark))
+
+
+@query(f"SELECT {_OUT}, CASE WHEN s0 = 2 THEN -1 ELSE s0 END::BIGINT AS swapped FROM (SELECT *, {_SWAPPED} AS s0 FROM ({_PARAMS}))")
+def swap_plan(spark: SparkSession, d: str) -> DataFrame:
+    return planner.swap_plan(_params(spark))
+
+
+@query("SELECT edges::BIGINT AS edges, edge_bytes, memory_mb, floor(1 + edges::DOUBLE * edge_bytes / (memory_mb * 1048576.0 / 8) + 0.5)::INTEGER AS shards, floor(2 + 4 * (edges::DOUBLE * edge_bytes / (memory_mb * 1048576.0 / 8)) + 0.5)::INTEGER AS dynamic_shards FROM (VALUES (1000, 4, 1024), (100000000, 8, 1024), (2000000000, 4, 4096)) t(edges, edge_bytes, memory_mb)")
+def shard_count(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.createDataFrame([(1000, 4, 1024), (100_000_000, 8, 1024), (2_000_000_000, 4, 4096)], "edges long, edge_bytes int, memory_mb int")
+    return planner.shard_count(planner.shard_count(p, dynamic=True).withColumnRenamed("shards", "dynamic_shards"))
+
+
+# --- sources and generators --------------------------------------------------------------------------------------------------
+
+
+def _text(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst, value::DOUBLE AS value FROM (VALUES (1, 2, 0.5), (3, 4, 7), (5, 1, -2)) t(src, dst, value)")
+def parse_edgelist(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_edge_list(_text(spark, ["# comment", "1 2 0.5", "% other", "3\t4\t7", "2,2,1", "5,1,-2", ""]), "double")
+
+
+@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst, value FROM (VALUES (1, 2, [3, 4, 5]), (2, 1, [9])) t(src, dst, value)")
+def parse_multivalue(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_edge_list(_text(spark, ["1 2 3:4:5", "2 1 9", "4 4 1:2"]), "int:list")
+
+
+@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (1, 2), (1, 3), (5, 1)) t(src, dst)")
+def parse_adjlist(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_adjacency(_text(spark, ["1 2 2 3", "4", "5 2 1 5", "# x"]))
+
+
+@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (0, 1), (0, 2), (1, 3)) t(src, dst)")
+def parse_metis(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_metis(_text(spark, ["% a graph\n4 3\n2 3\n1 4\n1\n2"]))
+
+
+@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (1, 2), (1, 3), (7, 1)) t(src, dst)")
+def parse_cassovary(spark: SparkSession, d: str) -> DataFrame:
+    return R.parse_cassovary(_text(spark, ["1 2\n2\n3\n4 0\n7 1\n1"]))
+
+
+def _lattice_sql(n: int, dims: int) -> str:
+    return " UNION ALL ".join(f"SELECT i AS src, i + {n**k} AS dst FROM range({n**dims}) t(i) WHERE (i // {n**k}) % {n} < {n - 1}" for k in range(dims))
+
+
+@query(_lattice_sql(50, 1))
+def chain(spark: SparkSession, d: str) -> DataFrame:
+    return G.chain(spark, 50)
+
+
+@query(_lattice_sql(12, 2))
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return G.grid(spark, 12)
+
+
+@query(_lattice_sql(9, 2) + " UNION ALL SELECT i, i + 10 FROM range(81) t(i) WHERE i % 9 < 8 AND i // 9 < 8 UNION ALL SELECT i, i - 8 FROM range(81) t(i) WHERE i % 9 < 8 AND i // 9 > 0")
+def crossgrid(spark: SparkSession, d: str) -> DataFrame:
+    return G.crossgrid(spark, 9)
+
+
+@query(_lattice_sql(6, 3))
+def cubegrid(spark: SparkSession, d: str) -> DataFrame:
+    return G.cubegrid(spark, 6)
+
+
+@query(_lattice_sql(4, 4))
+def quadgrid(spark: SparkSession, d: str) -> DataFrame:
+    return G.quadgrid(spark, 4)
+
+
+# --- sinks -------------------------------------------------------------------------------------------------------------------
+
+
+@query(relation_sql(D.SESSIONS_SQL, PATH) + "SELECT q, 0 AS part, q::VARCHAR AS value FROM m GROUP BY q UNION ALL SELECT q, 1 AS part, string_agg(id::VARCHAR || chr(9), '' ORDER BY id) AS value FROM m GROUP BY q")
+def match_file(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.sinks import match_lines
+
+    return match_lines(M.simulate(D.sessions(spark, d), PATH))
+
+
+@query(f"WITH {D.SESSIONS_SQL} SELECT src || chr(9) || dst AS value FROM e")
+def edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.sinks import edge_lines
+
+    return edge_lines(D.sessions(spark, d).edges)
+
+
+# --- changing graphs ---------------------------------------------------------------------------------------------------------
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = D.sessions(spark, d).edges
+    return e.where("src % 3 < 2"), e.where("src % 3 > 0")
+
+
+@query(f"WITH {D.SESSIONS_SQL} SELECT src, dst FROM e")
+def dynamic_insert(spark: SparkSession, d: str) -> DataFrame:
+    return Y.insert(*_halves(spark, d))
+
+
+@query(f"WITH {D.SESSIONS_SQL} SELECT src, dst FROM e WHERE src % 3 = 0")
+def dynamic_delete(spark: SparkSession, d: str) -> DataFrame:
+    return Y.delete(*_halves(spark, d))
+
+
+@query(f"WITH {D.SESSIONS_SQL} SELECT src, dst FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0")
+def dynamic_delete_vertices(spark: SparkSession, d: str) -> DataFrame:
+    e = D.sessions(spark, d).edges
+    return Y.delete_vertices(e, e.where("src % 7 = 0").select(F.col("src").alias("id")).unionByName(e.where("dst % 7 = 0").select(F.col("dst").alias("id"))))
+
+
+@query(f"WITH {D.SESSIONS_SQL.replace('e AS', 'f AS')}, e AS (SELECT * FROM f WHERE src % 5 <> 1), {_DEGREES}, a AS (SELECT src AS id FROM f UNION SELECT dst FROM f) SELECT a.id, coalesce(indegree, 0)::BIGINT AS indegree, coalesce(outdegree, 0)::BIGINT AS outdegree FROM a LEFT JOIN d USING (id)")
+def buffered_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of some edges, others inserted and some of the first deleted again, without reading the first."""
+    e = D.sessions(spark, d).edges
+    log = e.where("src % 5 >= 3").withColumn("op", F.lit(1)).unionByName(e.where("src % 5 = 1").withColumn("op", F.lit(-1)))
+    return Y.buffered_degrees(A.degrees(e.where("src % 5 < 3")), log)
+
+
+@query(f"WITH {D.SESSIONS_SQL} SELECT src, dst FROM e WHERE src % 4 <> 2")
+def dynamic_log(spark: SparkSession, d: str) -> DataFrame:
+    """Inserted in batches, partly deleted, compacted, and read again."""
+    from graphloom.runtime import shared_dir
+    from uuid import uuid4
+
+    e = D.sessions(spark, d).edges.persist()
+    g = Y.DynamicGraph(spark, f"{shared_dir(spark)}/graphloom/dynamic-{uuid4().hex}")
+    g.add_edges(e.where("src % 4 < 3"))
+    g.compact(force=True)
+    g.remove_edges(e.where("src % 4 = 2"))
+    g.add_edges(e.where("src % 4 = 3"))
+    return g.edges().select("src", "dst")
