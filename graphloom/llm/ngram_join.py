@@ -4,8 +4,8 @@
    _shared). A document with fewer than `similarity` of its shingles shared is linked with nothing and goes no further. Documents
    with equal sets are one class, of which only the smallest id goes on.
 2. In a global order the unshared shingles come first. A link needs a common shingle in both prefixes, whatever the order of
-   the rest, so documents are grouped by chains of common prefix shingles under a first order (in Spark), and these groups are
-   split by those under further orders.
+   the rest, so documents are grouped by chains of common prefix shingles under a first order, groups over REFINE documents are
+   split by those under the order that has a group's rarest shingles first, and all groups by those under further orders.
 3. Within a group, pairs whose prefixes meet under all orders are verified by their exact overlap, taken for blocks of documents at
    once. Groups over BLOCK documents are split into blocks, and each pair of blocks is a task; only spanning links leave it.
 """
@@ -13,11 +13,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm._common import cut, mix, powers, prefix_hash
@@ -28,6 +29,8 @@ WORDS = 5
 #: Link at PERCENT * union <= 100 * intersection.
 PERCENT = 75
 BLOCK = 2048
+#: Groups of more documents are split by the order that has their rarest shingles first.
+REFINE = 200
 ORDERS = 3
 #: Shingles held by so many documents of a block are multiplied as dense columns.
 DENSE = 32
@@ -230,36 +233,63 @@ def _sets(told: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return classes.join(answers, "doc_id").select("doc_id", "n", "blobs").mapInArrow(join, "doc_id long, n long, shared binary")
 
 
-def _first_order(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, g): groups by chains of common prefix shingles under the first order."""
-    schema = pa.schema([("t", pa.int64()), ("doc_id", pa.int64())])
+def _postings(sets: DataFrame, pick: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(g, t, doc_id, n): a row for each shingle that pick takes of a set (g, doc_id, n, shared)."""
+    schema = pa.schema([("g", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
 
     def emit(batches):
-        for batch in batches:
-            for doc, n, shared in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["shared"].to_pylist(), strict=True):
-                t = prefix(np.frombuffer(shared, _U), n, 0, percent).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), doc))], schema=schema)
-
-    def gathered(batches):
         held, size = [], 0
-        for b in emit(batches):
-            held.append(b)
-            size += len(b)
-            if size >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
+        for batch in batches:
+            for g, doc, n, shared in zip(*(batch[c].to_pylist() for c in ("g", "doc_id", "n", "shared")), strict=True):
+                t = pick(np.frombuffer(shared, _U), n).astype(np.int64)
+                held.append((t, g, doc, n))
+                size += len(t)
+                if size >= 50_000:
+                    yield gathered(held)
+                    held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield gathered(held)
+
+    def gathered(held):
+        times = [len(x[0]) for x in held]
+        columns = [np.repeat([x[k] for x in held], times).astype(np.int64) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.concatenate([x[0] for x in held])), pa.array(columns[1]), pa.array(columns[2])], schema=schema)
+
+    return sets.select("g", "doc_id", "n", "shared").mapInArrow(emit, "g long, t long, doc_id long, n long")
+
 
-    posting = sets.mapInArrow(gathered, "t long, doc_id long")
-    heads = posting.groupBy("t").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("t", "b")
-    edges = posting.join(heads, "t").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+def _chained(postings: DataFrame) -> DataFrame:
+    """(doc_id, g): documents chained by common rows (g, t); one that shares none is left out."""
+    heads = postings.groupBy("g", "t").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("g", "t", "b")
+    edges = postings.join(heads, ["g", "t"]).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("g"))
 
 
+def _first_order(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, g): groups by chains of common prefix shingles under the first order."""
+    return _chained(_postings(sets.withColumn("g", F.lit(0).cast("long")), lambda h, n: prefix(h, n, 0, percent)))
+
+
+def _rarest_first(grouped: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, g): groups (g, doc_id, n, shared) split by chains under the order that has a group's rarest shingles first.
+
+    It parts documents that only passages held by many chain together. Shingles that no other of the group has stand before all.
+    """
+    rows = _postings(grouped, lambda h, n: h)
+    counts = rows.groupBy("g", "t").agg(F.count("*").alias("df")).where("df > 1")
+    own = W.partitionBy("doc_id")
+    placed = rows.join(counts, ["g", "t"]).withColumn("place", F.row_number().over(own.orderBy("df", "t"))).withColumn("k", F.count("*").over(own))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    return _chained(placed.where(F.col("place") <= F.col("k") - least + 1).select("g", "t", "doc_id", "n"))
+
+
 def links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b) links that span each class of linked documents, for sets (doc_id, n, shared)."""
-    grouped = cut(sets.join(_first_order(sets, percent), "doc_id"), "grouped-sets")
+    rough = cut(sets.join(_first_order(sets, percent), "doc_id"), "grouped-sets")
+    many = rough.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > REFINE).select("g")
+    fine = _rarest_first(rough.join(many, "g", "left_semi"), percent)
+    grouped = rough.join(many, "g", "left_anti").unionByName(rough.drop("g").join(fine, "doc_id").select(*rough.columns))
+    grouped = cut(grouped, "fine-sets")
     sizes = grouped.groupBy("g").agg(F.count("*").alias("size")).select("g", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
