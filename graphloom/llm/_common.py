@@ -93,6 +93,8 @@ def gram_hash(c: np.ndarray, k: int) -> np.ndarray:
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, nulls as empty, and len + 1 offsets into them."""
+    # The system's allocator gives memory back to other workers.
+    pa.set_memory_pool(pa.system_memory_pool())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -55,17 +55,17 @@ def by_group(keys: np.ndarray, values: np.ndarray, width: int = 6) -> tuple[np.n
     return keys[first], blobs.cast(pa.binary())
 
 
-def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """Tables of about CHUNK_BYTES of text, or CHUNK_ROWS rows."""
+def chunks(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """Tables of about `limit` bytes of text, or CHUNK_ROWS rows."""
     held, size, rows = [], 0, 0
     for batch in batches:
         batch = batch.select(columns)
         offsets = strings(batch["text"])[1]
-        for i, j in slices(offsets, CHUNK_BYTES):
+        for i, j in slices(offsets, limit):
             for a in range(i, j, CHUNK_ROWS):
                 b = min(j, a + CHUNK_ROWS)
                 n = int(offsets[b] - offsets[a])
-                if held and (size + n > CHUNK_BYTES or rows + b - a > CHUNK_ROWS):
+                if held and (size + n > limit or rows + b - a > CHUNK_ROWS):
                     yield pa.Table.from_batches(held)
                     held, size, rows = [], 0, 0
                 held.append(batch.slice(a, b - a))

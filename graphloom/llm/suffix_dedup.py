@@ -30,6 +30,8 @@ LENGTH = 50
 GRAM = 24
 #: Bytes to which multikey quicksort goes before the blind tries.
 SHALLOW = 32
+#: A chunk of documents whose segments are made at once.
+SEND_BYTES = 5 << 20
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
 
@@ -347,7 +349,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     named = rows.withColumn("text_hash", F.xxhash64("text")).join(seen, "doc_id")
 
     def send(batches):
-        for table in chunks(batches, ["doc_id", "text_hash", "text", "blobs"]):
+        for table in chunks(batches, ["doc_id", "text_hash", "text", "blobs"], SEND_BYTES):
             yield from segments(table, n)
 
     def settle(batches):
