@@ -195,9 +195,13 @@ class ItemIndex:
         ok[: len(h)] = self.table[(h >> _U(64 - BITS)).astype(np.int64)]
         for i in range(1, self.gram):  # a k-gram may not reach into the next row
             ok[np.maximum(first[1:] - i, 0)] = False
-        turn = np.flatnonzero(np.diff(np.concatenate([[False], ok])))
+        # Runs of such words end with their row.
+        fresh = np.zeros(len(starts) + 1, bool)
+        fresh[first] = True
+        begins = np.flatnonzero(ok & (fresh | np.concatenate([[True], ~ok[:-1]])))
+        ends_at = np.flatnonzero(ok[:-1] & (fresh[1:] | ~ok[1:])) + 1
         raw = None
-        for a, b in zip(turn[::2], turn[1::2], strict=True):
+        for a, b in zip(begins, ends_at, strict=True):
             b = b + self.gram - 1
             if b - a < self.least:
                 continue

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Names of HTML elements by their role.
-HIDDEN = frozenset("script style template noscript head title svg math iframe object audio video canvas textarea select datalist".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+HIDDEN = frozenset("script style template noscript noembed noframes head title svg math iframe object audio video canvas textarea select datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -142,20 +142,20 @@ def blocks(html: str) -> list[Block]:
             while up is not root and up.tag != tag:
                 up = up.parent
             if up is not root:
-                flush()
                 node = up.parent
             continue
         if tag in VOID:
             continue
+        if tag in RAW and tag in HIDDEN:
+            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+            at = stop.end() if stop else end
+            continue
         if tag in BREAKS and node.tag == "p":
             node = node.parent
         while node.tag in CLOSES.get(tag, ()):
             node = node.parent
         sign, hidden = _sign(tag, attributes, node)
         node = Node(tag, node, node.depth + 1, sign, node.hidden or hidden or tag in HIDDEN)
-        if tag in RAW and not attributes.endswith("/"):
-            stop = re.compile(rf"</{tag}\b", re.I).search(html, at)
-            at = stop.start() if stop else end
     flush()
     return out
 
