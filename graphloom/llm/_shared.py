@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.llm._common import slices, strings
 
@@ -27,8 +28,12 @@ ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.in
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of df: for a table, those of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the optimizer expects of df: for a table, those of its files. Where it knows none, or multiplies sides of a join,
+    the bytes of the texts are counted."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected < 1 << 40:
+        return expected
+    return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
