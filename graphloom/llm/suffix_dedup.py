@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import cut, gram_hash, prefix_hash, slices, strings
-from graphloom.llm._shared import ANSWER, QUESTION, SLICE, by_bucket, buckets_for, chunks, pack48, shared_hashes, unpack48
+from graphloom.llm._common import gram_hash, prefix_hash, slices, strings
+from graphloom.llm._shared import ANSWER, QUESTION, SLICE, by_bucket, buckets_for, chunks, shared_hashes, unpack48
 
 LENGTH = 50
 GRAM = 24
@@ -227,21 +227,21 @@ def _segment_ids(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: np
     return np.unique(np.ascontiguousarray(table).view(f"V{table.shape[1]}")[:, 0], return_inverse=True)[1]
 
 
-RANGES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("blob", pa.binary())])
+RANGES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("blob", pa.binary())])
 SEGMENTS = pa.schema([("bucket", pa.int32()), *RANGES])
 
 
-def _ranges(doc: np.ndarray, text_hash: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
-    """Rows (doc_id, text_hash, blob) of window ranges."""
-    order = np.lexsort((lo, text_hash, doc))
-    doc, text_hash, pair = doc[order], text_hash[order], np.stack([lo[order], hi[order]], axis=1).astype("<i8")
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])])) if len(doc) else np.zeros(0, np.int64)
+def _ranges(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
+    """Rows (doc_id, tag, blob) of window ranges."""
+    order = np.lexsort((lo, tag, doc))
+    doc, tag, pair = doc[order], tag[order], np.stack([lo[order], hi[order]], axis=1).astype("<u4")
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
     cuts = np.concatenate([new, [len(doc)]])
-    return [pa.array(doc[new]), pa.array(text_hash[new]), pa.array([pair[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
+    return [pa.array(doc[new]), pa.array(tag[new].astype(np.int32)), pa.array([pair[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
 
 
 def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
-    """What a chunk of documents (doc_id, text_hash, text, blobs of shared seeds) sends: see the module's step 2."""
+    """What a chunk of documents (doc_id, tag, text, blobs of shared seeds) sends: see the module's step 2."""
     data, offsets = strings(table["text"])
     h, row, lo, hi = row_seeds(data, offsets)
     h48 = h >> _U(16)
@@ -264,13 +264,13 @@ def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
     flat = _gather(data, offsets[row] + lo, size)
     begin = np.cumsum(size) - size
     segment = _segment_ids(flat, begin, size, h48)
-    ids, texts = table["doc_id"].to_numpy(), table["text_hash"].to_numpy()
+    ids, tags = table["doc_id"].to_numpy(), table["tag"].to_numpy()
     doc = ids[row]
     least = np.full(segment.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, segment, doc)
     gone = doc > least[segment]
     if gone.any():
-        d, t, blob = _ranges(doc[gone], texts[row[gone]], lo[gone], hi[gone])
+        d, t, blob = _ranges(doc[gone], tags[row[gone]], lo[gone], hi[gone])
         yield pa.RecordBatch.from_arrays([pa.array((d.to_numpy() % buckets).astype(np.int32)), pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=SEGMENTS)
     ask = np.flatnonzero(~gone)
     bucket = (h48[ask] % _U(buckets)).astype(np.int64)
@@ -281,22 +281,28 @@ def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
     out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         k = ask[a:b]
-        body = b"".join((np.uint32(b - a).tobytes(), ids[row[k]].astype("<i8").tobytes(), texts[row[k]].astype("<i8").tobytes(), lo[k].astype("<i8").tobytes(), size[k].astype("<u1").tobytes(), pack48(h48[k]), _gather(flat, begin[k], size[k]).tobytes()))
+        body = b"".join((np.uint32(b - a).tobytes(), ids[row[k]].astype("<i8").tobytes(), tags[row[k]].astype("<u2").tobytes(), lo[k].astype("<u4").tobytes(), size[k].astype("<u1").tobytes(), _gather(flat, begin[k], size[k]).tobytes()))
         out.append(pack.compress(body))
     n = len(out)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(n, QUESTION, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(out, pa.binary())], schema=SEGMENTS)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(n, QUESTION, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(out, pa.binary())], schema=SEGMENTS)
 
 
 def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
     """The ranges of windows that go, of one bucket of segments."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     unpack = zstandard.ZstdDecompressor()
     for blob in blobs:
         raw = unpack.decompress(blob)
         n = int(np.frombuffer(raw, "<u4", 1)[0])
-        for k, x in enumerate((np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<i8", n, 4 + 8 * n), np.frombuffer(raw, "<i8", n, 4 + 16 * n), np.frombuffer(raw, "<u1", n, 4 + 24 * n).astype(np.int64), unpack48(raw[4 + 25 * n : 4 + 31 * n]), np.frombuffer(raw, np.uint8, -1, 4 + 31 * n))):
-            parts[k].append(x)
-    doc, text_hash, lo, size, seed, flat = (np.concatenate(p) for p in parts)
+        at = 4
+        for k, (kind, m) in enumerate((("<i8", n), ("<u2", n), ("<u4", n), ("<u1", n), ("<u1", -1))):
+            x = np.frombuffer(raw, kind, m, at)
+            at += x.nbytes
+            parts[k].append(x if k == 4 else x.astype(np.int64))
+    doc, tag, lo, size, flat = (np.concatenate(p) for p in parts)
+    # All windows of a segment have one seed, which it tells itself.
+    found, rows, _, _ = row_seeds(flat, np.concatenate([[0], np.cumsum(size)]))
+    seed = found[np.searchsorted(rows, np.arange(len(size)))]
     begin = np.cumsum(size) - size
     segment = _segment_ids(flat, begin, size, seed)
     count = segment.max() + 1
@@ -318,7 +324,7 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
     place = np.full(count, -1)
     place[sort] = ends - windows
     whole = doc > least[segment]
-    out = [(doc[whole], text_hash[whole], lo[whole], lo[whole] + size[whole] - LENGTH)]
+    out = [(doc[whole], tag[whole], lo[whole], lo[whole] + size[whole] - LENGTH)]
     # A segment that is its document's own keeps the windows that no smaller document has.
     some = np.flatnonzero(~whole & (place[segment] >= 0))
     if len(some):
@@ -333,7 +339,7 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
             a = np.flatnonzero(new)
             b = np.concatenate([a[1:] - 1, [len(e) - 1]])
             k = some[e[a]]
-            out.append((doc[k], text_hash[k], lo[k] + i[a], lo[k] + i[b]))
+            out.append((doc[k], tag[k], lo[k] + i[a], lo[k] + i[b]))
     found = [np.concatenate(x) for x in zip(*out, strict=True)]
     if not len(found[0]):
         return None
@@ -341,30 +347,36 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=RANGES)
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag): rows with an id; the tag tells apart different texts under one id.
+
+    It is written alike for both joins, so that Spark shuffles the texts once and reads them twice.
+    """
+    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, ranges): blobs of (first, last) windows, as 64-bit numbers, that a smaller document holds too."""
+    """(doc_id, ranges): (tag, blob of (first, last) windows as 32-bit numbers) of windows that a smaller document holds too."""
     n = buckets_for(docs)
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    seen = cut(shared_hashes(rows, seed_hashes, n), "shared-seeds").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
-    named = rows.withColumn("text_hash", F.xxhash64("text")).join(seen, "doc_id")
+    seen = shared_hashes(docs, seed_hashes, n).groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
 
     def send(batches):
-        for table in chunks(batches, ["doc_id", "text_hash", "text", "blobs"], SEND_BYTES):
+        for table in chunks(batches, ["doc_id", "tag", "text", "blobs"], SEND_BYTES):
             yield from segments(table, n)
 
     def settle(batches):
         yield from by_bucket(batches, resolve)
 
-    sent = named.select("doc_id", "text_hash", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, text_hash long, blob binary")
-    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, text_hash long, blob binary")
-    return cut(found.select("doc_id", "text_hash", "blob"), "ranges").groupBy("doc_id", "text_hash").agg(F.collect_list("blob").alias("ranges"))
+    sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, tag int, blob binary")
+    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag int, blob binary")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "blob")).alias("ranges"))
 
 
 def _apply(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, int, int]:
     """The kept bytes, how many go and in how many runs."""
     if not blobs:
         return text, 0, 0
-    pair = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
+    pair = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
     cover = np.zeros(len(text) + 1, np.int32)
     np.add.at(cover, pair[:, 0], 1)
     np.add.at(cover, np.minimum(pair[:, 1] + LENGTH, len(text)), -1)
@@ -385,15 +397,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     def strip(batches):
         for batch in batches:
             out = []
-            for doc, text, blobs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["ranges"], strict=True):
+            for doc, tag, text, blobs in zip(batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["ranges"], strict=True):
                 raw = (text.as_py() or "").encode()
-                kept, gone, runs = _apply(raw, blobs.as_py())
+                kept, gone, runs = _apply(raw, [x["blob"] for x in blobs.as_py() or () if x["tag"] == tag])
                 out.append((doc, len(raw), gone, runs, kept))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).join(ranges, ["doc_id", "text_hash"], "left")
-    return rows.select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    named = _tagged(docs).join(ranges, "doc_id", "left").select("doc_id", "tag", "text", "ranges")
+    unnamed = docs.where("doc_id is null").select("doc_id", F.lit(0).alias("tag"), "text").withColumn("ranges", F.lit(None).cast("array<struct<tag:int,blob:binary>>"))
+    return named.mapInArrow(strip, ddl).unionByName(unnamed.mapInArrow(strip, ddl))
 
 
 def brute_force(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
