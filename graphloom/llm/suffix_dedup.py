@@ -30,6 +30,9 @@ LENGTH = 50
 GRAM = 24
 #: Bytes to which multikey quicksort goes before the blind tries.
 SHALLOW = 32
+#: Bytes of input for each bucket. A document has a row of ranges from each bucket that holds some of its segments, so more buckets
+#: are more rows.
+BUCKET_BYTES = 16 << 20
 #: A chunk of documents whose segments are made at once.
 SEND_BYTES = 5 << 20
 _U = np.uint64
@@ -357,7 +360,7 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, ranges): (tag, blob of (first, last) windows as 32-bit numbers) of windows that a smaller document holds too."""
-    n = buckets_for(docs)
+    n = buckets_for(docs, BUCKET_BYTES)
     seen = shared_hashes(docs, seed_hashes, n).groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
 
     def send(batches):
