@@ -194,7 +194,8 @@ class ItemIndex:
         ok = np.zeros(len(starts) + 1, bool)
         ok[: len(h)] = self.table[(h >> _U(64 - BITS)).astype(np.int64)]
         for i in range(1, self.gram):  # a k-gram may not reach into the next row
-            ok[np.maximum(first[1:] - i, 0)] = False
+            cut = first[1:] - i
+            ok[cut[cut >= first[:-1]]] = False
         # Runs of such words end with their row.
         fresh = np.zeros(len(starts) + 1, bool)
         fresh[first] = True

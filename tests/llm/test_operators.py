@@ -164,6 +164,25 @@ def test_decontamination_against_brute_force(spark):
     assert cut[52] == "ä  ö" and cut[50] is None and cut[54] == ""
 
 
+def test_passages_after_rows_without_words():
+    passage = [f"w{i}" for i in range(14)]
+    for n in (13, 14):
+        index = decontam.ItemIndex([("a", " ".join(passage[:n]))])
+        for before in ([""], ["", "!! ."], ["x"], ["x y", ""]):
+            raw = [t.encode() for t in [*before, " ".join(passage[:n]), ""]]
+            count, found = index.scan(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            assert count.tolist() == [len(decontam.words_of(t.decode())) for t in raw]
+            assert {row: (decontam.joined(spans), ids) for row, (spans, ids) in found.items()} == {len(before): ([(0, n)], {"a"})}
+
+
+def test_decontamination_behind_a_null_row(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(0, None), (1, "?!"), (2, passage)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.digest(docs, bench).collect()}
+    assert found == {0: (0, 0, 0, False), 1: (0, 0, 0, False), 2: (13, 13, 1, True)}
+
+
 def test_automaton_knows_all_substrings():
     rng = random.Random(1)
     for _ in range(30):
