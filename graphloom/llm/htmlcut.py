@@ -118,8 +118,10 @@ def blocks(html: str) -> list[Block]:
             say(html[at:lt])
         m = TOKEN.match(html, lt)
         if not m:
-            if html[lt + 1 : lt + 2] in ("/", "!", "?") or html[lt + 1 : lt + 2].isalpha():
-                at = end  # a tag that the page's end cuts off
+            if html.startswith("/", lt + 1):
+                at = html.find(">", lt) + 1 or end  # an end tag without a name is a comment up to its ">"
+            elif html[lt + 1 : lt + 2].isascii() and html[lt + 1 : lt + 2].isalpha():
+                at = end  # a tag that the page's end cuts off: no ">" follows
             else:
                 say("<")
                 at = lt + 1

@@ -121,6 +121,16 @@ def test_main_text(spark):
     assert htmlcut.main_text("<div>" * 3000 + "<p>Deep down there is a sentence, at last.") == "Deep down there is a sentence, at last."
 
 
+@pytest.mark.parametrize(
+    "stray,text",
+    [("</>", " "), ("</ p>", " "), ("</3 it>", " "), ("a <é b", "a <é b"), ("x <中", "x <中"), ("1 <2 and <", "1 <2 and <")],
+)
+def test_text_goes_on_after_a_stray_tag(stray, text):
+    page = f"<article><p>It begins {stray} here.</p><p>And it goes on after that.</p></article>"
+    assert htmlcut.main_text(page) == " ".join(f"It begins {text} here.".split()) + "\n\nAnd it goes on after that."
+    assert htmlcut.main_text("<article><p>It begins here.</p><p>Cut off </3 it") == "It begins here.\n\nCut off"
+
+
 def test_min_cut_is_minimal():
     import itertools
 
