@@ -32,6 +32,8 @@ BOILER_WORDS = frozenset(
 REMARK_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postbody story text".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Start tags that may stand in a head; any other, and text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: An open element of the second set is closed by a start tag of the first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -39,6 +41,9 @@ TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
+#: White space of HTML.
+BLANKS = " \t\n\f\r"
+
 #: Capacities: a sure call, a clear sign, and smoothness between neighbours.
 SURE, CLEAR, SMOOTH = 12.0, 4.0, 1.5
 
@@ -85,6 +90,14 @@ def _sign(tag: str, attributes: str, parent: Node) -> tuple[int, bool]:
     return parent.sign, hidden
 
 
+def out_of_head(node: Node, whole: bool) -> Node:
+    """The parent of node if that is a head, or if `whole`, of the head that node is in; else node."""
+    up = node
+    while whole and up and up.tag != "head":
+        up = up.parent
+    return up.parent if up and up.tag == "head" else node
+
+
 def blocks(html: str) -> list[Block]:
     """The visible blocks of text of a page in order, character references decoded, white space made single."""
     node = root = Node("", None, 0, 0, False)
@@ -101,7 +114,9 @@ def blocks(html: str) -> list[Block]:
             pieces, links = [], 0
 
     def say(raw: str) -> None:
-        nonlocal links
+        nonlocal links, node
+        if node.tag == "head" and raw.strip(BLANKS):
+            node = node.parent
         if node.hidden or not raw:
             return
         text = unescape(raw) if "&" in raw else raw
@@ -131,6 +146,8 @@ def blocks(html: str) -> list[Block]:
         if not tag or at == end and html[end - 1] != ">":
             continue
         tag = tag.lower()
+        if not close and tag not in IN_HEAD:
+            node = out_of_head(node, tag == "body")
         if tag == "a":
             in_link = 0 if close else 1
         if tag == "br":

@@ -131,6 +131,25 @@ def test_text_goes_on_after_a_stray_tag(stray, text):
     assert htmlcut.main_text("<article><p>It begins here.</p><p>Cut off </3 it") == "It begins here.\n\nCut off"
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<head><title>No</title><body>",
+        "<html><head><meta charset=x><link rel=y><title>No</title>\n<script>no</script><body class=z>",
+        "<head><style>no</style><noscript><link rel=y><body>",
+        "<head><title>No</title>",
+        "<head><title>No</title></head><body>",
+    ],
+)
+def test_a_head_ends_without_an_end_tag(start):
+    assert htmlcut.main_text(start + "<article><p>All of this is to be kept.</p></article>") == "All of this is to be kept."
+    assert htmlcut.main_text(start + "<b>All</b> of this is to be kept, and more of it.") == "All of this is to be kept, and more of it."
+
+
+def test_text_ends_a_head():
+    assert htmlcut.main_text("<head> <title>No</title>\n All of this is to be kept, and more of it.") == "All of this is to be kept, and more of it."
+
+
 def test_min_cut_is_minimal():
     import itertools
 
