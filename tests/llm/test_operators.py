@@ -146,6 +146,28 @@ def test_a_head_ends_without_an_end_tag(start):
     assert htmlcut.main_text(start + "<b>All</b> of this is to be kept, and more of it.") == "All of this is to be kept, and more of it."
 
 
+@pytest.mark.parametrize(
+    "attributes,kept",
+    [
+        ("class=post style='overflow:hidden'", True),
+        ('data-hidden="false"', True),
+        ("title='it is hidden'", True),
+        ('data-role="navigation" data-id=comments', True),
+        ("title = hidden", True),
+        ('alt="id=comments"', True),
+        ('title="hidden', True),
+        ("hidden", False),
+        ("class=post HIDDEN", False),
+        ('title="a"hidden', False),
+        ("style=x / aria-hidden = 'true'", False),
+        ("ID=comments", False),
+    ],
+)
+def test_attributes_are_read_by_their_own_names(attributes, kept):
+    page = f"<body><div {attributes}><p>All of this is one sentence of the article.</p></div></body>"
+    assert htmlcut.main_text(page) == ("All of this is one sentence of the article." if kept else "")
+
+
 def test_text_ends_a_head():
     assert htmlcut.main_text("<head> <title>No</title>\n All of this is to be kept, and more of it.") == "All of this is to be kept, and more of it."
 
