@@ -11,7 +11,7 @@ from graphloom.llm._common import strings
 from graphloom.llm._embed import Features, Model, train
 from graphloom.llm.langid import excerpts
 
-#: About so many labelled rows are fitted, half of each label, and from each at most PARTS excerpts of SPAN characters.
+#: About so many labelled rows are fitted, half of each label or all of a rarer one, and from each at most PARTS excerpts of SPAN characters.
 FIT_ROWS = 4000
 PARTS, SPAN = 3, 500
 FEATURES = Features(chars=(3, 4), words=(1, 2), lower=False, bits=16, prior=20)
@@ -21,17 +21,29 @@ THRESHOLD = 0.3
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: Features = FEATURES) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, quality 0 or 1).
 
-    Labelled ids are picked by a hash at a rate that gives about `rows`; that list, bounded by 2 * rows, is what is broadcast.
+    Labelled ids are picked by a hash at a rate per label that gives about `rows` in all, evenly over the labels; what a rare label
+    lacks, the others fill up. That list, bounded by 2 * rows, is what is broadcast. The bias makes up for the rates, so that scores
+    are those of the labels' own shares.
     """
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    total = known.count()
+    counts = sorted((r.n, r.quality) for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return train([], [], features)
+    rates, left = {}, float(rows)
+    for k, (n, label) in enumerate(counts):
+        take = min(n, left / (len(counts) - k))
+        rates[label] = take / n
+        left -= take
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.where(draw < min(1.0, rows / max(1, total))).dropDuplicates(["doc_id"]).limit(2 * rows)
+    picked = known.where(draw < F.element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("quality"))).dropDuplicates(["doc_id"]).limit(2 * rows)
     parts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
     found = parts.select("doc_id", "quality", F.explode(excerpts(F.col("text"), PARTS, SPAN)).alias("part")).collect()
     sample = sorted((r.doc_id, r.part, r.quality) for r in found)
     sample = [sample[i] for i in np.random.default_rng(2).permutation(len(sample))]
-    return train([x[1] for x in sample], [str(x[2]) for x in sample], features)
+    model = train([x[1] for x in sample], [str(x[2]) for x in sample], features)
+    named = {str(label): rate for label, rate in rates.items()}
+    model.bias -= model.temperature * np.log([named.get(c, 1.0) for c in model.classes])
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

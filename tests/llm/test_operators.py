@@ -95,6 +95,21 @@ def test_quality(spark):
     assert quality.predictions(docs.limit(0), labels).count() == 0
 
 
+def test_quality_is_fitted_evenly_over_labels(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, features: drawn.append(Counter(labels)) or train(texts, labels, features))
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    docs, rare = ids.withColumn("text", F.concat(F.lit("text "), F.col("doc_id"))), ids.select("doc_id", (F.col("doc_id") % 100 > 0).cast("int").alias("quality"))
+    model = quality.fit(docs, rare, rows=400)
+    assert drawn[-1]["0"] == 50 and 280 < drawn[-1]["1"] < 420
+    # Texts say nothing of their label, so that scores are near its share.
+    assert np.mean([r.score for r in quality.score(docs.limit(50), model).collect()]) > 0.95
+    quality.fit(docs, ids.select("doc_id", (F.col("doc_id") % 5 > 0).cast("int").alias("quality")), rows=400)
+    assert 150 < drawn[-1]["0"] < 250 and 150 < drawn[-1]["1"] < 250
+    quality.fit(docs, rare.limit(30), rows=400)
+    assert drawn[-1].total() == 30
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------------------
 
 PAGES = [
