@@ -1,8 +1,9 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
 A run is a table (h, n_docs, last_doc), one row per line hash, sorted by h. `LineRuns` keeps runs on levels: each batch adds a run
-on level 0, and `fanout` runs of a level are compacted into one run of the next. A batch is told apart from what came before
-by a merge anti-join of its hashes with the runs. `drop_repeated_lines` loads a table in batches and rewrites its texts.
+on level 0, and `fanout` runs of a level are compacted into one run of the next. `unseen` tells a batch apart from what came before
+by a merge anti-join of its hashes with the runs. `drop_repeated_lines` loads a table in batches and rewrites its texts; it
+counts seen lines too, so it adds its batches in one pass and does without `unseen`.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case. Its hash is the MD5 of the key's
 bytes read as Latin-1 and lower-cased, which is one to one on valid UTF-8: continuation bytes stay as they are, and the number
