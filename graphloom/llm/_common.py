@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _U = np.uint64
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
@@ -55,6 +56,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: At most so many keys are broadcast by join_by_weight.
+HEAVY = 20_000
+
+
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """The inner join of rows with keys (one row a key), where `weight` is at most the number of rows that have the key.
+
+    Keys of more than total / HEAVY rows are broadcast: as weights sum up to total, there are fewer than HEAVY. The rest is
+    joined by a shuffle that no such key takes part in. keys should be a written table: it is read twice.
+    """
+    limit = total // HEAVY
+    many, few = F.broadcast(keys.where(F.col(weight) > limit)), keys.where(F.col(weight) <= limit)
+    return rows.join(many, on).unionByName(rows.join(many.select(on), on, "left_anti").join(few, on))
+
+
+def boxed(df: DataFrame, *own: Column) -> DataFrame:
+    """df with each row as one struct `row` beside columns of the operator's own, which so can't clash with those of df."""
+    return df.select(F.struct("*").alias("row"), *own)
+
+
+def unboxed(df: DataFrame, **added: Column) -> DataFrame:
+    """The rows that boxed() held, with columns added; a column of the same name is replaced."""
+    names = [n for n in df.schema["row"].dataType.names if n not in added]
+    return df.select(*(F.col("row")[n].alias(n) for n in names), *(c.alias(n) for n, c in added.items()))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_POWERS[0]) < n:

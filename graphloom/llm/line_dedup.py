@@ -1,9 +1,12 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run is a table (h, n_docs, last_doc), one row per line hash, sorted by h. `LineRuns` keeps runs on levels: each batch adds a run
-on level 0, and `fanout` runs of a level are compacted into one run of the next. `unseen` tells a batch apart from what came before
-by a merge anti-join of its hashes with the runs. `drop_repeated_lines` loads a table in batches and rewrites its texts; it
-counts seen lines too, so it adds its batches in one pass and does without `unseen`.
+A run is a table (h, n_docs, last_doc), sorted by h: the hashes that its batch was the first to hold. `LineRuns` keeps runs on
+levels. Each batch of lines is counted by hash and merge-anti-joined with all runs; what no run holds is added as a run of level
+0, and `fanout` runs of a level are merged into one run of the next. As runs hold different hashes, merging needs no
+aggregation. What a run does hold, the batch's repeats, is the rest of the batch against the run it added. Only repeats are ever
+summed, so a line that one batch alone holds is counted once and never moved again but by merges.
+
+`drop_repeated_lines` loads a table batch by batch and rewrites the texts that lose lines.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case. Its hash is the MD5 of the key's
 bytes read as Latin-1 and lower-cased, which is one to one on valid UTF-8: continuation bytes stay as they are, and the number
@@ -15,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import new_path
+from graphloom.llm._common import boxed, cut, join_by_weight, new_path, unboxed
 
 #: White space that is stripped: a fixed set of the contract.
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
 MIN_DOCS = 5
-BATCHES = 4
-FANOUT = 4
+#: Batches that a table is loaded in, and runs of a level that are merged.
+BATCHES, FANOUT = 4, 3
 
 
 def line_hash(line: Column) -> Column:
@@ -40,9 +43,9 @@ def split_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """Runs of line hashes in a folder, one subfolder a run.
+    """Runs of line hashes in a folder, one subfolder a run, on levels; the driver holds the names of runs only.
 
-    Rows are (h binary, n_docs long, last_doc long). The state is small: the list of runs of each level.
+    Runs are disjoint by hash. `repeats` names the batches that held hashes of earlier runs: (batch, the run it added).
     """
 
     SCHEMA = "h binary, n_docs bigint, last_doc bigint"
@@ -50,49 +53,37 @@ class LineRuns:
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.path, self.fanout = spark, path or new_path(spark, "line-runs"), fanout
         self.levels: list[list[str]] = [[]]
+        self.repeated: list[tuple[str, str]] = []
         self.made = 0
 
     def runs(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.path}/L{level}-{self.made:05d}"
+    def _write(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.path}/{name}-{self.made:05d}"
         self.made += 1
         rows.select("h", "n_docs", "last_doc").sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        return path
 
-    def read(self, paths: list[str]) -> DataFrame:
+    def read(self, *paths: str) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
-    @staticmethod
-    def merge(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        """Rows of hashes (with a column h) that no run holds."""
-        return hashes.join(self.read(self.runs()).select("h"), "h", "left_anti")
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """Rows (with a column h) whose hash no run holds: a merge anti-join with each run."""
+        for path in self.runs():
+            rows = rows.join(self.read(path).select("h").hint("merge"), "h", "left_anti")
+        return rows
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of (h, doc_id) as a run; no document may be in two batches."""
-        per_doc = lines.groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
-        self._write(per_doc.groupBy("h").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-        self.compact()
-
-    def add_batches(self, lines: DataFrame, batches: int) -> None:
-        """Add `batches` runs in one pass over (h, doc_id), dealt by a hash of doc_id, then compact."""
-        part = lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
-        per_doc = part.groupBy("batch", "h", "doc_id").agg(F.lit(1).alias("one"))
-        runs = per_doc.groupBy("batch", "h").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        path = f"{self.path}/L0-{self.made:05d}"
-        self.made += 1
-        runs.sortWithinPartitions("batch", "h").write.partitionBy("batch").option("compression", "zstd").parquet(path)
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        store = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().toString() for s in store.listStatus(folder) if s.isDirectory())
-        self.levels[0].extend(names)
+        """Add a batch of (h, doc_id); no document may be in two batches. Rows without doc_id don't count."""
+        per_doc = lines.where("doc_id is not null").groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
+        batch = self._write(per_doc.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "batch")
+        if not self.runs():
+            self.levels[0].append(batch)
+            return
+        run = self._write(self.unseen(self.read(batch)), "L0")
+        self.levels[0].append(run)
+        self.repeated.append((batch, run))
         self.compact()
 
     def compact(self) -> None:
@@ -101,48 +92,72 @@ class LineRuns:
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
                 merged, self.levels[level] = self.levels[level], []
-                self._write(self.merge(self.read(merged)), level + 1)
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                # Sorted parts of one range of hashes from each run: a merge of sorted files.
+                self.levels[level + 1].append(self._write(self.read(*merged).repartition("h"), f"L{level + 1}"))
             level += 1
 
-    def totals(self) -> DataFrame:
-        paths = self.runs()
-        return self.read(paths) if len(paths) == 1 else self.merge(self.read(paths))
+    def repeats(self) -> DataFrame:
+        """Rows of batches whose hash an earlier batch held."""
+        out = self.read()
+        for batch, run in self.repeated:
+            out = out.unionByName(self.read(batch).join(self.read(run).select("h").hint("merge"), "h", "left_anti"))
+        return out
+
+    def counted(self, min_docs: int) -> DataFrame:
+        """(h, n_docs, last_doc) over all batches, of the hashes that at least min_docs documents hold."""
+        again = self.repeats().groupBy("h").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+        return (
+            self.read(*self.runs())
+            .join(again.hint("merge"), "h", "left")
+            .select("h", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
+            .where(F.col("n_docs") >= min_docs)
+        )
+
+
+def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+    """(batch, doc_id, text_hash, pos, h) of the lines that count; documents are dealt to batches by a hash of doc_id."""
+    line = F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.when(long_line(x, min_chars), line_hash(x)))).alias("pos", "h")
+    return (
+        docs.where("doc_id is not null and text is not null")
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), line)
+        .where("h is not null")
+        .select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text_hash", "pos", "h")
+    )
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """(doc_id, text_hash, drops): the numbers of the lines that a document loses, for documents that lose any."""
     spark = docs.sparkSession
-    lines = (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-        .where(long_line(F.col("line"), min_chars))
-        .select("doc_id", "text_hash", "pos", line_hash(F.col("line")).alias("h"))
-    )
+    lines = cut(long_lines(docs, min_chars, batches), "long-lines")
     runs = LineRuns(spark)
-    runs.add_batches(lines.select("h", "doc_id"), batches)
-    hot = runs.totals().where(F.col("n_docs") >= min_docs).select("h", "last_doc")
-    return (
-        lines.join(hot, "h")
-        .where(F.col("doc_id") < F.col("last_doc"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("pos").alias("drops"))
-    )
+    for k in range(batches):
+        runs.add(lines.where(F.col("batch") == k).select("h", "doc_id"))
+    hot = cut(runs.counted(min_docs), "hot-lines")
+    # A hash that many documents hold would gather in one task of a shuffle; there are few such hashes, and they are broadcast.
+    found = join_by_weight(lines.select("doc_id", "text_hash", "pos", "h"), hot, "h", "n_docs", lines.count())
+    return found.where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text.
+    """docs with n_lines, n_dropped and kept_text; columns of docs with these names are replaced, all others pass as they are.
 
     A key of at least min_chars code points found in at least min_docs documents stays only in the largest doc_id that holds
     it (all its lines there). A null or empty text is one empty line and stays empty. Rows that share a doc_id are one
     document; a row whose doc_id is null counts for no key and loses no line. An empty table gives an empty table.
     """
-    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drops").alias("__drops"))
-    lines = split_lines(F.col("text"))
-    joined = docs.join(drops, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(F.col("__lines")) - 1), F.coalesce(F.col("__drops"), F.array().cast("array<int>")))
-    return (
-        joined.withColumn("__lines", lines)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__drops"), F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.when(F.col("__drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")))
-        .drop("__id", "__hash", "__drops", "__lines")
+    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches).select(F.struct("doc_id", "text_hash").alias("key"), "drops")
+    own = F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("own_text")
+    named = boxed(docs.where("doc_id is not null"), *own, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")).join(drops, "key", "left").drop("key")
+    text, lost = F.col("own_text"), F.col("drops")
+    lines = F.split(text, "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    kept = F.when(lost.isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    return unboxed(
+        # Rows without doc_id stay out of the shuffle: they may be many, and have one key.
+        named.unionByName(boxed(docs.where("doc_id is null"), *own, F.lit(None).cast("array<int>").alias("drops"))),
+        n_lines=(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        n_dropped=F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long"),
+        kept_text=kept,
     )

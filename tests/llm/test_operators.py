@@ -528,7 +528,11 @@ def test_line_dedup(spark):
         assert (r.n_lines, r.n_dropped, r.kept_text) == (len(own), len(own) - len(keep), "\n".join(keep))
     assert dropped > 20
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
-    assert "drops" in line_dedup.drop_repeated_lines(docs).columns
+    clash = docs.withColumns({c: F.lit(c) for c in ("__id", "__lines", "row", "key", "own_text", "a.b", "n_lines")})
+    out = line_dedup.drop_repeated_lines(clash)
+    assert out.columns == [c for c in clash.columns if c != "n_lines"] + ["n_lines", "n_dropped", "kept_text"]
+    for r in out.collect():
+        assert (r["__id"], r["row"], r["key"], r["own_text"], r["a.b"], r["score"], r["drops"]) == ("__id", "row", "key", "own_text", "a.b", "x", "z")
 
 
 def test_line_runs_are_levelled(spark):
@@ -539,5 +543,35 @@ def test_line_runs_are_levelled(spark):
         assert new == {bytes([i]) for i in range(k, k + 3) if k == 0 or i == k + 2}
         runs.add(batch)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    got = {r.h: (r.n_docs, r.last_doc) for r in runs.totals().collect()}
-    assert got[bytes([2])] == (3, 22) and got[bytes([6])] == (1, 46)
+    assert sorted(r.h for r in runs.read(*runs.runs()).collect()) == [bytes([i]) for i in range(7)]
+    got = {r.h: (r.n_docs, r.last_doc) for r in runs.counted(1).collect()}
+    assert got[bytes([2])] == (3, 22) and got[bytes([6])] == (1, 46) and len(got) == 7
+    assert {r.h for r in runs.counted(3).collect()} == {bytes([i]) for i in range(2, 5)}
+
+
+def test_each_batch_merge_anti_joins_the_runs(spark, monkeypatch):
+    """On the query's path: batch k meets the runs of the batches before it, on the levels that compaction left."""
+    seen = []
+    plain = line_dedup.LineRuns.unseen
+
+    def watch(self, rows):
+        out = plain(self, rows)
+        seen.append(([len(x) for x in self.levels], out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", watch)
+    texts = [(i, "\n".join(f"{'x' * 40}{k}" for k in range(i % 7))) for i in range(40)]
+    assert sum(r.n_dropped for r in line_dedup.drop_repeated_lines(table(spark, texts), batches=5).collect()) > 60
+    assert [levels for levels, _ in seen] == [[1], [2], [0, 1], [1, 1]]
+    for levels, plan in seen:
+        # Spark writes each node twice where it holds first and final plans.
+        assert "SortMergeJoin" in plan and plan.count("LeftAnti") >= sum(levels) and "BroadcastHashJoin" not in plan
+
+
+def test_a_line_of_most_documents_is_joined_by_broadcast(spark, monkeypatch):
+    from graphloom.llm import _common
+
+    monkeypatch.setattr(_common, "HEAVY", 10)
+    texts = [(i, f"{'common ' * 8}\n{'own ' * 12}{i // 6}") for i in range(60)]
+    by = {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(table(spark, texts)).collect()}
+    assert by == {i: (i != 59) + (i % 6 != 5) for i in range(60)}
