@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -440,25 +441,66 @@ def test_packing(spark):
 def test_deficits_keep_the_mixture():
     from collections import deque
 
-    share = {"a": 0.5, "b": 0.3, "c": 0.2}
-    queues = {s: deque([k, 0, 300] for k in range(int(1000 * p))) for s, p in share.items()}
+    share = {"a": 0.5, "b": 0.3, None: 0.2}
+    queues, who = {s: deque() for s in share}, {}
+    for s, p in share.items():
+        for _ in range(int(1000 * p)):
+            who[len(who)] = s
+            queues[s].append([len(who) - 1, 0, 300])
     sent, seen, worst = Counter(), 0, 0
-    owner = {id(d): s for s, q in queues.items() for d in q}
-    lengths = {s: sum(d[2] for d in q) for s, q in queues.items()}
-    names = iter(())
-    flat = [(s, d) for s, q in queues.items() for d in q]
-    numbered = {s: deque() for s in share}
-    who = {}
-    for k, (s, d) in enumerate(flat):
-        numbered[s].append([k, 0, d[2]])
-        who[k] = s
-    for doc, _, n, _, _ in packing.deficit_round_robin(numbered, share, {"a": 0.0, "b": 0.0, "c": 0.0}):
+    for doc, _, n, _, offset in packing.deficit_round_robin([(queues, share, dict.fromkeys(share, 0.0))]):
         sent[who[doc]] += n
         seen += n
-        if seen > 10 * 2048 and seen < 0.9 * sum(lengths.values()):
+        if offset + n == 2048 and seen < 0.9 * 300_000:
             worst = max(worst, max(abs(sent[s] - p * seen) for s, p in share.items()))
-    assert sum(sent.values()) == sum(lengths.values()) and worst < 2 * 2048 + 600
-    assert owner and not list(names)
+    assert sum(sent.values()) == 300_000 and worst <= 300
+
+
+@pytest.mark.parametrize("targets", [None, {"s0": 9, "s1": 1}, {"s1": 0.5, "s0": 0.3, "none": 1.0}, {"s0": 0.0}])
+def test_windows_have_their_target(spark, targets):
+    """Over all groups, what each source has sent at a window's end is within a document of its target, while it has documents."""
+    rng = random.Random(3)
+    sizes = {"s0": 700, "s1": 500, None: 200}
+    rows = [(i, s, n, np.full(n, 7, "<u2").tobytes()) for i, (s, n) in enumerate((s, rng.randrange(1, 300)) for s, k in sizes.items() for _ in range(k))]
+    before, parts = Counter(), []
+    for i, (doc, s, n, ids) in enumerate(sorted(rows, key=lambda r: (r[0] % 5, rng.random()))):
+        parts.append((doc % 5, before[doc % 5, s], doc, s, n, bytearray(ids)))
+        before[doc % 5, s] += n
+    tokens = spark.createDataFrame(parts, "part int, before long, doc_id long, source string, doc_tokens long, ids binary")
+    found = packing.pack_tokens(tokens, length=512, group_tokens=20_000, targets=targets).collect()
+    total = Counter()
+    for _, s, n, _ in rows:
+        total[s] += n
+    assert Counter((r.doc_id, r.start + k) for r in found for k in range(r.length)) == Counter((d, k) for d, _, n, _ in rows for k in range(n))
+    named = {s: w for s, w in (targets or total).items() if w and total[s]} or total
+    late = {s: total[s] for s in total if s not in named}
+    sent, seen, checked = Counter(), 0, 0
+    for window, pieces in itertools.groupby(sorted(found, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        for r in pieces:
+            sent[r.source] += r.length
+            seen += r.length
+        for shares in (named, late):
+            left = [s for s in shares if sent[s] < total[s] - 600]
+            if len(left) < len(shares) or not left:
+                continue
+            whole = sum(sent[s] for s in shares)
+            checked += 1
+            for s, w in shares.items():
+                assert abs(sent[s] - whole * w / sum(shares.values())) <= 600, (window, s)
+            if shares is named and whole < sum(total[s] for s in named) - 5000:
+                assert not any(sent[s] > 600 for s in late)
+    assert checked > 50 and len({r.sequence_id >> 32 for r in found}) >= 9
+
+
+def test_any_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    assert packing.chunked(packing.tokenizer_path()) and not packing.chunked(path)
+    texts = [(0, "Some Text, don't lower it.\n\n  Spaces stay"), (1, None), (2, "<|endoftext|>x"), (3, "É ß 日本")]
+    whole = Tokenizer.from_file(path)
+    for r in packing.tokenize(table(spark, texts, lang="en"), path).collect():
+        assert np.frombuffer(r.ids, "<u2").tolist() == whole.encode(texts[r.doc_id][1] or "", add_special_tokens=False).ids + [1]
 
 
 def test_tokenizer_pieces_equal_whole_texts():
@@ -466,7 +508,7 @@ def test_tokenizer_pieces_equal_whole_texts():
 
     path = packing.tokenizer_path()
     whole, mine, rng = Tokenizer.from_file(path), packing.ChunkTokenizer(path), random.Random(2)
-    texts = ["".join(rng.choice("aB.,'é <|>12sSĺ%&$\n!?") for _ in range(30)) for _ in range(300)] + [None, ""]
+    texts = ["".join(rng.choice("aB.,'é <|>12sSĺ%&$\n!?") for _ in range(30)) for _ in range(300)] + [None, "", "<|EndOfText|> <|endoftext|>", "ǆ İ ﬁ ẞ ² Ⅷ ªº 日本 한국 ไทย שלום e\u0301"]
     array = pa.array(["skipped", *texts]).slice(1)
     for t, got in zip(texts, mine(array)):
         assert whole.encode(t or "", add_special_tokens=False).ids == got.tolist()
