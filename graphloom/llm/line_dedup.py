@@ -151,9 +151,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     own = F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("own_text")
     named = boxed(docs.where("doc_id is not null"), *own, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")).join(drops, "key", "left").drop("key")
     text, lost = F.col("own_text"), F.col("drops")
-    lines = F.split(text, "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
-    kept = F.when(lost.isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    # An array of one element, so that a lambda names the lines and they are split once, not for each place.
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    rest = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    kept = F.when(lost.isNull(), text).otherwise(rest)
     return unboxed(
         # Rows without doc_id stay out of the shuffle: they may be many, and have one key.
         named.unionByName(boxed(docs.where("doc_id is null"), *own, F.lit(None).cast("array<int>").alias("drops"))),
