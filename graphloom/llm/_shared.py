@@ -2,8 +2,9 @@
 
 Documents are read in chunks. What two documents of a chunk share is known at once; for each other hash a chunk asks one question,
 (hash, document), however often it saw it, so a hash that a third of all documents hold costs one row a chunk. Questions are
-dealt to buckets by hash, packed with 6 bytes a hash; a bucket answers those asked for two documents or more. Answers are rows
-(doc_id, blob of 6-byte hashes). False agreement of 48-bit hashes can only add candidates; every user of the answers verifies.
+dealt to buckets by ranges of the hash, packed with 6 bytes a hash; a bucket answers those asked for two documents or more. Answers
+are rows (doc_id, blob of 6-byte hashes). Hashes must be even over all 64 bits; false agreement of the 48 that are kept can only
+add shared hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from graphloom.llm._common import slices, strings
 _U = np.uint64
 #: A chunk ends after so many bytes of text or so many rows (which must fit 16 bits).
 CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 60_000
-SLICE = 1 << 20
+#: Bytes that are hashed at once: their arrays stay in a core's cache.
+SLICE = 1 << 17
+_DOC, _HASH = _U(0xFFFF), _U((1 << 48) - 1)
 QUESTION, ANSWER, META = 0, 1, 2
 #: (data, offsets) of some rows -> (hashes, row of each, what to tell about each row or None).
 Hasher = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[bytes] | None]]
@@ -37,7 +40,19 @@ def size_of(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
-    return int(min(max(16, size_of(df) // bytes_each), 1 << 16))
+    """So many buckets that each is of about bytes_each of input, whatever the size."""
+    return max(16, size_of(df) // bytes_each)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct elements of x, which is sorted in place. Numbers sort faster, and in less memory, than they hash."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def bucket_of(h48: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of 48-bit hashes as buckets: ascending with the hash."""
+    return (h48 >> _U(16)) * _U(buckets) >> _U(32)
 
 
 def pack48(h: np.ndarray) -> bytes:
@@ -79,41 +94,46 @@ def chunks(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = C
         yield pa.Table.from_batches(held)
 
 
-def hashes(data: np.ndarray, offsets: np.ndarray, of: Hasher) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    h, rows, told = [np.zeros(0, _U)], [np.zeros(0, np.int64)], []
-    for i, j in slices(offsets, SLICE):
-        x, r, t = of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        h.append(x)
-        rows.append(r + i)
-        told.extend(t or ())
-    return np.concatenate(h), np.concatenate(rows), told
-
-
 def ask(table: pa.Table, of: Hasher, buckets: int) -> Iterator[pa.RecordBatch]:
     """The rows of one chunk: its questions, what it knows by itself, and what is told about each row."""
     data, offsets = strings(table["text"])
     ids = table["doc_id"].to_numpy()
     docs, doc_of = np.unique(ids, return_inverse=True)
-    h, rows, told = hashes(data, offsets, of)
+    doc_of = doc_of.astype(_U)
+    keys, told = [np.zeros(0, _U)], []
+    for i, j in slices(offsets, SLICE):
+        h, rows, about = of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        keys.append((h & ~_DOC) | doc_of[i:j][rows])
+        told.extend(about or ())
     if told:
         at = (ids % buckets).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(ids), META, np.int32)), pa.array(ids), pa.array(told, pa.binary())], schema=ROWS)
-    if not len(h):
+    key = distinct(np.concatenate(keys))
+    del keys, data
+    if not len(key):
         return
-    key = np.unique((h >> _U(16) << _U(16)) | doc_of[rows].astype(_U))
-    h, doc = key >> _U(16), (key & _U(0xFFFF)).astype(np.int64)
+    h = key >> _U(16)
     first = np.concatenate([[True], h[1:] != h[:-1]])
     more = np.concatenate([~first[1:], [False]]) | ~first
-    known_doc, known = doc[more], h[more]
-    order = np.argsort(known_doc, kind="stable")
-    d, blobs = by_group(known_doc[order], known[order])
+    # (document, hash) again as one number each, the other way round.
+    known = ((key[more] & _DOC) << _U(48)) | h[more]
+    known.sort()
+    d, blobs = by_group((known >> _U(48)).astype(np.int64), known & _HASH)
+    del known, more
     if len(d):
         yield pa.RecordBatch.from_arrays([pa.array((docs[d] % buckets).astype(np.int32)), pa.array(np.full(len(d), ANSWER, np.int32)), pa.array(docs[d]), blobs], schema=ROWS)
-    h, doc = h[first], doc[first]
-    bucket = (h % _U(buckets)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    h, doc, bucket = h[order], doc[order], bucket[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    key, h = key[first], h[first]
+    bucket = bucket_of(h, buckets)
+    # Within each bucket by document: bucket, document and place in one number. A chunk of more than one document has under 2**24
+    # hashes, and one of a long document is in order.
+    order = np.arange(len(key), dtype=_U)
+    if len(docs) > 1:
+        order |= ((bucket - bucket[0]) << _U(40)) | ((key & _DOC) << _U(24))
+        order.sort()
+        order &= _U((1 << 24) - 1)
+    order = order.astype(np.int64)
+    h, doc = h[order], (key[order] & _DOC).astype(np.int64)
+    cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         d = doc[a:b]
@@ -133,7 +153,7 @@ def answer(blobs: list[bytes]) -> pa.RecordBatch | None:
         docs.append(np.repeat(ids, counts))
         found.append(unpack48(blob[4 + 12 * n :]))
     doc, h = np.concatenate(docs), np.concatenate(found)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     doc, h = doc[order], h[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     two = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
@@ -141,7 +161,7 @@ def answer(blobs: list[bytes]) -> pa.RecordBatch | None:
     doc, h = doc[keep], h[keep]
     if not len(doc):
         return None
-    order = np.argsort(doc, kind="stable")
+    order = np.argsort(doc)
     d, packed = by_group(doc[order], h[order])
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), pa.array(d), packed], schema=pa.schema(list(ROWS)[1:]))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._common import cut, mix, powers, prefix_hash
 from graphloom.llm._components import components
-from graphloom.llm._shared import ANSWER, META, shared_hashes, unpack48
+from graphloom.llm._shared import ANSWER, META, distinct, shared_hashes, unpack48
 
 WORDS = 5
 #: Link at PERCENT * union <= 100 * intersection.
@@ -224,7 +224,7 @@ def _sets(told: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 blobs = blobs.as_py()
                 if sum(map(len, blobs)) // 6 < least_shared(n, percent):
                     continue
-                h = np.unique(unpack48(b"".join(blobs)))
+                h = distinct(unpack48(b"".join(blobs)))
                 if len(h) >= least_shared(n, percent):
                     out.append((doc, n, h.tobytes()))
             if out:

@@ -8,7 +8,7 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 2. The windows of a shared seed form a segment of at most 76 bytes. A chunk of documents sends each distinct segment once, for its
    smallest document; copies of it in the chunk's other documents are removed at once.
 3. A bucket of segments, dealt by seed, drops those equal to a smaller document's, and sorts the windows of what is left as
-   suffixes: multikey quicksort on 8-byte words to a shallow depth, then the groups that still agree are ordered by blind tries.
+   suffixes: multikey quicksort, of 8-byte words and of all groups at once, to a shallow depth, then the groups that still agree are ordered by blind tries.
    Windows that end up equal go from all but the smallest document.
 """
 
@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import gram_hash, prefix_hash, slices, strings
-from graphloom.llm._shared import ANSWER, QUESTION, SLICE, by_bucket, buckets_for, chunks, shared_hashes, unpack48
+from graphloom.llm._common import gram_hash, mix, prefix_hash, row_of, slices, strings
+from graphloom.llm._shared import ANSWER, QUESTION, SLICE, bucket_of, buckets_for, by_bucket, chunks, distinct, shared_hashes, unpack48
 
 LENGTH = 50
 GRAM = 24
@@ -33,6 +33,8 @@ SHALLOW = 32
 #: Bytes of input for each bucket. A document has a row of ranges from each bucket that holds some of its segments, so more buckets
 #: are more rows.
 BUCKET_BYTES = 16 << 20
+#: Segments that are sorted at once.
+AT_ONCE = 20_000
 #: A chunk of documents whose segments are made at once.
 SEND_BYTES = 5 << 20
 _U = np.uint64
@@ -54,14 +56,15 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         width *= 2
     least = np.minimum(least[:n], least[span - width : span - width + n])
     start = np.arange(n)
-    row = np.searchsorted(offsets, start, "right") - 1
+    row = row_of(offsets)[:n]
     at = np.flatnonzero(start + LENGTH <= offsets[row + 1])
     seed = (least[at] & _LOW).astype(np.int64)
     if not len(at):
         return np.zeros(0, _U), none, none, none
     new = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (row[at[1:]] != row[at[:-1]])]))
     last = np.concatenate([new[1:] - 1, [len(at) - 1]])
-    return h[seed[new]], row[at[new]], at[new], at[last]
+    # A least hash is not even over all values; it is mixed once more.
+    return mix(h[seed[new]]), row[at[new]], at[new], at[last]
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -164,29 +167,35 @@ def equal_suffixes(text: np.ndarray, starts: np.ndarray, group: np.ndarray, leng
         return rank
     words = np.lib.stride_tricks.sliding_window_view(text, 8)
 
-    def word(at: np.ndarray, depth: int) -> np.ndarray:
+    def word(at: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(words[at + depth]).view(">u8")[:, 0].astype(_U)
 
     order = np.argsort(group, kind="stable")
     new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
-    for depth in range(0, shallow, 8):
-        # Of a sorted order with marks of where groups start, refine the groups of more than one by the next word.
-        size = np.diff(np.concatenate([np.flatnonzero(new), [n]]))
-        many = np.repeat(size > 1, size)
-        part = np.flatnonzero(many)
+    deep = np.zeros(n, np.int64)
+    while True:
+        # All groups take a step of multikey quicksort at once: each is parted by a pivot into the suffixes whose word at the group's
+        # depth is less, equal or greater, and those that are equal go one word deeper.
+        lead = np.flatnonzero(new)
+        size = np.diff(lead, append=n)
+        part = np.flatnonzero(np.repeat(size > 1, size) & (deep < shallow))
         if not len(part):
             break
-        own = np.cumsum(new)[part]
-        w = word(starts[order[part]], depth)
-        o = np.lexsort((w, own))
+        own = (np.cumsum(new) - 1)[part]
+        w = word(starts[order[part]], deep[part])
+        middle = (lead + size // 2)[own]
+        pivot = w[np.searchsorted(part, middle)]
+        side = 1 + (w > pivot).astype(np.int64) - (w < pivot)
+        key = 3 * own + side
+        o = np.argsort(key, kind="stable")
         order[part] = order[part][o]
-        own, w = own[o], w[o]
-        new[part[1:]] |= (own[1:] != own[:-1]) | (w[1:] != w[:-1])
+        deep[part] += 8 * (side[o] == 1)
+        key = key[o]
+        new[part[1:]] |= key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    size = np.diff(np.concatenate([first, [n]]))
+    size = np.diff(first, append=n)
     # Deep groups: those whose remaining bytes all agree need no tree.
-    deep = np.repeat(size > 1, size)
-    part = np.flatnonzero(deep)
+    part = np.flatnonzero(np.repeat(size > 1, size))
     if len(part) and shallow < length:
         lead = np.repeat(first, size)[part]
         same = np.ones(len(part), bool)
@@ -220,17 +229,27 @@ def _gather(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 def _segment_ids(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal segments (by seed, size and bytes)."""
-    width = 2 * LENGTH - GRAM
-    table = np.zeros((len(size), width + 2 + 8), np.uint8)
+    """Equal numbers, from 0, for equal segments (by seed, size and bytes): found by a hash, and compared byte by byte."""
+    width = -(-(2 * LENGTH - GRAM) // 8) * 8
+    table = np.zeros((len(size), width + 16), np.uint8)
     row = np.repeat(np.arange(len(size)), size)
     table[row, np.arange(len(flat)) - np.repeat(begin, size)] = flat
-    table[:, width : width + 2] = size.astype("<u2").view(np.uint8).reshape(-1, 2)
-    table[:, width + 2 :] = seed.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.unique(np.ascontiguousarray(table).view(f"V{table.shape[1]}")[:, 0], return_inverse=True)[1]
+    table = table.view("<u8")
+    table[:, -2], table[:, -1] = size, seed
+    h = np.zeros(len(size), _U)
+    for k in range(table.shape[1]):
+        h = mix(h ^ table[:, k])
+    order = np.argsort(h)
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    number = np.cumsum(new) - 1
+    if (table[order] != table[order[np.flatnonzero(new)][number]]).any():  # two segments have one hash
+        return np.unique(np.ascontiguousarray(table).view(f"V{8 * table.shape[1]}")[:, 0], return_inverse=True)[1]
+    out = np.empty(len(size), np.int64)
+    out[order] = number
+    return out
 
 
-RANGES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("blob", pa.binary())])
+RANGES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("blob", pa.binary())])
 SEGMENTS = pa.schema([("bucket", pa.int32()), *RANGES])
 
 
@@ -240,7 +259,7 @@ def _ranges(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     doc, tag, pair = doc[order], tag[order], np.stack([lo[order], hi[order]], axis=1).astype("<u4")
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
     cuts = np.concatenate([new, [len(doc)]])
-    return [pa.array(doc[new]), pa.array(tag[new].astype(np.int32)), pa.array([pair[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
+    return [pa.array(doc[new]), pa.array(tag[new]), pa.array([pair[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
 
 
 def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -248,7 +267,7 @@ def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
     data, offsets = strings(table["text"])
     h, row, lo, hi = row_seeds(data, offsets)
     h48 = h >> _U(16)
-    shared = [np.unique(unpack48(b"".join(x.as_py()))) for x in table["blobs"]]
+    shared = [distinct(unpack48(b"".join(x.as_py()))) for x in table["blobs"]]
     told = np.concatenate([*shared, np.zeros(0, _U)]) << _U(16) >> _U(16)
     told_row = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
     # Shared seeds of a row, found by one search over (row, seed).
@@ -276,18 +295,17 @@ def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
         d, t, blob = _ranges(doc[gone], tags[row[gone]], lo[gone], hi[gone])
         yield pa.RecordBatch.from_arrays([pa.array((d.to_numpy() % buckets).astype(np.int32)), pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=SEGMENTS)
     ask = np.flatnonzero(~gone)
-    bucket = (h48[ask] % _U(buckets)).astype(np.int64)
-    ask = ask[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket)
+    ask = ask[np.argsort(h48[ask])]
+    bucket = bucket_of(h48[ask], buckets)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     pack = zstandard.ZstdCompressor(level=1)
     out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         k = ask[a:b]
-        body = b"".join((np.uint32(b - a).tobytes(), ids[row[k]].astype("<i8").tobytes(), tags[row[k]].astype("<u2").tobytes(), lo[k].astype("<u4").tobytes(), size[k].astype("<u1").tobytes(), _gather(flat, begin[k], size[k]).tobytes()))
+        body = b"".join((np.uint32(b - a).tobytes(), ids[row[k]].astype("<i8").tobytes(), tags[row[k]].astype("<i8").tobytes(), lo[k].astype("<u4").tobytes(), size[k].astype("<u1").tobytes(), _gather(flat, begin[k], size[k]).tobytes()))
         out.append(pack.compress(body))
     n = len(out)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(n, QUESTION, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(out, pa.binary())], schema=SEGMENTS)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(n, QUESTION, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(out, pa.binary())], schema=SEGMENTS)
 
 
 def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
@@ -298,14 +316,39 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
         raw = unpack.decompress(blob)
         n = int(np.frombuffer(raw, "<u4", 1)[0])
         at = 4
-        for k, (kind, m) in enumerate((("<i8", n), ("<u2", n), ("<u4", n), ("<u1", n), ("<u1", -1))):
+        for k, (kind, m) in enumerate((("<i8", n), ("<i8", n), ("<u4", n), ("<u1", n), ("<u1", -1))):
             x = np.frombuffer(raw, kind, m, at)
             at += x.nbytes
-            parts[k].append(x if k == 4 else x.astype(np.int64))
+            parts[k].append(x)
     doc, tag, lo, size, flat = (np.concatenate(p) for p in parts)
+    del parts, blobs
+    size = size.astype(np.int64)
     # All windows of a segment have one seed, which it tells itself.
     found, rows, _, _ = row_seeds(flat, np.concatenate([[0], np.cumsum(size)]))
     seed = found[np.searchsorted(rows, np.arange(len(size)))]
+    del found, rows
+    begin = np.cumsum(size) - size
+    order = np.argsort(seed)
+    new = np.flatnonzero(np.concatenate([[True], seed[order][1:] != seed[order][:-1]]))
+    # Ranges of seeds of about AT_ONCE segments are resolved one after the other.
+    out, a = [], 0
+    while a < len(order):
+        k = int(np.searchsorted(new, a + AT_ONCE, "right")) - 1
+        b = int(new[k]) if k >= 0 and new[k] > a else int(new[k + 1]) if k + 1 < len(new) else len(order)
+        b = len(order) if len(order) - a <= AT_ONCE else b
+        part = order[a:b]
+        own = _gather(flat, begin[part], size[part])
+        out.extend(_settle(doc[part], tag[part], lo[part].astype(np.int64), size[part], own, seed[part]))
+        a = b
+    found = [np.concatenate(x) for x in zip(*out, strict=True)]
+    if not len(found[0]):
+        return None
+    d, t, blob = _ranges(*found)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=RANGES)
+
+
+def _settle(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, size: np.ndarray, flat: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, tag, first, last) of windows that go, of all segments of some seeds."""
     begin = np.cumsum(size) - size
     segment = _segment_ids(flat, begin, size, seed)
     count = segment.max() + 1
@@ -327,7 +370,7 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
     place = np.full(count, -1)
     place[sort] = ends - windows
     whole = doc > least[segment]
-    out = [(doc[whole], tag[whole], lo[whole], lo[whole] + size[whole] - LENGTH)]
+    yield doc[whole], tag[whole], lo[whole], lo[whole] + size[whole] - LENGTH
     # A segment that is its document's own keeps the windows that no smaller document has.
     some = np.flatnonzero(~whole & (place[segment] >= 0))
     if len(some):
@@ -342,20 +385,15 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
             a = np.flatnonzero(new)
             b = np.concatenate([a[1:] - 1, [len(e) - 1]])
             k = some[e[a]]
-            out.append((doc[k], tag[k], lo[k] + i[a], lo[k] + i[b]))
-    found = [np.concatenate(x) for x in zip(*out, strict=True)]
-    if not len(found[0]):
-        return None
-    d, t, blob = _ranges(*found)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=RANGES)
+            yield doc[k], tag[k], lo[k] + i[a], lo[k] + i[b]
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, tag): rows with an id; the tag tells apart different texts under one id.
+    """(doc_id, text, tag): rows with an id; the tag, a 64-bit hash of the text, tells apart different texts under one id.
 
     It is written alike for both joins, so that Spark shuffles the texts once and reads them twice.
     """
-    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"))
+    return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tag"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -370,8 +408,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     def settle(batches):
         yield from by_bucket(batches, resolve)
 
-    sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, tag int, blob binary")
-    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag int, blob binary")
+    sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, tag long, blob binary")
+    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag long, blob binary")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "blob")).alias("ranges"))
 
 
@@ -409,7 +447,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     named = _tagged(docs).join(ranges, "doc_id", "left").select("doc_id", "tag", "text", "ranges")
-    unnamed = docs.where("doc_id is null").select("doc_id", F.lit(0).alias("tag"), "text").withColumn("ranges", F.lit(None).cast("array<struct<tag:int,blob:binary>>"))
+    unnamed = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("tag"), "text").withColumn("ranges", F.lit(None).cast("array<struct<tag:bigint,blob:binary>>"))
     return named.mapInArrow(strip, ddl).unionByName(unnamed.mapInArrow(strip, ddl))
 
 

@@ -12,8 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, htmlcut, langid, line_dedup, media, ngram_join, packing, quality, suffix_dedup, warc
+from graphloom.llm._common import strings
 from graphloom.llm._components import components
 from graphloom.llm._embed import Features, train
+from graphloom.llm._shared import pack48
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n string, g string, drops string"
 
@@ -280,6 +282,36 @@ def test_suffix_dedup_against_brute_force(spark, seed):
     assert suffix_dedup.dedup(table(spark, texts).limit(0)).count() == 0
 
 
+def test_texts_under_one_id_keep_apart(spark):
+    """Two texts of document 2, the one with a passage of document 1, the other without, whatever a few bits of their hashes say."""
+    passage = "a passage that stands in the first document and in one text of the second one, word by word."
+    texts = [(1, "Before it. " + passage), (2, passage + " And after.")] + [(2, f"{k} is a text of its own, which has nothing in common with any other {k * 7919} of them {k}") for k in range(40)]
+    for r in suffix_dedup.dedup(table(spark, texts)).collect():
+        own = bytes(r.kept).decode()
+        assert r.n_removed == (len(passage) if "And after" in own else 0), own
+
+
+def test_segments_settle_in_ranges_of_seeds(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 3)
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice("kilo mano".split()) for _ in range(60))) for i in range(40)]
+    want = suffix_dedup.brute_force(dict(texts))
+    blobs = []
+    docs = pa.table({"doc_id": [i for i, _ in texts], "tag": [0] * 40, "text": [t for _, t in texts], "blobs": [[pack48(suffix_dedup.seed_hashes(*strings(pa.array([t])))[0] >> np.uint64(16))] for _, t in texts]})
+    found = defaultdict(list)
+    for k in range(0, 40, 8):
+        for b in suffix_dedup.segments(docs.slice(k, 8), 1):
+            for kind, doc, blob in zip(*(b[c].to_pylist() for c in ("kind", "doc_id", "blob"))):
+                (blobs if kind == 0 else found[doc]).append(blob)
+    out = suffix_dedup.resolve(blobs)
+    for doc, blob in zip(out["doc_id"].to_pylist(), out["blob"].to_pylist()):
+        found[doc].append(blob)
+    assert sum(v[1] for v in want.values()) > 500
+    for i, t in texts:
+        kept, gone, runs = suffix_dedup._apply(t.encode(), found[i])
+        assert (gone, runs, hashlib.sha256(kept).hexdigest()) == want[i][1:]
+
+
 def test_long_rows_are_cut_into_overlapping_pieces(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 4000).astype(np.uint8)
