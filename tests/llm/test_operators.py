@@ -547,33 +547,55 @@ def test_tokenizer_pieces_equal_whole_texts():
 
 
 def test_warc(spark, tmp_path):
-    html = ["<p>a</p>", "<p>b</p>", None, "", "<p>a</p>", "ü\r\n\r\nWARC/1.1\r\n", "<p>a</p>"]
-    rows = [(i, f"http://x/{i}", h, "own") for i, h in enumerate(html)] + [(6, "http://x/6", "<p>a</p>", "own"), (None, None, "<p>a</p>", "own"), (None, "u", "only", "own")]
+    import gzip
+
+    html = ["<p>a</p>", "<p>b</p>", None, "", "<p>a</p>", "ü\r\n\r\nWARC/1.1\r\nPage-ID: 7\r\n\r\n", "<p>a</p>"]
+    rows = [(i, f"http://x/{i}", h, "own") for i, h in enumerate(html)] + [(6, "http://x/6", "<p>a</p>", "own"), (None, None, "<p>a</p>", "own"), (None, "u\r\nWARC-Type: no", "only", "own"), (9, "same", "one", ""), (9, "same", "two", ""), (9, "", "big " * 40_000, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, header string").repartition(3)
     warc.write_archive(pages, str(tmp_path / "a"))
-    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 8
     found = warc.archived_pages(pages).collect()
     assert len(found) == len(rows)
     last = {"<p>a</p>": 6, "<p>b</p>": 1, "": 3, html[5]: 5}
-    for r in found:
-        h = next(x[2] for x in rows if (x[0], x[1]) == (r.page_id, r.url)) or ""
-        assert r.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() and r.payload_bytes == len(h.encode())
-        revisit = h in last and r.page_id != last[h]
-        assert (r.record_type, r.refers_to) == (("revisit", last[h]) if revisit else ("response", None))
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = []
+    for i, u, h, _ in rows:
+        h = h or ""
+        revisit = h in last and i != last[h]
+        want.append((i, u and u.replace("\r\n", "%0D%0A"), len(h.encode()), digest(h), "revisit" if revisit else "response", last[h] if revisit else None))
+    assert Counter(map(tuple, found)) == Counter(want)
     small = warc.archived_pages(pages, min_revisit=9).collect()
     assert {r.record_type for r in small if r.payload_bytes < 9} == {"response"}
-    warc.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "w"), compression="none")
-    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
-    n = 0
-    while raw:
-        head, _, raw = raw.partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n")
-        size = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
-        assert raw[size : size + 4] == b"\r\n\r\n"
-        raw = raw[size + 4 :]
-        n += 1
-    assert n == len(rows)
+    warc.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "w"))
+    ids, kinds = [], Counter()
+    for p in (tmp_path / "w").glob("part-*"):
+        data = p.read_bytes()
+        raw, members = gzip.decompress(data), 0
+        while data:
+            d = zlib.decompressobj(31)
+            d.decompress(data)
+            data, members = d.unused_data, members + 1
+        n = 0
+        while raw:
+            head, _, raw = raw.partition(b"\r\n\r\n")
+            lines = head.split(b"\r\n")
+            assert lines[0] == b"WARC/1.1"
+            fields = dict(x.split(b": ", 1) for x in lines[1:])
+            assert len(fields) == len(lines) - 1 and (fields[b"WARC-Type"] == b"warcinfo") == (n == 0)
+            size = int(fields[b"Content-Length"])
+            if fields[b"WARC-Type"] == b"response":
+                assert fields[b"WARC-Payload-Digest"].decode() == "sha1:" + digest(raw[:size].decode())
+            ids.append(fields[b"WARC-Record-ID"])
+            kinds[fields[b"WARC-Type"]] += 1
+            assert raw[size : size + 4] == b"\r\n\r\n"
+            raw = raw[size + 4 :]
+            n += 1
+        assert n == members
+    assert len(set(ids)) == len(ids) and kinds[b"response"] + kinds[b"revisit"] == len(rows) and kinds[b"revisit"] == 4
     assert warc.archived_pages(pages.limit(0)).count() == 0
+    broken = spark.createDataFrame([(bytearray(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"),)], "record binary")
+    with pytest.raises(Exception, match="not a WARC record"):
+        warc.restore(broken).collect()
 
 
 def test_line_dedup(spark):
