@@ -1,7 +1,8 @@
 """ISO base media containers: written from byte payloads, and described without decoding their payloads.
 
-A container is a sequence of nested boxes. `walk` yields them, `tracks` decodes the sample tables (stts, stsc, stsz, stco or
-co64, stss) of each track into codec, duration and the byte ranges of its keyframes, and `media_columns` does so for a column.
+A container is a sequence of nested boxes. `walk` yields them, `tracks` decodes the sample tables (stts, stsc, stsz or stz2, stco or
+co64, stss) and the movie fragments (tfhd, trun) of each track into codec, duration and the byte ranges of its keyframes, and
+`media_columns` does so for a column.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._common import boxed, cut, unboxed
+
 #: Boxes that hold boxes. Fixed values of the format.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"})
 CHUNK = 65536
@@ -65,10 +68,20 @@ def write_container(payload: bytes, rate: int = RATE, chunk: int = CHUNK) -> byt
     return head + mdat + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of each box in file order; a box that overruns its parent raises ValueError."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+#: Boxes are nested at most so deep; the format's own boxes are not half as deep.
+DEPTH = 32
+
+
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, start, body start, body end) of each box in file order.
+
+    A box that overruns its parent, and boxes nested deeper than DEPTH, raise ValueError.
+    """
+    todo: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while todo:
+        path, start, end = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -79,58 +92,157 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} at {start} overruns its parent")
-        yield (*path, kind), body, stop
+        yield (*path, kind), start, body, stop
+        todo.append((path, stop, end))
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            if len(path) >= DEPTH:
+                raise ValueError("boxes are nested too deep")
+            todo.append(((*path, kind), body, stop))
+
+
+def _numbers(data: bytes, at: int, stop: int, layout: str) -> tuple[int, ...]:
+    """Numbers of a box, which must lie within it."""
+    if at + struct.calcsize(layout) > stop:
+        raise ValueError("box is cut off")
+    return struct.unpack_from(layout, data, at)
 
 
 def _table(data: bytes, body: int, stop: int, skip: int, width: int, kind: str = ">u4") -> np.ndarray:
     """The rows of a table whose count stands at body + skip - 4."""
-    (count,) = struct.unpack_from(">I", data, body + skip - 4)
+    (count,) = _numbers(data, body + skip - 4, stop, ">I")
     size = np.dtype(kind).itemsize * width
     if body + skip + count * size > stop:
         raise ValueError("table overruns its box")
-    return np.frombuffer(data, kind, count * width, body + skip).astype(np.int64).reshape(count, width)
+    out = np.frombuffer(data, kind, count * width, body + skip)
+    # What exceeds 63 bits lies outside any file.
+    if out.dtype.itemsize == 8 and len(out) and int(out.max()) >= 1 << 63:
+        raise ValueError("offset lies outside the file")
+    return out.astype(np.int64).reshape(count, width)
+
+
+def _compact_sizes(data: bytes, body: int, stop: int) -> np.ndarray:
+    """The sizes of a table with 4, 8 or 16 bits for each."""
+    bits, count = _numbers(data, body + 4, stop, ">3xBI")
+    if bits not in (4, 8, 16) or body + 12 + (count * bits + 7) // 8 > stop:
+        raise ValueError("table overruns its box")
+    if bits == 4:
+        pair = np.frombuffer(data, np.uint8, (count + 1) // 2, body + 12)
+        return np.stack([pair >> 4, pair & 15], axis=1).reshape(-1)[:count].astype(np.int64)
+    return np.frombuffer(data, np.uint8 if bits == 8 else ">u2", count, body + 12).astype(np.int64)
+
+
+#: Of a sample's flags: it is no keyframe.
+NOT_SYNC = 0x10000
+
+
+def _fragment(data: bytes, body: int, stop: int, run: dict, defaults: dict, samples: dict) -> None:
+    """Add the samples of a track run to those of its track: (offset, bytes, duration, keyframe)."""
+    flags, count = _numbers(data, body, stop, ">II")
+    flags &= 0xFFFFFF
+    at = body + 8
+    if flags & 1:
+        run["at"] = run["base"] + _numbers(data, at, stop, ">i")[0]
+        at += 4
+    first = None
+    if flags & 4:
+        (first,) = _numbers(data, at, stop, ">I")
+        at += 4
+    names = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if at + 4 * len(names) * count > stop:
+        raise ValueError("table overruns its box")
+    if not names and count > len(data):
+        raise ValueError("more samples than bytes")
+    told = np.frombuffer(data, ">u4", len(names) * count, at).astype(np.int64).reshape(count, len(names))
+    column = lambda name: told[:, names.index(name)] if name in names else np.full(count, run.get(name, defaults.get(name, 0)), np.int64)
+    size, kind = column("size"), column("flags").copy()
+    if first is not None and count:
+        kind[0] = first
+    samples["offset"].append(run["at"] + np.cumsum(size) - size)
+    samples["size"].append(size)
+    samples["sync"].append(kind & NOT_SYNC == 0)
+    samples["duration"] += int(column("duration").sum())
+    run["at"] += int(size.sum())
 
 
 def tracks(data: bytes) -> list[dict]:
     """For each track: codec, handler, timescale, duration, samples, chunks and keyframes, as (offset, bytes) ranges.
 
-    Keyframe ranges that touch are joined. A track without a table of sync samples has keyframes only.
+    Samples of movie fragments follow those of the sample tables. Ranges that touch are joined. A track without a table of sync
+    samples has keyframes only. Malformed or cut off files raise ValueError.
     """
     out: list[dict] = []
     raw: dict = {}
-    for path, body, stop in walk(data):
+    defaults: dict[int, dict] = {}
+    fragments: dict[int, dict] = {}
+    moof, run, track = 0, {}, 0
+    for path, start, body, stop in walk(data):
         kind = path[-1]
         if kind == b"trak":
             raw = {}
             out.append(raw)
+        elif kind == b"tkhd":
+            raw["id"] = _numbers(data, body + (20 if _numbers(data, body, stop, ">B")[0] == 1 else 12), stop, ">I")[0]
         elif kind == b"mdhd":
-            wide = data[body] == 1
-            raw["timescale"], raw["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, body + (20 if wide else 12))
+            wide = _numbers(data, body, stop, ">B")[0] == 1
+            raw["timescale"], raw["duration"] = _numbers(data, body + (20 if wide else 12), stop, ">IQ" if wide else ">II")
         elif kind == b"hdlr" and path[-2:-1] == (b"mdia",):
-            raw["handler"] = data[body + 8 : body + 12].decode("latin-1")
+            raw["handler"] = _numbers(data, body + 8, stop, "4s")[0].decode("latin-1")
         elif kind == b"stsd":
-            raw["codec"] = data[body + 12 : body + 16].decode("latin-1")
+            raw["codec"] = _numbers(data, body + 12, stop, "4s")[0].decode("latin-1")
         elif kind == b"stts":
             raw["stts"] = _table(data, body, stop, 8, 2)
         elif kind == b"stsc":
             raw["stsc"] = _table(data, body, stop, 8, 3)
         elif kind == b"stsz":
-            size, count = struct.unpack_from(">II", data, body + 4)
-            raw["size"], raw["samples"] = size, count
-            if not size:
+            raw["size"], raw["samples"] = _numbers(data, body + 4, stop, ">II")
+            if not raw["size"]:
                 raw["sizes"] = _table(data, body, stop, 12, 1)[:, 0]
+        elif kind == b"stz2":
+            raw["sizes"] = _compact_sizes(data, body, stop)
+            raw["samples"] = len(raw["sizes"])
         elif kind in (b"stco", b"co64"):
             raw["chunks"] = _table(data, body, stop, 8, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stss":
             raw["sync"] = _table(data, body, stop, 8, 1)[:, 0] - 1
-    return [_decode(x, len(data)) for x in out]
+        elif kind == b"trex":
+            n, _, duration, size, flags = _numbers(data, body + 4, stop, ">5I")
+            defaults[n] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            moof, run = start, {}
+        elif kind == b"tfhd":
+            flags, track = _numbers(data, body, stop, ">II")
+            at = body + 8
+            # A run begins where the file says, or at the fragment, or after the run before it.
+            base = moof if flags & 0x20000 or "at" not in run else run["at"]
+            run = {"base": base, "at": base}
+            for bit, name, layout in ((1, "base", ">Q"), (2, "entry", ">I"), (8, "duration", ">I"), (16, "size", ">I"), (32, "flags", ">I")):
+                if flags & bit:
+                    (run[name],) = _numbers(data, at, stop, layout)
+                    at += struct.calcsize(layout)
+            run["at"] = run["base"]
+        elif kind == b"trun" and run:
+            samples = fragments.setdefault(track, {"offset": [], "size": [], "sync": [], "duration": 0})
+            _fragment(data, body, stop, run, defaults.get(track, {}), samples)
+    return [_decode(x, len(data), fragments.get(x.get("id", 0))) for x in out]
+
+
+def _joined(ranges: list[tuple[int, int]], n_bytes: int) -> list[tuple[int, int]]:
+    """The ranges, which must lie in the file, with those that touch as one."""
+    out: list[list[int]] = []
+    for at, size in ranges:
+        if at < 0 or at + size > n_bytes:
+            raise ValueError("sample lies outside the file")
+        if out and sum(out[-1]) == at:
+            out[-1][1] += size
+        else:
+            out.append([at, size])
+    return [tuple(x) for x in out]
 
 
-def _decode(raw: dict, n_bytes: int) -> dict:
+def _decode(raw: dict, n_bytes: int, fragments: dict | None) -> dict:
     samples, chunks, stsc = raw.get("samples", 0), raw.get("chunks", np.zeros(0, np.int64)), raw.get("stsc", np.zeros((0, 3), np.int64))
+    if len(stsc) and (stsc[0, 0] != 1 or (np.diff(stsc[:, 0]) <= 0).any()):
+        raise ValueError("chunk table is not ascending")
     per = np.zeros(len(chunks), np.int64)
     for k, (first, count, _) in enumerate(stsc):
         per[first - 1 : stsc[k + 1, 0] - 1 if k + 1 < len(stsc) else None] = count
@@ -143,24 +255,22 @@ def _decode(raw: dict, n_bytes: int) -> dict:
         ends = np.concatenate([[0], np.cumsum(raw["sizes"])])
         span = lambda i, j: int(ends[j] - ends[i])
     else:
-        span = lambda i, j: (j - i) * raw.get("size", 0)
-    ranges = []
+        span = lambda i, j: (int(j) - int(i)) * raw.get("size", 0)
+    whole = [(int(c), span(i, j)) for c, i, j in zip(chunks, first_of[:-1], first_of[1:], strict=True)]
+    keys = whole
     if "sync" in raw:
-        for s in raw["sync"]:
-            c = int(np.searchsorted(first_of, s, "right")) - 1
-            ranges.append((int(chunks[c]) + span(int(first_of[c]), int(s)), span(int(s), int(s) + 1)))
-    else:
-        ranges = [(int(c), span(int(i), int(j))) for c, i, j in zip(chunks, first_of[:-1], first_of[1:], strict=True)]
-    joined: list[list[int]] = []
-    for at, size in ranges:
-        if at + size > n_bytes:
-            raise ValueError("sample lies outside the file")
-        if joined and sum(joined[-1]) == at:
-            joined[-1][1] += size
-        else:
-            joined.append([at, size])
-    out = {k: raw.get(k) for k in ("codec", "handler", "timescale", "duration")}
-    return out | {"samples": samples, "chunks": [(int(c), span(int(i), int(j))) for c, i, j in zip(chunks, first_of[:-1], first_of[1:], strict=True)], "keyframes": [tuple(x) for x in joined]}
+        if len(raw["sync"]) and (raw["sync"].min() < 0 or raw["sync"].max() >= samples):
+            raise ValueError("keyframe is no sample")
+        at = np.searchsorted(first_of, raw["sync"], "right") - 1
+        keys = [(int(chunks[c]) + span(first_of[c], s), span(s, s + 1)) for c, s in zip(at, raw["sync"], strict=True)]
+    duration = raw.get("duration")
+    if fragments:
+        offset, size, sync = (np.concatenate(fragments[k]) for k in ("offset", "size", "sync"))
+        more = list(zip(offset.tolist(), size.tolist(), strict=True))
+        whole, keys = whole + more, keys + [x for x, s in zip(more, sync, strict=True) if s]
+        samples, duration = samples + len(more), (duration or 0) + fragments["duration"]
+    out = {k: raw.get(k) for k in ("codec", "handler", "timescale")}
+    return out | {"duration": duration, "samples": samples, "chunks": _joined(whole, n_bytes), "keyframes": _joined(keys, n_bytes)}
 
 
 def read_payload(data: bytes, track: dict) -> bytes:
@@ -180,45 +290,59 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
-    """df with codec, duration (seconds), n_tracks and keyframes (offset, bytes) of the first track of each container.
+    """df with codec, duration (seconds), n_tracks and keyframes (offset, bytes) of each container's first picture track, or else of
+    its first track.
 
-    Null, empty or malformed containers give nulls; columns of df with these names are replaced.
+    Null, empty or malformed containers give nulls; columns of df with these names are replaced, all others pass.
     """
-    added = "codec string, duration double, n_tracks int, keyframes array<struct<offset:bigint,bytes:bigint>>"
     kind = pa.struct([("codec", pa.string()), ("duration", pa.float64()), ("n_tracks", pa.int32()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())])))])
 
     def one(data: bytes | None) -> dict | None:
         try:
             found = tracks(data or b"")
-        except (ValueError, struct.error, IndexError):
+        except ValueError:
             return None
         if not found:
             return None
-        t = found[0]
-        return {"codec": t["codec"], "duration": t["duration"] / t["timescale"] if t["timescale"] else None, "n_tracks": len(found), "keyframes": [{"offset": a, "bytes": n} for a, n in t["keyframes"]]}
+        t = next((x for x in found if x["handler"] == "vide"), found[0])
+        return {"codec": t["codec"], "duration": t["duration"] / t["timescale"] if t["timescale"] and t["duration"] is not None else None, "n_tracks": len(found), "keyframes": [{"offset": a, "bytes": n} for a, n in t["keyframes"]]}
 
-    @F.arrow_udf(f"struct<{added.replace(' string', ':string').replace(' double', ':double').replace(' int,', ':int,').replace('keyframes ', 'keyframes:')}>")
+    @F.arrow_udf("struct<codec:string,duration:double,n_tracks:int,keyframes:array<struct<offset:bigint,bytes:bigint>>>")
     def describe(media: pa.Array) -> pa.Array:
-        return pa.array([one(x) for x in media.to_pylist()], kind)
+        return pa.array([one(x.as_py()) for x in media], kind)
 
-    names = ["codec", "duration", "n_tracks", "keyframes"]
-    out = df.withColumn("__media", describe(F.col(column)))
-    return out.withColumns({c: F.col("__media")[c] for c in names}).drop("__media")
+    told = boxed(df, describe(F.col(column)).alias("told"))
+    return unboxed(told, **{c: F.col("told")[c] for c in ("codec", "duration", "n_tracks", "keyframes")})
 
 
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): its text written as a container, read back and described.
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) of each row of docs (doc_id, text): its text as a container.
 
-    A null text is empty; an empty text is stored as 64 zero bytes. Repeated rows give repeated rows.
+    A null text is empty; an empty text is stored as 64 zero bytes. Rows with a null or a repeated doc_id are stored like others.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("feature", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def store(batches):
+        for batch in batches:
+            # A few rows at a time: containers of long texts would make a batch large.
+            for k in range(0, len(batch), 64):
+                part = batch.slice(k, 64)
+                payloads = [padded(x.as_py()) for x in part["text"]]
+                columns = [part["doc_id"], pa.array([n for _, n in payloads], pa.int64()), pa.array([write_container(x) for x, _ in payloads], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
+
+
+def describe_stored(stored: DataFrame) -> DataFrame:
+    """What the containers of store_texts hold: payloads are gathered from the stored bytes by their sample tables."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("feature", pa.string())])
+
+    def read(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                payload, n = padded(text.as_py())
-                media = write_container(payload)
+            for doc_id, n, media in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"], strict=True):
+                media = media.as_py()
                 (track,) = tracks(media)
                 back = read_payload(media, track)
                 rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), track["codec"], track["duration"] / track["timescale"], feature(track, back)))
@@ -226,4 +350,12 @@ def stored_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration double, feature string"
-    return docs.select("doc_id", "text").mapInArrow(store, ddl)
+    return stored.mapInArrow(read, ddl)
+
+
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): its text written as a container to the shared folder, read back and described.
+
+    See store_texts for nulls; repeated rows give repeated rows, an empty table none.
+    """
+    return describe_stored(cut(store_texts(docs), "media"))

@@ -439,6 +439,56 @@ def test_media_sample_tables():
     assert t["keyframes"] == [(16, 5), (29, 9)] and media.read_payload(data, t) == body
 
 
+def boxes_of_a_track(*tables, ident=1, more=b""):
+    full = media.full
+    tkhd = full(b"tkhd", struct.pack(">III", 0, 0, ident), bytes(72))
+    mdhd = full(b"mdhd", struct.pack(">IIII", 0, 0, 10, 0), bytes(4))
+    hdlr = full(b"hdlr", bytes(4), b"vide", bytes(12), b"\0")
+    stsd = full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(78)))
+    return media.box(b"moov", media.box(b"trak", tkhd, media.box(b"mdia", mdhd, hdlr, media.box(b"minf", media.box(b"stbl", stsd, *tables)))), more)
+
+
+def test_media_fragments(spark):
+    """Two fragments: sizes and flags of each sample in the first, defaults and a first sample's flags in the second."""
+    full, box = media.full, media.box
+    empty = [full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4))]
+    head = boxes_of_a_track(*empty, ident=3, more=box(b"mvex", full(b"trex", struct.pack(">5I", 3, 1, 2, 4, 0x10000))))
+    samples = [(5, 0), (6, 0x10000), (7, 0)]
+    size = len(box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 3), flags=0x20000), full(b"trun", struct.pack(">Ii", 3, 0), *(struct.pack(">II", *x) for x in samples), flags=0x601))))
+    moof = box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 3), flags=0x20000), full(b"trun", struct.pack(">Ii", 3, size + 8), *(struct.pack(">II", *x) for x in samples), flags=0x601)))
+    one = moof + box(b"mdat", b"a" * 5 + b"b" * 6 + b"c" * 7)
+    second = lambda at: box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">II", 3, 9), flags=0x20008), full(b"trun", struct.pack(">IiI", 2, at, 0), flags=5)))
+    data = head + one + second(len(second(0)) + 8) + box(b"mdat", b"ddddeeee")
+    (t,) = media.tracks(data)
+    assert (t["codec"], t["handler"], t["samples"], t["duration"]) == ("avc1", "vide", 5, 3 * 2 + 2 * 9)
+    assert [data[a : a + n] for a, n in t["keyframes"]] == [b"aaaaa", b"ccccccc", b"dddd"]
+    assert media.read_payload(data, t) == b"aaaaabbbbbbcccccccddddeeee"
+    (r,) = media.media_columns(spark.createDataFrame([(1, data, "own", "x", "y")], "i int, media binary, `told` string, `row` string, codec string")).collect()
+    assert (r.told, r.row, r.codec, r.duration, r.n_tracks) == ("own", "x", "avc1", 2.4, 1)
+
+
+def test_malformed_media(spark):
+    full, box = media.full, media.box
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    times, chunk = full(b"stts", struct.pack(">III", 1, 2, 1)), full(b"stsc", struct.pack(">IIII", 1, 1, 2, 1))
+    far = boxes_of_a_track(times, chunk, full(b"stsz", struct.pack(">II", 8, 2)), full(b"co64", struct.pack(">IQ", 1, (1 << 64) - 100)))
+    high = boxes_of_a_track(times, chunk, full(b"stsz", struct.pack(">II", 8, 2)), full(b"stco", struct.pack(">II", 1, 1 << 20)))
+    first = boxes_of_a_track(times, full(b"stsc", struct.pack(">IIII", 1, 0, 2, 1)), full(b"stsz", struct.pack(">II", 8, 2)), full(b"stco", struct.pack(">II", 1, 0)))
+    sync = boxes_of_a_track(times, chunk, full(b"stsz", struct.pack(">II", 1, 2)), full(b"stco", struct.pack(">II", 1, 0)), full(b"stss", struct.pack(">II", 1, 0)))
+    short = boxes_of_a_track(full(b"stsz", bytes(2)))
+    bad = [deep, far, high, first, sync, short, box(b"moov", box(b"trak", box(b"mdia", box(b"mdhd"))))]
+    for x in bad:
+        with pytest.raises(ValueError):
+            media.tracks(x)
+    four = boxes_of_a_track(full(b"stts", struct.pack(">III", 1, 3, 1)), full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), full(b"stz2", struct.pack(">3xBI2B", 4, 3, 0x12, 0x30)), full(b"stco", struct.pack(">II", 1, 8)))
+    (t,) = media.tracks(four)
+    assert t["chunks"] == [(8, 6)] and t["samples"] == 3
+    out = media.media_columns(spark.createDataFrame([(i, x) for i, x in enumerate([*bad, four])], "i int, media binary")).collect()
+    assert [r.codec for r in out] == [None] * len(bad) + ["avc1"]
+
+
 def test_packing(spark):
     rng = random.Random(8)
     texts = [(i, words(rng, rng.choice([0, 3, 50, 900, 4000]))) for i in range(60)] + [(90, None), (91, ""), (3, "again"), (None, "no id"), (92, "İ <|endoftext|>.a, b.c'll ́x")]
