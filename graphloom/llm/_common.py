@@ -48,27 +48,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+#: Rows of a file, and the least number of files, where the number of rows is known beforehand.
+FILE_ROWS, LEAST_FILES = 250_000, 8
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    rows: df has at most so many, which are narrow. They are written to files of about FILE_ROWS instead of one for each partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(files(rows))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: At most so many keys are broadcast by join_by_weight.
-HEAVY = 20_000
+def files(rows: int) -> int:
+    return max(LEAST_FILES, rows // FILE_ROWS)
+
+
+#: At most so many keys are broadcast by join_by_weight, and none of fewer rows than LIGHT.
+HEAVY, LIGHT = 20_000, 1_000
 
 
-def join_by_weight(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str | list[str], weight: str, total: int) -> DataFrame:
     """The inner join of rows with keys (one row a key), where `weight` is at most the number of rows that have the key.
 
-    Keys of more than total / HEAVY rows are broadcast: as weights sum up to total, there are fewer than HEAVY. The rest is
-    joined by a shuffle that no such key takes part in. keys should be a written table: it is read twice.
+    Keys of more than total / HEAVY rows would gather in few tasks. They are broadcast: as weights sum up to at most total, there are
+    fewer than HEAVY. The rest is joined by a shuffle that no such key takes part in. keys is read up to four times: it should be
+    a written table, or cheap to make.
     """
-    limit = total // HEAVY
+    limit = max(total // HEAVY, LIGHT)
+    if (keys.agg(F.max(weight)).first()[0] or 0) <= limit:
+        return rows.join(keys, on)
+    names = [on] if isinstance(on, str) else on
     many, few = F.broadcast(keys.where(F.col(weight) > limit)), keys.where(F.col(weight) <= limit)
-    return rows.join(many, on).unionByName(rows.join(many.select(on), on, "left_anti").join(few, on))
+    return rows.join(many, on).unionByName(rows.join(many.select(*names), on, "left_anti").join(few, on))
 
 
 def boxed(df: DataFrame, *own: Column) -> DataFrame:

@@ -200,4 +200,5 @@ def shared_hashes(docs: DataFrame, of: Hasher, buckets: int | None = None) -> Da
         yield from by_bucket(batches, answer)
 
     asked = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(asking, "bucket int, kind int, doc_id long, blob binary")
-    return asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answering, "kind int, doc_id long, blob binary")
+    # A bucket a partition: hashing bucket numbers would put several into one and none into another.
+    return asked.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answering, "kind int, doc_id long, blob binary")

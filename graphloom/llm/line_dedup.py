@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import boxed, cut, join_by_weight, new_path, unboxed
+from graphloom.llm._common import boxed, cut, files, join_by_weight, new_path, unboxed
 
 #: White space that is stripped: a fixed set of the contract.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -52,18 +52,19 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.path, self.fanout = spark, path or new_path(spark, "line-runs"), fanout
-        self.levels: list[list[str]] = [[]]
+        self.levels: list[list[tuple[str, int]]] = [[]]
         self.repeated: list[tuple[str, str]] = []
         self.made = 0
 
     def runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+        return [path for level in self.levels for path, _ in level]
 
-    def _write(self, rows: DataFrame, name: str) -> str:
+    def _write(self, rows: DataFrame, name: str, most: int) -> tuple[str, int]:
+        """The path of a run of at most `most` rows, and that number."""
         path = f"{self.path}/{name}-{self.made:05d}"
         self.made += 1
-        rows.select("h", "n_docs", "last_doc").sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
-        return path
+        rows.select("h", "n_docs", "last_doc").coalesce(files(most)).sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
+        return path, most
 
     def read(self, *paths: str) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
@@ -75,15 +76,17 @@ class LineRuns:
         return rows
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of (h, doc_id); no document may be in two batches. Rows without doc_id don't count."""
+        """Add a batch of (h, doc_id), a table that is cheap to read; no document may be in two batches. Rows without doc_id don't
+        count."""
+        most = lines.count()
         per_doc = lines.where("doc_id is not null").groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
-        batch = self._write(per_doc.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "batch")
+        batch = self._write(per_doc.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "batch", most)
         if not self.runs():
             self.levels[0].append(batch)
             return
-        run = self._write(self.unseen(self.read(batch)), "L0")
+        run = self._write(self.unseen(self.read(batch[0])), "L0", most)
         self.levels[0].append(run)
-        self.repeated.append((batch, run))
+        self.repeated.append((batch[0], run[0]))
         self.compact()
 
     def compact(self) -> None:
@@ -95,7 +98,7 @@ class LineRuns:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 # Sorted parts of one range of hashes from each run: a merge of sorted files.
-                self.levels[level + 1].append(self._write(self.read(*merged).repartition("h"), f"L{level + 1}"))
+                self.levels[level + 1].append(self._write(self.read(*(path for path, _ in merged)).repartition("h"), f"L{level + 1}", sum(n for _, n in merged)))
             level += 1
 
     def repeats(self) -> DataFrame:
@@ -134,9 +137,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     runs = LineRuns(spark)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("h", "doc_id"))
-    hot = cut(runs.counted(min_docs), "hot-lines")
+    total = lines.count()
+    hot = cut(runs.counted(min_docs), "hot-lines", total // min_docs)
     # A hash that many documents hold would gather in one task of a shuffle; there are few such hashes, and they are broadcast.
-    found = join_by_weight(lines.select("doc_id", "text_hash", "pos", "h"), hot, "h", "n_docs", lines.count())
+    found = join_by_weight(lines.select("doc_id", "text_hash", "pos", "h"), hot, "h", "n_docs", total)
     return found.where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
 
 

@@ -7,28 +7,30 @@
    the rest, so documents are grouped by chains of common prefix shingles under a first order, groups over REFINE documents are
    split by those under the order that has a group's rarest shingles first, and all groups by those under further orders.
 3. Within a group, pairs whose prefixes meet under all orders are verified by their exact overlap, taken for blocks of documents at
-   once. Groups over BLOCK documents are split into blocks, and each pair of blocks is a task; only spanning links leave it.
+   once. Groups over BLOCK documents are split into blocks: each is compared with itself and with PIVOTS documents of the whole
+   group, which joins nearly all of a group of near copies into one class. What is not in a group's largest class is then
+   compared with all of the group. Only spanning links leave a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import cut, mix, powers, prefix_hash
+from graphloom.llm._common import cut, join_by_weight, mix, powers, prefix_hash
 from graphloom.llm._components import components
 from graphloom.llm._shared import ANSWER, META, distinct, shared_hashes, unpack48
 
 WORDS = 5
 #: Link at PERCENT * union <= 100 * intersection.
 PERCENT = 75
-BLOCK = 2048
+#: Documents of a block, and shingles of each on average, at most; documents of a group that all its blocks are compared with.
+BLOCK, BLOCK_SHINGLES, PIVOTS = 2048, 512, 64
 #: Groups of more documents are split by the order that has their rarest shingles first.
 REFINE = 200
 ORDERS = 3
@@ -259,15 +261,15 @@ def _postings(sets: DataFrame, pick: Callable[[np.ndarray, int], np.ndarray]) ->
 
 
 def _chained(postings: DataFrame) -> DataFrame:
-    """(doc_id, g): documents chained by common rows (g, t); one that shares none is left out."""
-    heads = postings.groupBy("g", "t").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("g", "t", "b")
-    edges = postings.join(heads, ["g", "t"]).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+    """(doc_id, g): documents chained by common rows (g, t) of a written table; one that shares none is left out."""
+    heads = postings.groupBy("g", "t").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last"), F.count("*").alias("held")).where("b < last").select("g", "t", "b", "held")
+    edges = join_by_weight(postings, heads, ["g", "t"], "held", postings.count()).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("g"))
 
 
 def _first_order(sets: DataFrame, percent: int) -> DataFrame:
     """(doc_id, g): groups by chains of common prefix shingles under the first order."""
-    return _chained(_postings(sets.withColumn("g", F.lit(0).cast("long")), lambda h, n: prefix(h, n, 0, percent)))
+    return _chained(cut(_postings(sets.withColumn("g", F.lit(0).cast("long")), lambda h, n: prefix(h, n, 0, percent)), "prefixes"))
 
 
 def _rarest_first(grouped: DataFrame, percent: int) -> DataFrame:
@@ -275,59 +277,105 @@ def _rarest_first(grouped: DataFrame, percent: int) -> DataFrame:
 
     It parts documents that only passages held by many chain together. Shingles that no other of the group has stand before all.
     """
-    rows = _postings(grouped, lambda h, n: h)
-    counts = rows.groupBy("g", "t").agg(F.count("*").alias("df")).where("df > 1")
-    own = W.partitionBy("doc_id")
-    placed = rows.join(counts, ["g", "t"]).withColumn("place", F.row_number().over(own.orderBy("df", "t"))).withColumn("k", F.count("*").over(own))
+    rows = cut(_postings(grouped, lambda h, n: h), "shingles")
+    counts = cut(rows.groupBy("g", "t").agg(F.count("*").alias("df")).where("df > 1"), "shingle-counts")
+    placed = join_by_weight(rows, counts, ["g", "t"], "df", rows.count())
+    # Of a document's shingles, by how many hold them, so many stand in its prefix that a partner can't lack them all.
     least = F.floor((F.col("n") * percent + 99) / 100)
-    return _chained(placed.where(F.col("place") <= F.col("k") - least + 1).select("g", "t", "doc_id", "n"))
-
-
-def links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(a, b) links that span each class of linked documents, for sets (doc_id, n, shared)."""
-    rough = cut(sets.join(_first_order(sets, percent), "doc_id"), "grouped-sets")
-    many = rough.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > REFINE).select("g")
-    fine = _rarest_first(rough.join(many, "g", "left_semi"), percent)
-    grouped = rough.join(many, "g", "left_anti").unionByName(rough.drop("g").join(fine, "doc_id").select(*rough.columns))
-    grouped = cut(grouped, "fine-sets")
-    sizes = grouped.groupBy("g").agg(F.count("*").alias("size")).select("g", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = grouped.join(sizes, "g").withColumn("own", own).withColumn("other", other)
-    # A document goes to the task of its block and each block; the task of blocks (i, j) with i <= j has both.
-    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "shared")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    ordered = placed.groupBy("g", "doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("held"))
+    head = F.slice("held", 1, F.greatest(F.size("held") - least + 1, F.lit(0)).cast("int"))
+    return _chained(cut(ordered.select("g", "doc_id", "n", F.explode(head.getField("t")).alias("t")), "rare-prefixes"))
+
+
+def _sized(groups: DataFrame) -> DataFrame:
+    """groups (doc_id, n, g) with the number of documents (size) and of shingles (weight) of each group."""
+    total = groups.count()
+    sizes = cut(groups.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "group-sizes", total)
+    return join_by_weight(groups, sizes, "g", "size", total)
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _verify(dealt: DataFrame, found: Callable[[np.ndarray, np.ndarray, list], Iterable[tuple[int, int]]]) -> DataFrame:
+    """(a, b) links that found gives for the documents of each task: rows (g, i, j, side, doc_id, n, shared) with equal g, i, j."""
 
     def verify(batches):
         key, rows = None, []
 
         def flush():
-            ids = np.array([r[1] for r in rows])
-            sets = [(r[2], np.frombuffer(r[3], _U)) for r in rows]
-            if key[1] == key[2]:
-                found = list(group_links(ids, sets, percent))
-            else:
-                left = np.array([r[0] == key[1] for r in rows])
-                x, y = np.flatnonzero(left), np.flatnonzero(~left)
-                found = list(forest(ids[x], ids[y], linked([sets[i] for i in x], [sets[i] for i in y], percent)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+            side, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            links = list(found(side, ids, [(r[2], np.frombuffer(r[3], _U)) for r in rows]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], schema=LINKS)
 
         for batch in batches:
-            for g, i, j, own, doc, n, shared in zip(*(batch[c].to_pylist() for c in ("g", "i", "j", "own", "doc_id", "n", "shared")), strict=True):
+            for g, i, j, side, doc, n, shared in zip(*(batch[c].to_pylist() for c in ("g", "i", "j", "side", "doc_id", "n", "shared")), strict=True):
                 if (g, i, j) != key:
                     if len(rows) > 1:
                         yield from flush()
                     key, rows = (g, i, j), []
-                rows.append((own, doc, n, shared))
+                rows.append((side, doc, n, shared))
         if len(rows) > 1:
             yield from flush()
 
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Partitions of the session's number at least, and of about BLOCK documents where that is more.
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // (4 * BLOCK))
     return dealt.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id").mapInArrow(verify, "a long, b long")
 
 
-def near_copies(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _between(side: np.ndarray, ids: np.ndarray, sets: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Spanning links between the documents of side 0 and those of other sides."""
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
+    if len(x) and len(y):
+        yield from ((a, b) for a, b in forest(ids[x], ids[y], linked([sets[i] for i in x], [sets[i] for i in y], percent)) if a != b)
+
+
+def links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b) links that span each class of linked documents, for a written table of sets (doc_id, n, shared).
+
+    Groups are told apart on narrow rows (doc_id, g); sets are joined to them by doc_id, so a large group is no large partition.
+    """
+    sizes, total = sets.select("doc_id", "n"), sets.count()
+    rough = cut(_sized(cut(sizes.join(_first_order(sets, percent), "doc_id"), "first-groups", total)), "rough-groups", total)
+    many = sets.join(rough.where(F.col("size") > REFINE).select("doc_id", "g"), "doc_id")
+    fine = rough.where(F.col("size") <= REFINE).select("doc_id", "n", "g").unionByName(sizes.join(_rarest_first(many, percent), "doc_id"))
+    grouped = _sized(cut(fine, "fine-groups", total))
+    # A block has a bounded number of documents and of shingles.
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / (block * BLOCK_SHINGLES)))
+    grouped = cut(grouped.select("doc_id", "g", "size", blocks.cast("int").alias("blocks")), "groups", total).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
+    is_pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("size")) < pivots)
+    tasks = grouped.select("doc_id", "g", F.col("own").alias("i"), F.lit(0).alias("side")).unionByName(
+        grouped.where(is_pivot).select("doc_id", "g", "own", others).where("i <> own").select("doc_id", "g", "i", F.lit(1).alias("side"))
+    )
+
+    def in_block(side, ids, own):
+        mine = np.flatnonzero(side == 0)
+        yield from group_links(ids[mine], [own[i] for i in mine], percent)
+        yield from _between(side, ids, own, percent)
+
+    first = cut(_verify(tasks.withColumn("j", F.lit(0)).join(sets, "doc_id"), in_block), "links", 2 * total)
+    large = grouped.where("blocks > 1")
+    if large.isEmpty():
+        return first
+    # What pivots did not join to the largest class of its group is compared with all of the group: two documents of that class
+    # need no link of their own.
+    roots = components(first).select(F.col("node").alias("doc_id"), "root")
+    large = cut(large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "large-groups", total)
+    classes = large.groupBy("g", "root").agg(F.count("*").alias("held")).groupBy("g").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.sum("held").alias("size"))
+    classed = join_by_weight(large.drop("size"), cut(classes, "main-classes", total), "g", "size", large.count())
+    rest = cut(classed.where("root <> main"), "rest", total)
+    left = cut(rest.groupBy("g").agg(F.count("*").alias("held"), F.ceil(F.count("*") / block).cast("int").alias("rests")), "rests", total)
+    of_rest = F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j")
+    rest_own = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("rests")).cast("int").alias("j")
+    others_of_rest = join_by_weight(rest, left, "g", "held", rest.count()).select("doc_id", "g", rest_own, others, F.lit(0).alias("side"))
+    all_of_group = join_by_weight(large, left, "g", "held", large.count()).select("doc_id", "g", of_rest, F.col("own").alias("i"), F.lit(1).alias("side"))
+    second = _verify(others_of_rest.unionByName(all_of_group).join(sets, "doc_id"), lambda side, ids, own: _between(side, ids, own, percent))
+    return first.unionByName(second)
+
+
+def near_copies(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links lead to, itself included. A text without words (null, empty, blank) has no
@@ -336,18 +384,23 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     """
     about, told = candidates(docs.select("doc_id", "text"), percent)
     filled = about.where("n > 0")
-    heads = filled.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"))
+    total = filled.count()
+    heads = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.count("*").alias("held")), "heads", total)
     sets = cut(_sets(told, heads.select(F.col("head").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n")), percent), "sets")
-    roots = components(links(sets, percent, block)).select(F.col("node").alias("head"), F.col("root"))
-    classes = heads.select("digest", "head").join(roots, "head", "left").select("digest", F.coalesce("root", "head").alias("component_id"))
-    out = about.join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    roots = components(links(sets, percent, block, pivots)).select(F.col("node").alias("head"), F.col("root"))
+    classes = cut(heads.join(roots, "head", "left").select("digest", "held", F.coalesce("root", "head").alias("component_id")), "classes", total)
+    # A text that very many documents are copies of is a digest whose class is broadcast.
+    out = join_by_weight(filled, classes, "digest", "held", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = about.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    unnamed = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(empty).unionByName(unnamed)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without all but one document of each class of near copies: the one with the smallest id stays."""
+    """docs without all but one document of each class of near copies: the one with the smallest id stays, each of its rows if it has
+    several. Rows whose doc_id is null stay."""
     found = near_copies(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id is not null").join(found, "doc_id", "left_anti").unionByName(docs.where("doc_id is null"))
 
 
 def brute_force(texts: dict[int, str | None], percent: int = PERCENT) -> dict[int, tuple[int, int]]:

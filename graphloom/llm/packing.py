@@ -296,7 +296,7 @@ def queue_starts(tokens: DataFrame, targets: dict[str, float] | None = None) ->
     Without targets, shares are the sources' parts of all tokens. Sources that targets does not name, or gives nothing, come
     late: after all others, in proportion to their tokens.
     """
-    sums = cut(tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")), "source-parts")
+    sums = cut(tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")), "source-parts", tokens.count())
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
@@ -354,7 +354,7 @@ def pack_tokens(tokens: DataFrame, length: int = LENGTH, group_tokens: int = GRO
     """
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    starts = cut(queue_starts(tokens, targets), "queue-starts")
+    starts = cut(queue_starts(tokens, targets), "queue-starts", tokens.count())
     if starts.count() <= MOST_STARTS:
         starts = F.broadcast(starts)
     starts = starts.withColumnsRenamed({"part": "own_part", "source": "own"})

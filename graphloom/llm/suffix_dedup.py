@@ -409,7 +409,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         yield from by_bucket(batches, resolve)
 
     sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, tag long, blob binary")
-    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag long, blob binary")
+    found = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag long, blob binary")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "blob")).alias("ranges"))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, htmlcut, langid, line_dedup, media, ngram_join, packing, quality, suffix_dedup, warc
+from graphloom.llm import _common, decontam, htmlcut, langid, line_dedup, media, ngram_join, packing, quality, suffix_dedup, warc
 from graphloom.llm._common import strings
 from graphloom.llm._components import components
 from graphloom.llm._embed import Features, train
@@ -338,14 +338,18 @@ def test_suffix_ranks():
             assert (rank[a] == rank[b]) == (keys[a] == keys[b])
 
 
-@pytest.mark.parametrize("seed,block", [(0, 2048), (1, 4)])
-def test_near_copies_against_brute_force(spark, seed, block, monkeypatch):
+@pytest.mark.parametrize("seed,block,pivots", [(0, 2048, 64), (1, 4, 64), (1, 2, 0), (2, 3, 1)])
+def test_near_copies_against_brute_force(spark, seed, block, pivots, monkeypatch):
+    """With groups whole, split into blocks that pivots join, and blocks with the rest compared with all of the group."""
     monkeypatch.setattr(ngram_join, "REFINE", 3 if seed else 200)
+    if pivots == 1:
+        monkeypatch.setattr(_common, "LIGHT", 1)
+        monkeypatch.setattr(_common, "HEAVY", 10)
     texts = corpus(seed)
     docs = table(spark, texts + texts[:2] + [(None, texts[0][1])])
     want = ngram_join.brute_force(dict(texts))
     assert sum(i != c for i, (_, c) in want.items()) > 10
-    found = ngram_join.near_copies(docs, block=block).collect()
+    found = ngram_join.near_copies(docs, block=block, pivots=pivots).collect()
     assert len(found) == len(texts) + 3
     for r in found:
         assert (r.n_shingles, r.component_id) == (want[r.doc_id] if r.doc_id is not None else (None, None))
@@ -715,8 +719,7 @@ def test_each_batch_merge_anti_joins_the_runs(spark, monkeypatch):
 
 
 def test_a_line_of_most_documents_is_joined_by_broadcast(spark, monkeypatch):
-    from graphloom.llm import _common
-
+    monkeypatch.setattr(_common, "LIGHT", 1)
     monkeypatch.setattr(_common, "HEAVY", 10)
     texts = [(i, f"{'common ' * 8}\n{'own ' * 12}{i // 6}") for i in range(60)]
     by = {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(table(spark, texts)).collect()}
