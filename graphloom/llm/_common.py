@@ -95,6 +95,8 @@ def boxed(df: DataFrame, *own: Column) -> DataFrame:
 
 def unboxed(df: DataFrame, **added: Column) -> DataFrame:
     """The rows that boxed() held, with columns added; a column of the same name is replaced."""
+    if not added:
+        return df.select("row.*")
     names = [n for n in df.schema["row"].dataType.names if n not in added]
     # In two steps: a name that is added could stand for a column of df in an expression of the same step.
     df = df.select("row", F.struct(*(c.alias(n) for n, c in added.items())).alias("added"))

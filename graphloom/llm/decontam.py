@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton of a block of items (at most BLOCK_CHARS characters, which bounds what is broadcast; more items are more blocks) is
-sent to the executors, which stream the words of each document through it and track the longest match that ends at each
+The automata of blocks of items (about BLOCK_CHARS characters each; WAVE blocks a pass, which bounds what is broadcast) are sent to
+the executors, which stream the words of each document through it and track the longest match that ends at each
 word. A match as long as a window of `window` words marks the last `window` words as hit, a whole shorter item marks its words.
 Stretches whose word k-grams are not all in the block cannot hold a window and send the automaton back to its root, so they
 are skipped: a vectorised test on word hashes finds them.
@@ -10,19 +10,22 @@ are skipped: a vectorised test on word hashes finds them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import mix, prefix_hash, powers, slices, strings
+from graphloom.llm._common import boxed, cut, mix, powers, prefix_hash, slices, strings, unboxed
 
 WINDOW = 13
 #: A document is contaminated if at least 1 of so many words is hit.
 COVER = 20
-BLOCK_CHARS = 8_000_000
+#: Characters of a block of items, whose automaton takes about 25 MB, and blocks that a pass over the documents holds.
+BLOCK_CHARS, WAVE = 2_000_000, 8
 #: Word k-grams that the skipping test looks at, and the bits of its table.
 GRAM, BITS = 4, 22
 
@@ -113,46 +116,56 @@ class SuffixAutomaton:
         for t in tokens:
             last = self.extend(last, t)
 
-    def walk(self, tokens: Iterable[int]) -> Iterator[tuple[int, int]]:
-        """(state, longest match) after each token."""
-        v = n = 0
-        nxt, link, length = self.next, self.link, self.length
-        for t in tokens:
-            while v and t not in nxt[v]:
-                v = link[v]
-                n = length[v]
-            if t in nxt[v]:
-                v = nxt[v][t]
-                n += 1
-            yield v, n
-
 
 class ItemIndex:
-    """The automaton of a block of items [(id or None, text)], with the items of each window's state."""
+    """The automaton of a block of items [(id or None, text)] packed in arrays, with the items of each window's state.
+
+    Transitions are rows sorted by state; a state's become a dict when a walk first meets it, as most never are. Everything is linear
+    in the words of the items, however repetitive.
+    """
+
+    #: States whose transitions are kept as dicts.
+    KEPT = 200_000
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[bytes, int] = {}
         split = [(i, w) for i, text in items if (w := words_of(text))]
         tokens = [[self.ids.setdefault(x, len(self.ids)) for x in w] for _, w in split]
-        self.automaton = a = SuffixAutomaton()
+        a = SuffixAutomaton()
         for t in tokens:
             a.add(t)
-        #: Of states with a string of `window` words: the items. Of states with a whole shorter item: its length and items.
-        self.long: dict[int, set[str | None]] = {}
-        self.short: dict[int, dict[int, set[str | None]]] = {}
-        for (i, _), t in zip(split, tokens, strict=True):
+        self.link, self.length = np.array(a.link, np.int32), np.array(a.length, np.int32)
+        by_length = np.argsort(self.length, kind="stable")
+        # The state of the last `window` words of a state's strings, for strings that long.
+        self.top = np.full(len(self.link), -1, np.int32)
+        for v in by_length[np.searchsorted(self.length[by_length], window) :].tolist():
+            up = a.link[v]
+            self.top[v] = v if a.length[up] < window else self.top[up]
+        # Of states with a string of `window` words: the items. Of states with a whole shorter item: its length and item.
+        held: list[tuple[int, int]] = []
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        self.names = [i for i, _ in split]
+        for k, t in enumerate(tokens):
             v = 0
-            for k, x in enumerate(t):
+            for n, x in enumerate(t, 1):
                 v = a.next[v][x]
-                if k + 1 >= window:
-                    self.long.setdefault(self._at(v, window), set()).add(i)
+                if n >= window:
+                    held.append((int(self.top[v]), k))
             if len(t) < window:
-                self.short.setdefault(v, {}).setdefault(len(t), set()).add(i)
-        #: The nearest state with a shorter item, from each state upwards along the links.
-        self.mark = [-1] * len(a.link)
-        for v in sorted(range(1, len(a.link)), key=a.length.__getitem__) if self.short else ():
+                self.short.setdefault(v, []).append((len(t), k))
+        pairs = np.unique(np.array(held, np.int64).reshape(-1, 2), axis=0)
+        self.long_state, at = np.unique(pairs[:, 0], return_index=True)
+        self.long_at, self.long_item = np.append(at, len(pairs)), pairs[:, 1].astype(np.int32)
+        # The nearest state with a shorter item, from each state upwards along the links.
+        self.mark = np.full(len(self.link) if self.short else 1, -1, np.int32)
+        for v in by_length[1:].tolist() if self.short else ():
             self.mark[v] = v if v in self.short else self.mark[a.link[v]]
+        count = np.array([len(x) for x in a.next])
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.token = np.fromiter((t for x in a.next for t in x), np.int32, self.first[-1])
+        self.to = np.fromiter((v for x in a.next for v in x.values()), np.int32, self.first[-1])
+        self.seen: dict[int, dict[int, int]] = {}
         self.least = min((min(len(t), window) for t in tokens), default=0)
         self.gram = min(GRAM, self.least)
         self.table = np.zeros(1 << BITS, bool)
@@ -162,25 +175,52 @@ class ItemIndex:
                 h = gram_hashes(word_hashes(data, *word_spans(data, np.array([0, len(data)]))), self.gram)
                 self.table[(h >> _U(64 - BITS)).astype(np.int64)] = True
 
-    def _at(self, v: int, n: int) -> int:
-        """The state of the last n words of state v."""
-        a = self.automaton
-        while a.length[a.link[v]] >= n:
-            v = a.link[v]
-        return v
-
-    def match(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str | None]]]:
-        """(first, last + 1, items) of each occurrence of a window in words."""
-        a = self.automaton
-        for k, (v, n) in enumerate(a.walk(self.ids.get(w, -1) for w in words), 1):
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}, "table": np.packbits(self.table)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"table": np.unpackbits(state["table"]).astype(bool)}
+
+    def _next(self, v: int) -> dict[int, int]:
+        found = self.seen.get(v)
+        if found is None:
+            if len(self.seen) >= self.KEPT:
+                self.seen.clear()
+            a, b = self.first[v], self.first[v + 1]
+            found = self.seen[v] = dict(zip(self.token[a:b].tolist(), self.to[a:b].tolist(), strict=True))
+        return found
+
+    def walk(self, tokens: Iterable[int]) -> Iterator[tuple[int, int]]:
+        """(state, longest match) after each token."""
+        v = n = 0
+        for t in tokens:
+            to = self._next(v).get(t)
+            while to is None and v:
+                v = int(self.link[v])
+                n = int(self.length[v])
+                to = self._next(v).get(t)
+            if to is not None:
+                v, n = to, n + 1
+            yield v, n
+
+    def match(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """(first, last + 1, state, size) of each occurrence in words: of a window, with size 0, or of a shorter item."""
+        for k, (v, n) in enumerate(self.walk(self.ids.get(w, -1) for w in words), 1):
             if n >= self.window:
-                yield k - self.window, k, self.long.get(self._at(v, self.window), set())
-            m = self.mark[v] if self.short else -1
+                yield k - self.window, k, int(self.top[v]), 0
+            m = int(self.mark[v]) if self.short else -1
             while m > 0:
-                for size, ids in self.short[m].items():
+                for size in {size for size, _ in self.short[m]}:
                     if size <= n:
-                        yield k - size, k, ids
-                m = self.mark[a.link[m]]
+                        yield k - size, k, m, size
+                m = int(self.mark[self.link[m]])
+
+    def items(self, state: int, size: int) -> set[str | None]:
+        """The ids of the items of an occurrence."""
+        if size:
+            return {self.names[i] for n, i in self.short[state] if n == size}
+        k = int(np.searchsorted(self.long_state, state))
+        return {self.names[i] for i in self.long_item[self.long_at[k] : self.long_at[k + 1]].tolist()}
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list, set]]]:
         """Number of words of each row; for rows with a hit, the occurrences (first word, last + 1) and items."""
@@ -208,11 +248,15 @@ class ItemIndex:
                 continue
             raw = raw if raw is not None else data.tobytes()
             row = int(np.searchsorted(first, a, "right")) - 1
-            for s, e, ids in self.match([raw[starts[k] : ends[k]] for k in range(a, b)]):
-                spans, items = found.setdefault(row, ([], set()))
-                spans.append((int(a - first[row]) + s, int(a - first[row]) + e))
-                items |= ids
-        return np.diff(first), found
+            for s, e, state, size in self.match([raw[starts[k] : ends[k]] for k in range(a, b)]):
+                spans, states = found.setdefault(row, ([], set()))
+                s, e = int(a - first[row]) + s, int(a - first[row]) + e
+                if spans and spans[-1][0] <= s <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+                else:
+                    spans.append((s, e))
+                states.add((state, size))
+        return np.diff(first), {row: (spans, set().union(*(self.items(*x) for x in states))) for row, (spans, states) in found.items()}
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,48 +278,69 @@ def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tu
         if size >= block_chars:
             yield rows
             rows, size = [], 0
-    yield rows
+    if rows:
+        yield rows
 
 
-SPANS = "array<struct<s:bigint,e:bigint>>"
+TOLD = "struct<words:bigint,spans:array<struct<s:bigint,e:bigint>>,items:array<string>>"
+_TOLD = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with __words (their number), __spans (hit words, sorted and joined, as [s, e)) and __items (ids, sorted).
+    """(row, own_text, told) of each row of docs: the row as a struct, its text, and what is told of it: the number of words, the
+    spans of hit words, sorted and joined, as [s, e), and the ids of items, sorted.
 
     Null or empty texts have no words; null item ids take part but are not listed; no items, or items without words, hit
-    nothing. Rows are kept one to one, other columns pass through.
+    nothing. Only texts go through Python, and once for WAVE blocks of items.
     """
     sc = docs.sparkSession.sparkContext
-    base = [f.name for f in docs.schema if not f.name.startswith("__")]
-    out = docs.select(*base, F.lit(0).cast("long").alias("__words"), F.array().cast(SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    schema = out.schema
-    for block in blocks(items, block_chars):
-        index = sc.broadcast(ItemIndex(block, window))
-
-        def scan(batches, index=index):
-            for batch in batches:
-                data, offsets = strings(batch["text"])
-                words = np.zeros(len(batch), np.int64)
-                spans, ids = batch["__spans"].to_pylist(), batch["__items"].to_pylist()
-                for i, j in slices(offsets, 1 << 20):
-                    n, found = index.value.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    words[i:j] = n
-                    for k, (where, which) in found.items():
-                        spans[i + k] = [{"s": s, "e": e} for s, e in joined([(x["s"], x["e"]) for x in spans[i + k] or ()] + where)]
-                        ids[i + k] = sorted({*(ids[i + k] or ()), *(x for x in which if x is not None)})
-                new = {"__words": pa.array(words), "__spans": pa.array(spans, batch.schema.field("__spans").type), "__items": pa.array(ids, batch.schema.field("__items").type)}
-                yield pa.RecordBatch.from_arrays([new.get(f.name, batch[f.name]) for f in batch.schema], schema=pa.schema([pa.field(f.name, new[f.name].type) if f.name in new else f for f in batch.schema]))
-
-        out = out.mapInArrow(scan, schema)
+    out = boxed(docs, F.col("text").alias("own_text"), F.lit(None).cast(TOLD).alias("told"))
+    of_blocks = (ItemIndex(block, window) for block in blocks(items, block_chars))
+    wave = list(islice(of_blocks, WAVE)) or [ItemIndex([], window)]
+    while wave:
+        out = out.select("row", "own_text", _scanner(sc.broadcast(wave))("own_text", "told").alias("told"))
+        wave = list(islice(of_blocks, WAVE))
+        if wave:
+            # No worker holds more than one wave.
+            out = cut(out, "overlaps")
     return out
 
 
+def _scanner(wave: Broadcast[list[ItemIndex]]) -> Callable[..., Column]:
+    """A function of (text, told) that adds to what is told what the blocks of a wave find."""
+
+    @F.arrow_udf(TOLD)
+    def scan(text: pa.Array, told: pa.Array) -> pa.Array:
+        data, offsets = strings(text)
+        out = [x or {"words": 0, "spans": [], "items": []} for x in told.to_pylist()]
+        for i, j in slices(offsets, 1 << 20):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            for index in wave.value:
+                words, found = index.scan(part, at)
+                for k, n in enumerate(words.tolist(), i):
+                    out[k]["words"] = n
+                for k, (where, which) in found.items():
+                    x = out[i + k]
+                    x["spans"] = [{"s": s, "e": e} for s, e in joined([(y["s"], y["e"]) for y in x["spans"]] + where)]
+                    x["items"] = sorted({*x["items"], *(y for y in which if y is not None)})
+        return pa.array(out, _TOLD)
+
+    return scan
+
+
+def hits() -> tuple[Column, Column, Column]:
+    """n_words, n_hit and, for `cover`, the verdict, of a row of overlaps()."""
+    n_hit = F.aggregate("told.spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return F.col("told.words"), n_hit, lambda cover: (n_hit > 0) & (n_hit * cover >= F.col("told.words"))
+
+
 def scored(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER) -> DataFrame:
-    """overlaps(), with n_words, n_hit and contaminated (a hit, and at least 1 of `cover` words hit)."""
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
-    out = overlaps(docs, items, window).withColumns({"n_words": F.col("__words"), "n_hit": hit})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * cover >= F.col("n_words")))
+    """docs with n_words, n_hit, items (ids, sorted) and contaminated (a hit, and at least 1 of `cover` words hit).
+
+    Columns of docs with these names are replaced, all others pass; see overlaps for nulls. An empty table stays empty.
+    """
+    n_words, n_hit, verdict = hits()
+    return unboxed(overlaps(docs, items, window), n_words=n_words, n_hit=n_hit, items=F.col("told.items"), contaminated=verdict(cover))
 
 
 def _strip(text: str, spans: list[dict]) -> str:
@@ -290,31 +355,31 @@ def _strip(text: str, spans: list[dict]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER, action: str = "drop") -> DataFrame:
-    """docs without contamination, in their own columns.
+    """docs without contamination, in their own columns, whatever their names.
 
     action "drop" leaves out contaminated documents and keeps the others as they are; "spans" keeps all documents and cuts the
-    hit words out of contaminated ones.
+    hit words out of contaminated ones. Null texts are kept as they are.
     """
     if action not in ("drop", "spans"):
         raise ValueError(f"unknown action {action}")
-    found = scored(docs, items, window, cover)
+    found = overlaps(docs, items, window)
+    verdict = hits()[2](cover)
     if action == "drop":
-        return found.where(~F.col("contaminated")).select(*docs.columns)
-    schema = pa.string()
+        return unboxed(found.where(~verdict))
 
     @F.arrow_udf("string")
     def strip(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_strip(t, s) if t and s else t for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], schema)
+        return pa.array([_strip(t, s) if t and s else t for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    text = F.when(F.col("contaminated"), strip(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    text = F.when(verdict, strip(F.col("own_text"), F.col("told.spans"))).otherwise(F.col("own_text"))
+    return unboxed(found.withColumn("row", F.col("row").withField("text", text)))
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The columns of the query: counts, the digest of the item ids, and the verdict."""
     out = scored(docs.select("doc_id", "text"), items)
-    ids = F.array_join("__items", ",")
-    return out.select("doc_id", "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+    ids = F.array_join("items", ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW, cover: int = COVER) -> tuple:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import pickle
 import random
 import struct
 import zlib
@@ -208,7 +209,7 @@ def test_min_cut_is_minimal():
 # --- 4 -----------------------------------------------------------------------------------------------------------------------
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 30)))) for i in range(8)] + [("8", None), ("9", "!!"), ("7", "a  B-c"), (None, "b c a b")]
     texts = [(i, " ".join(rng.choice("aAbBc") + rng.choice(["", ".", ",\n"]) for _ in range(rng.randrange(0, 60)))) for i in range(40)]
@@ -222,12 +223,17 @@ def test_decontamination_against_brute_force(spark):
     for r in found:
         assert (r.n_words, r.n_hit, r.contaminated) == (every[r.doc_id][0], every[r.doc_id][1], every[r.doc_id][4])
         assert (r.n_items, r.items_sha256) == want[r.doc_id][2:4]
-    blocks = decontam.overlaps(docs, bench, block_chars=20).select("doc_id", "__spans").collect()
-    assert {r.doc_id: sum(x.e - x.s for x in r.__getitem__("__spans")) for r in blocks} == {i: v[1] for i, v in every.items()}
+    for wave in (8, 2):
+        monkeypatch.setattr(decontam, "WAVE", wave)
+        blocks = decontam.overlaps(docs, bench, block_chars=20).select("row.doc_id", "told").collect()
+        assert {r.doc_id: (r.told.words, sum(x.e - x.s for x in r.told.spans)) for r in blocks} == {i: v[:2] for i, v in every.items()}
     assert decontam.digest(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
     assert decontam.digest(docs.limit(0), bench).count() == 0
-    wide = docs.withColumn("n_words", F.lit("own")).withColumn("contaminated", F.lit("own"))
-    assert decontam.decontaminate(wide, bench).columns == wide.columns
+    wide = docs.withColumns({c: F.lit("own") for c in ("n_words", "n_hit", "contaminated", "items", "__words", "__row", "row", "told", "own_text", "a.b")})
+    for action in ("drop", "spans"):
+        kept = decontam.decontaminate(wide, bench, action=action)
+        assert kept.columns == wide.columns
+        assert {tuple(r[2:]) for r in kept.collect()} == {("own",) * 10}
     assert decontam.decontaminate(docs, bench).count() == sum(not every[i][4] for i, _ in texts)
     cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, action="spans").collect()}
     assert cut[52] == "ä  ö" and cut[50] is None and cut[54] == ""
@@ -255,16 +261,22 @@ def test_decontamination_behind_a_null_row(spark):
 def test_automaton_knows_all_substrings():
     rng = random.Random(1)
     for _ in range(30):
-        seqs = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(4)]
-        a = decontam.SuffixAutomaton()
-        for s in seqs:
-            a.add(s)
+        seqs = [[rng.choice("abc") for _ in range(rng.randrange(1, 12))] for _ in range(4)]
+        index = pickle.loads(pickle.dumps(decontam.ItemIndex([(str(i), " ".join(s)) for i, s in enumerate(seqs)], window=3)))
         subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-        text = [rng.randrange(3) for _ in range(40)]
-        for k, (_, n) in enumerate(a.walk(text), 1):
+        text = [rng.choice("abcd") for _ in range(40)]
+        for k, (_, n) in enumerate(index.walk(index.ids.get(x.encode(), -1) for x in text), 1):
             assert n == max((m for m in range(k + 1) if tuple(text[k - m : k]) in subs), default=0)
 
 
+def test_repetitive_items_take_linear_time():
+    """An item of many equal words, and a document of more of them: a quadratic index would take hours."""
+    index = decontam.ItemIndex([("a", "so " * 100_000), ("b", "so " * 13)])
+    data = np.frombuffer(b"so " * 200_000, np.uint8)
+    words, found = index.scan(data, np.array([0, len(data)]))
+    assert words.tolist() == [200_000] and decontam.joined(found[0][0]) == [(0, 200_000)] and found[0][1] == {"a", "b"}
+
+
 # --- 5 and 6 -----------------------------------------------------------------------------------------------------------------
 
 
