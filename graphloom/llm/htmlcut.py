@@ -25,11 +25,16 @@ BREAKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+#: Of these, those that some pages wrap all their text in, or forget to close.
+WRAPPERS = frozenset("form fieldset button dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial alert banner banners breadcrumb breadcrumbs byline consent cookie cookies copyright disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related search share sharing sidebar sidenav signin signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
-REMARK_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+REMARK_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+REMARK_NAMES = frozenset("discussion reply".split())
+#: A class that begins so tells a state of the page, not what the element is.
+STATES = frozenset("has is with without no not js can".split())
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postbody story text".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Start tags that may stand in a head; any other, and text, ends an open one.
@@ -45,18 +50,26 @@ PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: White space of HTML.
 BLANKS = " \t\n\f\r"
 
-#: Capacities: a sure call, a clear sign, and smoothness between neighbours.
-SURE, CLEAR, SMOOTH = 12.0, 4.0, 1.5
+#: Capacities: a sure call, a clear sign, what only a class or id says, and smoothness between neighbours.
+SURE, CLEAR, NAMED, SMOOTH = 12.0, 4.0, 2.5, 1.5
+#: What a class or id says on a page that has no content otherwise.
+DOUBTED = 1.0
+#: A wrapper that holds more than this part of a page's text outside links is none.
+WRAPPED = 0.5
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None
     depth: int
-    #: Of the node and its ancestors: 1 content, -1 boilerplate, -2 boilerplate whatever is within, 0 no sign.
-    sign: int
+    #: What the element itself says: 1 content, -1 boilerplate, -2 boilerplate whatever is within, 0 nothing.
+    own: int
     hidden: bool
+    #: Characters of text outside links, of wrappers only.
+    size: int = 0
+    #: Of the node and its ancestors, set after the page is read.
+    sign: int = 0
 
 
 @dataclass
@@ -67,28 +80,58 @@ class Block:
     heading: bool = field(default=False)
 
 
-def _sign(tag: str, attributes: str, parent: Node) -> tuple[int, bool]:
-    if parent.sign == -2:
-        return -2, False
-    found, hidden = {}, False
+def _named(value: str) -> int:
+    """What a class or an id says: 1 content, -1 boilerplate, -2 remarks of readers, 0 nothing, or both."""
+    content = boiler = False
+    for name in value.split():
+        words = [w.lower() for w in PARTS.findall(name)]
+        if not words or words[0] in STATES:
+            continue
+        if not REMARK_WORDS.isdisjoint(words) or words[-1] in REMARK_NAMES:
+            return -2
+        about = not CONTENT_WORDS.isdisjoint(words)
+        # The head of an article is a part of it; other parts are named by what they are, or what they are of.
+        if words[-1] == "header" and about:
+            continue
+        if words[-1] in BOILER_WORDS or words[0] in BOILER_WORDS:
+            boiler = True
+        elif about:
+            content = True
+    return content - boiler
+
+
+def _says(tag: str, attributes: str) -> tuple[int, bool]:
+    """What an element itself says (-3: a header, see _resolve), and whether it is hidden."""
+    found: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         found.setdefault(name.lower(), a or b or c)
-    if found:
-        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    words = {w.lower() for k in ("class", "id", "itemprop") if k in found for w in PARTS.findall(found[k])}
-    if words & REMARK_WORDS:
-        return -2, hidden
-    if tag in BOILER_TAGS or found.get("role", "").lower() in BOILER_ROLES:
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    role = found.get("role", "").lower()
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
         return -2, hidden
-    if tag == "header":
-        return (parent.sign, hidden) if parent.sign == 1 else (-2, hidden)
     if tag in ("body", "html"):
         return 0, hidden
-    if words & BOILER_WORDS and tag not in CONTENT_TAGS:
-        return -1, hidden
-    if tag in CONTENT_TAGS or words & CONTENT_WORDS or found.get("role", "").lower() in ("main", "article"):
+    says = [_named(found[k]) for k in ("class", "id", "itemprop") if k in found]
+    if -2 in says:
+        return -2, hidden
+    named = max(-1, min(1, sum(says)))
+    if tag in CONTENT_TAGS or role in ("main", "article"):
         return 1, hidden
-    return parent.sign, hidden
+    if tag == "header" and named <= 0:
+        return -3, hidden
+    return named, hidden
+
+
+def _resolve(nodes: list[Node], total: int) -> None:
+    """Set the sign of each node, which stand after their parents: what is within boilerplate is so, else the nearest that says
+    something tells."""
+    for n in nodes:
+        own = n.own
+        if own == -2 and n.tag in WRAPPERS and n.size > WRAPPED * total:
+            own = 0
+        if own == -3:  # the header of an article is a part of it, that of a page is not
+            own = 0 if n.parent.sign == 1 else -2
+        n.sign = -2 if n.parent.sign == -2 else own or n.parent.sign
 
 
 def out_of_head(node: Node, whole: bool) -> Node:
@@ -102,16 +145,24 @@ def out_of_head(node: Node, whole: bool) -> Node:
 def blocks(html: str) -> list[Block]:
     """The visible blocks of text of a page in order, character references decoded, white space made single."""
     node = root = Node("", None, 0, 0, False)
+    nodes: list[Node] = []
     out: list[Block] = []
     pieces: list[str] = []
-    at, end, links, in_link = 0, len(html), 0, 0
+    at, end, links, in_link, total = 0, len(html), 0, False, 0
+
+    #: Open wrappers.
+    wrappers: list[Node] = []
 
     def flush() -> None:
-        nonlocal pieces, links
+        nonlocal pieces, links, total
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
                 out.append(Block(node, text, links, node.tag in HEADINGS))
+                plain = max(0, len(text) - links)
+                total += plain
+                for up in wrappers:
+                    up.size += plain
             pieces, links = [], 0
 
     def say(raw: str) -> None:
@@ -150,7 +201,8 @@ def blocks(html: str) -> list[Block]:
         if not close and tag not in IN_HEAD:
             node = out_of_head(node, tag == "body")
         if tag == "a":
-            in_link = 0 if close else 1
+            # An anchor without a target is no link, and a second start tag ends the first.
+            in_link = not close and any(name.lower() == "href" for name, *_ in ATTRIBUTE.findall(attributes))
         if tag == "br":
             pieces.append(" ")
         if tag in BREAKS:
@@ -163,6 +215,8 @@ def blocks(html: str) -> list[Block]:
                 up = up.parent
             if up is not root:
                 node = up.parent
+                while wrappers and wrappers[-1].depth > node.depth:
+                    wrappers.pop()
             continue
         if tag in VOID:
             continue
@@ -174,22 +228,28 @@ def blocks(html: str) -> list[Block]:
             node = node.parent
         while node.tag in CLOSES.get(tag, ()):
             node = node.parent
-        sign, hidden = _sign(tag, attributes, node)
-        node = Node(tag, node, node.depth + 1, sign, node.hidden or hidden or tag in HIDDEN)
+        while wrappers and wrappers[-1].depth > node.depth:
+            wrappers.pop()
+        own, hidden = _says(tag, attributes)
+        node = Node(tag, node, node.depth + 1, own, node.hidden or hidden or tag in HIDDEN)
+        nodes.append(node)
+        if tag in WRAPPERS:
+            wrappers.append(node)
     flush()
+    _resolve(nodes, total)
     return out
 
 
-def score(b: Block) -> float:
+def score(b: Block, named: float = NAMED) -> float:
     """How much more it costs to call a block boilerplate than content."""
     sign = b.node.sign
-    if sign < 0:
+    if sign == -2:
         return -SURE
     words, size = b.text.count(" ") + 1, len(b.text)
     s = min(words, 40) / 20 - 1 - CLEAR * min(1.0, b.links / size)
     s += 0.8 if b.text[-1] in ".!?…\"”»" else 0.0
     s += {"p": 0.8, "blockquote": 0.5, "pre": 0.8, "li": -0.3, "td": -0.5, "th": -0.5}.get(b.node.tag, 0.3 if b.heading else 0.0)
-    return s + (CLEAR + 2 if sign == 1 else 0.0)
+    return s + (CLEAR + 2 if sign == 1 else -named if sign == -1 else 0.0)
 
 
 def distance(a: Node, b: Node) -> int:
@@ -290,8 +350,11 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    costs = [score(b) for b in found]
-    keep = [True] * len(found) if min(costs) >= 0 else min_cut(costs, edges(found))
+    for named in (NAMED, DOUBTED):
+        costs = [score(b, named) for b in found]
+        keep = [True] * len(found) if min(costs) >= 0 else min_cut(costs, edges(found))
+        if any(keep):
+            break
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

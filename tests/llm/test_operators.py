@@ -206,6 +206,32 @@ def test_min_cut_is_minimal():
         assert value(htmlcut.min_cut(costs, links)) == pytest.approx(min(map(value, itertools.product([0, 1], repeat=n))))
 
 
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ("<html><head><title>T</title><body><article>", "</article>"),
+        ("<body><form action=/x id=aspnetForm><div>", "</div></form>"),
+        ("<form><fieldset>", "</fieldset></form>"),
+        ("<div class='post-content has-sidebar'>", "</div>"),
+        ("<article class='discussion-paper'>", "</article>"),
+        ("<div id='text-share'>", "</div>"),
+        ("<a name=top><div>", "</div>"),
+        ("<div><button>", "</div>"),
+        ("<div class=content><header class='article-header'>", "</header></div>"),
+        ("<body class='no-sidebar single-post'><div id=main-content>", "</div>"),
+    ],
+)
+def test_names_and_wrappers_do_not_empty_a_page(start, end):
+    text = ["This is the first paragraph of a page, which has some words to tell and ends with a full stop, as sentences do at all times.", "And here is the second one, long enough to be taken for text by whoever reads it, and with a comma or two, as they are used."]
+    page = "<nav><ul><li><a href=/>Home</a><li><a href=/b>Other</a></ul></nav>" * (not start.startswith("<html")) + start + "".join(f"<p>{t}</p>" for t in text) + end + "<footer>&copy; x 2020</footer>"
+    assert htmlcut.main_text(page) == "\n\n".join(text)
+
+
+def test_headline_of_an_article_header():
+    page = "<article class=post><div class='article-header'><h1>The headline</h1></div><p>A paragraph of the article, which is short.</p><div class='post-footer'>Tagged x</div><div class='comments-area'><p>I have a remark on this, and it is a long one, too.</p></div></article><div class='ad-content'>Buy it now.</div>"
+    assert htmlcut.main_text(page) == "The headline\n\nA paragraph of the article, which is short."
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------------
 
 
