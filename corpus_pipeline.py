@@ -11,38 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, line_dedup, ngram_join, packing, quality
-from graphloom.llm._common import new_path, read
+from graphloom.llm._common import boxed, new_path, read, unboxed
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1. It is fitted on labelled rows that the query's split leaves for it."""
+    """Documents that the quality classifier predicts as 1, unchanged; a null or empty text has the score of the labels' shares.
+
+    The classifier is fitted on labelled rows that the query's split leaves for it.
+    """
     labels = read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~quality.held_out()))
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
-    return quality.score(whole, model, text="__text").where("predicted = 1").select("__row.*")
+    return unboxed(quality.score(boxed(docs, F.col("text").alias("text")), model).where("predicted = 1").select("row"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the repeats of lines; n_chars, where docs has it, follows the text. Null texts stay null."""
-    slim = line_dedup.drop_repeated_lines(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text"))
-    row = F.col("__row").withField("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    """Documents without the repeats of lines; n_chars, where docs has it, follows the text of those that lose lines.
+
+    Null texts stay null, rows with a null doc_id lose nothing, and rows that share a doc_id are one document.
+    """
+    found = line_dedup.kept_lines(docs)
+    lost = F.col("n_dropped") > 0
+    row = F.col("row").withField("text", F.when(lost, F.col("kept_text")).otherwise(F.col("row")["text"]))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars")))
-    return slim.select(row.alias("__row")).select("__row.*")
+        row = row.withField("n_chars", F.when(lost, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"]))
+    return unboxed(found.select(row.alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id."""
+    """One document of each class of near copies, unchanged: that with the smallest doc_id, all its rows if it has several.
+
+    Texts without words and rows with a null doc_id have no copies and stay.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by a benchmark item, unchanged."""
+    """Documents that are not contaminated by a benchmark item, unchanged; null texts are not."""
     return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences that the documents are packed into."""
+    """The pieces of sequences that the documents are packed into; a null text is its end token, a null source a queue of its own."""
     return packing.pack(docs)
 
 

@@ -73,15 +73,15 @@ def files(rows: int) -> int:
 HEAVY, LIGHT = 20_000, 1_000
 
 
-def join_by_weight(rows: DataFrame, keys: DataFrame, on: str | list[str], weight: str, total: int) -> DataFrame:
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str | list[str], weight: str, total: int, top: int | None = None) -> DataFrame:
     """The inner join of rows with keys (one row a key), where `weight` is at most the number of rows that have the key.
 
     Keys of more than total / HEAVY rows would gather in few tasks. They are broadcast: as weights sum up to at most total, there are
     fewer than HEAVY. The rest is joined by a shuffle that no such key takes part in. keys is read up to four times: it should be
-    a written table, or cheap to make.
+    a written table, or cheap to make. top: the largest weight, or more, where that is known.
     """
     limit = max(total // HEAVY, LIGHT)
-    if (keys.agg(F.max(weight)).first()[0] or 0) <= limit:
+    if (top if top is not None else keys.agg(F.max(weight)).first()[0] or 0) <= limit:
         return rows.join(keys, on)
     names = [on] if isinstance(on, str) else on
     many, few = F.broadcast(keys.where(F.col(weight) > limit)), keys.where(F.col(weight) <= limit)
@@ -94,13 +94,13 @@ def boxed(df: DataFrame, *own: Column) -> DataFrame:
 
 
 def unboxed(df: DataFrame, **added: Column) -> DataFrame:
-    """The rows that boxed() held, with columns added; a column of the same name is replaced."""
+    """The rows that boxed() held, with columns added; a column of the same name is replaced where it stands."""
     if not added:
         return df.select("row.*")
-    names = [n for n in df.schema["row"].dataType.names if n not in added]
     # In two steps: a name that is added could stand for a column of df in an expression of the same step.
     df = df.select("row", F.struct(*(c.alias(n) for n, c in added.items())).alias("added"))
-    return df.select(*(F.col("row")[n].alias(n) for n in names), *(F.col("added")[n].alias(n) for n in added))
+    names = df.schema["row"].dataType.names
+    return df.select(*(F.col("added" if n in added else "row")[n].alias(n) for n in dict.fromkeys([*names, *added])))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

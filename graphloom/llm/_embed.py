@@ -131,8 +131,9 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[str], features: Features, *, dim: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 7, target: float = 0.99) -> Model:
-    """Fit on most of the examples; temperature and rejection threshold are set on every fifth.
+def train(texts: list[str], labels: list[str], features: Features, *, dim: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 7, target: float = 0.99, documents: list | None = None) -> Model:
+    """Fit on the examples of four fifths of the documents (by default each example is one); temperature and rejection threshold are
+    set on those of the rest, none of which is fitted.
 
     The threshold is the least score from which on `target` of the predictions on that fifth are right. With no example at all
     there is one class, `und`.
@@ -142,7 +143,8 @@ def train(texts: list[str], labels: list[str], features: Features, *, dim: int =
     e = rng.uniform(-1, 1, (features.size + 1, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     y = np.array([classes.index(x) for x in labels], np.int64)
-    held = np.arange(len(y)) % 5 == 4
+    number = {d: k for k, d in enumerate(dict.fromkeys(documents or range(len(y))))}
+    held = np.array([number[d] for d in documents or range(len(y))], np.int64) % 5 == 4
     bags = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)

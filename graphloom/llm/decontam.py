@@ -287,18 +287,18 @@ _TOLD = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(row, own_text, told) of each row of docs: the row as a struct, its text, and what is told of it: the number of words, the
+    """(row, told) of each row of docs: the row as a struct, and what is told of it: the number of words, the
     spans of hit words, sorted and joined, as [s, e), and the ids of items, sorted.
 
     Null or empty texts have no words; null item ids take part but are not listed; no items, or items without words, hit
     nothing. Only texts go through Python, and once for WAVE blocks of items.
     """
     sc = docs.sparkSession.sparkContext
-    out = boxed(docs, F.col("text").alias("own_text"), F.lit(None).cast(TOLD).alias("told"))
+    out = boxed(docs, F.lit(None).cast(TOLD).alias("told"))
     of_blocks = (ItemIndex(block, window) for block in blocks(items, block_chars))
     wave = list(islice(of_blocks, WAVE)) or [ItemIndex([], window)]
     while wave:
-        out = out.select("row", "own_text", _scanner(sc.broadcast(wave))("own_text", "told").alias("told"))
+        out = out.select("row", _scanner(sc.broadcast(wave))(F.col("row")["text"], "told").alias("told"))
         wave = list(islice(of_blocks, WAVE))
         if wave:
             # No worker holds more than one wave.
@@ -371,7 +371,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     def strip(text: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([_strip(t, s) if t and s else t for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    text = F.when(verdict, strip(F.col("own_text"), F.col("told.spans"))).otherwise(F.col("own_text"))
+    own = F.col("row")["text"]
+    text = F.when(verdict, strip(own, F.col("told.spans"))).otherwise(own)
     return unboxed(found.withColumn("row", F.col("row").withField("text", text)))
 
 

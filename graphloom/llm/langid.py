@@ -4,47 +4,45 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import strings
+from graphloom.llm._common import boxed, strings, unboxed
 from graphloom.llm._embed import Features, Model, train
 
-#: About so many labelled rows are fitted, evenly over the languages, and from each at most PARTS excerpts of SPAN characters.
-FIT_ROWS = 4000
-PARTS, SPAN = 3, 400
+#: At most so many labelled rows are fitted, whole texts, evenly over the languages; at most so many languages, the most frequent ones.
+FIT_ROWS, MOST_LANGUAGES = 4000, 1000
 FEATURES = Features(chars=(2, 3, 4), lower=True, bits=15)
 UNKNOWN = "und"
 
 
-def excerpts(text: Column, parts: int, span: int) -> Column:
-    """Up to `parts` excerpts of a text, spread evenly over the whole of it."""
-    room = F.greatest(F.length(text) - span, F.lit(0))
-    return F.array_distinct(F.array(*(F.substring(text, (F.lit(1) + F.floor(room * (k / max(1, parts - 1)))).cast("int"), F.lit(span)) for k in range(parts))))
+def drawn(known: DataFrame, label: str, rates: dict, rows: int, seed: str) -> list[Row]:
+    """At most `rows` rows (doc_id, text, label) of known, at a rate per label: the same rows whatever the partitions.
 
+    Rows have their place in the draw by a hash of doc_id and text, so rows that are alike in both stand together.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(rates.items()) for x in pair)), F.col(label))
+    # Twice the rate holds the first `rows` of the draw almost surely; the limit is what bounds them.
+    return known.select("doc_id", "text", label, (draw / rate).alias("place")).where("place < 2").orderBy("place", "doc_id", "text", label).limit(rows).collect()
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS, features: Features = FEATURES) -> Model:
-    """A model from the rows of docs (doc_id, text, lang) whose lang and text are not null.
 
-    Rows are picked by a hash of doc_id at a rate per language that gives about rows / languages of each.
-    """
+def fit(docs: DataFrame, rows: int = FIT_ROWS, features: Features = FEATURES) -> Model:
+    """A model from the rows of docs (doc_id, text, lang) whose lang and text are not null; without any, one that knows only `und`."""
     known = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return train([], [], features)
-    each = rows / len(counts)
-    rate = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.where(draw < F.element_at(rate, F.col("lang"))).select("doc_id", "lang", F.explode(excerpts(F.col("text"), PARTS, SPAN)).alias("part"))
-    sample = sorted((r.doc_id or 0, r.part, r.lang) for r in picked.collect())
+    sample = drawn(known.where(F.col("lang").isin(*counts)), "lang", {lang: min(1.0, rows / len(counts) / n) for lang, n in counts.items()}, rows, "langid")
     sample = [sample[i] for i in np.random.default_rng(1).permutation(len(sample))]
-    return train([x[1] for x in sample], [x[2] for x in sample], features)
+    return train([x.text for x in sample], [x.lang for x in sample], features, documents=[x.doc_id for x in sample])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1) and rejected (the score is under the calibrated threshold).
 
-    A null text and one without letters are `und` with score 0, and rejected. Rows are kept one to one.
+    A null text and one without letters are `und` with score 0, and rejected. Rows are kept one to one; columns of docs with these
+    names are replaced, all others pass.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -62,8 +60,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         score = np.where(letters, score, 0.0)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(score < m.reject_below)], ["lang_pred", "score", "rejected"])
 
-    names = ["lang_pred", "score", "rejected"]
-    return docs.withColumn("__p", predict(F.col(text))).withColumns({c: F.col("__p")[c] for c in names}).drop("__p")
+    return unboxed(boxed(docs, predict(F.col(text)).alias("p")), **{c: F.col("p")[c] for c in ("lang_pred", "score", "rejected")})
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -144,6 +144,24 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return found.where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
 
 
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """(row, n_lines, n_dropped, kept_text) of each row of docs, which is a struct; see drop_repeated_lines."""
+    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches).select(F.struct("doc_id", "text_hash").alias("key"), "drops")
+    named = boxed(docs.where("doc_id is not null"), F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")).join(drops, "key", "left").drop("key")
+    # Rows without doc_id stay out of the shuffle: they may be many, and have one key.
+    both = named.unionByName(boxed(docs.where("doc_id is null"), F.lit(None).cast("array<int>").alias("drops")))
+    text, lost = F.coalesce(F.col("row")["text"], F.lit("")), F.col("drops")
+    # An array of one element, so that a lambda names the lines and they are split once, not for each place.
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    rest = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    return both.select(
+        "row",
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long").alias("n_dropped"),
+        F.when(lost.isNull(), text).otherwise(rest).alias("kept_text"),
+    )
+
+
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text; columns of docs with these names are replaced, all others pass as they are.
 
@@ -151,18 +169,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     it (all its lines there). A null or empty text is one empty line and stays empty. Rows that share a doc_id are one
     document; a row whose doc_id is null counts for no key and loses no line. An empty table gives an empty table.
     """
-    drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches).select(F.struct("doc_id", "text_hash").alias("key"), "drops")
-    own = F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("own_text")
-    named = boxed(docs.where("doc_id is not null"), *own, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")).join(drops, "key", "left").drop("key")
-    text, lost = F.col("own_text"), F.col("drops")
-    # An array of one element, so that a lambda names the lines and they are split once, not for each place.
-    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
-    rest = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))[0]
-    kept = F.when(lost.isNull(), text).otherwise(rest)
-    return unboxed(
-        # Rows without doc_id stay out of the shuffle: they may be many, and have one key.
-        named.unionByName(boxed(docs.where("doc_id is null"), *own, F.lit(None).cast("array<int>").alias("drops"))),
-        n_lines=(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        n_dropped=F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long"),
-        kept_text=kept,
-    )
+    return unboxed(kept_lines(docs, min_chars, min_docs, batches), **{c: F.col(c) for c in ("n_lines", "n_dropped", "kept_text")})

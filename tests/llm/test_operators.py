@@ -101,7 +101,7 @@ def test_quality(spark):
 
 def test_quality_is_fitted_evenly_over_labels(spark, monkeypatch):
     drawn = []
-    monkeypatch.setattr(quality, "train", lambda texts, labels, features: drawn.append(Counter(labels)) or train(texts, labels, features))
+    monkeypatch.setattr(quality, "train", lambda texts, labels, features, **more: drawn.append(Counter(labels)) or train(texts, labels, features, **more))
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     docs, rare = ids.withColumn("text", F.concat(F.lit("text "), F.col("doc_id"))), ids.select("doc_id", (F.col("doc_id") % 100 > 0).cast("int").alias("quality"))
     model = quality.fit(docs, rare, rows=400)
@@ -255,7 +255,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         assert {r.doc_id: (r.told.words, sum(x.e - x.s for x in r.told.spans)) for r in blocks} == {i: v[:2] for i, v in every.items()}
     assert decontam.digest(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
     assert decontam.digest(docs.limit(0), bench).count() == 0
-    wide = docs.withColumns({c: F.lit("own") for c in ("n_words", "n_hit", "contaminated", "items", "__words", "__row", "row", "told", "own_text", "a.b")})
+    wide = docs.withColumns({c: F.lit("own") for c in ("n_words", "n_hit", "contaminated", "items", "__words", "__row", "row", "told", "text2", "a.b")})
     for action in ("drop", "spans"):
         kept = decontam.decontaminate(wide, bench, action=action)
         assert kept.columns == wide.columns
@@ -718,7 +718,7 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
     clash = docs.withColumns({c: F.lit(c) for c in ("__id", "__lines", "row", "key", "own_text", "a.b", "n_lines")})
     out = line_dedup.drop_repeated_lines(clash)
-    assert out.columns == [c for c in clash.columns if c != "n_lines"] + ["n_lines", "n_dropped", "kept_text"]
+    assert out.columns == [*clash.columns, "n_dropped", "kept_text"]
     for r in out.collect():
         assert (r["__id"], r["row"], r["key"], r["own_text"], r["a.b"], r["score"], r["drops"]) == ("__id", "row", "key", "own_text", "a.b", "x", "z")
 
