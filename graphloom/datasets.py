@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
+from graphloom.runtime import in_order
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,36 +68,38 @@ e AS MATERIALIZED (SELECT src, dst FROM (SELECT event_id AS src, lead(event_id)
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users, labelled with their most frequent event type; each leads to the user of the next of every tenth event."""
+    """Users, labelled with their most frequent event type; each leads to the user of the next event of all."""
     events = read(spark, sf_dir, "events")
     rank = F.count("*") * 1000 + F.ascii("event_type")
     often = events.groupBy("user_id", "event_type").agg(rank.alias("rank"))
     vertices = often.groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", "rank").alias("label"))
-    tenth = events.where("event_id % 10 = 0").select("event_id", "user_id")
-    # The next tenth event has the next multiple of ten as its id wherever ids are dense; else the next larger one.
-    from graphloom.runtime import in_order
-
-    placed = in_order(tenth, "event_id").select("user_id", "index")
+    # The next event stands one place on in a global order, which no single task makes.
+    placed = in_order(events.select("event_id", "user_id"), "event_id").select("user_id", "index")
     edges = placed.select(F.col("user_id").alias("src"), (F.col("index") + 1).alias("index")).join(placed.select(F.col("user_id").alias("dst"), "index"), "index")
     return Graph(vertices, edges.where("src <> dst").select("src", "dst").distinct())
 
 
 TRANSITIONS_SQL = """
-v AS (SELECT user_id AS id, max_by(event_type, r) AS label FROM (SELECT user_id, event_type, count(*) * 1000 + ascii(event_type) AS r FROM events GROUP BY user_id, event_type) GROUP BY user_id),
-e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY event_id) AS dst FROM events WHERE event_id % 10 = 0) WHERE dst <> src)
+v AS MATERIALIZED (SELECT user_id AS id, max_by(event_type, r) AS label FROM (SELECT user_id, event_type, count(*) * 1000 + ascii(event_type) AS r FROM events GROUP BY user_id, event_type) GROUP BY user_id),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY event_id) AS dst FROM events) WHERE dst <> src)
 """
 
 
 def turns(spark: SparkSession, sf_dir: str) -> Graph:
-    """Turns of conversations, labelled with their role; each leads to the next of its conversation."""
+    """Turns of conversations, labelled with their role; each leads to the next of its conversation.
+
+    A turn's id is its conversation times one more than the largest turn of all, plus the turn.
+    """
     rows = read(spark, sf_dir, "conversations")
-    name = F.col("conv_id") * 4096 + F.col("turn")
+    most = rows.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0] + 1
+    name = F.col("conv_id") * F.lit(most).cast("long") + F.col("turn")
     later = F.lead(name).over(W.partitionBy("conv_id").orderBy("turn"))
     edges = rows.select(name.alias("src"), later.alias("dst")).where("dst is not null")
     return Graph(rows.select(name.alias("id"), F.col("role").alias("label")), edges)
 
 
 TURNS_SQL = """
-v AS (SELECT conv_id * 4096 + turn AS id, role AS label FROM conversations),
-e AS MATERIALIZED (SELECT src, dst FROM (SELECT conv_id * 4096 + turn AS src, lead(conv_id * 4096 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations) WHERE dst IS NOT NULL)
+t AS MATERIALIZED (SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS id, conv_id, turn, role FROM conversations),
+v AS (SELECT id, role AS label FROM t),
+e AS MATERIALIZED (SELECT src, dst FROM (SELECT id AS src, lead(id) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM t) WHERE dst IS NOT NULL)
 """

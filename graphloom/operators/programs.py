@@ -54,26 +54,29 @@ class Context:
         self.deltas.append({"iteration": self.iteration, "updates": updates, "work": self.n_edges, "delta": delta})
 
 
-def triplets(graph: Graph, direction: Direction, value: str = "value") -> DataFrame:
+def triplets(graph: Graph, direction: Direction, value: str = "value", of: DataFrame | None = None) -> DataFrame:
     """(id, other, own_value, other_value, edge columns): each edge as seen from the vertex `id` that gathers.
 
-    IN has a row for the target of each edge, OUT one for its source, ALL both.
+    IN has a row for the target of each edge, OUT one for its source, ALL both. With `of` (id), only for those vertices: their edges
+    are picked before values are joined to them.
     """
     extra = [c for c in graph.edges.columns if c not in ("src", "dst")]
     incoming = graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), *(F.col(c).alias(f"edge_{c}") for c in extra))
     outgoing = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), *(F.col(c).alias(f"edge_{c}") for c in extra))
     rows = {Direction.IN: incoming, Direction.OUT: outgoing, Direction.ALL: incoming.unionByName(outgoing)}[direction]
+    if of is not None:
+        rows = rows.join(of.select("id"), "id", "left_semi")
     others = graph.vertices.select(F.col("id").alias("other"), F.col(value).alias("other_value"))
     own = graph.vertices.select("id", F.col(value).alias("own_value"))
     return rows.join(others, "other").join(own, "id")
 
 
-def gather(graph: Graph, expression: Column, aggregate: Callable[[Column], Column], direction: Direction = Direction.IN, value: str = "value") -> DataFrame:
+def gather(graph: Graph, expression: Column, aggregate: Callable[[Column], Column], direction: Direction = Direction.IN, value: str = "value", of: DataFrame | None = None) -> DataFrame:
     """(id, acc): the aggregate of an expression over triplets; null for a vertex without edges in that direction, or with NONE."""
     ids = graph.vertices.select("id")
     if direction is Direction.NONE:
         return ids.withColumn("acc", F.lit(None).cast("double"))
-    got = triplets(graph, direction, value).groupBy("id").agg(aggregate(expression).alias("acc"))
+    got = triplets(graph, direction, value, of).groupBy("id").agg(aggregate(expression).alias("acc"))
     return ids.join(got, "id", "left")
 
 
@@ -105,12 +108,13 @@ def gas(
     state = graph.vertices.select("id", "value").persist()
     context = Context(state.count(), edges.count(), num_iterations=rounds)
     active: DataFrame | None = None
+    old_state, cached = state, [edges]
     expression = F.col("other_value") if gather_expression is None else gather_expression
     while context.iteration < context.num_iterations and not context.stopped:
         if before:
             before(context)
         now = Graph(state, edges)
-        got = gather(now, expression, aggregate, direction)
+        got = gather(now, expression, aggregate, direction, of=active)
         rows = state.join(got, "id").withColumn("round", F.lit(context.iteration))
         if active is None:
             new = rows.select("id", apply.alias("value"), F.col("value").alias("old"))
@@ -126,13 +130,20 @@ def gas(
             out = edges.join(speakers, edges.src == speakers.id, "left_semi").select(F.col("dst").alias("id"))
             back = edges.join(speakers, edges.dst == speakers.id, "left_semi").select(F.col("src").alias("id"))
             active = {Direction.OUT: out, Direction.IN: back, Direction.ALL: out.unionByName(back)}[scatter].distinct()
-        state = new.select("id", "value")
+            active = active.persist()
+            cached.append(active)
+        # What the round before kept has been read for the last time, but for the vertices it signalled.
+        old_state.unpersist()
+        old_state, state = new, new.select("id", "value")
         if after:
             after(context)
         context.iteration += 1
         if tolerance is not None and delta <= tolerance or scatter is not Direction.NONE and active.isEmpty():
             break
-    return state, context
+    final = table(state, "vertices")
+    for x in (old_state, *cached):
+        x.unpersist()
+    return final, context
 
 
 @dataclass(frozen=True)
@@ -164,7 +175,10 @@ def run_kernel(edges: DataFrame, kernel: Kernel, rounds: int) -> DataFrame:
         state = state.join(acc, "id", "left").select("id", "outdegree", kernel.compute(F.col("value"), F.coalesce("acc", kernel.reset)).alias("value"))
         if (i + 1) % CUT_EVERY == 0:
             state = table(state, "kernel")
-    return state.select("id", "value")
+    final = table(state.select("id", "value"), "kernel")
+    for x in (edges, deg):
+        x.unpersist()
+    return final
 
 
 def pagerank_kernel(damping: float = 0.85) -> Kernel:

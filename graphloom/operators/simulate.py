@@ -19,7 +19,11 @@ from graphloom.runtime import table
 
 MAX_BITS = 63
 #: After so many rounds the state is written, so that its lineage stays short.
-CUT_EVERY = 4
+CUT_EVERY = 8
+#: Rounds that an action runs.
+STEP = 2
+#: Vertices that at least so many edges, and more than one of HUBS of all edges, lead to are joined by broadcast.
+HUB, HUBS = 100_000, 20_000
 
 
 def candidates(graph: Graph, pattern: Pattern) -> DataFrame:
@@ -47,8 +51,40 @@ def _start(graph: Graph, pattern: Pattern, edges: DataFrame, include_isolated: b
     return state.join(touched, "id", "left_semi")
 
 
-def _shrunk(state: DataFrame, edges: DataFrame, needs: list[int]) -> DataFrame:
-    child = edges.join(state.select(F.col("id").alias("dst"), "mask"), "dst").groupBy("src").agg(F.bit_or("mask").alias("below"))
+class _Edges:
+    """Edges dealt for joins with the state of their dst: kept from round to round.
+
+    They stay dealt by dst, but for those of the few vertices that very many edges lead to: these stay where they are, and the
+    state of such vertices is broadcast.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.source = edges
+        degrees = edges.groupBy("dst").agg(F.count("*").alias("n"))
+        self.total, top = degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        # Degrees sum up to the edges, so fewer than HUBS vertices are over the limit.
+        limit = max(HUB, self.total // HUBS)
+        self.hubs = F.broadcast(degrees.where(F.col("n") > limit).select("dst")) if top > limit else None
+        light = edges if self.hubs is None else edges.join(self.hubs, "dst", "left_anti")
+        self.light = light.repartition("dst").persist()
+        self.heavy = None if self.hubs is None else edges.join(self.hubs, "dst", "left_semi").persist()
+
+    def joined(self, state: DataFrame) -> DataFrame:
+        """(dst, src, mask) of edges whose target has a state."""
+        masks = state.select(F.col("id").alias("dst"), "mask")
+        found = self.light.join(masks, "dst")
+        if self.hubs is None:
+            return found
+        return found.unionByName(self.heavy.join(F.broadcast(masks.join(self.hubs, "dst", "left_semi")), "dst"))
+
+    def unpersist(self) -> None:
+        self.light.unpersist()
+        if self.heavy is not None:
+            self.heavy.unpersist()
+
+
+def _shrunk(state: DataFrame, edges: _Edges, needs: list[int]) -> DataFrame:
+    child = edges.joined(state).groupBy("src").agg(F.bit_or("mask").alias("below"))
     below = F.coalesce("below", F.lit(0).cast("long"))
 
     def bit(q: int, need: int) -> Column:
@@ -63,33 +99,61 @@ def _shrunk(state: DataFrame, edges: DataFrame, needs: list[int]) -> DataFrame:
 
 
 def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False, max_rounds: int | None = None, dual: bool = False) -> tuple[DataFrame, int, bool]:
-    """(state(id, mask), rounds, whether every query node is matched); see simulate."""
+    """(state(id, mask), rounds, whether every query node is matched); see simulate.
+
+    An action runs STEP rounds. Where the matched vertices have become less than half as many, edges that touch others are dropped.
+    """
     if not 0 < len(pattern.nodes) <= MAX_BITS:
         raise ValueError(f"a pattern must have 1 to {MAX_BITS} nodes here; see simulate_pairs")
-    # Each round joins on dst and then aggregates by src, so the edges stay dealt by dst.
-    edges = graph.simple().repartition("dst").persist()
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if dual else None
+    simple = source = graph.simple().persist()
     needs, behind = pattern.needs(), pattern.reversed().needs()
     full = (1 << len(needs)) - 1
-    held = _start(graph, pattern, edges, include_isolated).persist()
-    told = F.struct(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)), F.coalesce(F.bit_or("mask"), F.lit(0)))
-    count, union = held.agg(told.alias("x")).first().x
-    rounds = 0
-    while union == full and any(needs):
+    held = _start(graph, pattern, simple, include_isolated).persist()
+    told = F.struct(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)), F.coalesce(F.bit_or("mask"), F.lit(0)), F.count("*"))
+    count, union, size = held.agg(told.alias("x")).first().x
+    rounds, dealt, size_then = 0, [], size
+    if union == full and any(needs):
+        dealt = [_Edges(simple)] + ([_Edges(_reversed(simple))] if dual else [])
+    while dealt:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        new = _shrunk(held, edges, needs)
-        if dual:
-            new = _shrunk(new, back, behind)
-        rounds += 1
-        new = table(new, "state") if rounds % CUT_EVERY == 0 else new.persist()
-        left, union = new.agg(told.alias("x")).first().x
-        held, old = new, held
-        old.unpersist()
-        if left == count:
+        steps, states = STEP if max_rounds is None else 1, []
+        new = held
+        for _ in range(steps):
+            new = _shrunk(new, dealt[0], needs)
+            if dual:
+                new = _shrunk(new, dealt[1], behind)
+            states.append(new.persist())
+        rounds += steps
+        if rounds % CUT_EVERY < steps:
+            states.append(new := table(new, "state"))
+        left, union, size = new.agg(told.alias("x")).first().x
+        for old in (held, *states[:-1]):
+            old.unpersist()
+        held = new
+        if left == count or union != full:
             break
         count = left
-    return held, rounds, union == full
+        if 2 * size < size_then:
+            size_then, old = size, dealt
+            simple = table(_between(old[0].source, held), "edges")
+            dealt = [_Edges(simple)] + ([_Edges(_reversed(simple))] if dual else [])
+            for x in old:
+                x.unpersist()
+    final = table(held, "matched")
+    for x in (held, source, *dealt):
+        x.unpersist()
+    return final, rounds, union == full
+
+
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _between(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """Edges whose ends both have a state."""
+    ids = state.select("id")
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
 def simulate(graph: Graph, pattern: Pattern, *, include_isolated: bool = False, max_rounds: int | None = None, dual: bool = False) -> DataFrame:
@@ -151,6 +215,7 @@ def simulate_pairs(graph: Graph, pattern: Pattern, *, include_isolated: bool = F
         pairs = table(wanted.join(support, ["id", "q"], "left").where("need is null or have = need").select("q", "id"), "pairs")
         left = pairs.count()
         if left == count:
+            edges.unpersist()
             return _all_or_nothing(pairs, len(pattern.nodes))
         count = left
 
@@ -169,6 +234,7 @@ def simulate_delta(graph: Graph, pattern: Pattern, *, include_isolated: bool = F
     while True:
         gone = table(counters.where("n <= 0").select("id", "q").distinct(), "refuted")
         if gone.isEmpty():
+            edges.unpersist()
             return _all_or_nothing(alive, len(pattern.nodes))
         alive = table(alive.join(gone, ["id", "q"], "left_anti").select("q", "id"), "alive")
         less = edges.join(gone.select(F.col("id").alias("dst"), F.col("q").alias("target")), "dst").groupBy(F.col("src").alias("id"), "target").agg(F.count("*").alias("less"))
@@ -186,4 +252,5 @@ def reachable(graph: Graph, start: DataFrame, hops: int | None = None) -> DataFr
         front = table(step.join(seen, "id", "left_anti"), "front")
         seen = table(seen.unionByName(front), "seen")
         n += 1
+    edges.unpersist()
     return seen
