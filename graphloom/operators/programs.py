@@ -1,11 +1,12 @@
 """Vertex programs as loops over DataFrames: gather-apply-scatter, functional kernels, message passing, edge aggregation.
 
 A program is given as Columns, so a round is joins and one aggregation. Updates are seen in the next round (bulk-synchronous);
-programs that rely on seeing them within a round are not offered.
+of programs that see them within a round those are offered whose fixpoint does not depend on it (run_monotone).
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -97,17 +98,21 @@ def gas(
     tolerance: float | None = None,
     before: Callable[[Context], None] | None = None,
     after: Callable[[Context], None] | None = None,
+    start: DataFrame | None = None,
+    repeat: int = 1,
 ) -> tuple[DataFrame, Context]:
     """Run a gather-apply-scatter program on the column `value` of graph.vertices.
 
     gather_expression sees own_value, other_value and edge_*; apply sees value, acc, id and round. With a scatter direction only
     vertices that a neighbour signalled run again: signal (over old, value) tells which vertices signal along that direction. The
     loop ends after `rounds`, when no vertex is signalled, when a hook calls stop(), or when the change is at most tolerance.
+    start (id) are the vertices that run in the first round, all by default. repeat runs apply so often a round on its own result,
+    with the same acc.
     """
     edges = graph.edges.persist()
     state = graph.vertices.select("id", "value").persist()
     context = Context(state.count(), edges.count(), num_iterations=rounds)
-    active: DataFrame | None = None
+    active = None if start is None else start.select("id").distinct()
     old_state, cached = state, [edges]
     expression = F.col("other_value") if gather_expression is None else gather_expression
     while context.iteration < context.num_iterations and not context.stopped:
@@ -116,11 +121,12 @@ def gas(
         now = Graph(state, edges)
         got = gather(now, expression, aggregate, direction, of=active)
         rows = state.join(got, "id").withColumn("round", F.lit(context.iteration))
-        if active is None:
-            new = rows.select("id", apply.alias("value"), F.col("value").alias("old"))
-        else:
+        rows = rows.withColumn("old", F.col("value"))
+        if active is not None:
             rows = rows.join(active.withColumn("__on", F.lit(True)), "id", "left")
-            new = rows.select("id", F.when(F.col("__on"), apply).otherwise(F.col("value")).alias("value"), F.col("value").alias("old"))
+        for _ in range(repeat):
+            rows = rows.withColumn("value", apply if active is None else F.when(F.col("__on"), apply).otherwise(F.col("value")))
+        new = rows.select("id", "value", "old")
         new = table(new, "vertices") if (context.iteration + 1) % CUT_EVERY == 0 else new.persist()
         moved = F.abs(F.col("value").cast("double") - F.col("old").cast("double"))
         updates, delta = new.agg(F.count_if(~F.col("value").eqNullSafe(F.col("old"))), F.coalesce(F.sum(moved), F.lit(0.0))).first()
@@ -201,19 +207,121 @@ def shortest_hops(edges: DataFrame, start: int, rounds: int) -> DataFrame:
 
 @dataclass
 class VertexProgram:
-    """A vertex program with hooks: message (over src_value, edge_*), merge, apply (over value, acc, id, round)."""
+    """A vertex program with hooks: message (over src_value as other_value, edge_*), merge, apply (over value, acc, id, round).
+
+    The interval hooks get the context and a range of ids (first, last): a round is one interval here, of all vertices. repeat runs a
+    vertex's apply so often a round. edge, where given, is what a vertex writes on its out-edges after each round (over value,
+    edge_value, src, dst): its neighbours see it in the next round as edge_value.
+    """
 
     message: Column
     merge: Callable[[Column], Column]
     apply: Column
     before_iteration: Callable[[Context], None] | None = None
     after_iteration: Callable[[Context], None] | None = None
-
-    def run(self, graph: Graph, rounds: int) -> tuple[DataFrame, Context]:
+    before_interval: Callable[[Context, int, int], None] | None = None
+    after_interval: Callable[[Context, int, int], None] | None = None
+    repeat: int = 1
+    edge: Column | None = None
+
+    def _hooks(self, graph: Graph) -> tuple[Callable[[Context], None], Callable[[Context], None]]:
+        ends = (0, -1)
+        if self.before_interval or self.after_interval:
+            first, last = graph.vertices.agg(F.min("id"), F.max("id")).first()
+            ends = (first if first is not None else 0, last if last is not None else -1)
+
+        def before(context: Context) -> None:
+            if self.before_iteration:
+                self.before_iteration(context)
+            if self.before_interval:
+                self.before_interval(context, *ends)
+
+        def after(context: Context) -> None:
+            if self.after_interval:
+                self.after_interval(context, *ends)
+            if self.after_iteration:
+                self.after_iteration(context)
+
+        return before, after
+
+    def run(self, graph: Graph, rounds: int, start: DataFrame | None = None) -> tuple[DataFrame, Context]:
         """Messages go from sources to targets; the result is (id, value)."""
-        message = self.message
-        renamed = Graph(graph.vertices, graph.edges)
-        return gas(renamed, self.apply, rounds, message, self.merge, Direction.IN, before=self.before_iteration, after=self.after_iteration)
+        before, after = self._hooks(graph)
+        if self.edge is None:
+            return gas(graph, self.apply, rounds, self.message, self.merge, Direction.IN, before=before, after=after, start=start, repeat=self.repeat)
+        state, _, context = self.run_with_edges(graph, rounds, start)
+        return state, context
+
+    def run_with_edges(self, graph: Graph, rounds: int, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Context]:
+        """(vertices(id, value), edges(src, dst, value), context): a round at a time, since edges change too."""
+        before, after = self._hooks(graph)
+        edges, vertices = graph.edges.select("src", "dst", "value"), graph.vertices.select("id", "value")
+        context = Context(vertices.count(), edges.count(), num_iterations=rounds)
+        while context.iteration < context.num_iterations and not context.stopped:
+            before(context)
+            vertices, one = gas(Graph(vertices, edges), self.apply, 1, self.message, self.merge, Direction.IN, start=start, repeat=self.repeat)
+            context.deltas.append(one.deltas[0] | {"iteration": context.iteration})
+            wrote = edges.withColumnRenamed("value", "edge_value").join(vertices.select(F.col("id").alias("src"), "value"), "src")
+            edges = table(wrote.select("src", "dst", (self.edge if self.edge is not None else F.col("edge_value")).alias("value")), "edge-values")
+            after(context)
+            context.iteration, start = context.iteration + 1, None
+        return vertices, edges, context
+
+
+def emitted_graph(graph: Graph, emit: Callable, schema: str, path: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A new graph in a folder, of the edges that emit(id, frame of out-edges) gives for each vertex as rows of schema (src, dst, ...).
+
+    keep, where given, reduces duplicates (see analytics.reduce_duplicates). The result is read from the shards that are written.
+    """
+    from graphloom.sources.readers import write_shards
+
+    out = map_vertices(graph, emit, schema)
+    write_shards(out if keep is None else keep(out), path)
+    return graph.edges.sparkSession.read.parquet(path)
+
+
+def run_monotone(edges: DataFrame, kernel: Kernel, decreasing: bool = True, max_rounds: int = 1000) -> DataFrame:
+    """(id, value): a kernel's fixpoint, for kernels whose values only ever fall (or only ever rise).
+
+    Such a kernel has the same fixpoint whether rounds see each other's new values at once or in the next round, so this stands for
+    semi-synchronous runs of it. A value that moves the other way raises.
+    """
+    from graphloom.operators.analytics import degrees
+
+    edges = edges.select("src", "dst").persist()
+    deg = degrees(edges)
+    state = table(deg.select("id", "outdegree", kernel.initial(F.col("id"), F.col("indegree"), F.col("outdegree")).alias("value")), "monotone")
+    for _ in range(max_rounds):
+        told = state.select(F.col("id").alias("src"), kernel.message(F.col("value"), F.col("outdegree")).alias("m"))
+        acc = edges.join(told, "src").groupBy(F.col("dst").alias("id")).agg(kernel.plus(kernel.op(F.col("m"))).alias("acc"))
+        new = state.join(acc, "id", "left").select("id", "outdegree", kernel.compute(F.col("value"), F.coalesce("acc", kernel.reset)).alias("value"), F.col("value").alias("old"))
+        new = table(new, "monotone")
+        wrong = F.col("value") > F.col("old") if decreasing else F.col("value") < F.col("old")
+        moved, against = new.agg(F.count_if(~F.col("value").eqNullSafe(F.col("old"))), F.count_if(wrong)).first()
+        if against:
+            raise ValueError("the kernel is not monotone")
+        state = new.select("id", "outdegree", "value")
+        if not moved:
+            edges.unpersist()
+            return state.select("id", "value")
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def sum_priority(x: Column) -> Column:
+    """How priorities of messages to one vertex add up: as their sum."""
+    return F.sum(x.cast("double"))
+
+
+def max_priority(x: Column) -> Column:
+    """The same as their largest."""
+    return F.max(x.cast("double"))
+
+
+def engine_info(context: Context, graph: Graph, name: str = "") -> str:
+    """What a loop is doing, as JSON: the round, their number, sizes, seconds, and the updates and change of each round."""
+    last = context.deltas[-1] if context.deltas else {}
+    told = {"engine": "spark", "app": name, "iteration": context.iteration, "numIterations": context.num_iterations, "runTime": round(context.runtime(), 3), "updates": sum(x["updates"] for x in context.deltas), "numVertices": context.n_vertices, "edges": context.n_edges, "lastUpdates": last.get("updates"), "lastDelta": last.get("delta"), "partitions": graph.edges.rdd.getNumPartitions()}
+    return json.dumps(told)
 
 
 def map_vertices(graph: Graph, function: Callable, schema: str, by: str = "id") -> DataFrame:

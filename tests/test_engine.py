@@ -17,7 +17,7 @@ from graphloom.sinks import write_matches
 from graphloom.sources import generators as G
 from graphloom.sources import readers as R
 from graphloom.sources.config import Config
-from graphloom.streaming.dynamic import DynamicGraph
+from graphloom.streaming.dynamic import DynamicGraph, merge_state
 
 
 def pairs(df):
@@ -176,6 +176,99 @@ def test_stream_equals_batches(spark, tmp_path):
             g.compact()
     assert pairs(g.edges().select("src", "dst")) == [(0, 1), (2, 3)]
     assert g.counts()[0] > 0
-    g.append(spark.createDataFrame([(7, 8)], "src long, dst long"), 99)
-    g.append(spark.createDataFrame([(7, 9)], "src long, dst long"), 99)
-    assert pairs(g.edges().select("src", "dst")) == [(0, 1), (2, 3), (7, 9)]
+    g.append(spark.createDataFrame([(7, 8)], "src long, dst long"), "own")
+    g.append(spark.createDataFrame([(7, 9)], "src long, dst long"), "own")
+    assert pairs(g.edges().select("src", "dst")) == [(0, 1), (2, 3), (7, 8)]
+
+
+def test_batches_of_several_writers_keep_apart(spark, tmp_path):
+    """Edges added by hand, a stream, compaction, another stream, a restart of the first, and a batch that a dead job left."""
+    def frame(*rows):
+        return spark.createDataFrame(list(rows), "src long, dst long, op int")
+
+    def files(name, *parts):
+        for rows in parts:
+            frame(*rows).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def follow(graph, name):
+        stream = spark.readStream.schema("src long, dst long, op int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        graph.wait(graph.follow(stream, str(tmp_path / f"cp-{name}")))
+
+    g = DynamicGraph(spark, str(tmp_path / "graph"))
+    g.add_edges(frame((1, 2, 1)).select("src", "dst"))
+    files("a", [(10, 11, 1)], [(11, 12, 1)])
+    follow(g, "a")
+    assert pairs(g.edges().select("src", "dst")) == [(1, 2), (10, 11), (11, 12)]
+    assert g.compact(force=True) and g.counts() == (3, 0)
+    files("b", [(8, 9, 1), (1, 2, -1)])
+    follow(g, "b")
+    assert pairs(g.edges().select("src", "dst")) == [(8, 9), (10, 11), (11, 12)]
+    files("a", [(12, 13, 1)])
+    again = DynamicGraph(spark, str(tmp_path / "graph"))
+    follow(again, "a")
+    follow(again, "a")
+    assert again.counts() == (3, 1) and pairs(again.edges().select("src", "dst")) == [(8, 9), (10, 11), (11, 12), (12, 13)]
+    # A batch that was begun before a compaction and ended after it still counts.
+    n = again.next_batch()
+    frame((20, 21, 1)).selectExpr("src", "dst", "cast(null as double) value", "op", f"{n}L batch").write.parquet(str(tmp_path / f"graph/log/batch-{n:012d}-late"))
+    (tmp_path / f"graph/log/batch-{n:012d}-late/_SUCCESS").unlink()
+    assert again.compact(force=True) and again.next_batch() == n + 1
+    again.append(frame((20, 22, 1)), "late")
+    assert pairs(again.edges().select("src", "dst")) == [(8, 9), (10, 11), (11, 12), (12, 13), (20, 22)]
+    # finish_after: the third file is left for a restart.
+    files("c", [(30, 31, 1)], [(31, 32, 1)], [(32, 33, 1)])
+    again.finish_after(2)
+    follow(again, "c")
+    assert again.counts()[1] == 3
+    again.last_batch = None
+    follow(again, "c")
+    assert again.counts()[1] == 4
+
+
+def test_programs_on_a_changing_graph(spark, tmp_path):
+    g = DynamicGraph(spark, str(tmp_path / "graph"))
+    g.add_edges(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"))
+    least = P.VertexProgram(F.col("other_value"), F.min, F.least("value", F.coalesce("acc", F.col("value"))))
+    state = merge_state(spark.createDataFrame([], "id long, value long"), g, F.col("id"))
+    state = g.run(least, state, 3)
+    assert pairs(state) == [(0, 0), (1, 0), (2, 0)]
+    g.add_edges(spark.createDataFrame([(2, 3), (4, 5)], "src long, dst long"))
+    state = merge_state(state, g, F.col("id") * 10)
+    assert pairs(state) == [(0, 0), (1, 0), (2, 0), (3, 30), (4, 40), (5, 50)]
+    g.add_task(spark.createDataFrame([(3,)], "id long"))
+    assert pairs(g.run(least, state, 1)) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 40), (5, 50)]
+    assert g.tasks is None
+
+
+def test_vertex_programs_with_hooks_and_edge_values(spark):
+    calls = []
+    edges = spark.createDataFrame([(0, 1, 0.0), (1, 2, 0.0), (0, 2, 0.0)], "src long, dst long, value double")
+    graph = Graph(spark.createDataFrame([(i, 0.0) for i in range(3)], "id long, value double"), edges)
+    count = P.VertexProgram(
+        F.lit(0.0), F.sum, F.col("value") + 1, repeat=2,
+        before_iteration=lambda c: calls.append(("b", c.iteration)), after_iteration=lambda c: calls.append(("a", c.iteration)),
+        before_interval=lambda c, i, j: calls.append(("bi", i, j)), after_interval=lambda c, i, j: calls.append(("ai", i, j)),
+    )
+    out, context = count.run(graph, 2)
+    assert pairs(out) == [(0, 4.0), (1, 4.0), (2, 4.0)] and len(context.deltas) == 2
+    assert calls == [("b", 0), ("bi", 0, 2), ("ai", 0, 2), ("a", 0), ("b", 1), ("bi", 0, 2), ("ai", 0, 2), ("a", 1)]
+    # Vertices write src + round on their out-edges; targets sum what the round before wrote.
+    writes = P.VertexProgram(F.col("edge_value"), F.sum, F.coalesce("acc", F.lit(0.0)), edge=F.col("src") + F.col("edge_value") + 1)
+    vertices, wrote, context = writes.run_with_edges(graph, 3)
+    assert pairs(vertices) == [(0, 0.0), (1, 2.0), (2, 6.0)] and [x["iteration"] for x in context.deltas] == [0, 1, 2]
+    assert sorted(map(tuple, wrote.collect())) == [(0, 1, 3.0), (0, 2, 3.0), (1, 2, 6.0)]
+    assert pairs(writes.run(graph, 3)[0]) == pairs(vertices)
+    assert json.loads(P.engine_info(context, graph, "x")) | {"runTime": 0} == {"engine": "spark", "app": "x", "iteration": 3, "numIterations": 3, "runTime": 0, "updates": 4, "numVertices": 3, "edges": 3, "lastUpdates": 2, "lastDelta": 4.0, "partitions": graph.edges.rdd.getNumPartitions()}
+
+
+def test_monotone_kernels_and_emitted_graphs(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 4)], "src long, dst long")
+    least = P.Kernel(lambda i, a, b: i, F.lit(None).cast("long"), lambda m: m, F.min, lambda old, acc: F.least(old, acc), lambda v, o: v)
+    assert pairs(P.run_monotone(edges, least)) == [(0, 0), (1, 0), (2, 0), (4, 4), (5, 5)]
+    with pytest.raises(ValueError, match="monotone"):
+        P.run_monotone(edges, P.Kernel(lambda i, a, b: i, F.lit(0), lambda m: m, F.sum, lambda old, acc: old + acc, lambda v, o: v)).collect()
+    graph = Graph(spark.range(3), edges)
+    new = P.emitted_graph(graph, lambda key, pdf: pdf.assign(src=pdf.dst, dst=key + 100)[["src", "dst"]], "src long, dst long", str(tmp_path / "new"), keep=lambda e: e.distinct())
+    assert pairs(new) == [(0, 102), (1, 100), (2, 101), (4, 105)]
+    rows = spark.createDataFrame([(1, 2.0), (1, 3.0)], "id long, p double").groupBy("id").agg(P.sum_priority(F.col("p")).alias("s"), P.max_priority(F.col("p")).alias("m")).collect()
+    assert [tuple(r) for r in rows] == [(1, 5.0, 3.0)]
