@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,26 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
+#: Bytes of a batch that Python gets, which is held several times over; and what the session has if nobody has set it.
+BATCH_BYTES, DEFAULT_BYTES = "4m", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Python batches of BATCH_BYTES at most, unless it was told a size."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", DEFAULT_BYTES) == DEFAULT_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system, for other processes of the machine; a worker that waits for its next task keeps none."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it
+        return
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from graphloom.llm._common import mix, powers, prefix_hash, slices
+from graphloom.llm._common import give_back, mix, powers, prefix_hash, slices
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -169,6 +169,7 @@ def train(texts: list[str], labels: list[str], features: Features, *, dim: int =
             e[u] = rows
             step += 1
     table = (e @ w).astype(np.float32)
+    del bags, e
     table[-1] = 0
     model = Model(features, classes, table, b.astype(np.float64))
     if held.any():
@@ -182,4 +183,5 @@ def train(texts: list[str], labels: list[str], features: Features, *, dim: int =
         order = np.argsort(-score, kind="stable")
         good = np.flatnonzero(np.cumsum(right[order]) >= target * np.arange(1, len(order) + 1))
         model.reject_below = float(score[order][good[-1]]) if len(good) else 1.0
+    give_back()
     return model

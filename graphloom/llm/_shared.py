@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import slices, strings
+from graphloom.llm._common import give_back, slices, small_batches, strings
 
 _U = np.uint64
 #: A chunk ends after so many bytes of text or so many rows (which must fit 16 bits).
@@ -195,10 +195,12 @@ def shared_hashes(docs: DataFrame, of: Hasher, buckets: int | None = None) -> Da
     def asking(batches):
         for table in chunks(batches, ["doc_id", "text"]):
             yield from ask(table, of, n)
+        give_back()
 
     def answering(batches):
         yield from by_bucket(batches, answer)
+        give_back()
 
-    asked = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(asking, "bucket int, kind int, doc_id long, blob binary")
+    asked = small_batches(docs).select("doc_id", "text").where("doc_id is not null").mapInArrow(asking, "bucket int, kind int, doc_id long, blob binary")
     # A bucket a partition: hashing bucket numbers would put several into one and none into another.
     return asked.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answering, "kind int, doc_id long, blob binary")

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import boxed, cut, mix, powers, prefix_hash, slices, strings, unboxed
+from graphloom.llm._common import boxed, cut, mix, powers, prefix_hash, slices, small_batches, strings, unboxed
 
 WINDOW = 13
 #: A document is contaminated if at least 1 of so many words is hit.
@@ -294,7 +294,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_char
     nothing. Only texts go through Python, and once for WAVE blocks of items.
     """
     sc = docs.sparkSession.sparkContext
-    out = boxed(docs, F.lit(None).cast(TOLD).alias("told"))
+    out = boxed(small_batches(docs), F.lit(None).cast(TOLD).alias("told"))
     of_blocks = (ItemIndex(block, window) for block in blocks(items, block_chars))
     wave = list(islice(of_blocks, WAVE)) or [ItemIndex([], window)]
     while wave:

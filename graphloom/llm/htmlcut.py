@@ -16,6 +16,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm._common import small_batches
+
 # Names of HTML elements by their role.
 HIDDEN = frozenset("script style template noscript noembed noframes head title svg math iframe object audio video canvas textarea select datalist".split())
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
@@ -367,4 +369,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in batch["html"]]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

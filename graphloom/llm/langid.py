@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import boxed, strings, unboxed
+from graphloom.llm._common import boxed, small_batches, strings, unboxed
 from graphloom.llm._embed import Features, Model, train
 
 #: At most so many labelled rows are fitted, whole texts, evenly over the languages; at most so many languages, the most frequent ones.
-FIT_ROWS, MOST_LANGUAGES = 4000, 1000
+FIT_ROWS, MOST_LANGUAGES = 2000, 1000
 FEATURES = Features(chars=(2, 3, 4), lower=True, bits=15)
 UNKNOWN = "und"
 
@@ -60,7 +60,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         score = np.where(letters, score, 0.0)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(score < m.reject_below)], ["lang_pred", "score", "rejected"])
 
-    return unboxed(boxed(docs, predict(F.col(text)).alias("p")), **{c: F.col("p")[c] for c in ("lang_pred", "score", "rejected")})
+    return unboxed(boxed(small_batches(docs), predict(F.col(text)).alias("p")), **{c: F.col("p")[c] for c in ("lang_pred", "score", "rejected")})
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import boxed, cut, unboxed
+from graphloom.llm._common import boxed, cut, small_batches, unboxed
 
 #: Boxes that hold boxes. Fixed values of the format.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"})
@@ -331,7 +331,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 columns = [part["doc_id"], pa.array([n for _, n in payloads], pa.int64()), pa.array([write_container(x) for x, _ in payloads], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
 def describe_stored(stored: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import cut, slices, strings
+from graphloom.llm._common import cut, give_back, slices, small_batches, strings
 
 LENGTH = 2048
 END = 1
@@ -94,7 +94,7 @@ class ChunkTokenizer(TextTokenizer):
     """
 
     #: Words of letters are encoded so many at a time: each is one piece, whose last id is one that ends a word.
-    KEPT, JOINED = 300_000, 64
+    KEPT, JOINED = 150_000, 64
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -186,7 +186,7 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         so_far: dict[str | None, int] = {}
         for batch in batches:
             size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            for i, j in slices(size, 4 << 20):
+            for i, j in slices(size, 2 << 20):
                 rows = batch.slice(i, j - i)
                 ids = [np.concatenate([x, last]) for x in tokenizer(rows["text"])]
                 before = []
@@ -195,8 +195,9 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                     before.append(n)
                     so_far[source] = n + len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(before, pa.int64()), rows["doc_id"], rows["source"], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
+        give_back()
 
-    return docs.select("doc_id", "source", "text").mapInArrow(encode, "part int, before long, doc_id long, source string, doc_tokens long, ids binary")
+    return small_batches(docs).select("doc_id", "source", "text").mapInArrow(encode, "part int, before long, doc_id long, source string, doc_tokens long, ids binary")
 
 
 #: documents [number, start, remaining] by source; what each source gets of a window; what each is owed at the start.
@@ -386,6 +387,7 @@ def pack_tokens(tokens: DataFrame, length: int = LENGTH, group_tokens: int = GRO
                 held.append(batch.slice(a, b - a))
         if held:
             yield from packed(group, pa.Table.from_batches(held), length)
+        give_back()
 
     return rows.mapInArrow(deal, PIECES)
 

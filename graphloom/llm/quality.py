@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import boxed, strings, unboxed
+from graphloom.llm._common import boxed, small_batches, strings, unboxed
 from graphloom.llm._embed import Features, Model, train
 
 #: At most so many labelled rows are fitted, whole texts, half of each label or all of a rarer one.
@@ -60,7 +60,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
         data, offsets = strings(texts)
         return pa.array(np.round(m.probabilities(data, offsets)[:, m.classes.index("1")], 6))
 
-    return unboxed(boxed(docs, predict(F.col(text)).alias("p")), score=F.col("p"), predicted=(F.col("p") >= threshold).cast("int"))
+    return unboxed(boxed(small_batches(docs), predict(F.col(text)).alias("p")), score=F.col("p"), predicted=(F.col("p") >= threshold).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id"):

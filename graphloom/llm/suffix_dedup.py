@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import gram_hash, mix, prefix_hash, row_of, slices, strings
+from graphloom.llm._common import give_back, gram_hash, mix, prefix_hash, row_of, slices, strings
 from graphloom.llm._shared import ANSWER, QUESTION, SLICE, bucket_of, buckets_for, by_bucket, chunks, distinct, shared_hashes, unpack48
 
 LENGTH = 50
@@ -404,9 +404,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     def send(batches):
         for table in chunks(batches, ["doc_id", "tag", "text", "blobs"], SEND_BYTES):
             yield from segments(table, n)
+        give_back()
 
     def settle(batches):
         yield from by_bucket(batches, resolve)
+        give_back()
 
     sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, tag long, blob binary")
     found = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag long, blob binary")
