@@ -75,6 +75,18 @@ def list_add(a: Column, x: Column) -> Column:
     return F.array_append(F.coalesce(a, F.array()), x)
 
 
+def list_get(a: Column, i: int) -> Column:
+    return F.get(a, F.lit(i))
+
+
+def list_size(a: Column) -> Column:
+    return F.coalesce(F.size(a), F.lit(0))
+
+
+def list_clear(a: Column) -> Column:
+    return F.filter(a, lambda _: F.lit(False))
+
+
 def list_set(a: Column, i: int, x: Column) -> Column:
     return F.transform(a, lambda v, k: F.when(k == i, x).otherwise(v))
 
@@ -111,12 +123,92 @@ def json_size(v: Column) -> Column:
     return F.when(kind == "null", 0).otherwise(F.coalesce(n, F.lit(1)))
 
 
+#: Kinds of JSON values in the order in which values of different kinds stand. Fixed.
+KIND_ORDER = ("null", "boolean", "integer", "float", "object", "array", "string")
+
+
 def json_equal(a: Column, b: Column) -> Column:
     """Equality of JSON values, numbers by value."""
     both = is_number(a) & is_number(b)
     return F.when(both, a.try_cast("double") == b.try_cast("double")).otherwise(F.to_json(a) == F.to_json(b))
 
 
+def json_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: numbers by value, strings and booleans by theirs, arrays element by element, objects by their text with sorted
+    keys, and values of different kinds by the order of their kinds."""
+    ka, kb = json_kind(a), json_kind(b)
+    sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    rank = lambda k: F.when(k == "float", KIND_ORDER.index("integer")).otherwise(F.array_position(F.array(*map(F.lit, KIND_ORDER)), k) - 1)
+    text = lambda x: F.to_json(x)
+    elements = lambda x: F.transform(x.try_cast("array<variant>"), lambda v: F.to_json(v))
+    same = (
+        F.when(is_number(a), sign(a.try_cast("double"), b.try_cast("double")))
+        .when(ka == "string", sign(a.try_cast("string"), b.try_cast("string")))
+        .when(ka == "boolean", sign(a.try_cast("boolean").cast("int"), b.try_cast("boolean").cast("int")))
+        .when(ka == "array", sign(elements(a), elements(b)))
+        .when(ka == "object", sign(text(a), text(b)))
+        .otherwise(0)
+    )
+    return F.when(rank(ka) == rank(kb), same).otherwise(sign(rank(ka), rank(kb))).cast("int")
+
+
+def json_front(v: Column) -> Column:
+    """The first element of an array; any other value itself."""
+    return F.when(json_kind(v) == "array", F.get(v.try_cast("array<variant>"), F.lit(0))).otherwise(v)
+
+
+def json_back(v: Column) -> Column:
+    elements = v.try_cast("array<variant>")
+    return F.when(json_kind(v) == "array", F.get(elements, F.size(elements) - 1)).otherwise(v)
+
+
+def json_empty(v: Column) -> Column:
+    return json_size(v) == 0
+
+
+def json_push(v: Column, x: Column) -> Column:
+    """An array with an element more; null becomes an array of it, other values null."""
+    kind = json_kind(v)
+    start = F.when(kind == "array", v.try_cast("array<variant>")).when(kind == "null", F.array().cast("array<variant>"))
+    return F.to_variant_object(F.array_append(start, x))
+
+
+def json_insert(v: Column, at: int, x: Column) -> Column:
+    """An array with an element put before the one at a place."""
+    elements = v.try_cast("array<variant>")
+    return F.to_variant_object(F.concat(F.slice(elements, 1, at), F.array(x), F.slice(elements, at + 1, F.greatest(F.size(elements) - at, F.lit(0)))))
+
+
+def json_set(v: Column, key: str, x: Column) -> Column:
+    """An object with a key set; null becomes an object of it."""
+    members = F.when(json_kind(v) == "object", v.try_cast("map<string,variant>")).when(json_kind(v) == "null", F.create_map().cast("map<string,variant>"))
+    return F.to_variant_object(F.map_concat(F.map_filter(members, lambda k, _: k != key), F.create_map(F.lit(key), x)))
+
+
+def json_erase(v: Column, key: str | int) -> Column:
+    """An object without a key, or an array without the element at a place; others as they are."""
+    if isinstance(key, int):
+        elements = v.try_cast("array<variant>")
+        return F.when(json_kind(v) == "array", F.to_variant_object(F.filter(elements, lambda _, i: i != key))).otherwise(v)
+    return F.when(json_kind(v) == "object", F.to_variant_object(F.map_filter(v.try_cast("map<string,variant>"), lambda k, _: k != key))).otherwise(v)
+
+
+def json_clear(v: Column) -> Column:
+    """The empty value of the same kind."""
+    kind = json_kind(v)
+    empty = F.when(kind == "object", "{}").when(kind == "array", "[]").when(kind == "string", '""').when(kind == "boolean", "false").when(kind == "integer", "0").when(kind == "float", "0.0").otherwise("null")
+    return F.parse_json(empty)
+
+
+def json_dump(v: Column, indent: bool = False) -> Column:
+    """The text of a value, on one line, or with the members of an object or array on lines of their own, indented."""
+    if not indent:
+        return F.to_json(v)
+    pretty = {"pretty": "true"}
+    kind = json_kind(v)
+    return F.when(kind == "object", F.to_json(v.try_cast("map<string,variant>"), pretty)).when(kind == "array", F.to_json(v.try_cast("array<variant>"), pretty)).otherwise(F.to_json(v))
+
+
 # --- arrays as lists of probabilities, and random numbers -------------------------------------------------------------
 
 

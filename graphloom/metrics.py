@@ -77,6 +77,36 @@ class Metrics:
         return out
 
 
+class TimeSeries:
+    """Named series over time, such as edges, buffered edges, updates, ingested rows and changes of a running loop or stream."""
+
+    def __init__(self) -> None:
+        self.started, self.rows = time.monotonic(), []
+
+    def record(self, **values: float) -> None:
+        at = time.monotonic() - self.started
+        self.rows.extend((at, k, float(v)) for k, v in values.items())
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(seconds, name, value)"""
+        return spark.createDataFrame(self.rows, "seconds double, name string, value double")
+
+    def svg(self, name: str, width: int = 600, height: int = 200) -> str:
+        """One series as a line in an SVG picture."""
+        points = [(t, v) for t, k, v in self.rows if k == name]
+        last, top = max((t for t, _ in points), default=0) or 1, max((v for _, v in points), default=0) or 1
+        line = " ".join(f"{t / last * width:.1f},{height - v / top * height:.1f}" for t, v in points)
+        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><title>{escape(name)}</title><polyline fill="none" stroke="black" points="{line}"/></svg>'
+
+
+def set_logging(level: str = "info", path: str | None = None) -> None:
+    """Send the package's log of a level ('debug' to 'error', 'off') and above to the standard error stream or a local file."""
+    handler = logging.FileHandler(path) if path else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(levelname)s: %(name)s(%(funcName)s:%(lineno)d): %(message)s"))
+    log.handlers[:] = [handler]
+    log.setLevel(logging.CRITICAL + 1 if level == "off" else level.upper())
+
+
 def summary(values: DataFrame, value: str) -> DataFrame:
     """(count, min, max, avg, sum) of a column: the same aggregates for data that is a table."""
     return values.agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), F.sum(value).alias("sum"))

@@ -24,6 +24,11 @@ def degree_of(edges: DataFrame, vertex: int) -> DataFrame:
     )
 
 
+def degree_totals(edges: DataFrame) -> DataFrame:
+    """(connected, edges): vertices with an edge, and edges."""
+    return degrees(edges).agg(F.count("*").alias("connected"), F.coalesce(F.sum("outdegree"), F.lit(0)).alias("edges"))
+
+
 def num_vertices(edges: DataFrame) -> DataFrame:
     """(n_vertices): one more than the largest id in an edge."""
     return edges.agg((F.coalesce(F.max(F.greatest("src", "dst")), F.lit(-1)) + 1).alias("n_vertices"))
@@ -107,6 +112,28 @@ def in_shards(edges: DataFrame, shards: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(shards.select("shard", "first", "last")), F.col("dst").between(F.col("first"), F.col("last"))).drop("first", "last")
 
 
+def split_shards(edges: DataFrame, shards: DataFrame, limit: int) -> DataFrame:
+    """shards (shard, first, last, n_edges) with each of more than limit edges parted at the target where half of them are reached,
+    until none is that large or has one target only; numbered anew from 0."""
+    per = edges.groupBy("dst").agg(F.count("*").alias("n"))
+    while not shards.where((F.col("n_edges") > limit) & (F.col("first") < F.col("last"))).isEmpty():
+        held = per.join(F.broadcast(shards), F.col("dst").between(F.col("first"), F.col("last")))
+        # A shard is split where it is too large, so one window holds the targets of one shard.
+        from pyspark.sql import Window as W
+
+        before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("dst").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        half = (F.col("n_edges") > limit) & (2 * before >= F.col("n_edges")) & (before > 0)
+        half = half | ((F.col("n_edges") > limit) & (F.col("first") < F.col("last")) & (F.col("dst") == F.col("last")))
+        parted = held.withColumn("half", half.cast("int")).groupBy("shard", "half").agg(F.min("dst").alias("first"), F.max("dst").alias("last"), F.sum("n").alias("n_edges"))
+        shards = in_order(parted.drop("half", "shard"), "first", index="place").select(F.col("place").cast("int").alias("shard"), "first", "last", "n_edges")
+    return shards
+
+
+def random_order(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """rows with place, their number in an order that the seed fixes."""
+    return in_order(rows.withColumn("__draw", F.xxhash64(F.lit(seed), key)), "__draw", key, index="place").drop("__draw")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, neighbours): the ids at the other end of a vertex's edges in ascending order, whatever their direction."""
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
@@ -131,21 +158,39 @@ def ordinals(edges: DataFrame, order: str) -> DataFrame:
     return edges.withColumn("valindex", F.row_number().over(W.partitionBy("src", "dst").orderBy(order)) - 1)
 
 
+#: A vertex with more edges than these, and more than one of HUBS of all, is joined by broadcast.
+HUB, HUBS = 100_000, 20_000
+
+
+def _told(rows: DataFrame, least: DataFrame, total: int, top: int) -> DataFrame:
+    """rows joined with least (a, m, n) on a; the vertices of most edges, fewer than HUBS as degrees sum up to total, by broadcast."""
+    limit = max(HUB, total // HUBS)
+    if top <= limit:
+        return rows.join(least, "a")
+    hubs, others = F.broadcast(least.where(F.col("n") > limit)), least.where(F.col("n") <= limit)
+    return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(others, "a"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each vertex is connected with, by large-star and small-star steps."""
+    """(id, label): the smallest id that each vertex is connected with, by large-star and small-star steps.
+
+    Rounds end once all edges are stars: each points to a vertex that points to none.
+    """
     from graphloom.runtime import table
 
     e = table(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
-    told = None
     while True:
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+        nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        odd = (F.col("up") > 1) | (F.col("up") > 0) & (F.col("up") < F.col("n"))
+        total, top, left = nodes.agg(F.sum("up"), F.max("n"), F.count_if(odd)).first()
+        if not left:
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _told(both, least, 2 * total, top).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = _told(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), 2 * total, top)
         e = table(low.select("a", F.col("m").alias("b")).unionByName(low.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == told:
-            break
-        told = now
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct().join(stars, "id", "left_anti").select("id", F.col("id").alias("label"))
     return stars.unionByName(loops)

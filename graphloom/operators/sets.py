@@ -17,6 +17,10 @@ class Frontier:
     def add(self, ids: DataFrame) -> Frontier:
         return Frontier(self.ids.unionByName(ids.select("id")))
 
+    def add_all(self, vertices: DataFrame) -> Frontier:
+        """Every vertex (id) of a graph."""
+        return Frontier(vertices)
+
     def remove(self, ids: DataFrame) -> Frontier:
         return Frontier(self.ids.join(ids.select("id"), "id", "left_anti"))
 
@@ -53,6 +57,29 @@ def bit_set_count(bits: DataFrame) -> DataFrame:
     return bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
 
 
+def bit_set_all(spark, n: int) -> DataFrame:
+    """The bit set of all ids below n."""
+    return bit_set(spark.range(n))
+
+
+def bit_set_members(bits: DataFrame) -> DataFrame:
+    """(id) of the bits that are set."""
+    place = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.conv(F.hex(F.substring(F.col("bits"), (F.floor(i / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long"), (i % 8).cast("int")) == 1))
+    # Bucket 1 begins with id 1; id 0 is alone in bucket 0.
+    found = bits.select("bucket", place.alias("i"))
+    return found.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * WORD + F.col("i") + 1).otherwise(F.col("bucket") * WORD - F.col("i")).alias("id"))
+
+
+def bit_set_without(bits: DataFrame, start: int, stop: int) -> DataFrame:
+    """A bit set with the range from start up to, without, stop cleared."""
+    return bit_set(bit_set_members(bits).where((F.col("id") < start) | (F.col("id") >= stop)))
+
+
+def bit_set_resized(bits: DataFrame, n: int) -> DataFrame:
+    """A bit set cut to ids below n; it has no size otherwise, as absent buckets are clear."""
+    return bit_set(bit_set_members(bits).where(F.col("id") < n))
+
+
 def get_bit(mask: Column, bit: int) -> Column:
     return F.getbit(mask, F.lit(bit)) == 1
 

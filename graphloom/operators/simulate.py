@@ -8,6 +8,7 @@ implementations, on pairs and on counters of supporting children, take patterns
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,7 @@ from graphloom.model import Graph, Pattern
 from graphloom.runtime import table
 
 MAX_BITS = 63
-#: After so many rounds the state is written, so that its lineage stays short.
-CUT_EVERY = 8
-#: Rounds that an action runs.
+#: Rounds that an action runs, after which the state is written.
 STEP = 2
 #: Vertices that at least so many edges, and more than one of HUBS of all edges, lead to are joined by broadcast.
 HUB, HUBS = 100_000, 20_000
@@ -117,18 +116,20 @@ def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False,
     while dealt:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        steps, states = STEP if max_rounds is None else 1, []
+        steps, kept = STEP if max_rounds is None else 1, []
         new = held
-        for _ in range(steps):
+        for k in range(steps):
             new = _shrunk(new, dealt[0], needs)
             if dual:
                 new = _shrunk(new, dealt[1], behind)
-            states.append(new.persist())
+            if k < steps - 1:
+                # A round reads its state twice.
+                kept.append(new := new.persist())
         rounds += steps
-        if rounds % CUT_EVERY < steps:
-            states.append(new := table(new, "state"))
+        # The state is written, as plans that hold one another grow with a power of the rounds.
+        new = table(new, "state")
         left, union, size = new.agg(told.alias("x")).first().x
-        for old in (held, *states[:-1]):
+        for old in (held, *kept):
             old.unpersist()
         held = new
         if left == count or union != full:
@@ -140,10 +141,12 @@ def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False,
             dealt = [_Edges(simple)] + ([_Edges(_reversed(simple))] if dual else [])
             for x in old:
                 x.unpersist()
-    final = table(held, "matched")
-    for x in (held, source, *dealt):
+    if not rounds:
+        held, start = table(held, "state"), held
+        start.unpersist()
+    for x in (source, *dealt):
         x.unpersist()
-    return final, rounds, union == full
+    return held, rounds, union == full
 
 
 def _reversed(edges: DataFrame) -> DataFrame:
@@ -156,6 +159,16 @@ def _between(edges: DataFrame, state: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def confined(graph: Graph, pattern: Pattern) -> Graph:
+    """The part of a graph that a match can depend on: candidates of the pattern's nodes and what they lead to.
+
+    Worth it where few vertices are candidates; simulate() on it gives what it gives on the whole graph.
+    """
+    reached = reachable(graph, candidates(graph, pattern).select("id").distinct())
+    edges = graph.edges.join(reached.withColumnRenamed("id", "src"), "src", "left_semi")
+    return Graph(graph.vertices.join(reached, "id", "left_semi"), edges, graph.attrs)
+
+
 def simulate(graph: Graph, pattern: Pattern, *, include_isolated: bool = False, max_rounds: int | None = None, dual: bool = False) -> DataFrame:
     """(q, id) for each vertex that simulates a query node; no rows if some query node has none.
 
@@ -178,6 +191,20 @@ def data_shipped(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("n_results"), (F.count("*") * 4).alias("shipped_bytes"))
 
 
+def run_report(graph: Graph, pattern: Pattern, path: str | None = None, **options) -> dict:
+    """A match, counted and written if a path is given: results of each query node, bytes shipped, rounds and wall seconds."""
+    started = time.monotonic()
+    state, rounds, found = relation(graph, pattern, **options)
+    matches = _pairs(state if found else state.where(F.lit(False)), len(pattern.nodes))
+    if path:
+        from graphloom.sinks import write_matches
+
+        write_matches(matches, path)
+    per = {r.q: r.n for r in matches.groupBy("q").agg(F.count("*").alias("n")).collect()}
+    n = sum(per.values())
+    return {"matches": [per.get(q, 0) for q in range(len(pattern.nodes))], "n_results": n, "shipped_bytes": 4 * n, "rounds": rounds, "seconds": time.monotonic() - started}
+
+
 def union_matches(*parts: DataFrame) -> DataFrame:
     """The union of results of several workers, each pair once."""
     return reduce(DataFrame.unionByName, parts).distinct()

@@ -5,7 +5,7 @@ Formulas are Columns over a table of parameters. Numbers are doubles throughout.
 
 from __future__ import annotations
 
-from math import inf, log
+from math import floor, log1p, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +57,11 @@ def shard_count(params: DataFrame, dynamic: bool = False) -> DataFrame:
 def bloom_size(n: int, fpp: float) -> tuple[int, int]:
     """(bits, hashes) of the smallest Bloom filter for n elements at a rate of false positives; bits are whole bytes.
 
-    For k hashes, bits = -k n / ln(1 - fpp ** (1 / k)).
+    With k hashes that takes -k n / ln(1 - fpp ** (1 / k)) bits, which is least near k = -log2(fpp): the better of the two whole
+    numbers around it is taken, the smaller one of equals.
     """
     if n < 1 or not 0 < fpp < 1:
         raise ValueError("n must be positive and fpp between 0 and 1")
-    best = min(((-k * n / log(1.0 - fpp ** (1.0 / k)) if fpp ** (1.0 / k) < 1 else inf, k) for k in range(1, 1000)), key=lambda x: x[0])
-    return -(-int(best[0]) // 8) * 8, best[1]
+    near = floor(-log2(fpp))
+    bits, hashes = min((-k * n / log1p(-(fpp ** (1.0 / k))), k) for k in (max(1, near), near + 1))
+    return -(-int(bits) // 8) * 8, hashes

@@ -195,10 +195,10 @@ def shipped_report(spark: SparkSession, d: str) -> DataFrame:
     return M.data_shipped(M.simulate(D.sessions(spark, d), PATH))
 
 
-@query(f"WITH RECURSIVE {D.TRANSITIONS_SQL}, r(n, id) AS (SELECT 0, id FROM (SELECT min(id) AS id FROM v) UNION SELECT n + 1, dst FROM r JOIN e ON src = r.id WHERE n < 2) SELECT DISTINCT id FROM r")
+@query(f"WITH RECURSIVE {D.TRANSITIONS_SQL}, r(id) AS (SELECT min(id) FROM v UNION SELECT dst FROM r JOIN e ON src = r.id) SELECT id FROM r")
 def descendants(spark: SparkSession, d: str) -> DataFrame:
     g = D.transitions(spark, d)
-    return M.reachable(g, g.vertices.agg(F.min("id").alias("id")), hops=2)
+    return M.reachable(g, g.vertices.agg(F.min("id").alias("id")))
 
 
 # --- degrees, aggregations, top lists ----------------------------------------------------------------------------------------
@@ -413,8 +413,9 @@ def bloom_no_false_negative(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("n_inserted"), F.count_if("may_contain").alias("n_contained"))
 
 
-@query("""WITH k AS (SELECT n, p, k, -k * n / ln(1 - pow(p, 1.0 / k)) AS m FROM (VALUES (1000, 0.75), (1000, 0.01), (250000, 0.001)) t(n, p), range(1, 1000) r(k)),
-b AS (SELECT n, p, arg_min(k, m) AS k, min(m) AS m FROM k GROUP BY n, p) SELECT n::BIGINT AS n, p::DOUBLE AS fpp, (ceil(floor(m) / 8) * 8)::BIGINT AS bits, k::INTEGER AS hashes FROM b""")
+@query("""WITH k AS (SELECT n, p, greatest(1, floor(-log2(p)) + i) AS k FROM (VALUES (1000, 0.75), (1000, 0.01), (250000, 0.001)) t(n, p), range(2) r(i)),
+b AS (SELECT n, p, arg_min(k, -k * n / ln(1 - pow(p, 1.0 / k))) AS k, min(-k * n / ln(1 - pow(p, 1.0 / k))) AS m FROM k GROUP BY n, p)
+SELECT n::BIGINT AS n, p::DOUBLE AS fpp, (ceil(floor(m) / 8) * 8)::BIGINT AS bits, k::INTEGER AS hashes FROM b""")
 def bloom_sizes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, p, *planner.bloom_size(n, p)) for n, p in ((1000, 0.75), (1000, 0.01), (250000, 0.001))], "n long, fpp double, bits long, hashes int")
 
@@ -507,16 +508,6 @@ def parse_adjlist(spark: SparkSession, d: str) -> DataFrame:
     return R.parse_adjacency(_text(spark, ["1 2 2 3", "4", "5 2 1 5", "# x"]))
 
 
-@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (0, 1), (0, 2), (1, 3)) t(src, dst)")
-def parse_metis(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_metis(_text(spark, ["% a graph\n4 3\n2 3\n1 4\n1\n2"]))
-
-
-@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (1, 2), (1, 3), (7, 1)) t(src, dst)")
-def parse_cassovary(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_cassovary(_text(spark, ["1 2\n2\n3\n4 0\n7 1\n1"]))
-
-
 def _lattice_sql(n: int, dims: int) -> str:
     return " UNION ALL ".join(f"SELECT i AS src, i + {n**k} AS dst FROM range({n**dims}) t(i) WHERE (i // {n**k}) % {n} < {n - 1}" for k in range(dims))
 
@@ -608,3 +599,6 @@ def dynamic_log(spark: SparkSession, d: str) -> DataFrame:
     g.remove_edges(e.where("src % 4 = 2"))
     g.add_edges(e.where("src % 4 = 3"))
     return g.edges().select("src", "dst")
+
+
+from graphloom import queries_more  # noqa: E402,F401  (registers further queries)

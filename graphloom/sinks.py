@@ -56,3 +56,21 @@ def history(spark, deltas: list[dict]) -> DataFrame:
 def write_components(frequency: DataFrame, path: str) -> None:
     """label,n lines, the most frequent first."""
     frequency.orderBy(F.desc("n"), "label").write.mode("overwrite").csv(path)
+
+
+def write_metadata(edges: DataFrame, path: str, shards: int) -> None:
+    """What goes with a graph's shards, as tables in a folder: intervals, numvertices and degrees."""
+    from graphloom.operators.analytics import degrees, num_vertices, range_shards
+
+    for name, rows in (("intervals", range_shards(edges, shards)), ("numvertices", num_vertices(edges)), ("degrees", degrees(edges))):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def reset_edge_values(edges: DataFrame, zero=0.0) -> DataFrame:
+    """edges with all values set to one: tables are immutable, so a run that starts anew reads these."""
+    return edges.withColumn("value", F.lit(zero))
+
+
+def split_files(spark, path: str, to: str, rows: int) -> None:
+    """Rewrite Parquet files so that none has more than so many rows; rows keep their order within a file."""
+    spark.read.parquet(path).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(to)

@@ -10,8 +10,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from graphloom.functions.scalars import parse_value, tokens
 
@@ -56,56 +58,108 @@ def parse_adjacency(lines: DataFrame, mode: str = "fail") -> DataFrame:
     return out.where("src <> dst")
 
 
-def parse_metis(files: DataFrame, base: int = 1, mode: str = "fail") -> DataFrame:
-    """(src, dst) of whole files (value): a header `n m [fmt]` and a line of neighbours for each vertex.
+def numbered(lines: DataFrame) -> DataFrame:
+    """(file, n, value): the lines that count of (file, block, at, value), numbered from 0 within their file.
+
+    A file is read in blocks by many tasks; `at` ascends within a block. Blocks are counted (one row each), and lines get a place from
+    the counts of the blocks before theirs, so no task sees a whole file.
+    """
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("lines"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("file", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
+    return lines.withColumn("k", place).join(starts, ["file", "block"]).select("file", "block", (F.col("start") + F.col("k")).alias("n"), "value")
+
+
+def text_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value) of the lines of text files, which are split among tasks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return rows.where(~F.endswith("file", F.lit(".tmp")))
+
+
+def blocks_of(files: DataFrame, lines: int = 1000) -> DataFrame:
+    """The same of whole texts (value), each taken for a file."""
+    rows = files.select(F.monotonically_increasing_id().cast("string").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    return rows.select("file", F.floor(F.col("at") / lines).alias("block"), "at", "value")
+
+
+def parse_metis(lines: DataFrame, base: int = 1, mode: str = "fail", loops: bool = False) -> DataFrame:
+    """(src, dst) of (file, block, at, value): a header `n m [fmt]` and a line of neighbours for each vertex, which may be empty.
 
     Vertices and neighbours count from 1 in the file and from 0 in the result. Each undirected edge is taken once, from its smaller
-    end. base=0 takes neighbours as they stand, for files that mix both ways of counting. Weights are not supported.
+    end; loops are dropped like in all formats unless asked for. base=0 takes neighbours as they stand, for files that mix both ways
+    of counting. Weights are not supported.
     """
-    rows = files.select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: ~F.startswith(x, F.lit("%")))).alias("n", "value"))
+    rows = numbered(lines.where(~F.startswith("value", F.lit("%"))))
     rows = rows.withColumn("t", F.transform(tokens(F.col("value")), lambda x: x.try_cast("long")))
     head = (F.size("t").isin(2, 3)) & (F.coalesce(F.get("t", F.lit(2)), F.lit(0)) == 0)
     ok = F.forall("t", lambda x: x.isNotNull()) & ((F.col("n") > 0) | head)
     rows = _sound(rows, ok, mode).where("n > 0")
     out = rows.select((F.col("n") - 1).cast("long").alias("src"), F.explode("t").alias("x")).select("src", (F.col("x") - base).alias("dst"))
-    return out.where("src < dst")
+    return out.where("src <= dst" if loops else "src < dst")
 
 
-def parse_cassovary(files: DataFrame) -> DataFrame:
-    """(src, dst) of whole files (value): lines `src n`, each followed by n lines with one target.
+def parse_cassovary(lines: DataFrame, mode: str = "fail") -> DataFrame:
+    """(src, dst) of (file, block, at, value): lines `src n`, each followed by n lines with one target.
 
-    A fold over the file's numbers keeps the source and how many targets are still due.
+    A line with two numbers is a source, one with one is a target of the last source before it: within its block, or of the last one of
+    an earlier block. A line that is neither, a target before any source and a wrong count fail, or are dropped with mode="drop" (of
+    a wrong count, nothing is dropped).
     """
-    numbers = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^[#%]")), lambda x: F.transform(tokens(x), lambda t: t.try_cast("long")))
-    start = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0).cast("long").alias("due"), F.array().cast("array<struct<src:bigint,dst:bigint>>").alias("out"))
+    rows = numbered(content_lines(lines)).withColumn("t", F.transform(tokens(F.col("value")), lambda x: x.try_cast("long")))
+    rows = _sound(rows, F.forall("t", lambda x: x.isNotNull() & (x >= 0)) & F.size("t").isin(1, 2), mode)
+    head = F.when(F.size("t") == 2, F.struct("n", F.get("t", F.lit(0)).alias("src"), F.get("t", F.lit(1)).alias("due")))
+    own = W.partitionBy("file", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(own))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy("file", "block").agg(F.max("head").alias("end"))
+    ends = ends.select("file", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    rows = rows.join(ends, ["file", "block"]).withColumn("head", F.coalesce("head", "carried"))
+    rows = _sound(rows, F.col("head").isNotNull(), mode)
+    edges = rows.where(F.size("t") == 1).select(F.col("head.src").alias("src"), F.get("t", F.lit(0)).alias("dst")).where("src <> dst")
+    if mode == "drop":
+        return edges
+    # One row a source, by its line: those whose count is not the one it tells.
+    wrong = rows.groupBy("file", F.col("head.n").alias("n")).agg(F.max("head.src").alias("src"), F.max("head.due").alias("due"), F.count_if(F.size("t") == 1).alias("had")).where("due <> had")
+    told = F.concat(F.lit("source "), F.col("src"), F.lit(" tells "), F.col("due"), F.lit(" targets and has "), F.col("had"))
+    failing = wrong.select(F.raise_error(told).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
+    return edges.unionByName(failing)
 
-    def step(a: Column, t: Column) -> Column:
-        edge = F.struct(a["s"].alias("src"), t[0].alias("dst"))
-        return F.when(a["due"] == 0, F.struct(t[0].alias("s"), t[1].alias("due"), a["out"].alias("out"))).otherwise(F.struct(a["s"].alias("s"), (a["due"] - 1).alias("due"), F.array_append(a["out"], edge).alias("out")))
 
-    edges = files.select(F.explode(F.aggregate(numbers, start, step)["out"]).alias("e")).select("e.src", "e.dst")
-    return edges.where("src <> dst")
+def _record(value: str | None) -> np.dtype:
+    return np.dtype([("src", "<u4"), ("dst", "<u4")] + ([("value", "<" + BINARY_TYPES[value])] if value else []))
 
 
 def read_binary(spark: SparkSession, path: str, value: str | None = None) -> DataFrame:
-    """(src, dst[, value]) of files of packed little-endian records of two unsigned 32-bit ids and, if given, a value."""
-    fields = [("src", "<u4"), ("dst", "<u4")] + ([("value", "<" + BINARY_TYPES[value])] if value else [])
-    record = np.dtype(fields)
+    """(src, dst[, value]) of files of packed little-endian records of two unsigned 32-bit ids and, if given, a value.
+
+    Files are split at records; a file whose size is no multiple of a record's fails.
+    """
+    record = _record(value)
+    odd = [name for name, _, size in _files(spark, path, inside=True) if size % record.itemsize]
+    if odd:
+        raise ValueError(f"malformed file: {odd[0]} is not made of records of {record.itemsize} bytes")
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    records = context.binaryRecords(path, record.itemsize, spark.sparkContext._jsc.hadoopConfiguration())
+    return parse_binary(DataFrame(spark._jsparkSession.createDataset(records, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark), value)
+
+
+def parse_binary(rows: DataFrame, value: str | None = None) -> DataFrame:
+    """The same of rows that are one record each."""
+    record = _record(value)
     ddl = "src long, dst long" + (f", value {SPARK_TYPES[value]}" if value else "")
 
     def decode(batches):
         for batch in batches:
-            for blob in batch["content"]:
-                rows = np.frombuffer(blob.as_buffer(), record)
-                for i in range(0, len(rows), 1 << 20):
-                    part = rows[i : i + (1 << 20)]
-                    part = part[part["src"] != part["dst"]]
-                    columns = [pa.array(part["src"].astype(np.int64)), pa.array(part["dst"].astype(np.int64))]
-                    if value:
-                        columns.append(pa.array([x.decode("latin-1") for x in part["value"]] if value == "char" else part["value"].astype("i8") if value == "uint" else part["value"]))
-                    yield pa.RecordBatch.from_arrays(columns, ["src", "dst"] + ["value"] * bool(value))
+            column = batch.column(0)
+            rows = np.frombuffer(column.buffers()[2] or b"", np.uint8)[record.itemsize * column.offset :][: record.itemsize * len(column)].view(record)
+            rows = rows[rows["src"] != rows["dst"]]
+            columns = [pa.array(rows["src"].astype(np.int64)), pa.array(rows["dst"].astype(np.int64))]
+            if value:
+                columns.append(pa.array([x.decode("latin-1") for x in rows["value"]] if value == "char" else rows["value"].astype("i8") if value == "uint" else rows["value"]))
+            yield pa.RecordBatch.from_arrays(columns, ["src", "dst"] + ["value"] * bool(value))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, ddl)
+    return rows.mapInArrow(decode, ddl)
 
 
 FORMATS = ("edgelist", "multivalueedgelist", "adjlist", "metis", "cassovary", "binedgelist", "binedgelistval")
@@ -120,8 +174,8 @@ def read_graph(spark: SparkSession, path: str, file_type: str = "edgelist", valu
             raise ValueError("binedgelistval needs a value type")
         out = read_binary(spark, path, value)
     elif file_type in ("metis", "cassovary"):
-        files = spark.read.text(path, wholetext=True).where(~F.endswith(F.input_file_name(), F.lit(".tmp")))
-        out = parse_metis(files, mode=mode) if file_type == "metis" else parse_cassovary(files)
+        lines = text_blocks(spark, path)
+        out = parse_metis(lines, mode=mode) if file_type == "metis" else parse_cassovary(lines, mode)
     else:
         lines = spark.read.text(path).where(~F.endswith(F.input_file_name(), F.lit(".tmp")))
         if file_type == "adjlist":
@@ -133,11 +187,15 @@ def read_graph(spark: SparkSession, path: str, file_type: str = "edgelist", valu
     return out if max_vertex is None else out.where(F.greatest("src", "dst") <= max_vertex)
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+def _files(spark: SparkSession, path: str, inside: bool = False) -> list[tuple[str, int, int]]:
+    """(name, time, size) of what a path or pattern names; with inside, of the files in the folders it names, but hidden ones."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return [(s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in found or ()]
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(store.globStatus(p) or ())
+    if inside:
+        found = [x for s in found for x in (store.listStatus(s.getPath()) if s.isDirectory() else [s]) if not x.isDirectory() and x.getPath().getName()[0] not in "._"]
+    return [(s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in found]
 
 
 def cached_graph(spark: SparkSession, path: str, cache: str, file_type: str = "edgelist", value: str | None = None, check_time: bool = True, **options) -> DataFrame:
@@ -163,12 +221,34 @@ def delete_shards(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
 
 
-def read_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """(id, attrs variant) of a file with one JSON array, whose places are the vertex ids; null elements have null attributes."""
-    files = spark.read.text(path, wholetext=True)
-    files.createOrReplaceTempView("__attributes")
-    rows = spark.sql("SELECT x.pos AS id, x.value AS attrs FROM __attributes, LATERAL variant_explode(parse_json(__attributes.value)) AS x(pos, key, value)")
-    return rows.select(F.col("id").cast("long").alias("id"), F.when(~F.is_variant_null("attrs"), F.col("attrs")).alias("attrs"))
+def parse_attributes(lines: DataFrame) -> DataFrame:
+    """(id, attrs variant) of (file, block, at, value): an array with one element a line, whose places are the vertex ids.
+
+    The brackets stand on lines of their own or beside the first and the last element; each element but the last has a comma.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\[\s*", ""), r"\s*(,|\]\s*)$", "")
+    rows = numbered(lines.select("file", "block", "at", bare.alias("value")).where("value <> ''"))
+    attrs = F.parse_json("value")
+    return rows.select(F.col("n").cast("long").alias("id"), F.when(~F.is_variant_null(attrs), attrs).alias("attrs"))
+
+
+def read_attributes(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+    """(id, attrs variant) of vertices; null elements have null attributes. Layouts:
+
+    "array": a JSON array in any form, whose places are the ids. One task parses it, so it must fit a variant.
+    "array_lines": the same with one element a line, split among tasks.
+    "lines": JSON objects, one a line, whose key `id` is the vertex and the rest of which are its attributes, split among tasks.
+    """
+    if layout == "array":
+        rows = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("array"))
+        rows = rows.lateralJoin(spark.tvf.variant_explode(F.col("array").outer()))
+        return rows.select(F.col("pos").cast("long").alias("id"), F.when(~F.is_variant_null("value"), F.col("value")).alias("attrs"))
+    if layout == "array_lines":
+        return parse_attributes(text_blocks(spark, path))
+    if layout != "lines":
+        raise ValueError("layout must be array, array_lines or lines")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("attrs"))
+    return rows.select(F.variant_get("attrs", "$.id", "long").alias("id"), "attrs")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

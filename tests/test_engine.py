@@ -272,3 +272,106 @@ def test_monotone_kernels_and_emitted_graphs(spark, tmp_path):
     assert pairs(new) == [(0, 102), (1, 100), (2, 101), (4, 105)]
     rows = spark.createDataFrame([(1, 2.0), (1, 3.0)], "id long, p double").groupBy("id").agg(P.sum_priority(F.col("p")).alias("s"), P.max_priority(F.col("p")).alias("m")).collect()
     assert [tuple(r) for r in rows] == [(1, 5.0, 3.0)]
+
+
+def blocks_of(spark, text, each=2):
+    """Lines of a text as a file that is read in blocks."""
+    rows = [("f", i // each, i, line) for i, line in enumerate(text.split("\n"))]
+    return spark.createDataFrame(rows, "file string, block long, at long, value string").repartition(3)
+
+
+@pytest.mark.parametrize("each", [1, 2, 100])
+def test_readers_that_split_files(spark, each):
+    metis = "% a graph\n4 3\n2 3\n% inside\n1 4 2\n\n2"
+    assert pairs(R.parse_metis(blocks_of(spark, metis, each))) == [(0, 1), (0, 2), (1, 3)]
+    assert pairs(R.parse_metis(blocks_of(spark, metis, each), loops=True)) == [(0, 1), (0, 2), (1, 1), (1, 3)]
+    assert pairs(R.parse_metis(blocks_of(spark, "2 1\n1 1\n0", each), base=0)) == [(0, 1), (0, 1)]
+    cassovary = "1 2\n2\n3\n4 0\n# c\n7 1\n\n1\n9 1\n9"
+    assert pairs(R.parse_cassovary(blocks_of(spark, cassovary, each))) == [(1, 2), (1, 3), (7, 1)]
+    for bad in ("x", "1 1\nx", "1 2\n3", "5\n1 1\n2", "1 1\n2\n3", "1 2 3"):
+        with pytest.raises(Exception, match="malformed|tells"):
+            R.parse_cassovary(blocks_of(spark, bad, each)).collect()
+    assert pairs(R.parse_cassovary(blocks_of(spark, "x\n1 1\n2", each), mode="drop")) == [(1, 2)]
+    array = '[\n{"a": 1},\nnull,\n"text",\n{"a": [1, 2]}\n]'
+    got = R.parse_attributes(blocks_of(spark, array, each)).select("id", F.to_json("attrs").alias("j")).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(0, '{"a":1}'), (1, None), (2, '"text"'), (3, '{"a":[1,2]}')]
+
+
+def test_files_of_every_format(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/one").write_text("3 2\n2 3\n1\n1\n")
+    (tmp_path / "m/skipped.tmp").write_text("broken")
+    assert pairs(R.read_graph(spark, str(tmp_path / "m"), "metis")) == [(0, 1), (0, 2)]
+    (tmp_path / "c.txt").write_text("1 2\n2\n3\n4 1\n1\n")
+    assert pairs(R.read_graph(spark, str(tmp_path / "c.txt"), "cassovary")) == [(1, 2), (1, 3), (4, 1)]
+    (tmp_path / "b").mkdir()
+    for k in range(2):
+        (tmp_path / f"b/{k}").write_bytes(b"".join(struct.pack("<II", i, i * 7 % 50 + k) for i in range(1000)))
+    want = sorted((i, i * 7 % 50 + k) for i in range(1000) for k in range(2) if i != i * 7 % 50 + k)
+    assert pairs(R.read_graph(spark, str(tmp_path / "b"), "binedgelist")) == want
+    (tmp_path / "b/odd").write_bytes(b"123")
+    with pytest.raises(ValueError, match="malformed"):
+        R.read_graph(spark, str(tmp_path / "b"), "binedgelist")
+    (tmp_path / "v.jsonl").write_text('{"id": 3, "label": "x"}\n\n{"id": 1}\n')
+    assert sorted(r.id for r in R.read_attributes(spark, str(tmp_path / "v.jsonl"), "lines").collect()) == [1, 3]
+    (tmp_path / "v.json").write_text('[{"label": "x"},\nnull]')
+    assert [(r.id, r.n) for r in R.read_attributes(spark, str(tmp_path / "v.json"), "array_lines").select("id", F.col("attrs").isNull().alias("n")).orderBy("id").collect()] == [(0, False), (1, True)]
+    with pytest.raises(ValueError, match="layout"):
+        R.read_attributes(spark, "x", "other")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from graphloom import cli
+
+    (tmp_path / "e.txt").write_text("0 1\n1 2\n2 0\n")
+    (tmp_path / "v.json").write_text('[{"label": "a"}, {"label": "b"}, {"label": "c"}]')
+    (tmp_path / "q.json").write_text('{"node": [{"label": "a"}, {"label": "b"}], "edge": [{"source": 0, "target": 1}]}')
+    assert cli.main([]) == 2
+    assert cli.main(["convert", f"--file={tmp_path}/e.txt", f"--outputfile={tmp_path}/out", "--nshards=2"]) == 0
+    assert pairs(spark.read.parquet(str(tmp_path / "out"))) == [(0, 1), (1, 2), (2, 0)]
+    assert cli.main(["degree", f"--file={tmp_path}/e.txt", "--vertex=1"]) == 0
+    assert "indegree" in capsys.readouterr().out
+    assert cli.main(["match", f"--file={tmp_path}/e.txt", f"--vertexfile={tmp_path}/v.json", f"--queryfile={tmp_path}/q.json", f"--outputfile={tmp_path}/found"]) == 0
+    assert "".join(p.read_text() for p in sorted((tmp_path / "found").glob("part-*"))).split() == ["0", "0", "1", "1"]
+
+
+def test_hubs_and_dead_vertices(spark, monkeypatch):
+    """Matches and components with every vertex a hub, and on edges that are dropped as vertices die."""
+    import random
+
+    from graphloom.model import Pattern
+    from graphloom.operators import simulate as M
+
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(40)) for i in range(400)] + [(i, i + 1) for i in range(300)]
+    graph = Graph(spark.createDataFrame([(i, rng.choice("abc")) for i in range(400)], "id long, label string"), spark.createDataFrame(edges, "src long, dst long"))
+    pattern = Pattern.labelled(["a", "b", "c"], [(0, 1), (1, 2), (2, 0)])
+    want = sorted(map(tuple, M.simulate(graph, pattern).collect()))
+    labels = pairs(A.connected_components(graph.edges))
+    assert want and pairs(M.simulate_delta(graph, pattern)) == want
+    for module in (M, A):
+        monkeypatch.setattr(module, "HUB", 1)
+        monkeypatch.setattr(module, "HUBS", 1000)
+    assert sorted(map(tuple, M.simulate(graph, pattern).collect())) == want
+    assert set(map(tuple, M.simulate(graph, pattern, dual=True).collect())) <= set(want)
+    assert pairs(A.connected_components(graph.edges)) == labels
+    line = Graph(spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "id long, label string"), spark.createDataFrame([(i, i + 1) for i in range(59)], "src long, dst long"))
+    assert M.simulate(line, Pattern.labelled(["a", "b"], [(0, 1), (1, 0)])).count() == 0
+
+
+def test_logging_and_series(tmp_path):
+    import logging
+
+    from graphloom import metrics
+
+    metrics.set_logging("warning", str(tmp_path / "log"))
+    metrics.log.info("not this")
+    metrics.log.warning("but this")
+    assert "but this" in (tmp_path / "log").read_text() and "not this" not in (tmp_path / "log").read_text()
+    metrics.set_logging("off", str(tmp_path / "log"))
+    metrics.log.error("nor that")
+    assert "nor that" not in (tmp_path / "log").read_text()
+    metrics.log.handlers[:] = []
+    metrics.log.setLevel(logging.NOTSET)
+    series = metrics.TimeSeries()
+    assert "polyline" in series.svg("none")
