@@ -82,7 +82,8 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(files(rows))
-    df.write.option("compression", "zstd").parquet(path)
+    # Ids and hashes do not compress, and zstd's contexts take native memory of each writer.
+    df.write.option("compression", "zstd" if rows is None else "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,7 +92,7 @@ def files(rows: int) -> int:
 
 
 #: At most so many keys are broadcast by join_by_weight, and none of fewer rows than LIGHT.
-HEAVY, LIGHT = 20_000, 1_000
+HEAVY, LIGHT = 20_000, 300
 
 
 def join_by_weight(rows: DataFrame, keys: DataFrame, on: str | list[str], weight: str, total: int, top: int | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ class LineRuns:
         """The path of a run of at most `most` rows, and that number."""
         path = f"{self.path}/{name}-{self.made:05d}"
         self.made += 1
-        rows.select("h", "n_docs", "last_doc").coalesce(files(most)).sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
+        rows.select("h", "n_docs", "last_doc").coalesce(files(most)).sortWithinPartitions("h").write.option("compression", "snappy").parquet(path)
         return path, most
 
     def read(self, *paths: str) -> DataFrame:
