@@ -589,11 +589,10 @@ def buffered_degrees(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {D.SESSIONS_SQL} SELECT src, dst FROM e WHERE src % 4 <> 2")
 def dynamic_log(spark: SparkSession, d: str) -> DataFrame:
     """Inserted in batches, partly deleted, compacted, and read again."""
-    from graphloom.runtime import shared_dir
-    from uuid import uuid4
+    from graphloom.runtime import new_path
 
     e = D.sessions(spark, d).edges.persist()
-    g = Y.DynamicGraph(spark, f"{shared_dir(spark)}/graphloom/dynamic-{uuid4().hex}")
+    g = Y.DynamicGraph(spark, new_path(spark, "dynamic"))
     g.add_edges(e.where("src % 4 < 3"))
     g.compact(force=True)
     g.remove_edges(e.where("src % 4 = 2"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +15,13 @@ from graphloom.operators import programs as P
 from graphloom.operators import sets as B
 from graphloom.operators import simulate as M
 from graphloom.queries import PATH, query, relation_sql
-from graphloom.runtime import shared_dir
+from graphloom.runtime import new_path
 from graphloom.sources import generators as G
 from graphloom.sources import readers as R
 from graphloom.sources.config import Config, hosts
 from graphloom.streaming import dynamic as Y
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid4().hex}"
-
-
 def _blocks(rows: DataFrame, at: Column, value: Column, each: int = 500) -> DataFrame:
     """Lines as a file that is read in blocks of `each` places."""
     return rows.select(F.lit("f").alias("file"), F.floor(at / each).alias("block"), at.alias("at"), value.alias("value"))
@@ -114,7 +109,7 @@ def parse_attributes_customers(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey AS src, o_custkey AS dst, o_totalprice AS value FROM orders WHERE o_orderkey <> o_custkey AND greatest(o_orderkey, o_custkey) <= 5000")
 def graph_from_file(spark: SparkSession, d: str) -> DataFrame:
     """Edges written as text, read by format with a limit on ids, kept as Parquet, and read from there."""
-    folder = _folder(spark, "file")
+    folder = new_path(spark, "file")
     sinks.write_edges(D.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), f"{folder}/edges")
     for _ in range(2):
         out = R.cached_graph(spark, f"{folder}/edges", f"{folder}/cache", "edgelist", "double", max_vertex=5000)
@@ -124,7 +119,7 @@ def graph_from_file(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <> o_custkey")
 def graph_from_shards(spark: SparkSession, d: str) -> DataFrame:
     """Edges written as shards, the files split, and read; the shards deleted."""
-    folder = _folder(spark, "shards")
+    folder = new_path(spark, "shards")
     R.write_shards(D.read(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")).where("src <> dst"), f"{folder}/a", 6)
     sinks.split_files(spark, f"{folder}/a", f"{folder}/b", 1000)
     R.delete_shards(spark, f"{folder}/a")
@@ -136,14 +131,14 @@ def graph_from_shards(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS id, event_type AS value FROM events")
 def values_file(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "values")
+    folder = new_path(spark, "values")
     sinks.write_values(D.sessions(spark, d).vertices, folder, "label")
     return spark.read.csv(folder, sep="\t", schema="id long, value string")
 
 
 @query(f"WITH {D.COMMERCE_SQL} SELECT label, n + 1 AS n FROM (SELECT label, count(*) AS n FROM v WHERE label <> id::VARCHAR GROUP BY label)")
 def components_file(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "components")
+    folder = new_path(spark, "components")
     vertices = D.commerce(spark, d).vertices.withColumn("id", F.col("id").cast("string"))
     sinks.write_components(A.label_frequency(vertices), folder)
     return spark.read.csv(folder, schema="label string, n long")
@@ -151,7 +146,7 @@ def components_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {D.TRANSITIONS_SQL}, p AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT (SELECT max(greatest(src, dst)) + 1 FROM e) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT id) FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)) AS connected")
 def metadata_tables(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "metadata")
+    folder = new_path(spark, "metadata")
     sinks.write_metadata(D.transitions(spark, d).edges, folder, 5)
     t = lambda name: spark.read.parquet(f"{folder}/{name}")
     edges = t("intervals").agg(F.sum("n_edges").alias("n_edges"))
@@ -160,7 +155,7 @@ def metadata_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 0 AS iteration, 5::BIGINT AS updates, 9::BIGINT AS work, 2.5::DOUBLE AS delta UNION ALL SELECT 1, 3, 9, 0.0")
 def history_file(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "history")
+    folder = new_path(spark, "history")
     sinks.write_history(spark, [{"iteration": 0, "updates": 5, "work": 9, "delta": 2.5}, {"iteration": 1, "updates": 3, "work": 9, "delta": 0}], folder)
     return spark.read.csv(folder, schema="iteration int, updates long, work long, delta double")
 
@@ -247,7 +242,7 @@ def vertices_visited(spark: SparkSession, d: str) -> DataFrame:
 
 @query(relation_sql(D.SESSIONS_SQL, PATH) + "SELECT q, count(*) AS n, 4 * sum(count(*)) OVER ()::BIGINT AS shipped_bytes, true AS timed FROM m GROUP BY q")
 def run_report(spark: SparkSession, d: str) -> DataFrame:
-    told = M.run_report(D.sessions(spark, d), PATH, path=_folder(spark, "matches"))
+    told = M.run_report(D.sessions(spark, d), PATH, path=new_path(spark, "matches"))
     rows = [(q, n, told["shipped_bytes"], told["seconds"] > 0) for q, n in enumerate(told["matches"])]
     return spark.createDataFrame(rows, "q int, n long, shipped_bytes long, timed boolean")
 
@@ -263,7 +258,7 @@ def sim_query_file(spark: SparkSession, d: str) -> DataFrame:
     """The pattern and settings read from files."""
     import json
 
-    folder = _folder(spark, "query")
+    folder = new_path(spark, "query")
     text = json.dumps({"node": list(PATH.nodes), "edge": [{"source": s, "target": t} for s, t in PATH.edges]}, indent=1)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/query")
     spark.createDataFrame([("# settings",), ("include_isolated = 0",)], "value string").coalesce(1).write.text(f"{folder}/conf")
@@ -308,7 +303,7 @@ def vertices_mapped(spark: SparkSession, d: str) -> DataFrame:
 def graph_emitted(spark: SparkSession, d: str) -> DataFrame:
     """A new graph from edges that a function emits for each vertex, each once."""
     emit = lambda key, pdf: pdf.assign(src=pdf["dst"], dst=key % 10)[["src", "dst"]]
-    return P.emitted_graph(D.transitions(spark, d), emit, "src long, dst long", _folder(spark, "emitted"), keep=lambda e: e.distinct())
+    return P.emitted_graph(D.transitions(spark, d), emit, "src long, dst long", new_path(spark, "emitted"), keep=lambda e: e.distinct())
 
 
 @query(f"WITH RECURSIVE {D.TRANSITIONS_SQL}, r(a, b) AS (SELECT DISTINCT id, id FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT b AS id, min(a) AS value FROM r GROUP BY b")
@@ -336,7 +331,7 @@ def frontier_steps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT o_custkey AS src, o_orderkey + 100000 AS dst FROM orders WHERE o_orderkey % 10 <> 3 UNION SELECT event_id + 1000000, user_id FROM events WHERE event_id + 1000000 <> user_id")
 def dynamic_stream(spark: SparkSession, d: str) -> DataFrame:
     """Edges added by hand, a stream of insertions, a compaction, and a second stream of deletions; the first stream restarted."""
-    folder = _folder(spark, "stream")
+    folder = new_path(spark, "stream")
     g = Y.DynamicGraph(spark, f"{folder}/graph")
     orders = D.read(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 100000).alias("dst"))
     g.add_edges(orders)
@@ -358,7 +353,7 @@ def dynamic_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id AS id, min(event_id)::BIGINT AS value FROM (SELECT user_id, event_id FROM events) GROUP BY user_id")
 def state_over_batches(spark: SparkSession, d: str) -> DataFrame:
     """The first event that leads to each user, kept over two batches of edges: only new edges' targets run in the second."""
-    folder = _folder(spark, "state")
+    folder = new_path(spark, "state")
     g = Y.DynamicGraph(spark, folder)
     edges = D.read(spark, d, "events").select((F.col("event_id") + 10_000_000).alias("src"), F.col("user_id").alias("dst"))
     known = F.when(F.col("id") >= 10_000_000, F.col("id") - 10_000_000)
@@ -460,7 +455,7 @@ def random_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 3::BIGINT AS hosts, 7::BIGINT AS from_line, 2000::BIGINT AS by_default")
 def settings(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "hosts")
+    folder = new_path(spark, "hosts")
     spark.createDataFrame([("n1",), ("n2",), (" ",), ("n3",)], "value string").coalesce(1).write.text(folder)
     config = Config.load(spark, None, ["--alpha=7", "filetype", "metis"])
     return spark.createDataFrame([(hosts(spark, folder), config.integer("alpha"), config.integer("memory"))], "hosts long, from_line long, by_default long")
