@@ -80,8 +80,9 @@ lines AS (
 hot AS (SELECT k, max(doc_id) AS last FROM lines WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
 """
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORDS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')"
+_WORDS = f"regexp_extract_all({_LOWER}, '{_WORD}')"
 
 ORACLE = {
     "op4_decontaminate": f"""
@@ -96,6 +97,25 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS l
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    # All windows of 50 bytes, as hexadecimal digits, by their first document; runs of those that go; what lies between them.
+    "op5_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50)),
+g AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS o FROM w) WHERE o < doc_id),
+i AS (SELECT doc_id, p, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS f FROM g)),
+x AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY ALL),
+y AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list({'a': a, 'b': b} ORDER BY a) AS l FROM x GROUP BY doc_id),
+z AS (SELECT doc_id, h, n, n_removed, n_spans, CASE WHEN l IS NULL THEN h ELSE array_to_string(list_transform(range(len(l) + 1), lambda j: substr(h, (2 * CASE WHEN j = 0 THEN 0 ELSE l[j].b END + 1)::BIGINT, (2 * (CASE WHEN j = len(l) THEN n ELSE l[j + 1].a END - CASE WHEN j = 0 THEN 0 ELSE l[j].b END))::BIGINT)), '') END AS kept FROM d LEFT JOIN y USING (doc_id))
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM z""",
+    # All shingles of five words, pairs by a join on them, and what links reach by recursion.
+    "op6_near_copies": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, k.b FROM r JOIN (SELECT a, b FROM l UNION SELECT b, a FROM l) k ON k.a = r.o)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.o AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(o) AS o FROM r GROUP BY id) m ON m.id = doc_id""",
     "op9_warc": """
 SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
        (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(coalesce(html, '')), 5 * i + 1, 5))::BIGINT >> (15 - 5 * j) & 31)::INT + 1, 1), '' ORDER BY i, j) FROM range(8) a(i), range(4) b(j)) AS payload_digest,
