@@ -166,9 +166,12 @@ def answer(blobs: list[bytes]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), pa.array(d), packed], schema=pa.schema(list(ROWS)[1:]))
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], finish: Callable[[list[bytes]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: those with an answer pass, the questions of each bucket are finished together."""
-    current, held = None, []
+def by_bucket(batches: Iterator[pa.RecordBatch], finish: Callable[[list[bytes]], pa.RecordBatch | None], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: those with an answer pass, the questions of each bucket are finished together.
+
+    The questions of a bucket of more than `most` bytes are left to others.
+    """
+    current, held, size = None, [], 0
     for batch in batches:
         kinds = batch["kind"].to_numpy()
         passing = np.flatnonzero(kinds != QUESTION)
@@ -180,8 +183,13 @@ def by_bucket(batches: Iterator[pa.RecordBatch], finish: Callable[[list[bytes]],
             if numbers[i] != current:
                 if held and (out := finish(held)) is not None:
                     yield out
-                current, held = numbers[i], []
-            held.append(batch["blob"][int(i)].as_py())
+                current, held, size = numbers[i], [], 0
+            blob = batch["blob"][int(i)].as_py()
+            size += len(blob)
+            if most is not None and size > most:
+                held = []
+            else:
+                held.append(blob)
     if held and (out := finish(held)) is not None:
         yield out
 

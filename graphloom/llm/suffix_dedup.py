@@ -9,7 +9,8 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
    smallest document; copies of it in the chunk's other documents are removed at once.
 3. A bucket of segments, dealt by seed, drops those equal to a smaller document's, and sorts the windows of what is left as
    suffixes: multikey quicksort, of 8-byte words and of all groups at once, to a shallow depth, then the groups that still agree are ordered by blind tries.
-   Windows that end up equal go from all but the smallest document.
+   Windows that end up equal go from all but the smallest document. A bucket that is too large for one task, since a seed of very
+   many documents fills it, is passed on window by window instead, dealt by the window's hash.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ SHALLOW = 32
 #: Bytes of input for each bucket. A document has a row of ranges from each bucket that holds some of its segments, so more buckets
 #: are more rows.
 BUCKET_BYTES = 16 << 20
+#: Compressed bytes of segments that a task resolves, several times what a bucket should have. A bucket of more, which a seed that very
+#: many documents hold within different surroundings fills, is parted by windows.
+MOST_BYTES = 64 << 20
 #: Segments that are sorted at once.
 AT_ONCE = 20_000
 #: A chunk of documents whose segments are made at once.
@@ -308,20 +312,22 @@ def segments(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(n, QUESTION, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(out, pa.binary())], schema=SEGMENTS)
 
 
+def _opened(blob: bytes, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+    """(document, tag, first window, size, bytes) of the segments, or windows, of a blob."""
+    raw = unpack.decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    at, out = 4, []
+    for kind, m in (("<i8", n), ("<i8", n), ("<u4", n), ("<u1", n), ("<u1", -1)):
+        out.append(np.frombuffer(raw, kind, m, at))
+        at += out[-1].nbytes
+    return out
+
+
 def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
     """The ranges of windows that go, of one bucket of segments."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     unpack = zstandard.ZstdDecompressor()
-    for blob in blobs:
-        raw = unpack.decompress(blob)
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        at = 4
-        for k, (kind, m) in enumerate((("<i8", n), ("<i8", n), ("<u4", n), ("<u1", n), ("<u1", -1))):
-            x = np.frombuffer(raw, kind, m, at)
-            at += x.nbytes
-            parts[k].append(x)
-    doc, tag, lo, size, flat = (np.concatenate(p) for p in parts)
-    del parts, blobs
+    doc, tag, lo, size, flat = (np.concatenate(p) for p in zip(*(_opened(blob, unpack) for blob in blobs), strict=True))
+    del blobs
     size = size.astype(np.int64)
     # All windows of a segment have one seed, which it tells itself.
     found, rows, _, _ = row_seeds(flat, np.concatenate([[0], np.cumsum(size)]))
@@ -347,6 +353,87 @@ def resolve(blobs: list[bytes]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=RANGES)
 
 
+def bucket_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of the questions of rows sorted by bucket."""
+    for batch in batches:
+        asked = np.flatnonzero(batch["kind"].to_numpy() == QUESTION)
+        for i, number in zip(asked.tolist(), batch["bucket"].to_numpy()[asked].tolist(), strict=True):
+            yield number, batch["blob"][i].as_py()
+
+
+def part_large(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The windows of buckets of more than `most` bytes, dealt anew by a hash of each window: blob by blob, so nothing is gathered."""
+    current, held, size = None, [], 0
+    for number, blob in bucket_blobs(batches):
+        if number != current:
+            current, held, size = number, [], 0
+        size += len(blob)
+        if size <= most:
+            held.append(blob)
+            continue
+        for x in [*held, blob]:
+            yield from _windows(x, buckets)
+        held = []
+
+
+def _windows(blob: bytes, buckets: int) -> Iterator[pa.RecordBatch]:
+    doc, tag, lo, size, flat = _opened(blob, zstandard.ZstdDecompressor())
+    size = size.astype(np.int64)
+    n = size - LENGTH + 1
+    segment = np.repeat(np.arange(len(size)), n)
+    inner = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    # A window a row, filled up to whole words.
+    table = np.zeros((len(segment), -(-LENGTH // 8) * 8), np.uint8)
+    table[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[(np.cumsum(size) - size)[segment] + inner]
+    h = np.zeros(len(segment), _U)
+    for word in table.view("<u8").T:
+        h = mix(h ^ word) + _U(1)
+    h = mix(h) >> _U(16)
+    order = np.argsort(h)
+    bucket = bucket_of(h[order], buckets)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    pack, out = zstandard.ZstdCompressor(level=1), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        k = order[a:b]
+        s = segment[k]
+        out.append(pack.compress(b"".join((np.uint32(b - a).tobytes(), doc[s].tobytes(), tag[s].tobytes(), (lo[s] + inner[k]).astype("<u4").tobytes(), np.full(b - a, LENGTH, "<u1").tobytes(), table[k, :LENGTH].tobytes()))))
+    m = len(out)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(m, QUESTION, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(out, pa.binary())], schema=SEGMENTS)
+
+
+def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that go, of buckets of single windows: all but those of the smallest document so far, which is all that is kept of
+    a window, however many documents hold it."""
+    current, first, gone = None, {}, []
+
+    def told() -> pa.RecordBatch:
+        doc, tag, lo = (np.array(x, np.int64) for x in zip(*gone, strict=True))
+        d, t, blob = _ranges(doc, tag, lo, lo)
+        gone.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), d, t, blob], schema=RANGES)
+
+    unpack = zstandard.ZstdDecompressor()
+    for number, blob in bucket_blobs(batches):
+        if number != current:
+            current, first = number, {}
+        doc, tag, lo, _, flat = _opened(blob, unpack)
+        raw = flat.tobytes()
+        for i, (d, t, p) in enumerate(zip(doc.tolist(), tag.tolist(), lo.tolist(), strict=True)):
+            least, places = first.setdefault(raw[LENGTH * i : LENGTH * (i + 1)], (d, []))
+            if d > least:
+                gone.append((d, t, p))
+                continue
+            if d < least:
+                gone.extend((least, *x) for x in places)
+                first[raw[LENGTH * i : LENGTH * (i + 1)]] = (d, [(t, p)])
+                continue
+            places.append((t, p))
+        if len(gone) >= 100_000:
+            yield told()
+    if gone:
+        yield told()
+
+
 def _settle(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, size: np.ndarray, flat: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, tag, first, last) of windows that go, of all segments of some seeds."""
     begin = np.cumsum(size) - size
@@ -396,7 +483,7 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tag"))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """(doc_id, ranges): (tag, blob of (first, last) windows as 32-bit numbers) of windows that a smaller document holds too."""
     n = buckets_for(docs, BUCKET_BYTES)
     seen = shared_hashes(docs, seed_hashes, n).groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
@@ -407,11 +494,18 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         give_back()
 
     def settle(batches):
-        yield from by_bucket(batches, resolve)
+        yield from by_bucket(batches, resolve, most)
         give_back()
 
-    sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, "bucket int, kind int, doc_id long, tag long, blob binary")
-    found = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "kind int, doc_id long, tag long, blob binary")
+    def part(batches):
+        yield from part_large(batches, n, most)
+
+    rows, ranges = "bucket int, kind int, doc_id long, tag long, blob binary", "kind int, doc_id long, tag long, blob binary"
+    sent = _tagged(docs).join(seen, "doc_id").select("doc_id", "tag", "text", "blobs").mapInArrow(send, rows)
+    # Both read the same shuffle: the one resolves buckets, the other passes on those that are too large for one task.
+    dealt = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket")
+    large = dealt.mapInArrow(part, rows).repartitionById(n, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(settle, ranges).unionByName(large.mapInArrow(settle_windows, ranges))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "blob")).alias("ranges"))
 
 
@@ -428,13 +522,13 @@ def _apply(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of each row of docs (doc_id, text).
 
     Null texts are empty; texts under 50 bytes lose nothing. Rows that share a doc_id are one document and lose nothing to each
     other; a row whose doc_id is null has no smaller document, and is none. An empty table gives no rows.
     """
-    ranges = repeated_ranges(docs)
+    ranges = repeated_ranges(docs, most)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def strip(batches):

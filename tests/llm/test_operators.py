@@ -306,10 +306,11 @@ def test_repetitive_items_take_linear_time():
 # --- 5 and 6 -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_suffix_dedup_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,most", [(0, 1 << 20), (1, 1 << 20), (0, 0), (1, 3000)])
+def test_suffix_dedup_against_brute_force(spark, seed, most):
+    """With buckets that are resolved, all parted by windows, and some of each."""
     texts = corpus(seed)
-    found = suffix_dedup.dedup(table(spark, texts + texts[:2] + [(None, texts[0][1])])).collect()
+    found = suffix_dedup.dedup(table(spark, texts + texts[:2] + [(None, texts[0][1])]), most).collect()
     want = suffix_dedup.brute_force(dict(texts))
     assert len(found) == len(texts) + 3 and sum(v[1] for v in want.values()) > 1000
     for r in found:
