@@ -20,12 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        # The setting can't be changed in a running session, so the folder is kept here.
+        found = _own.get(spark.sparkContext.applicationId)
+        if not found:
+            found = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="graphloom-")
+            atexit.register(shutil.rmtree, found, True)
     return found.rstrip("/")
 
 
+#: Folders of local sessions that have none.
+_own: dict[str, str] = {}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
