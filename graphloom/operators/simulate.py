@@ -19,8 +19,8 @@ from graphloom.model import Graph, Pattern
 from graphloom.runtime import table
 
 MAX_BITS = 63
-#: Rounds that an action runs, after which the state is written.
-STEP = 2
+#: Rounds that an action runs, after which the state is written, from the round SINGLE on; before, one.
+STEP, SINGLE = 2, 4
 #: Vertices that at least so many edges, and more than one of HUBS of all edges, lead to are joined by broadcast.
 HUB, HUBS = 100_000, 20_000
 
@@ -100,7 +100,7 @@ def _shrunk(state: DataFrame, edges: _Edges, needs: list[int]) -> DataFrame:
 def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False, max_rounds: int | None = None, dual: bool = False) -> tuple[DataFrame, int, bool]:
     """(state(id, mask), rounds, whether every query node is matched); see simulate.
 
-    An action runs STEP rounds. Where the matched vertices have become less than half as many, edges that touch others are dropped.
+    Where the matched vertices have become less than half as many, edges that touch others are dropped.
     """
     if not 0 < len(pattern.nodes) <= MAX_BITS:
         raise ValueError(f"a pattern must have 1 to {MAX_BITS} nodes here; see simulate_pairs")
@@ -116,7 +116,8 @@ def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False,
     while dealt:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        steps, kept = STEP if max_rounds is None else 1, []
+        # Most matches settle in few rounds; of those that do not, an action runs several.
+        steps, kept = STEP if max_rounds is None and rounds >= SINGLE else 1, []
         new = held
         for k in range(steps):
             new = _shrunk(new, dealt[0], needs)
