@@ -39,7 +39,7 @@ def size_of(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
+def buckets_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """So many buckets that each is of about bytes_each of input, whatever the size."""
     return max(16, size_of(df) // bytes_each)
 

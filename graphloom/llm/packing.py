@@ -34,8 +34,8 @@ from graphloom.llm._common import cut, give_back, slices, small_batches, strings
 LENGTH = 2048
 END = 1
 GROUP_TOKENS = 1_000_000
-#: A partition holds several groups where there would be more partitions than this; a task packs one after the other.
-MOST_PARTITIONS = 20_000
+#: A task packs several groups one after the other: about EACH, and more where there would be more partitions than MOST_PARTITIONS.
+EACH, MOST_PARTITIONS = 8, 20_000
 #: Beyond so many rows (part, source) their starts are joined by a shuffle instead of a broadcast.
 MOST_STARTS = 500_000
 
@@ -370,7 +370,8 @@ def pack_tokens(tokens: DataFrame, length: int = LENGTH, group_tokens: int = GRO
     step = last("place", begin)
     own = own.withColumn("owed", step["token"] + (begin - step["place"]) / step["places"] - F.col("token"))
     rows = own.select("g", "late", "source", "token", "share", "owed", "doc_id", "doc_tokens", "ids")
-    rows = rows.repartition(min(groups, MOST_PARTITIONS), "g").sortWithinPartitions("g", "source", "token")
+    parts = max(groups // EACH, min(groups, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.repartition(min(parts, MOST_PARTITIONS), "g").sortWithinPartitions("g", "source", "token")
 
     def deal(batches):
         group, held = None, []
