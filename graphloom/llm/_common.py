@@ -48,7 +48,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILE_ROWS, LEAST_FILES = 250_000, 8
 
 
-def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
 
     rows: df has at most so many, which are narrow. They are written to files of about FILE_ROWS instead of one for each partition.
@@ -57,8 +57,8 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(files(rows))
-    # Ids and hashes do not compress, and zstd's contexts take native memory of each writer.
-    df.write.option("compression", "zstd" if rows is None else "snappy").parquet(path)
+    # Ids and hashes do not compress, and zstd's contexts take native memory of each writer: it is for texts and tokens.
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

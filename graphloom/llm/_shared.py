@@ -39,7 +39,7 @@ def size_of(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
+def buckets_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """So many buckets that each is of about bytes_each of input, whatever the size."""
     return max(16, size_of(df) // bytes_each)
 
@@ -144,26 +144,32 @@ def ask(table: pa.Table, of: Hasher, buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def answer(blobs: list[bytes]) -> pa.RecordBatch | None:
-    """The answers of one bucket: for each document its hashes that another one asked for too."""
-    docs, found = [], []
-    for blob in blobs:
-        n = int(np.frombuffer(blob, "<u4", 1)[0])
-        ids = np.frombuffer(blob, "<i8", n, 4)
-        counts = np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-        docs.append(np.repeat(ids, counts))
-        found.append(unpack48(blob[4 + 12 * n :]))
-    doc, h = np.concatenate(docs), np.concatenate(found)
+    """The answers of one bucket, whose list is emptied: for each document its hashes that another one asked for too."""
+    heads = [int(np.frombuffer(blob, "<u4", 1)[0]) for blob in blobs]
+    ids = np.concatenate([np.frombuffer(blob, "<i8", n, 4) for blob, n in zip(blobs, heads, strict=True)])
+    counts = np.concatenate([np.frombuffer(blob, "<u4", n, 4 + 8 * n) for blob, n in zip(blobs, heads, strict=True)])
+    # The documents as numbers in ascending order of their ids, which take half the room.
+    docs, number = np.unique(ids, return_inverse=True)
+    h, at = np.empty(int(counts.sum()), _U), 0
+    for n in heads:
+        part = unpack48(blobs.pop(0)[4 + 12 * n :])
+        h[at : at + len(part)] = part
+        at += len(part)
+    doc = np.repeat(number.astype(np.int32), counts)
+    del ids, counts, number
     order = np.argsort(h)
-    doc, h = doc[order], h[order]
+    h, doc = h[order], doc[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     two = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.repeat(two, np.diff(np.concatenate([first, [len(h)]])))
+    keep = np.repeat(two, np.diff(first, append=len(h)))
     doc, h = doc[keep], h[keep]
+    del keep, first, two
     if not len(doc):
         return None
     order = np.argsort(doc)
     d, packed = by_group(doc[order], h[order])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), pa.array(d), packed], schema=pa.schema(list(ROWS)[1:]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ANSWER, np.int32)), pa.array(docs[d]), packed], schema=pa.schema(list(ROWS)[1:]))
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], finish: Callable[[list[bytes]], pa.RecordBatch | None], most: int | None = None) -> Iterator[pa.RecordBatch]:

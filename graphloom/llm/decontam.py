@@ -302,7 +302,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_char
         wave = list(islice(of_blocks, WAVE))
         if wave:
             # No worker holds more than one wave.
-            out = cut(out, "overlaps")
+            out = cut(out, "overlaps", compression="zstd")
     return out
 
 

@@ -358,4 +358,4 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
     See store_texts for nulls; repeated rows give repeated rows, an empty table none.
     """
-    return describe_stored(cut(store_texts(docs), "media"))
+    return describe_stored(cut(store_texts(docs), "media", compression="zstd"))

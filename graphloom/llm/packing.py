@@ -400,5 +400,5 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group_t
     token, rows with a null or a repeated doc_id are packed like others, and other columns of docs are not looked at. An empty table
     gives no piece.
     """
-    tokens = cut(tokenize(docs, path or tokenizer_path()), "tokens")
+    tokens = cut(tokenize(docs, path or tokenizer_path()), "tokens", compression="zstd")
     return pack_tokens(tokens, length, group_tokens, targets)
