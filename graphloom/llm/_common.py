@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop what past rounds of a loop broadcast and shuffled, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a file, and the least number of files, where the number of rows is known beforehand.
 FILE_ROWS, LEAST_FILES = 250_000, 8
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import cut, join_by_weight
+from graphloom.llm._common import cut, join_by_weight, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = join_by_weight(large, low, "a", "n", 2 * total, top).select(F.explode(pairs).alias("x")).select("x.*").where("a <> b").distinct()
         e = cut(small, "edges", 2 * total)
+    tidy(e.sparkSession)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
