@@ -70,7 +70,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_main_text, op4_decontaminate, op5_suffix_dedup, op6_near_copies, op7_media, op8_pack, op9_warc, op10_line_dedup)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import predictions
+
+    return predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.whitening import whiten
+
+    out = whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.drop("embedding").withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.alignment import alignments
+
+    return alignments(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_main_text, op4_decontaminate, op5_suffix_dedup, op6_near_copies, op7_media, op8_pack, op9_warc, op10_line_dedup, op11_toxicity, op12_whitening, op13_alignment)}
 
 _LINES = """
 lines AS (
