@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import cut, join_by_weight, slices, small_batches, strings
+from graphloom.llm._common import cut, give_back, join_by_weight, slices, small_batches, strings
 from graphloom.llm._shared import distinct
 
 #: Bytes of text of a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes of chunks that are encoded in one call of a tokenizer.
 RUN = 1 << 13
 #: Links of a group that are laid out one by one; a larger group counts its distinct ids first.
@@ -370,6 +370,8 @@ def _encoder(path_a: str, path_b: str, size: int):
             columns |= {k: pa.array([_blob(getattr(x, k))], pa.binary()) for k in ("chunk", "link_chunk", "link_pair", "link_weight")}
             yield pa.RecordBatch.from_pydict({k: columns[k] for k in _COLUMNS})
             number += 1
+            del x, digest, columns, data, offsets
+            give_back()
 
     return encoded
 
