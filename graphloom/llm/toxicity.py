@@ -177,10 +177,16 @@ def _place(seed: str, *of: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 30)) / float(1 << 30)
 
 
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of least place, and those that tie with the last: found by their places alone, so no task gets their texts."""
+    last = rows.select("place").orderBy("place").limit(n).agg(F.max("place")).first()[0]
+    return rows.where(F.col("place") <= F.lit(last if last is not None else 0.0))
+
+
 def sample(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float]:
     """((toxic, bag) of the texts that are fitted, the class prior).
 
-    Toxic ids and unlabelled texts are drawn by hashes, at rates that give about the numbers asked for, which are limits. The prior is
+    Toxic ids and unlabelled texts are drawn by hashes, at rates that give the numbers asked for, where so many are. The prior is
     the share of ids that labels call toxic; where they call none clean, PRIOR. An id with both labels is clean.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
@@ -189,14 +195,11 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabel
     ids = known.where("toxic = 1").select("doc_id", _place("toxic", "doc_id").alias("place"))
     # Twice the rate holds the rows asked for almost surely; the limit bounds what is broadcast.
     ids = ids.where(F.col("place") * toxic < 2 * positive).orderBy("place", "doc_id").limit(2 * positive)
-    found = texts.join(F.broadcast(ids), "doc_id").orderBy("place", "doc_id", "text").limit(positive)
+    found = _first(texts.join(F.broadcast(ids), "doc_id"), positive)
     total = texts.count()
-    others = texts.withColumn("place", _place("unlabelled", "doc_id", "text")).where(F.col("place") * total < 2 * unlabelled)
-    others = others.orderBy("place", "doc_id", "text").limit(unlabelled)
+    others = _first(texts.withColumn("place", _place("unlabelled", "doc_id", "text")).where(F.col("place") * total < 2 * unlabelled), unlabelled)
     both = found.select(F.lit(1).alias("toxic"), "text").unionByName(others.select(F.lit(0).alias("toxic"), "text"))
-    # An ordered limit leaves one partition; whole texts are not turned into buckets by one task.
-    parts = docs.sparkSession.sparkContext.defaultParallelism
-    rows = small_batches(both).repartition(parts).select("toxic", F.arrow_udf(bag, "array<int>")("text").alias("bag"))
+    rows = small_batches(both).select("toxic", F.arrow_udf(bag, "array<int>")("text").alias("bag"))
     return rows, toxic / n if 0 < toxic < n else PRIOR
 
 
