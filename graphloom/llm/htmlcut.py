@@ -56,6 +56,8 @@ BLANKS = " \t\n\f\r"
 SURE, CLEAR, NAMED, SMOOTH = 12.0, 4.0, 2.5, 1.5
 #: What a class or id says on a page that has no content otherwise.
 DOUBTED = 1.0
+#: That nothing marks a block as boilerplate speaks for content: lists, tables and short paragraphs stand outside of articles too.
+UNMARKED = 2.5
 #: A wrapper that holds more than this part of a page's text outside links is none.
 WRAPPED = 0.5
 
@@ -251,7 +253,7 @@ def score(b: Block, named: float = NAMED) -> float:
     s = min(words, 40) / 20 - 1 - CLEAR * min(1.0, b.links / size)
     s += 0.8 if b.text[-1] in ".!?…\"”»" else 0.0
     s += {"p": 0.8, "blockquote": 0.5, "pre": 0.8, "li": -0.3, "td": -0.5, "th": -0.5}.get(b.node.tag, 0.3 if b.heading else 0.0)
-    return s + (CLEAR + 2 if sign == 1 else -named if sign == -1 else 0.0)
+    return s + (CLEAR + 2 if sign == 1 else -named if sign == -1 else UNMARKED)
 
 
 def distance(a: Node, b: Node) -> int:
@@ -357,11 +359,18 @@ def main_text(html: str | None) -> str:
         keep = [True] * len(found) if min(costs) >= 0 else min_cut(costs, edges(found))
         if any(keep):
             break
+    else:
+        # Nothing but links, say: what nothing marks is then all the content that there is.
+        keep = [b.node.sign >= 0 for b in found]
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of pages (page_id, url, html); null or empty html gives an empty text."""
+    """(page_id, url, text, n_chars) of each row of pages (page_id, url, html); null or empty html gives an empty text.
+
+    Pages are taken whole, however long. Repeated rows are pages of their own with equal texts, null ids and urls stay null, further
+    columns don't pass, and an empty table gives an empty one. A page with text that nothing marks as boilerplate has a text.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):

@@ -128,6 +128,22 @@ PAGES = [
 ]
 
 
+UNMARKED = {
+    "<div><h2>Results</h2><p>The measured values are given below for all of the runs.</p><ul><li>Alpha</li><li>Beta</li></ul></div>": "Results\n\nThe measured values are given below for all of the runs.\n\nAlpha\n\nBeta",
+    "<h2>Results</h2><table><tr><td>42</td><td>17</td></tr></table>": "Results\n\n42\n\n17",
+    "<h1>Title</h1><p>Short text here.</p><ul><li>One</li><li>Two</li><li>Three</li></ul>": "Title\n\nShort text here.\n\nOne\n\nTwo\n\nThree",
+    "<div><p>See <a href=x>the full report of the committee on this matter</a> now.</p></div>": "See the full report of the committee on this matter now.",
+    "<p><a href=x>Read the whole story of the river</a></p>": "Read the whole story of the river",
+    "<p>" + "A long paragraph of many words stands here. " * 8 + "</p><ul><li>Alpha</li><li>Beta</li></ul>": ("A long paragraph of many words stands here. " * 8).strip() + "\n\nAlpha\n\nBeta",
+    "<ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul><p>" + "A long paragraph of many words stands here. " * 4 + "</p><div class=share>Share this</div><footer>Imprint</footer>": ("A long paragraph of many words stands here. " * 4).strip(),
+}
+
+
+@pytest.mark.parametrize("html", UNMARKED)
+def test_text_that_nothing_marks_is_content(html):
+    assert htmlcut.main_text(html) == UNMARKED[html]
+
+
 def test_main_text(spark):
     rows = [(i, None if i == 2 else f"u{i}", h) for i, (h, _) in enumerate(PAGES)] + [(3, "u3", PAGES[3][0])]
     pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, text string")
