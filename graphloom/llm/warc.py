@@ -104,10 +104,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_records(records: DataFrame) -> DataFrame:
     """(record_type, record_id, refers_id, page_id, url, digest, block) of records, from nothing but their bytes."""
-    # The bytes of a header block are UTF-8; it ends with the first empty line.
+    # The bytes of a header block are UTF-8; it ends with the first empty line. Only a line feed ends a line here (the flag d): a url may
+    # hold what else ends lines in Unicode.
     head = F.substring_index(F.col("record").cast("string"), NL + NL, 1)
     parsed = records.select("record", head.alias("head"))
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?md)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
     has = lambda name: F.contains("head", F.lit(f"{NL}{name}: "))
     size = field("Content-Length").cast("int")
     begin = F.octet_length("head") + 2 * len(NL)
@@ -117,7 +118,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         field("WARC-Record-ID").alias("record_id"),
         field("WARC-Refers-To").alias("refers_id"),
         field("Page-ID").cast("long").alias("page_id"),
-        F.when(has("WARC-Target-URI"), F.regexp_extract("head", r"(?m)^WARC-Target-URI: ([^\r\n]*)\r?$", 1)).alias("url"),
+        F.when(has("WARC-Target-URI"), F.regexp_extract("head", r"(?md)^WARC-Target-URI: ([^\r\n]*)\r?$", 1)).alias("url"),
         F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("digest"),
         F.substring(F.col("record"), begin + 1, size).alias("block"),
     )

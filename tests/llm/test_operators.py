@@ -655,6 +655,17 @@ def test_tokenizer_pieces_equal_whole_texts():
         assert whole.encode(t or "", add_special_tokens=False).ids == got.tolist()
 
 
+def test_warc_headers_stand_whatever_a_url_holds(spark):
+    odd = [chr(c) for c in [*range(0x20), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x3000, 0xFEFF]]
+    urls = [f"http://a/{c}Page-ID: 99" for c in odd] + [f"http://a/{c}WARC-Payload-Digest: sha1:Q{c}WARC-Type: revisit" for c in odd] + ["", " ", ": ", "WARC-Type: x"]
+    pages = spark.createDataFrame([(i, u, f"page {i % 40}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    found = {r.page_id: r for r in warc.archived_pages(pages).collect()}
+    assert len(found) == len(urls)
+    for i, u in enumerate(urls):
+        assert found[i].url == u.replace("\r", "%0D").replace("\n", "%0A") and found[i].payload_bytes == len(f"page {i % 40}")
+        assert found[i].payload_digest == base64.b32encode(hashlib.sha1(f"page {i % 40}".encode()).digest()).decode()
+
+
 def test_warc(spark, tmp_path):
     import gzip
 
