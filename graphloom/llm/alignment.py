@@ -259,8 +259,8 @@ class Block:
     #: Chunks of each document, as numbers of distinct ones, and their number in it.
     chunk: np.ndarray
     size: np.ndarray
-    #: For each link of a distinct chunk: chunk, number of the pair, how many links it stands for.
-    link_chunk: np.ndarray
+    #: For each distinct chunk how many rows it has of these: number of the pair, how many links it stands for (empty: one each).
+    link_rows: np.ndarray
     link_pair: np.ndarray
     link_weight: np.ndarray
 
@@ -328,19 +328,20 @@ def block(data: np.ndarray, offsets: np.ndarray, a: ByteTokens, b: PieceTokens)
     some = held > 0
     alive = some[number]
     renumber = np.cumsum(some) - 1
-    return Block(per(ta.sizes), per(tb.sizes), per(n_groups), per(n_links), joined, pairs[some], held[some], chunk, size, text[alive], renumber[number[alive]], weight[alive])
+    weight = weight[alive]
+    weight = weight if (weight > 1).any() else weight[:0]
+    return Block(per(ta.sizes), per(tb.sizes), per(n_groups), per(n_links), joined, pairs[some], held[some], chunk, size, np.bincount(text[alive], minlength=n_texts), renumber[number[alive]], weight)
 
 
 def told(x: Block, counts: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n_best, count_sum) of each document, from the count of each pair of the block and whether it is its A id's highest."""
-    n = int(x.link_chunk.max(initial=-1)) + 1
-    n = max(n, int(x.chunk.max(initial=-1)) + 1)
-    of = lambda v: np.concatenate([_sums(v[x.link_pair] * x.link_weight, np.bincount(x.link_chunk, minlength=n)), [0]])
+    weight = x.link_weight if len(x.link_weight) else 1
+    of = lambda v: _sums(v[x.link_pair] * weight, x.link_rows)
     return _sums(of(best.astype(np.int64))[x.chunk], x.size), _sums(of(counts)[x.chunk], x.size)
 
 
 #: Of a written block: the columns of Block, with lists as blobs where they are for tasks alone.
-_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pair array<long>, held array<int>, chunk binary, size array<int>, link_chunk binary, link_pair binary, link_weight binary"
+_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pair array<long>, held array<int>, chunk binary, size array<int>, link_rows binary, link_pair binary, link_weight binary"
 _COLUMNS = [c.split()[0] for c in _BLOCK.split(", ")]
 
 
@@ -367,7 +368,7 @@ def _encoder(path_a: str, path_b: str, size: int):
             columns = {"block": pa.array([number]), "doc_id": _list(ids), "groups_sha256": _list(digest, pa.string())}
             columns |= {k: _list(getattr(x, k)) for k in ("n_a", "n_b", "n_groups", "n_links", "pair")}
             columns |= {k: _list(getattr(x, k), pa.int32()) for k in ("held", "size")}
-            columns |= {k: pa.array([_blob(getattr(x, k))], pa.binary()) for k in ("chunk", "link_chunk", "link_pair", "link_weight")}
+            columns |= {k: pa.array([_blob(getattr(x, k))], pa.binary()) for k in ("chunk", "link_rows", "link_pair", "link_weight")}
             yield pa.RecordBatch.from_pydict({k: columns[k] for k in _COLUMNS})
             number += 1
             del x, digest, columns, data, offsets
@@ -430,8 +431,8 @@ def _answered(left: pa.Table, right: pa.Table) -> pa.Table:
     counts, best = np.asarray(right["n"])[order], np.asarray(right["best"].combine_chunks())[order] if len(order) else np.zeros(0, bool)
     if len(order) != len(pairs):
         raise RuntimeError(f"a block of {len(pairs)} pairs was told {len(order)} counts")
-    chunk = {k: _unblob(x[k]) for k in ("chunk", "link_chunk", "link_pair", "link_weight")}
-    own = Block(*(np.zeros(0, np.int64) for _ in range(4)), [], pairs, np.zeros(0), chunk["chunk"], np.asarray(x["size"]).astype(np.int64), chunk["link_chunk"], chunk["link_pair"], chunk["link_weight"])
+    chunk = {k: _unblob(x[k]) for k in ("chunk", "link_rows", "link_pair", "link_weight")}
+    own = Block(*(np.zeros(0, np.int64) for _ in range(4)), [], pairs, np.zeros(0), chunk["chunk"], np.asarray(x["size"]).astype(np.int64), chunk["link_rows"], chunk["link_pair"], chunk["link_weight"])
     n_best, count_sum = told(own, counts, best)
     columns = {k: x[k] for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
     return pa.table(columns | {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum), "groups_sha256": x["groups_sha256"]})
