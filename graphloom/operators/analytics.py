@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
-from graphloom.runtime import in_order
+from graphloom.runtime import in_order, table
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -107,6 +107,32 @@ def range_shards(edges: DataFrame, shards: int) -> DataFrame:
     return placed.withColumn("shard", shard).groupBy("shard").agg(F.min("dst").alias("first"), F.max("dst").alias("last"), F.sum("n").alias("n_edges"))
 
 
+def balanced_cut(edges: DataFrame, shards: int) -> DataFrame:
+    """(shard, first, last, n_edges): intervals of target ids, cut one after the other as a stream of sorted edges would be.
+
+    A shard ends at the first target with which it has as many edges as it should; then what is left is spread over the shards left.
+    Running sums over targets are written in their order, so the search for an end reads the row groups that it falls into.
+    Intervals adjoin: the first begins at 0, the last ends with the largest vertex of all.
+    """
+    spark = edges.sparkSession
+    if shards < 1:
+        raise ValueError("there must be a shard")
+    total, most = edges.agg(F.count("*"), F.max(F.greatest("src", "dst"))).first()
+    if not total:
+        return spark.createDataFrame([], "shard int, first long, last long, n_edges long")
+    placed = table(in_order(edges.groupBy("dst").agg(F.count("*").alias("n")), "dst", total="n").select("dst", "running").sortWithinPartitions("running"), "running")
+    found, start, before, quota = [], 0, 0, total // shards + 1
+    while before < total:
+        k = len(found)
+        end = placed.where(F.col("running") >= before + quota).orderBy("running").first()
+        last, after = (most, total) if end is None or end.running == total else (end.dst, end.running)
+        found.append((k, start, last, after - before))
+        start, before = last + 1, after
+        if k + 1 < shards:
+            quota = (total - before) // (shards - k - 1)
+    return spark.createDataFrame(found, "shard int, first long, last long, n_edges long")
+
+
 def in_shards(edges: DataFrame, shards: DataFrame) -> DataFrame:
     """edges with the shard of their target: a range join with the few intervals (one row a shard)."""
     return edges.join(F.broadcast(shards.select("shard", "first", "last")), F.col("dst").between(F.col("first"), F.col("last"))).drop("first", "last")
@@ -129,6 +155,34 @@ def split_shards(edges: DataFrame, shards: DataFrame, limit: int) -> DataFrame:
     return shards
 
 
+#: Rows of a key that a task folds at a time.
+FOLDED = 4096
+
+
+def fold_duplicates(edges: DataFrame, accept_first: Callable[[Column, Column], Column], order: list[str], keys: tuple[str, ...] = ("src", "dst"), folded: int = FOLDED) -> DataFrame:
+    """edges with one row for each (src, dst): two that follow each other by `order` become the first where accept_first(first,
+    second), over their structs, is true, else the second.
+
+    Which one stays may depend on the order, but not on where one begins: a filter must give the same for (a, b), c and a, (b, c).
+    Rows are placed in one order of all, and folded in runs of `folded` places; what runs of a key leave is folded again until there
+    is one. So a key of very many rows is folded by many tasks, and no row of a run is far from another.
+    """
+    rows = in_order(edges.select(*keys, F.struct("*").alias("row"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))), *keys, *(f"o{i}" for i in range(len(order))), index="place")
+    rows = rows.select(*keys, "place", "row")
+
+    def one(first: Column, second: Column) -> Column:
+        return F.when(F.coalesce(accept_first(first["row"], second["row"]), F.lit(False)), first).otherwise(second)
+
+    while True:
+        runs = rows.groupBy(*keys, F.floor(F.col("place") / folded).alias("run")).agg(F.sort_array(F.collect_list(F.struct("place", "row"))).alias("l"))
+        left = runs.select(*keys, "run", F.aggregate(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), F.get("l", F.lit(0)), one).alias("x"))
+        left = table(left.select(*keys, "run", F.col("x.row").alias("row")), "folded")
+        if left.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return left.select("row.*")
+        # The runs that are left are placed anew, so a round leaves a part of folded of them.
+        rows = in_order(left, *keys, "run", index="place").select(*keys, "place", "row")
+
+
 def random_order(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
     """rows with place, their number in an order that the seed fixes."""
     return in_order(rows.withColumn("__draw", F.xxhash64(F.lit(seed), key)), "__draw", key, index="place").drop("__draw")

@@ -328,3 +328,37 @@ def map_vertices(graph: Graph, function: Callable, schema: str, by: str = "id")
     """Arbitrary Python for each vertex with its out-edges: function(id, pandas frame of edges) -> pandas frame of schema."""
     edges = graph.edges.withColumnRenamed("src", by)
     return edges.groupBy(by).applyInPandas(lambda key, pdf: function(key[0], pdf), schema)
+
+
+def emit_rows(edges: DataFrame, emitter: Callable[[], object], schema: str, order: list[str] | None = None) -> DataFrame:
+    """The rows that an object of emitter() yields for each vertex, by a table function partitioned by src.
+
+    It gets the vertex's out-edges one after the other, by `order` (dst if not given): edge(row) may yield tuples of schema for each,
+    and end() for the last time. Neither edges nor rows of a vertex are gathered, so its number of edges is bounded by nothing.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import AnalyzeResult, udtf
+
+    kind = T._parse_datatype_string(schema)
+    names = edges.columns
+
+    class Emitted:
+        @staticmethod
+        def analyze(table, **_):
+            return AnalyzeResult(schema=kind)
+
+        def __init__(self):
+            self.vertex = None
+
+        def eval(self, row, **_):
+            if self.vertex is None:
+                self.vertex = emitter()
+            yield from self.vertex.edge(row) or ()
+
+        def terminate(self):
+            if self.vertex is not None:
+                yield from self.vertex.end() or ()
+
+    function = udtf(Emitted)
+    argument = edges.asTable().partitionBy("src").orderBy(*(order or [c for c in ("dst",) if c in names]))
+    return function(argument)

@@ -69,8 +69,8 @@ class _Edges:
         self.heavy = None if self.hubs is None else edges.join(self.hubs, "dst", "left_semi").persist()
 
     def joined(self, state: DataFrame) -> DataFrame:
-        """(dst, src, mask) of edges whose target has a state."""
-        masks = state.select(F.col("id").alias("dst"), "mask")
+        """(dst, src, the state's columns) of edges whose target has a state."""
+        masks = state.withColumnRenamed("id", "dst")
         found = self.light.join(masks, "dst")
         if self.hubs is None:
             return found
@@ -82,9 +82,8 @@ class _Edges:
             self.heavy.unpersist()
 
 
-def _shrunk(state: DataFrame, edges: _Edges, needs: list[int]) -> DataFrame:
-    child = edges.joined(state).groupBy("src").agg(F.bit_or("mask").alias("below"))
-    below = F.coalesce("below", F.lit(0).cast("long"))
+def surviving(needs: list[int], below: Column) -> Column:
+    """The bits of `mask` whose needs, a mask each, are all in `below`."""
 
     def bit(q: int, need: int) -> Column:
         has = F.col("mask").bitwiseAND(F.lit(1 << q).cast("long"))
@@ -93,7 +92,12 @@ def _shrunk(state: DataFrame, edges: _Edges, needs: list[int]) -> DataFrame:
         need_ = F.lit(need).cast("long")
         return F.when(below.bitwiseAND(need_) == need_, has).otherwise(F.lit(0).cast("long"))
 
-    mask = reduce(lambda a, b: a.bitwiseOR(b), (bit(q, need) for q, need in enumerate(needs)))
+    return reduce(lambda a, b: a.bitwiseOR(b), (bit(q, need) for q, need in enumerate(needs)))
+
+
+def _shrunk(state: DataFrame, edges: _Edges, needs: list[int]) -> DataFrame:
+    child = edges.joined(state).groupBy("src").agg(F.bit_or("mask").alias("below"))
+    mask = surviving(needs, F.coalesce("below", F.lit(0).cast("long")))
     return state.join(child, state.id == child.src, "left").select("id", mask.alias("mask")).where("mask <> 0")
 
 
@@ -103,7 +107,7 @@ def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False,
     Where the matched vertices have become less than half as many, edges that touch others are dropped.
     """
     if not 0 < len(pattern.nodes) <= MAX_BITS:
-        raise ValueError(f"a pattern must have 1 to {MAX_BITS} nodes here; see simulate_pairs")
+        raise ValueError(f"a pattern must have 1 to {MAX_BITS} nodes here; see simulate")
     simple = source = graph.simple().persist()
     needs, behind = pattern.needs(), pattern.reversed().needs()
     full = (1 << len(needs)) - 1
@@ -174,8 +178,13 @@ def simulate(graph: Graph, pattern: Pattern, *, include_isolated: bool = False,
     """(q, id) for each vertex that simulates a query node; no rows if some query node has none.
 
     A vertex without edges matches nothing unless include_isolated. There is no limit on rounds; max_rounds raises when
-    reached. With dual (beyond plain simulation) parents must be matched too.
+    reached. With dual (beyond plain simulation) parents must be matched too. Patterns of more than MAX_BITS nodes take several words
+    a vertex, as simulate_many has them.
     """
+    if len(pattern.nodes) > MAX_BITS:
+        from graphloom.operators.many import simulate_many
+
+        return simulate_many(graph, [pattern], include_isolated=include_isolated, max_rounds=max_rounds, dual=dual).drop("pattern")
     state, _, found = relation(graph, pattern, include_isolated=include_isolated, max_rounds=max_rounds, dual=dual)
     return _pairs(state if found else state.where(F.lit(False)), len(pattern.nodes))
 

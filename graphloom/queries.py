@@ -600,4 +600,4 @@ def dynamic_log(spark: SparkSession, d: str) -> DataFrame:
     return g.edges().select("src", "dst")
 
 
-from graphloom import queries_more  # noqa: E402,F401  (registers further queries)
+from graphloom import queries_match, queries_more  # noqa: E402,F401  (register further queries)

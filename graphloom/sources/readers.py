@@ -232,17 +232,63 @@ def parse_attributes(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("n").cast("long").alias("id"), F.when(~F.is_variant_null(attrs), attrs).alias("attrs"))
 
 
+def _blockwise(rows: DataFrame, measure: Column, name: str) -> DataFrame:
+    """rows (file, block, at, ...) with `name`, the sum of a measure over the rows before each in its file.
+
+    Blocks are summed up (one row each), and a row gets what its block's rows before it add to the blocks before its own.
+    """
+    rows = rows.withColumn("__m", measure)
+    sums = rows.groupBy("file", "block").agg(F.sum("__m").alias("__s"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("file", "block", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s"))
+    own = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("__m").over(own), F.lit(0))
+    return rows.withColumn(name, within).join(starts, ["file", "block"]).withColumn(name, F.col(name) + F.col("__s")).drop("__m", "__s")
+
+
+def array_elements(fragments: DataFrame) -> DataFrame:
+    """(file, n, value): the elements, as text, of JSON arrays given as (file, block, at, value), cut at each comma.
+
+    An array may be written in any form, on one line or many. Where a fragment begins, inside a string or not, is told by the quotes
+    before it, and how deep it begins by the brackets before it that stand outside of strings; both are sums over fragments. An
+    element begins with a fragment that stands at depth 1 outside of strings. Files that hold something else than an array fail.
+    """
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    parts = F.split(plain, '"')
+    # Brackets outside of strings, for a fragment that begins outside (0) or inside (1) of one.
+    outside = lambda s: F.array_join(F.filter("parts", lambda x, i: i % 2 == s), "")
+    depth = lambda x: F.regexp_count(x, F.lit(r"[\[{]")) - F.regexp_count(x, F.lit(r"[\]}]"))
+    told = fragments.withColumn("parts", parts).select("file", "block", "at", "value", (F.size("parts") - 1).alias("quotes"), depth(outside(0)).alias("d0"), depth(outside(1)).alias("d1"))
+    told = _blockwise(told, F.col("quotes"), "quoted").withColumn("inside", F.col("quoted") % 2)
+    told = _blockwise(told.withColumn("change", F.when(F.col("inside") == 0, F.col("d0")).otherwise(F.col("d1"))), F.col("change"), "depth")
+    starts = ((F.col("inside") == 0) & (F.col("depth") == 1)).cast("int")
+    told = _blockwise(told.withColumn("starts", starts), F.col("starts"), "n").withColumn("n", F.col("n") + F.col("starts"))
+    ends = F.col("depth") + F.col("change") == 0
+    whole = told.groupBy("file", "n").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("f"), F.bool_or(ends).alias("last"))
+    text = F.array_join(F.transform("f", lambda x: x["value"]), ",")
+    opened = F.when(F.col("n") > 0, text).when(text.rlike(r"^\s*\["), F.regexp_replace(text, r"^\s*\[", "")).otherwise(F.raise_error(F.concat(F.lit("not an array: "), F.substring(text, 1, 80))))
+    closed = whole.select("file", "n", "last", opened.alias("value"))
+    value = F.trim(F.when(F.col("last"), F.regexp_replace("value", r"\]\s*$", "")).otherwise(F.col("value")))
+    # An empty array has one fragment, which is no element.
+    return closed.select("file", "n", F.regexp_replace(value, r"^\s+|\s+$", "").alias("value")).where("not (n = 0 and value = '')")
+
+
+def comma_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value) of text files cut at each comma; files are split among tasks wherever a comma stands."""
+    rows = spark.read.option("lineSep", ",").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_attributes(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
-    """(id, attrs variant) of vertices; null elements have null attributes. Layouts:
+    """(id, attrs variant) of vertices; null elements have null attributes. Files are split among tasks. Layouts:
 
-    "array": a JSON array in any form, whose places are the ids. One task parses it, so it must fit a variant.
-    "array_lines": the same with one element a line, split among tasks.
-    "lines": JSON objects, one a line, whose key `id` is the vertex and the rest of which are its attributes, split among tasks.
+    "array": a JSON array in any form, whose places are the ids; an element must fit a variant.
+    "array_lines": the same with one element a line, which takes fewer steps.
+    "lines": JSON objects, one a line, whose key `id` is the vertex and the rest of which are its attributes.
     """
     if layout == "array":
-        rows = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("array"))
-        rows = rows.lateralJoin(spark.tvf.variant_explode(F.col("array").outer()))
-        return rows.select(F.col("pos").cast("long").alias("id"), F.when(~F.is_variant_null("value"), F.col("value")).alias("attrs"))
+        attrs = F.parse_json("value")
+        return array_elements(comma_blocks(spark, path)).select(F.col("n").cast("long").alias("id"), F.when(~F.is_variant_null(attrs), attrs).alias("attrs"))
     if layout == "array_lines":
         return parse_attributes(text_blocks(spark, path))
     if layout != "lines":
