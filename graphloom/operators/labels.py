@@ -31,8 +31,9 @@ def grams(text: Column, first: int | None = None) -> Column:
     letters = F.split(F.concat(text, F.lit(END * (GRAM - 1))), "")
     n = F.char_length(text)
     at = F.sequence(F.lit(0), F.greatest(n if first is None else F.least(n, F.lit(first)), F.lit(1)) - 1)
-    gram = lambda i: F.concat(*(F.get(letters, i + k) for k in range(GRAM)))
-    return F.when(n > 0, F.array_distinct(F.transform(at, gram))).otherwise(F.array().cast("array<string>"))
+    # As a variable of a function the letters are split off once, not for each gram.
+    each = F.get(F.transform(F.array(letters), lambda x: F.transform(at, lambda i: F.concat(*(F.get(x, i + k) for k in range(GRAM))))), F.lit(0))
+    return F.when(n > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
 def pieces(rows: DataFrame) -> DataFrame:

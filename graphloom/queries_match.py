@@ -308,14 +308,14 @@ def bloom_blocked(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT DISTINCT ON (src, dst) src, dst, at, quantity FROM (SELECT l_partkey AS src, l_suppkey % 3 AS dst, l_orderkey * 8 + l_linenumber AS at, l_quantity AS quantity FROM lineitem) ORDER BY src, dst, quantity DESC, at")
+@query("SELECT DISTINCT ON (src, dst) src, dst, line, quantity FROM (SELECT l_partkey AS src, l_suppkey % 3 AS dst, l_orderkey * 8 + l_linenumber AS line, l_quantity AS quantity FROM lineitem) ORDER BY src, dst, quantity DESC, line")
 def fold_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Of all lines of a part and a third of the suppliers, the first in order of those of the largest quantity: an ordered filter."""
     from graphloom.operators import analytics as A
 
-    at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    lines = D.read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") % 3).alias("dst"), at.alias("at"), F.col("l_quantity").alias("quantity"))
-    return A.fold_duplicates(lines, lambda a, b: a["quantity"] >= b["quantity"], ["at"])
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = D.read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") % 3).alias("dst"), line.alias("line"), F.col("l_quantity").alias("quantity"))
+    return A.fold_duplicates(lines, lambda a, b: a["quantity"] >= b["quantity"], ["line"])
 
 
 class _Runs:
