@@ -179,9 +179,11 @@ def sink_matches(spark: SparkSession, d: str) -> DataFrame:
     return M.sink_matches(D.sessions(spark, d), PATH)
 
 
-@query("SELECT q, n::BIGINT AS out_degree FROM (VALUES (0, 2), (1, 2), (2, 0)) t(q, n)")
+@query("SELECT n_nationkey AS q, (SELECT count(*) FROM nation m WHERE m.n_regionkey = n.n_nationkey) AS out_degree FROM nation n")
 def query_out_degree(spark: SparkSession, d: str) -> DataFrame:
-    return DUPLICATES.node_table(spark)
+    """Of a pattern with a node for each nation, and an edge to each from the one that has its region's number."""
+    rows = D.read(spark, d, "nation").orderBy("n_nationkey").collect()
+    return Pattern(tuple({"label": r.n_name} for r in rows), tuple((r.n_regionkey, r.n_nationkey) for r in rows)).node_table(spark)
 
 
 @query(_sim_sql(D.SESSIONS_SQL, PATH))
@@ -427,24 +429,27 @@ def pdf2cdf(spark: SparkSession, d: str) -> DataFrame:
     return pdf.select("segment", F.transform(S.pdf_to_cdf(F.col("pdf")), lambda x: F.round(x, 9)).alias("cdf"))
 
 
-TOKENS = "('1', 'int'), ('x', 'int'), ('4000000000', 'uint'), ('1.5', 'double'), ('1', 'bool'), ('2', 'bool'), ('hello', 'char'), ('3:4:5', 'int:list'), ('7', 'int-int')"
+_KINDS = ["int", "int", "uint", "double", "bool", "char", "int:list", "int-int"]
 
 
-@query("""SELECT * FROM (VALUES ('1', 'int', '1'), ('x', 'int', NULL), ('4000000000', 'uint', '4000000000'), ('1.5', 'double', '1.5'), ('1', 'bool', 'true'), ('2', 'bool', 'false'), ('hello', 'char', 'h'), ('3:4:5', 'int:list', '[3,4,5]'), ('7', 'int-int', '{"left":7,"right":7}')) t(token, kind, parsed)""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN o_custkey::VARCHAR WHEN 2 THEN (4000000000 + o_custkey)::VARCHAR WHEN 3 THEN o_custkey || '.5' WHEN 4 THEN (o_custkey % 3 = 1)::VARCHAR WHEN 5 THEN o_orderpriority[1]
+WHEN 6 THEN '[' || o_custkey || ',' || (o_custkey + 1) || ',7]' WHEN 7 THEN '{"left":' || o_custkey || ',"right":' || o_custkey || '}' END AS parsed FROM orders""")
 def parse_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM VALUES {TOKENS} AS t(token, kind)")
-    text = lambda k: F.to_json(S.parse_value(F.col("token"), k)) if ":" in k or "-" in k else S.parse_value(F.col("token"), k).cast("string")
-    kinds = ["int", "uint", "double", "bool", "char", "int:list", "int-int"]
-    return rows.withColumn("parsed", F.coalesce(*(F.when(F.col("kind") == k, text(k)) for k in kinds)))
+    """Tokens of eight kinds made of orders, one of which is no number."""
+    k = F.col("o_custkey")
+    token = [k.cast("string"), F.concat(F.lit("x"), k), (k + 4_000_000_000).cast("string"), F.concat(k, F.lit(".5")), (k % 3).cast("string"), F.col("o_orderpriority"), F.concat_ws(":", k, k + 1, F.lit(7)), k.cast("string")]
+    text = lambda t, kind: F.to_json(S.parse_value(t, kind)) if ":" in kind or "-" in kind else S.parse_value(t, kind).cast("string")
+    parsed = F.coalesce(*(F.when(F.col("o_orderkey") % len(token) == i, text(t, kind)) for i, (t, kind) in enumerate(zip(token, _KINDS, strict=True))))
+    return D.read(spark, d, "orders").select("o_orderkey", parsed.alias("parsed"))
 
 
-JSON_ROWS = """VALUES (0, 'null'), (1, 'true'), (2, '3'), (3, '2.5'), (4, '"a"'), (5, '{"a":1,"b":2}'), (6, '[1,2,3]')"""
-
-
-@query("SELECT * FROM (VALUES (0, 'null', 0), (1, 'boolean', 1), (2, 'integer', 1), (3, 'float', 1), (4, 'string', 1), (5, 'object', 2), (6, 'array', 3)) t(i, kind, size)")
+@query("SELECT o_orderkey AS id, ['null', 'boolean', 'integer', 'float', 'string', 'object', 'array'][o_orderkey % 7 + 1] AS kind, [0, 1, 1, 1, 1, 2, 3][o_orderkey % 7 + 1] AS size FROM orders")
 def json_kinds(spark: SparkSession, d: str) -> DataFrame:
-    v = F.parse_json("j")
-    return spark.sql(f"SELECT * FROM {JSON_ROWS} AS t(i, j)").select("i", S.json_kind(v).alias("kind"), S.json_size(v).alias("size"))
+    """Values of all kinds made of orders."""
+    k = F.col("o_custkey").cast("string")
+    texts = [F.lit("null"), F.lit("true"), k, F.concat(k, F.lit(".5")), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')), F.concat(F.lit('{"a": 1, "b": '), k, F.lit("}")), F.concat(F.lit("[1, 2, "), k, F.lit("]"))]
+    v = F.parse_json(F.element_at(F.array(*texts), (F.col("o_orderkey") % 7 + 1).cast("int")))
+    return D.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), v.alias("v")).select("id", S.json_kind(F.col("v")).alias("kind"), S.json_size(F.col("v")).alias("size"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, json_exists(props, '$.z') AS has_z FROM events")
@@ -489,52 +494,62 @@ def shard_count(spark: SparkSession, d: str) -> DataFrame:
 # --- sources and generators --------------------------------------------------------------------------------------------------
 
 
-def _text(spark: SparkSession, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in lines], "value string")
-
-
-@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst, value::DOUBLE AS value FROM (VALUES (1, 2, 0.5), (3, 4, 7), (5, 1, -2)) t(src, dst, value)")
+@query("SELECT c_custkey AS src, c_custkey % 7 AS dst, c_acctbal AS value FROM customer WHERE c_custkey % 10 NOT IN (0, 5) AND c_custkey <> c_custkey % 7")
 def parse_edgelist(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_edge_list(_text(spark, ["# comment", "1 2 0.5", "% other", "3\t4\t7", "2,2,1", "5,1,-2", ""]), "double")
+    """Lines of customers, with comments and blank ones among them."""
+    k = F.col("c_custkey")
+    line = F.when(k % 10 == 0, F.concat(F.lit("# "), k)).when(k % 10 == 5, F.lit("")).otherwise(F.concat(k.cast("string"), F.lit("\t"), (k % 7).cast("string"), F.lit(", "), F.col("c_acctbal").cast("string")))
+    return R.parse_edge_list(D.read(spark, d, "customer").select(line.alias("value")), "double")
 
 
-@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst, value FROM (VALUES (1, 2, [3, 4, 5]), (2, 1, [9])) t(src, dst, value)")
+@query("SELECT c_custkey AS src, c_nationkey::BIGINT AS dst, [c_custkey::INTEGER, c_nationkey, 9] AS value FROM customer WHERE c_custkey <> c_nationkey")
 def parse_multivalue(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_edge_list(_text(spark, ["1 2 3:4:5", "2 1 9", "4 4 1:2"]), "int:list")
+    line = F.concat_ws(" ", "c_custkey", "c_nationkey", F.concat_ws(":", "c_custkey", "c_nationkey", F.lit(9)))
+    return R.parse_edge_list(D.read(spark, d, "customer").select(line.alias("value")), "int:list")
 
 
-@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (1, 2), (1, 3), (5, 1)) t(src, dst)")
+@query("SELECT c_custkey AS src, unnest([c_custkey + 1, c_custkey * 2 + 5]) AS dst FROM customer WHERE c_custkey % 4 <> 1")
 def parse_adjlist(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_adjacency(_text(spark, ["1 2 2 3", "4", "5 2 1 5", "# x"]))
+    """Lines of customers, every fourth of whom stands alone."""
+    k = F.col("c_custkey")
+    line = F.when(k % 4 == 1, k.cast("string")).otherwise(F.concat_ws(" ", k, F.lit(2), k + 1, k * 2 + 5))
+    return R.parse_adjacency(D.read(spark, d, "customer").select(line.alias("value")))
+
+
+def _side(spark: SparkSession, d: str, name: str, dims: int) -> int:
+    """The side of a lattice of about as many points as a table has rows."""
+    return max(2, round(D.read(spark, d, name).count() ** (1.0 / dims)))
 
 
-def _lattice_sql(n: int, dims: int) -> str:
-    return " UNION ALL ".join(f"SELECT i AS src, i + {n**k} AS dst FROM range({n**dims}) t(i) WHERE (i // {n**k}) % {n} < {n - 1}" for k in range(dims))
+def _lattice_sql(name: str, dims: int) -> str:
+    step = ["1", "n", "n * n", "n * n * n"]
+    parts = [f"SELECT i AS src, i + {step[k]} AS dst FROM p WHERE (i // ({step[k]})) % n < n - 1" for k in range(dims)]
+    return f"WITH s AS (SELECT greatest(2, round(pow(count(*), 1.0 / {dims})))::BIGINT AS n FROM {name}), p AS (SELECT i, n FROM s, range((SELECT {' * '.join(['n'] * dims)} FROM s)) t(i)) " + " UNION ALL ".join(parts)
 
 
-@query(_lattice_sql(50, 1))
+@query(_lattice_sql("orders", 1))
 def chain(spark: SparkSession, d: str) -> DataFrame:
-    return G.chain(spark, 50)
+    return G.chain(spark, _side(spark, d, "orders", 1))
 
 
-@query(_lattice_sql(12, 2))
+@query(_lattice_sql("orders", 2))
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    return G.grid(spark, 12)
+    return G.grid(spark, _side(spark, d, "orders", 2))
 
 
-@query(_lattice_sql(9, 2) + " UNION ALL SELECT i, i + 10 FROM range(81) t(i) WHERE i % 9 < 8 AND i // 9 < 8 UNION ALL SELECT i, i - 8 FROM range(81) t(i) WHERE i % 9 < 8 AND i // 9 > 0")
+@query(_lattice_sql("part", 2) + " UNION ALL SELECT i, i + n + 1 FROM p WHERE i % n < n - 1 AND i // n < n - 1 UNION ALL SELECT i, i - n + 1 FROM p WHERE i % n < n - 1 AND i // n > 0")
 def crossgrid(spark: SparkSession, d: str) -> DataFrame:
-    return G.crossgrid(spark, 9)
+    return G.crossgrid(spark, _side(spark, d, "part", 2))
 
 
-@query(_lattice_sql(6, 3))
+@query(_lattice_sql("orders", 3))
 def cubegrid(spark: SparkSession, d: str) -> DataFrame:
-    return G.cubegrid(spark, 6)
+    return G.cubegrid(spark, _side(spark, d, "orders", 3))
 
 
-@query(_lattice_sql(4, 4))
+@query(_lattice_sql("lineitem", 4))
 def quadgrid(spark: SparkSession, d: str) -> DataFrame:
-    return G.quadgrid(spark, 4)
+    return G.quadgrid(spark, _side(spark, d, "lineitem", 4))
 
 
 # --- sinks -------------------------------------------------------------------------------------------------------------------

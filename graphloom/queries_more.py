@@ -75,15 +75,14 @@ def parse_cassovary_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return R.parse_cassovary(rows.select(F.lit("f").alias("file"), F.floor((F.col("o") * 8 + F.col("k")) / 333).alias("block"), "at", "value"))
 
 
-@query("SELECT l_orderkey AS src, l_partkey AS dst, l_quantity::FLOAT AS value FROM lineitem WHERE l_orderkey <> l_partkey")
-def parse_binary_lineitem(spark: SparkSession, d: str) -> DataFrame:
-    """Records of two ids and a float, packed by Python and read as records."""
+def _packed(value: str | None):
+    """A function that packs batches of two ids and, where given, a value, to a record a row."""
 
     def pack(batches):
         import numpy as np
         import pyarrow as pa
 
-        kind = np.dtype([("src", "<u4"), ("dst", "<u4"), ("value", "<f4")])
+        kind = R._record(value)
         for b in batches:
             rows = np.empty(len(b), kind)
             for name, column in zip(kind.names, b.columns, strict=True):
@@ -91,10 +90,31 @@ def parse_binary_lineitem(spark: SparkSession, d: str) -> DataFrame:
             data = rows.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([data[i : i + kind.itemsize] for i in range(0, len(data), kind.itemsize)], pa.binary())], ["value"])
 
-    rows = D.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").mapInArrow(pack, "value binary")
+    return pack
+
+
+@query("SELECT l_orderkey AS src, l_partkey AS dst, l_quantity::FLOAT AS value FROM lineitem WHERE l_orderkey <> l_partkey")
+def parse_binary_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Records of two ids and a float, packed by Python and read as records."""
+
+    rows = D.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").mapInArrow(_packed("float"), "value binary")
     return R.parse_binary(rows, "float")
 
 
+@query("SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey <> l_partkey")
+def parse_binary_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The same without a value."""
+    return R.parse_binary(D.read(spark, d, "lineitem").select("l_orderkey", "l_partkey").mapInArrow(_packed(None), "value binary"))
+
+
+@query("SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <> o_custkey")
+def graph_without_values(spark: SparkSession, d: str) -> DataFrame:
+    """Edges written with values as text, and read by format without them."""
+    folder = new_path(spark, "file")
+    sinks.write_edges(D.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), folder)
+    return R.read_graph(spark, folder, "edgelist")
+
+
 @query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey::BIGINT END AS nation FROM customer")
 def parse_attributes_customers(spark: SparkSession, d: str) -> DataFrame:
     """Customers as a JSON array with an element a line, every ninth of them null; read in blocks."""
@@ -350,6 +370,24 @@ def dynamic_stream(spark: SparkSession, d: str) -> DataFrame:
     return g.edges().select("src", "dst")
 
 
+@query("SELECT 2::BIGINT AS first_batches, 4::BIGINT AS batches, 0::BIGINT AS base_before, n AS log_before, n AS base_after, 0::BIGINT AS log_after FROM (SELECT count(*) AS n FROM (SELECT DISTINCT event_id + 1000000 AS src, user_id AS dst FROM events) WHERE src <> dst)")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that is to end after two batches of four, goes on when it is started again, and the counts before and after a compaction."""
+    folder = new_path(spark, "stream")
+    g = Y.DynamicGraph(spark, f"{folder}/graph", buffer_limit=1 << 40)
+    events = D.read(spark, d, "events").select((F.col("event_id") + 1000000).alias("src"), F.col("user_id").alias("dst"), F.lit(1).alias("op"))
+    events.repartition(4).write.parquet(f"{folder}/added")
+    batches = []
+    for last in (2, None):
+        g.finish_after(last)
+        rows = spark.readStream.schema("src long, dst long, op int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/added")
+        g.wait(g.follow(rows, f"{folder}/checkpoint"))
+        batches.append(g.next_batch())
+    before = g.counts()
+    g.compact(force=True)
+    return spark.createDataFrame([(*batches, *before, *g.counts())], "first_batches long, batches long, base_before long, log_before long, base_after long, log_after long")
+
+
 @query("SELECT user_id AS id, min(event_id)::BIGINT AS value FROM (SELECT user_id, event_id FROM events) GROUP BY user_id")
 def state_over_batches(spark: SparkSession, d: str) -> DataFrame:
     """The first event that leads to each user, kept over two batches of edges: only new edges' targets run in the second."""
@@ -446,10 +484,11 @@ def permutations(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.sort_array(S.permutation((F.col("event_id") % 9 + 1).cast("long"), 4)).cast("array<bigint>").alias("sorted"))
 
 
-@query("SELECT 45::BIGINT AS pairs, true AS apart, true AS within")
+@query("SELECT (n * (n - 1) // 2)::BIGINT AS pairs, true AS apart, true AS within FROM (SELECT count(DISTINCT user_id) AS n FROM events)")
 def random_graph(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs at probability 1, in either direction, and weights within their limit."""
-    g = G.random_weights(G.erdos_renyi(spark, 10, 1.0, 3), 4, 50)
+    """As many vertices as there are users: all pairs at probability 1, in either direction, and weights within their limit."""
+    n = D.read(spark, d, "events").agg(F.count_distinct("user_id")).first()[0]
+    g = G.random_weights(G.erdos_renyi(spark, n, 1.0, 3), 4, 50)
     return g.agg(F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("pairs"), F.bool_and(F.col("src") != F.col("dst")).alias("apart"), F.bool_and((F.col("value") >= 0) & (F.col("value") < 50)).alias("within"))
 
 

@@ -163,8 +163,8 @@ class DynamicGraph:
         new = ids.select("id")
         self.tasks = new if self.tasks is None else self.tasks.unionByName(new).distinct()
 
-    def finish_after(self, batches: int) -> None:
-        """End streams that follow() runs once they have given so many batches from now on."""
+    def finish_after(self, batches: int | None) -> None:
+        """End streams that follow() runs once they have given so many batches from now on; None lets them go on."""
         self.last_batch = batches
 
     def run(self, program: VertexProgram, vertices: DataFrame, rounds: int) -> DataFrame:
