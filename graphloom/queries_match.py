@@ -343,3 +343,19 @@ def emit_udtf(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.operators import programs as P
 
     return P.emit_rows(D.transitions(spark, d).edges, _Runs, "id long, first long, last long, n long")
+
+
+@query("SELECT user_id AS id, min(event_id) AS first, count(*) AS n, sum(value) AS total FROM events GROUP BY user_id")
+def state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """What events say of their users, kept in a state store over a stream that stops halfway and is started again."""
+    from graphloom.runtime import new_path
+    from graphloom.streaming.state import VertexState
+
+    folder = new_path(spark, "state")
+    events = D.read(spark, d, "events").select(F.col("event_id").alias("src"), F.col("user_id").alias("dst"), "value")
+    kept = VertexState(spark, f"{folder}/values")
+    for k in (0, 1):
+        events.where(F.col("src") % 2 == k).repartition(2).write.mode("append").parquet(f"{folder}/edges")
+        stream = spark.readStream.schema("src long, dst long, value double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/edges")
+        kept.follow(stream, f"{folder}/checkpoint", {"first": F.min("src"), "n": F.count("*"), "total": F.sum("value")}).awaitTermination()
+    return kept.values()

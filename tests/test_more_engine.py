@@ -142,3 +142,35 @@ def test_rows_are_emitted_by_a_table_function(spark):
     assert {tuple(r) for r in found.where("id < 7").collect()} == {(1, 4, 4), (1, 6, 8), (1, -1, 3), (2, -1, 1)}
     assert found.where("id = 7").count() == 50_000 and found.where("id = 7 and low = -1").first().high == 50_000
     assert P.emit_rows(edges.limit(0), Gaps, "id long, low long, high long").count() == 0
+
+
+def test_vertex_state_goes_on_after_a_restart(spark, tmp_path):
+    from graphloom.streaming.state import VertexState
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(1000), rng.randrange(30)) for _ in range(400)]
+    schema = "src long, dst long"
+    kept, program = VertexState(spark, str(tmp_path / "kept")), VertexState(spark, str(tmp_path / "program"))
+
+    def step(vertex, frames, state):
+        # The last two sources in ascending order: no aggregate that could be added up in parts.
+        seen = [] if state is None else [x for x in state if x is not None]
+        for f in frames:
+            seen = sorted({*seen, *f["src"].tolist()})[-2:]
+        return (seen[-1], seen[-2] if len(seen) > 1 else None)
+
+    touched = []
+    for k in range(4):
+        spark.createDataFrame(edges[k * 100 : k * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        # Each run is a restart from the checkpoint.
+        kept.follow(stream, str(tmp_path / "c1"), {"least": F.min("src"), "n": F.count("*")}).awaitTermination()
+        if k % 2:
+            program.follow_program(stream, str(tmp_path / "c2"), step, "top long, second long").awaitTermination()
+        touched.append(kept.written().where(F.col("batch") == kept.written().agg(F.max("batch")).first()[0]).count())
+        now = edges[: k * 100 + 100]
+        assert {tuple(r) for r in kept.values().collect()} == {(d, min(s for s, x in now if x == d), sum(x == d for _, x in now)) for d in {x for _, x in now}}
+    # A batch writes the vertices that it has edges of.
+    assert touched[-1] == len({d for _, d in edges[300:]})
+    best = {d: sorted({s for s, x in edges if x == d}) for d in range(30)}
+    assert {tuple(r) for r in program.values().collect()} == {(d, b[-1], b[-2] if len(b) > 1 else None) for d, b in best.items() if b}
