@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
+from graphloom.operators.simulate import _Edges, _reversed
 from graphloom.runtime import table
 
 CUT_EVERY = 4
@@ -175,14 +176,16 @@ def run_kernel(edges: DataFrame, kernel: Kernel, rounds: int) -> DataFrame:
     edges = edges.select("src", "dst").persist()
     deg = degrees(edges).persist()
     state = deg.select("id", "outdegree", kernel.initial(F.col("id"), F.col("indegree"), F.col("outdegree")).alias("value"))
+    # Dealt by the end that tells; what a hub tells is broadcast.
+    dealt = _Edges(_reversed(edges))
     for i in range(rounds):
-        told = state.select(F.col("id").alias("src"), kernel.message(F.col("value"), F.col("outdegree")).alias("m"))
-        acc = edges.join(told, "src").groupBy(F.col("dst").alias("id")).agg(kernel.plus(kernel.op(F.col("m"))).alias("acc"))
+        told = state.select("id", kernel.message(F.col("value"), F.col("outdegree")).alias("m"))
+        acc = dealt.joined(told).groupBy(F.col("src").alias("id")).agg(kernel.plus(kernel.op(F.col("m"))).alias("acc"))
         state = state.join(acc, "id", "left").select("id", "outdegree", kernel.compute(F.col("value"), F.coalesce("acc", kernel.reset)).alias("value"))
         if (i + 1) % CUT_EVERY == 0:
             state = table(state, "kernel")
     final = table(state.select("id", "value"), "kernel")
-    for x in (edges, deg):
+    for x in (dealt, edges, deg):
         x.unpersist()
     return final
 
@@ -291,9 +294,10 @@ def run_monotone(edges: DataFrame, kernel: Kernel, decreasing: bool = True, max_
     edges = edges.select("src", "dst").persist()
     deg = degrees(edges)
     state = table(deg.select("id", "outdegree", kernel.initial(F.col("id"), F.col("indegree"), F.col("outdegree")).alias("value")), "monotone")
+    dealt = _Edges(_reversed(edges))
     for _ in range(max_rounds):
-        told = state.select(F.col("id").alias("src"), kernel.message(F.col("value"), F.col("outdegree")).alias("m"))
-        acc = edges.join(told, "src").groupBy(F.col("dst").alias("id")).agg(kernel.plus(kernel.op(F.col("m"))).alias("acc"))
+        told = state.select("id", kernel.message(F.col("value"), F.col("outdegree")).alias("m"))
+        acc = dealt.joined(told).groupBy(F.col("src").alias("id")).agg(kernel.plus(kernel.op(F.col("m"))).alias("acc"))
         new = state.join(acc, "id", "left").select("id", "outdegree", kernel.compute(F.col("value"), F.coalesce("acc", kernel.reset)).alias("value"), F.col("value").alias("old"))
         new = table(new, "monotone")
         wrong = F.col("value") > F.col("old") if decreasing else F.col("value") < F.col("old")
@@ -302,6 +306,7 @@ def run_monotone(edges: DataFrame, kernel: Kernel, decreasing: bool = True, max_
             raise ValueError("the kernel is not monotone")
         state = new.select("id", "outdegree", "value")
         if not moved:
+            dealt.unpersist()
             edges.unpersist()
             return state.select("id", "value")
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

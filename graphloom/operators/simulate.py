@@ -241,17 +241,18 @@ def simulate_pairs(graph: Graph, pattern: Pattern, *, include_isolated: bool = F
     A pair with edges survives a round if its children are matched to as many distinct query nodes as its edges lead to.
     """
     spark, edges = graph.edges.sparkSession, graph.simple().persist()
-    pattern_edges = pattern.edge_table(spark)
+    dealt, pattern_edges = _Edges(edges), pattern.edge_table(spark)
     need = pattern_edges.groupBy("source").agg(F.count("*").alias("need"))
     pairs = table(_start_pairs(graph, pattern, edges, include_isolated), "pairs")
     count = pairs.count()
     while True:
-        below = edges.join(pairs.select(F.col("id").alias("dst"), F.col("q").alias("target")), "dst")
+        below = dealt.joined(pairs.select("id", F.col("q").alias("target")))
         support = below.join(F.broadcast(pattern_edges), "target").groupBy(F.col("src").alias("id"), F.col("source").alias("q")).agg(F.count_distinct("target").alias("have"))
         wanted = pairs.join(F.broadcast(need), pairs.q == need.source, "left").drop("source")
         pairs = table(wanted.join(support, ["id", "q"], "left").where("need is null or have = need").select("q", "id"), "pairs")
         left = pairs.count()
         if left == count:
+            dealt.unpersist()
             edges.unpersist()
             return _all_or_nothing(pairs, len(pattern.nodes))
         count = left
@@ -263,18 +264,19 @@ def simulate_delta(graph: Graph, pattern: Pattern, *, include_isolated: bool = F
     It pays where late rounds refute few pairs: a round joins the edges with those alone.
     """
     spark, edges = graph.edges.sparkSession, graph.simple().persist()
-    pattern_edges = F.broadcast(pattern.edge_table(spark))
+    dealt, pattern_edges = _Edges(edges), F.broadcast(pattern.edge_table(spark))
     alive = table(_start_pairs(graph, pattern, edges, include_isolated), "alive")
-    below = edges.join(alive.select(F.col("id").alias("dst"), F.col("q").alias("target")), "dst").groupBy(F.col("src").alias("id"), "target").agg(F.count("*").alias("n"))
+    below = dealt.joined(alive.select("id", F.col("q").alias("target"))).groupBy(F.col("src").alias("id"), "target").agg(F.count("*").alias("n"))
     needed = alive.join(pattern_edges, alive.q == F.col("source")).select("id", "q", "target")
     counters = table(needed.join(below, ["id", "target"], "left").select("id", "q", "target", F.coalesce("n", F.lit(0)).alias("n")), "counters")
     while True:
         gone = table(counters.where("n <= 0").select("id", "q").distinct(), "refuted")
         if gone.isEmpty():
+            dealt.unpersist()
             edges.unpersist()
             return _all_or_nothing(alive, len(pattern.nodes))
         alive = table(alive.join(gone, ["id", "q"], "left_anti").select("q", "id"), "alive")
-        less = edges.join(gone.select(F.col("id").alias("dst"), F.col("q").alias("target")), "dst").groupBy(F.col("src").alias("id"), "target").agg(F.count("*").alias("less"))
+        less = dealt.joined(gone.select("id", F.col("q").alias("target"))).groupBy(F.col("src").alias("id"), "target").agg(F.count("*").alias("less"))
         kept = counters.join(gone, ["id", "q"], "left_anti").join(less, ["id", "target"], "left")
         counters = table(kept.select("id", "q", "target", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "counters")
 
@@ -282,12 +284,14 @@ def simulate_delta(graph: Graph, pattern: Pattern, *, include_isolated: bool = F
 def reachable(graph: Graph, start: DataFrame, hops: int | None = None) -> DataFrame:
     """(id): start and its descendants, within so many hops if given. It can confine a match to what its candidates lead to."""
     edges = graph.simple().persist()
+    dealt = _Edges(_reversed(edges))
     seen = table(start.select("id").distinct(), "seen")
     front, n = seen, 0
     while (hops is None or n < hops) and not front.isEmpty():
-        step = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        step = dealt.joined(front.select("id")).select(F.col("src").alias("id")).distinct()
         front = table(step.join(seen, "id", "left_anti"), "front")
         seen = table(seen.unionByName(front), "seen")
         n += 1
+    dealt.unpersist()
     edges.unpersist()
     return seen

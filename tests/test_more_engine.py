@@ -174,3 +174,35 @@ def test_vertex_state_goes_on_after_a_restart(spark, tmp_path):
     assert touched[-1] == len({d for _, d in edges[300:]})
     best = {d: sorted({s for s, x in edges if x == d}) for d in range(30)}
     assert {tuple(r) for r in program.values().collect()} == {(d, b[-1], b[-2] if len(b) > 1 else None) for d, b in best.items() if b}
+
+
+def test_hubs_are_told_and_heard_without_a_task_of_their_own(spark, monkeypatch):
+    from model_worklist import simulation
+
+    from graphloom.model import Graph, Pattern
+    from graphloom.operators import programs as P
+    from graphloom.operators import simulate as M
+
+    labels = {0: "a", **{i: "b" if i % 3 else "c" for i in range(1, 60)}}
+    edges = [(0, i) for i in range(1, 50)] + [(i, 0) for i in range(20, 60)] + [(i, i + 1) for i in range(1, 30)]
+    g = Graph(spark.createDataFrame(list(labels.items()), "id long, label string"), spark.createDataFrame(edges, "src long, dst long"))
+    p = Pattern.labelled(["a", "b", "c"], [(0, 1), (1, 2), (1, 0)])
+
+    def all_of_it():
+        return (
+            {tuple(r) for r in M.simulate_pairs(g, p).collect()},
+            {tuple(r) for r in M.simulate_delta(g, p).collect()},
+            {r.id for r in M.reachable(g, g.vertices.where("id = 58").select("id")).collect()},
+            {(r.id, round(r.value, 9)) for r in P.run_kernel(g.edges, P.pagerank_kernel(), 3).collect()},
+            {tuple(r) for r in P.shortest_hops(g.edges, 58, 4).collect()},
+        )
+
+    plain = all_of_it()
+    dealt = []
+    start = M._Edges.__init__
+    monkeypatch.setattr(M, "HUB", 10)
+    monkeypatch.setattr(M, "HUBS", 20)
+    monkeypatch.setattr(M._Edges, "__init__", lambda self, e: (start(self, e), dealt.append(self.hubs is not None))[0])
+    assert all_of_it() == plain and all(dealt) and len(dealt) == 5
+    want = simulation(labels, edges, ["a", "b", "c"], p.edges)
+    assert plain[0] == plain[1] == want
