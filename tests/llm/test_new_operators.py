@@ -10,8 +10,57 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import alignment, toxicity, whitening
-from graphloom.llm._common import strings
+from graphloom.llm import alignment, langid, quality, toxicity, whitening
+from graphloom.llm._common import BASE, mix, strings
+
+# --- 1 and 2 -----------------------------------------------------------------------------------------------------------------
+
+_M = 0xD6E8FEB86659FD93
+
+
+def _mixed(x):
+    return int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+
+def _forward(text, model):
+    """Probabilities of the classes of an averaged model, feature by feature."""
+    f, raw = model.features, (text or "").encode()
+    raw = bytes(b + 32 if f.lower and 65 <= b <= 90 else b for b in raw)
+    found = []
+    for kind, k in enumerate(f.chars):
+        found += [(int.from_bytes(raw[i : i + k], "big") * BASE % (1 << 64) >> (64 - f.bits)) + (kind << f.bits) for i in range(len(raw) - k + 1)]
+    words = [w for w in bytes(32 if b in b"\t\n\v\f\r" else b for b in raw).split(b" ") if w]
+    hashes = [_mixed(sum((b + 1) * pow(BASE, i, 1 << 64) for i, b in enumerate(w))) for w in words]
+    for j, k in enumerate(f.words):
+        for i in range(len(hashes) - k + 1):
+            g = hashes[i]
+            for h in hashes[i + 1 : i + k]:
+                g = g * _M + h
+            g = k if k > 1 and len(set(hashes[i : i + k])) == 1 else g
+            found.append((_mixed(g) >> (64 - f.bits)) + ((len(f.chars) + j) << f.bits))
+    z = [sum(float(model.table[b, c]) for b in found) / max(1, len(found) + f.prior) for c in range(len(model.classes))]
+    z = [(x + b) / model.temperature for x, b in zip(z, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_language_and_quality_equal_a_forward_pass_feature_by_feature(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("Alpha", "beta", "gämma", "δέλτα", "eps,", "no no no", "x\ty")) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    texts += ["", " ", "a", "ab", "no no", "日本"]
+    docs = spark.createDataFrame([(i, t, ["en", "de", "fr"][i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.length("text").cast("int").alias("n")).selectExpr("doc_id", "int(n % 2) AS quality")
+    model = langid.fit(docs)
+    for r in langid.identify(docs, model).collect():
+        p = _forward(r.text, model)
+        if any(map(str.isalpha, r.text)):
+            assert abs(r.score - max(p)) < 2e-5 and p[model.classes.index(r.lang_pred)] > max(p) - 1e-5
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model).collect():
+        assert abs(r.score - _forward(r.text, model)[model.classes.index("1")]) < 2e-5
+
 
 # --- 11 ----------------------------------------------------------------------------------------------------------------------
 
