@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.predicates import field
+
 #: Spark types of the edge value types of files.
 VALUE_TYPES: dict[str, str] = {"int": "int", "uint": "bigint", "short": "smallint", "long": "bigint", "float": "float", "double": "double", "char": "string", "bool": "boolean"}
 
@@ -113,7 +115,7 @@ def json_at(v: Column, path: str, kind: str = "variant") -> Column:
 
 
 def json_has(v: Column, key: str) -> Column:
-    return json_at(v, f"$['{key}']").isNotNull()
+    return field(v, key).isNotNull()
 
 
 def json_size(v: Column) -> Column:

@@ -359,3 +359,12 @@ def state_stream(spark: SparkSession, d: str) -> DataFrame:
         stream = spark.readStream.schema("src long, dst long, value double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/edges")
         kept.follow(stream, f"{folder}/checkpoint", {"first": F.min("src"), "n": F.count("*"), "total": F.sum("value")}).awaitTermination()
     return kept.values()
+
+
+@query(f"WITH RECURSIVE {D.TRANSITIONS_SQL}, r(a, b) AS (SELECT DISTINCT id, id FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT b AS id, min(a) AS value FROM r GROUP BY b")
+def kernel_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The least id that leads to each user, by blocks that are each run until they settle."""
+    from graphloom.operators import blocks as K
+
+    edges = D.transitions(spark, d).edges
+    return K.run_blocks(edges, F.col("id"), K.BlockKernel(lambda v: v), block_edges=2000)

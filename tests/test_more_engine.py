@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,42 @@ def test_hubs_are_told_and_heard_without_a_task_of_their_own(spark, monkeypatch)
     assert all_of_it() == plain and all(dealt) and len(dealt) == 5
     want = simulation(labels, edges, ["a", "b", "c"], p.edges)
     assert plain[0] == plain[1] == want
+
+
+def test_blocks_reach_the_fixpoint_in_fewer_exchanges_than_rounds(spark):
+    from graphloom.operators import blocks as K
+
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(30)] + [(rng.randrange(31), rng.randrange(31)) for _ in range(5)] + [(200, 3), (7, 7)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    history = []
+    found = K.run_blocks(df, F.col("id"), K.BlockKernel(lambda v: v), block_edges=12, history=history)
+    found = {tuple(r) for r in found.collect()}
+    # Rounds of all vertices at a time go a step along the chain each.
+    value, rounds = {v: v for e in edges for v in e}, 0
+    while True:
+        new = dict(value)
+        for a, b in edges:
+            new[b] = min(new[b], value[a])
+        rounds += 1
+        if new == value:
+            break
+        value = new
+    assert found == set(value.items()) and 1 < len(history) < rounds / 2
+    far = (1 << 62)
+    hops = K.run_blocks(df, F.when(F.col("id") == 0, F.lit(0)).otherwise(F.lit(far)), K.BlockKernel(lambda v: np.where(v >= far, far, v + 1)), block_edges=20)
+    reached, front = {0: 0}, [0]
+    while front:
+        front = [b for v in front for a, b in edges if a == v and b not in reached and not reached.update({b: reached[v] + 1})]
+    assert {(r.id, r.value) for r in hops.collect()} == {(v, reached.get(v, far)) for v in value}
+    rising = K.run_blocks(df, F.col("indegree").cast("double"), K.BlockKernel(lambda v: v * 0.5, rising=True, kind="double"), block_edges=9)
+    level = {v: float(sum(b == v and a != b for a, b in set(edges))) for v in value}
+    while True:
+        new = dict(level)
+        for a, b in edges:
+            new[b] = max(new[b], level[a] * 0.5)
+        if new == level:
+            break
+        level = new
+    assert {tuple(r) for r in rising.collect()} == set(level.items())
+    assert K.run_blocks(df.limit(0), F.col("id"), K.BlockKernel(lambda v: v)).count() == 0

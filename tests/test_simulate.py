@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -79,3 +80,27 @@ def test_pattern_file(spark, tmp_path):
     p = Pattern.load(spark, str(tmp_path / "q.json"))
     assert p.out_degrees() == [2, 0] and p.needs() == [2, 0]
     assert p.edge_table(spark).count() == 1
+
+
+def test_whole_numbers_are_compared_exactly(spark):
+    big = 2**53
+    v = spark.createDataFrame([(i, x) for i, x in enumerate((big, big + 1, -big - 1, 5))], "id long, n long")
+    g = Graph(v, spark.createDataFrame([], "src long, dst long"))
+    nodes = tuple({"n": x} for x in (big, big + 1, -big - 1, 5, 5.0, 10**30))
+    got = {r.id: r.m for r in v.select("id", candidate_mask(g, Pattern(nodes)).alias("m")).collect()}
+    assert got == {0: 1, 1: 2, 2: 4, 3: 24}
+    texts = v.select("id", F.parse_json(F.concat(F.lit('{"n": '), F.col("n"), F.lit("}"))).alias("attrs")).unionByName(spark.createDataFrame([(9, '{"n": 5.0}'), (10, '{"n": 1000000000000000000000000000000}')], "id long, j string").select("id", F.parse_json("j").alias("attrs")))
+    got = {r.id: r.m for r in texts.select("id", candidate_mask(Graph(texts, g.edges, attrs="attrs"), Pattern(nodes)).alias("m")).collect()}
+    assert got == {0: 1, 1: 2, 2: 4, 3: 24, 9: 24, 10: 32}
+
+
+def test_json_keys_may_hold_quotes(spark):
+    from graphloom.functions import scalars as S
+
+    keys = ["a'b", 'a"b', "a'\"b", "ab"]
+    v = spark.createDataFrame([(json.dumps({k: i}),) for i, k in enumerate(keys)], "j string").select(F.parse_json("j").alias("v"))
+    for k in keys:
+        assert [r.h for r in v.select(S.json_has(F.col("v"), k).alias("h")).collect()] == [x == k for x in keys]
+    g = Graph(v.select(F.monotonically_increasing_id().alias("id"), F.col("v").alias("attrs")), spark.createDataFrame([], "src long, dst long"), attrs="attrs")
+    got = [r.m for r in g.vertices.select(candidate_mask(g, Pattern(tuple({k: i} for i, k in enumerate(keys)))).alias("m")).collect()]
+    assert sorted(got) == [1, 2, 4, 8]
