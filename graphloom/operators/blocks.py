@@ -14,12 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.analytics import degrees, in_shards, range_shards
+from graphloom.operators.analytics import degrees
 from graphloom.operators.simulate import _Edges, _reversed
-from graphloom.runtime import table
+from graphloom.runtime import in_order, table
 
 #: Edges of a block, about; a target's edges are in one block, but those from other blocks are not kept there.
 BLOCK_EDGES = 2_000_000
@@ -61,16 +60,17 @@ def run_blocks(edges: DataFrame, initial: Column, kernel: BlockKernel, block_edg
     history, where given, gets a dict for each exchange: how many values it has changed.
     """
     edges = table(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    total = edges.count()
-    shards = range_shards(edges, max(1, -(-total // block_edges)))
-    # A block goes on to where the next one begins, so that vertices without in-edges have one too; it takes one row a block.
-    following = F.lead("first").over(W.orderBy("first"))
-    least, most = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1)
-    shards = table(shards.select("shard", F.when(F.row_number().over(W.orderBy("first")) == 1, least).otherwise(F.col("first")).alias("first"), F.coalesce(following - 1, most).alias("last")), "shards")
-    placed = in_shards(degrees(edges).withColumnRenamed("id", "dst"), shards).withColumnsRenamed({"dst": "id", "shard": "block"})
-    state = table(placed.select("id", "block", initial.cast(kernel.kind).alias("value")), "blocks")
-    own = shards.select(F.col("shard").alias("block"), F.col("first").alias("f"), F.col("last").alias("l"))
-    placed = in_shards(edges, shards).withColumnRenamed("shard", "to").join(F.broadcast(own), F.col("src").between(F.col("f"), F.col("l"))).drop("f", "l")
+    # A block begins where the in-edges of the vertices before have filled the last one.
+    ordered = in_order(degrees(edges), "id", total=F.col("indegree") + 1)
+    block = F.floor((F.col("running") - F.col("indegree") - 1) / block_edges).cast("int")
+    state = table(ordered.select("id", block.alias("block"), initial.cast(kernel.kind).alias("value")), "blocks")
+    # Blocks of both ends: no task gets all edges of a hub.
+    ends = _Edges(edges)
+    there = table(ends.joined(state.select("id", F.col("block").alias("to"))).select("src", "dst", "to"), "ends")
+    ends.unpersist()
+    starts = _Edges(there.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "to"))
+    placed = table(starts.joined(state.select("id", "block")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "block", "to"), "placed")
+    starts.unpersist()
     inner = placed.where("block = to").select("block", "src", "dst").repartition("block").persist()
     outer = table(placed.where("block <> to").select("src", "dst"), "outer")
     dealt = _Edges(_reversed(outer))

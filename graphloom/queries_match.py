@@ -247,9 +247,9 @@ def parse_attributes_array(spark: SparkSession, d: str) -> DataFrame:
     o = in_order(D.read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey"), "o_orderkey")
     said = F.concat(F.col("o_orderpriority"), F.lit(', "'), F.col("o_orderstatus"), F.lit("]"))
     element = F.when(F.col("o_orderkey") % 11 == 0, F.lit("null")).otherwise(F.to_json(F.struct(said.alias("p"), F.array(F.array("o_custkey"), F.array(F.lit(0))).alias("c"))))
-    last = o.agg(F.max("index").alias("last"))
-    text = F.concat(F.when(F.col("index") == 0, F.lit("[")).otherwise(F.lit("")), element, F.when(F.col("index") == F.col("last"), F.lit("]")).otherwise(F.lit("")))
-    rows = o.join(F.broadcast(last)).select("index", F.posexplode(F.split(text, ",")).alias("k", "value"))
+    last = o.agg(F.max("index")).first()[0]
+    text = F.concat(F.when(F.col("index") == 0, F.lit("[")).otherwise(F.lit("")), element, F.when(F.col("index") == F.lit(last), F.lit("]")).otherwise(F.lit("")))
+    rows = o.select("index", F.posexplode(F.split(text, ",")).alias("k", "value"))
     fragments = rows.select(F.lit("f").alias("file"), F.floor(F.col("index") / 700).alias("block"), (F.col("index") * 100 + F.col("k")).alias("at"), "value")
     attrs = F.parse_json("value")
     out = R.array_elements(fragments).select(F.col("n").cast("long").alias("id"), attrs.alias("a"))
