@@ -141,13 +141,13 @@ def in_shards(edges: DataFrame, shards: DataFrame) -> DataFrame:
 def split_shards(edges: DataFrame, shards: DataFrame, limit: int) -> DataFrame:
     """shards (shard, first, last, n_edges) with each of more than limit edges parted at the target where half of them are reached,
     until none is that large or has one target only; numbered anew from 0."""
-    per = edges.groupBy("dst").agg(F.count("*").alias("n"))
+    # Running sums over all targets tell how many edges of a shard lie before a target, so no task gets all of a shard.
+    placed = table(in_order(edges.groupBy("dst").agg(F.count("*").alias("n")), "dst", total="n").select("dst", "n", (F.col("running") - F.col("n")).alias("ahead")), "running")
+    shards = shards.select("shard", "first", "last", "n_edges")
     while not shards.where((F.col("n_edges") > limit) & (F.col("first") < F.col("last"))).isEmpty():
-        held = per.join(F.broadcast(shards), F.col("dst").between(F.col("first"), F.col("last")))
-        # A shard is split where it is too large, so one window holds the targets of one shard.
-        from pyspark.sql import Window as W
-
-        before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("dst").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        held = placed.join(F.broadcast(shards), F.col("dst").between(F.col("first"), F.col("last")))
+        held = held.join(F.broadcast(held.groupBy("shard").agg(F.min("ahead").alias("start"))), "shard")
+        before = F.col("ahead") - F.col("start")
         half = (F.col("n_edges") > limit) & (2 * before >= F.col("n_edges")) & (before > 0)
         half = half | ((F.col("n_edges") > limit) & (F.col("first") < F.col("last")) & (F.col("dst") == F.col("last")))
         parted = held.withColumn("half", half.cast("int")).groupBy("shard", "half").agg(F.min("dst").alias("first"), F.max("dst").alias("last"), F.sum("n").alias("n_edges"))

@@ -11,12 +11,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
-from graphloom.operators.simulate import _Edges, _reversed
+from graphloom.operators.simulate import _Edges, _reversed, hub_limit
 from graphloom.runtime import table
 
 CUT_EVERY = 4
@@ -28,6 +29,11 @@ class Direction(Enum):
     OUT = "out"
     ALL = "all"
 
+    @property
+    def ends(self) -> list[Direction]:
+        """IN for targets, OUT for sources."""
+        return {Direction.NONE: [], Direction.IN: [Direction.IN], Direction.OUT: [Direction.OUT], Direction.ALL: [Direction.IN, Direction.OUT]}[self]
+
 
 @dataclass
 class Context:
@@ -82,6 +88,45 @@ def gather(graph: Graph, expression: Column, aggregate: Callable[[Column], Colum
     return ids.join(got, "id", "left")
 
 
+class _Ends:
+    """Edges as the vertices at one of their ends see them, kept over the rounds of a loop.
+
+    They are dealt by the vertex that gathers (IN: the target, OUT: the source). Where the other end is one of the few that very many
+    edges have, rows have a salt, and so many copies of its value are told, so that no task joins all of a hub's edges.
+    """
+
+    def __init__(self, edges: DataFrame, direction: Direction) -> None:
+        own, other = ("dst", "src") if direction is Direction.IN else ("src", "dst")
+        rows = edges.select(F.col(own).alias("dst"), F.col(other).alias("other"), *(F.col(c).alias(f"edge_{c}") for c in edges.columns if c not in ("src", "dst")))
+        counts = rows.groupBy("other").agg(F.count("*").alias("n"))
+        self.total, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        limit, self.salts = hub_limit(self.total), None
+        if top > limit:
+            # Written, as each round reads it: fewer than HUBS rows, whose salts sum up to fewer than twice as many.
+            self.salts = table(counts.where(F.col("n") > limit).select("other", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "hubs")
+            rows = rows.join(F.broadcast(self.salts), "other", "left")
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64(*(c for c in rows.columns if c != "salts")), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        self.dealt = _Edges(rows)
+
+    def triplets(self, state: DataFrame, active: DataFrame | None = None) -> DataFrame:
+        """The columns of triplets(), for values (id, value); with active (id), for those vertices alone."""
+        own = state if active is None else state.join(active.select("id"), "id", "left_semi")
+        rows = self.dealt.joined(own.select("id", F.col("value").alias("own_value"))).withColumnRenamed("dst", "id")
+        others = state.select(F.col("id").alias("other"), F.col("value").alias("other_value"))
+        if self.salts is None:
+            return rows.join(others, "other")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        others = others.join(F.broadcast(self.salts), "other", "left").select("other", "other_value", copies)
+        return rows.join(others, ["other", "salt"]).drop("salt")
+
+    def told(self, speakers: DataFrame) -> DataFrame:
+        """(id): the other ends of the edges of speakers (id, once each), repeats included."""
+        return self.dealt.joined(speakers.select("id")).select(F.col("other").alias("id"))
+
+    def unpersist(self) -> None:
+        self.dealt.unpersist()
+
+
 def edge_aggregate(graph: Graph, expression: Column, aggregate: Callable[[Column], Column], finish: Callable[[Column], Column] = lambda x: x, value: str = "value") -> DataFrame:
     """(result): an aggregate over the edges as seen from both of their ends, so each edge counts twice."""
     return triplets(graph, Direction.ALL, value).agg(finish(aggregate(expression)).alias("result"))
@@ -113,31 +158,34 @@ def gas(
     edges = graph.edges.persist()
     state = graph.vertices.select("id", "value").persist()
     context = Context(state.count(), edges.count(), num_iterations=rounds)
+    ends = {d: _Ends(edges, d) for d in Direction.ALL.ends if d in direction.ends + scatter.ends}
+    # A round's plan names what the rounds before left, the more often the more ends and hubs there are, so it is cut the sooner.
+    every = CUT_EVERY if len(ends) < 2 and all(e.salts is None and e.dealt.hubs is None for e in ends.values()) else 1
     active = None if start is None else start.select("id").distinct()
-    old_state, cached = state, [edges]
+    old_state, cached = state, [edges, *ends.values()]
     expression = F.col("other_value") if gather_expression is None else gather_expression
     while context.iteration < context.num_iterations and not context.stopped:
         if before:
             before(context)
-        now = Graph(state, edges)
-        got = gather(now, expression, aggregate, direction, of=active)
-        rows = state.join(got, "id").withColumn("round", F.lit(context.iteration))
+        if direction is Direction.NONE:
+            rows = state.withColumn("acc", F.lit(None).cast("double"))
+        else:
+            seen = reduce(DataFrame.unionByName, [ends[d].triplets(state, active) for d in direction.ends])
+            rows = state.join(seen.groupBy("id").agg(aggregate(expression).alias("acc")), "id", "left")
+        rows = rows.withColumn("round", F.lit(context.iteration))
         rows = rows.withColumn("old", F.col("value"))
         if active is not None:
             rows = rows.join(active.withColumn("__on", F.lit(True)), "id", "left")
         for _ in range(repeat):
             rows = rows.withColumn("value", apply if active is None else F.when(F.col("__on"), apply).otherwise(F.col("value")))
         new = rows.select("id", "value", "old")
-        new = table(new, "vertices") if (context.iteration + 1) % CUT_EVERY == 0 else new.persist()
+        new = table(new, "vertices") if (context.iteration + 1) % every == 0 else new.persist()
         moved = F.abs(F.col("value").cast("double") - F.col("old").cast("double"))
         updates, delta = new.agg(F.count_if(~F.col("value").eqNullSafe(F.col("old"))), F.coalesce(F.sum(moved), F.lit(0.0))).first()
         context.log_change(updates, delta)
         if scatter is not Direction.NONE:
             speakers = new.where(~F.col("value").eqNullSafe(F.col("old")) if signal is None else signal).select("id")
-            out = edges.join(speakers, edges.src == speakers.id, "left_semi").select(F.col("dst").alias("id"))
-            back = edges.join(speakers, edges.dst == speakers.id, "left_semi").select(F.col("src").alias("id"))
-            active = {Direction.OUT: out, Direction.IN: back, Direction.ALL: out.unionByName(back)}[scatter].distinct()
-            active = active.persist()
+            active = reduce(DataFrame.unionByName, [ends[d].told(speakers) for d in scatter.ends]).distinct().persist()
             cached.append(active)
         # What the round before kept has been read for the last time, but for the vertices it signalled.
         old_state.unpersist()

@@ -50,6 +50,11 @@ def _start(graph: Graph, pattern: Pattern, edges: DataFrame, include_isolated: b
     return state.join(touched, "id", "left_semi")
 
 
+def hub_limit(total: int) -> int:
+    """A vertex of more edges is a hub. Degrees sum up to the edges, so fewer than HUBS vertices are."""
+    return max(HUB, total // HUBS)
+
+
 class _Edges:
     """Edges dealt for joins with the state of their dst: kept from round to round.
 
@@ -61,8 +66,7 @@ class _Edges:
         self.source = edges
         degrees = edges.groupBy("dst").agg(F.count("*").alias("n"))
         self.total, top = degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-        # Degrees sum up to the edges, so fewer than HUBS vertices are over the limit.
-        limit = max(HUB, self.total // HUBS)
+        limit = hub_limit(self.total)
         self.hubs = F.broadcast(degrees.where(F.col("n") > limit).select("dst")) if top > limit else None
         light = edges if self.hubs is None else edges.join(self.hubs, "dst", "left_anti")
         self.light = light.repartition("dst").persist()

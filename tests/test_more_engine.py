@@ -209,6 +209,56 @@ def test_hubs_are_told_and_heard_without_a_task_of_their_own(spark, monkeypatch)
     assert plain[0] == plain[1] == want
 
 
+def test_gather_apply_scatter_deals_hubs_at_both_ends(spark, monkeypatch):
+    from graphloom.model import Graph
+    from graphloom.operators import programs as P
+    from graphloom.operators import simulate as M
+
+    # Vertex 0 has most edges, both ways; some edges come twice, 70 has none, 80 is not a vertex.
+    edges = [(0, i, i % 5) for i in range(1, 50)] + [(i, 0, i % 3) for i in range(20, 60)] + [(i, i + 1, 1) for i in range(1, 59)] + [(0, 7, 2), (0, 7, 2), (0, 80, 1)]
+    ids = [*range(60), 70]
+    g = Graph(spark.createDataFrame([(i, (i * 37) % 61) for i in ids], "id long, value long"), spark.createDataFrame(edges, "src long, dst long, w long"))
+    apply = F.least("value", F.coalesce("acc", "value"))
+
+    cases = [("ALL", None), ("IN", "OUT"), ("ALL", "ALL")]
+    cases = [(P.Direction[d], s and P.Direction[s]) for d, s in cases]
+
+    def run(d, s):
+        if s is None:
+            e = F.col("other_value") + F.col("edge_w") * F.greatest(F.col("own_value"), F.lit(1))
+            return dict(map(tuple, P.gas(g, F.coalesce("acc", F.lit(0)) % 1009, 2, e, F.sum, d)[0].collect()))
+        start = spark.createDataFrame([(1,), (0,), (70,)], "id long")
+        return dict(map(tuple, P.gas(g, apply, 4, aggregate=F.min, direction=d, scatter=s, start=start)[0].collect()))
+
+    def plain(d, s=None, rounds=4):
+        value, active = {i: (i * 37) % 61 for i in ids}, set(ids) if s is None else {0, 1, 70}
+        inside = [x for x in edges if x[0] in value and x[1] in value]
+        for _ in range(rounds):
+            seen = {i: [] for i in ids}
+            for a, b, w in inside:
+                for own, other in [(b, a)] * (d != P.Direction.OUT) + [(a, b)] * (d != P.Direction.IN):
+                    seen[own].append(value[other] + w * max(value[own], 1) if s is None else value[other])
+            new = {i: sum(seen[i]) % 1009 if s is None else min([value[i], *seen[i]]) if i in active else value[i] for i in ids}
+            spoke = {i for i in ids if new[i] != value[i]}
+            if s is not None:
+                active = {b for a, b, _ in edges if a in spoke and s != P.Direction.IN} | {a for a, b, _ in edges if b in spoke and s != P.Direction.OUT}
+            value = new
+            if s is not None and not active:
+                break
+        return value
+
+    want = [plain(d, s, 4 if s else 2) for d, s in cases]
+    assert [run(d, s) for d, s in cases] == want
+    monkeypatch.setattr(M, "HUB", 10)
+    monkeypatch.setattr(M, "HUBS", 20)
+    assert [run(d, s) for d, s in cases] == want
+    # What tasks join: no key of both ends and a salt has a hub's edges.
+    ends = P._Ends(g.edges, P.Direction.IN)
+    assert ends.salts is not None and ends.dealt.hubs is not None
+    assert ends.dealt.light.unionByName(ends.dealt.heavy).groupBy("other", "salt").count().agg(F.max("count")).first()[0] <= 25
+    ends.unpersist()
+
+
 def test_blocks_reach_the_fixpoint_in_fewer_exchanges_than_rounds(spark):
     from graphloom.operators import blocks as K
 
