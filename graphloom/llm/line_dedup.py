@@ -15,6 +15,8 @@ of those tells which lead byte stood before them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from graphloom.llm._common import boxed, cut, files, join_by_weight, new_path, u
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Batches that a table is loaded in, and runs of a level that are merged.
-BATCHES, FANOUT = 4, 3
+#: Batches that a table is loaded in: at least so many, and one for so many documents; and runs of a level that are merged.
+BATCHES, BATCH_DOCS, FANOUT = 4, 50_000_000, 3
 
 
 def line_hash(line: Column) -> Column:
@@ -45,7 +47,9 @@ def split_lines(text: Column) -> Column:
 class LineRuns:
     """Runs of line hashes in a folder, one subfolder a run, on levels; the driver holds the names of runs only.
 
-    Runs are disjoint by hash. `repeats` names the batches that held hashes of earlier runs: (batch, the run it added).
+    Runs are disjoint by hash. `repeated` names the batches that held hashes of earlier runs: (batch, the run it added). With a path of
+    one's own the index lasts: each batch ends with a manifest in the folder, and whoever opens the folder goes on from the newest
+    that was written whole, so a batch whose driver died may be added again.
     """
 
     SCHEMA = "h binary, n_docs bigint, last_doc bigint"
@@ -55,6 +59,30 @@ class LineRuns:
         self.levels: list[list[tuple[str, int]]] = [[]]
         self.repeated: list[tuple[str, str]] = []
         self.made = 0
+        self.lasting = path is not None
+        if self.lasting:
+            self._open()
+
+    def _open(self) -> None:
+        """Go on from the newest manifest whose marker is written, if there is one."""
+        Path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        folder = Path(self.path)
+        store = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in store.listStatus(folder)] if store.exists(folder) else []
+        whole = sorted(p.getName() for p in found if p.getName().startswith("manifest-") and store.exists(Path(p, "_SUCCESS")))
+        if not whole:
+            return
+        state = json.loads(self.spark.read.text(f"{self.path}/{whole[-1]}").first().value)
+        self.levels = [[(f"{self.path}/{name}", most) for name, most in level] for level in state["levels"]]
+        self.repeated = [(f"{self.path}/{batch}", f"{self.path}/{run}") for batch, run in state["repeated"]]
+        self.made = state["made"]
+
+    def _save(self) -> None:
+        """Write what runs there are, by names in the folder, which so may be moved."""
+        name = lambda path: path.rsplit("/", 1)[1]
+        state = {"levels": [[(name(p), n) for p, n in level] for level in self.levels], "repeated": [(name(b), name(r)) for b, r in self.repeated], "made": self.made}
+        rows = self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(state)).alias("value"))
+        rows.write.mode("overwrite").text(f"{self.path}/manifest-{self.made:08d}")
 
     def runs(self) -> list[str]:
         return [path for level in self.levels for path, _ in level]
@@ -63,7 +91,7 @@ class LineRuns:
         """The path of a run of at most `most` rows, and that number."""
         path = f"{self.path}/{name}-{self.made:05d}"
         self.made += 1
-        rows.select("h", "n_docs", "last_doc").coalesce(files(most)).sortWithinPartitions("h").write.option("compression", "snappy").parquet(path)
+        rows.select("h", "n_docs", "last_doc").coalesce(files(most)).sortWithinPartitions("h").write.mode("overwrite").option("compression", "snappy").parquet(path)
         return path, most
 
     def read(self, *paths: str) -> DataFrame:
@@ -78,6 +106,11 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (h, doc_id), a table that is cheap to read; no document may be in two batches. Rows without doc_id don't
         count."""
+        self._add(lines)
+        if self.lasting:
+            self._save()
+
+    def _add(self, lines: DataFrame) -> None:
         most = lines.count()
         per_doc = lines.where("doc_id is not null").groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
         batch = self._write(per_doc.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "batch", most)
@@ -130,9 +163,13 @@ def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCH
     )
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, text_hash, drops): the numbers of the lines that a document loses, for documents that lose any."""
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, drops): the numbers of the lines that a document loses, for documents that lose any.
+
+    By default a batch is of BATCH_DOCS documents at most, about, so that its size does not grow with the table's.
+    """
     spark = docs.sparkSession
+    batches = batches or max(BATCHES, -(-docs.count() // BATCH_DOCS))
     lines = cut(long_lines(docs, min_chars, batches), "long-lines")
     runs = LineRuns(spark)
     for k in range(batches):
@@ -144,7 +181,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return found.where(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops"))
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """(row, n_lines, n_dropped, kept_text) of each row of docs, which is a struct; see drop_repeated_lines."""
     drops = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches).select(F.struct("doc_id", "text_hash").alias("key"), "drops")
     named = boxed(docs.where("doc_id is not null"), F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")).join(drops, "key", "left").drop("key")
@@ -162,7 +199,7 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text; columns of docs with these names are replaced, all others pass as they are.
 
     A key of at least min_chars code points found in at least min_docs documents stays only in the largest doc_id that holds

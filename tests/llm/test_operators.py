@@ -765,6 +765,34 @@ def test_line_runs_are_levelled(spark):
     assert {r.h for r in runs.counted(3).collect()} == {bytes([i]) for i in range(2, 5)}
 
 
+def test_line_runs_last_in_their_folder(spark, tmp_path):
+    """An index opened anew goes on where the last whole batch left it; one whose manifest is not whole is added again."""
+    path = str(tmp_path / "runs")
+    batches = [spark.createDataFrame([(bytes([i]), 10 * k + i) for i in range(k, k + 3)], "h binary, doc_id long") for k in range(5)]
+    once = line_dedup.LineRuns(spark, fanout=2)
+    for batch in batches:
+        once.add(batch)
+        line_dedup.LineRuns(spark, path, fanout=2).add(batch)
+        if batch is batches[2]:
+            newest = max((tmp_path / "runs").glob("manifest-*"))
+            (newest / "_SUCCESS").unlink()
+            line_dedup.LineRuns(spark, path, fanout=2).add(batch)
+    again = line_dedup.LineRuns(spark, path, fanout=2)
+    assert [len(level) for level in again.levels] == [len(level) for level in once.levels] and len(again.repeated) == len(once.repeated) == 4
+    assert {tuple(r) for r in again.counted(1).collect()} == {tuple(r) for r in once.counted(1).collect()}
+    assert not again.unseen(batches[4]).count()
+
+
+def test_batches_of_lines_follow_the_number_of_documents(spark, monkeypatch):
+    texts = [(i, f"{'y' * 40}{i // 6}\nshort") for i in range(36)]
+    want = {tuple(r) for r in line_dedup.drop_repeated_lines(table(spark, texts)).collect()}
+    made = []
+    plain = line_dedup.LineRuns.add
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, lines: (made.append(1), plain(self, lines))[1])
+    monkeypatch.setattr(line_dedup, "BATCH_DOCS", 5)
+    assert {tuple(r) for r in line_dedup.drop_repeated_lines(table(spark, texts)).collect()} == want and len(made) == 8
+
+
 def test_each_batch_merge_anti_joins_the_runs(spark, monkeypatch):
     """On the query's path: batch k meets the runs of the batches before it, on the levels that compaction left."""
     seen = []
