@@ -16,7 +16,6 @@ from uuid import uuid4
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
@@ -52,9 +51,11 @@ def delete_vertices(edges: DataFrame, ids: DataFrame, incoming: bool = True, out
 
 def apply_log(base: DataFrame, changes: DataFrame) -> DataFrame:
     """The base after a log (src, dst, value, op, batch): the last change of an edge decides, insertions before deletions of a batch."""
-    last = changes.withColumn("n", F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("batch"), "op"))).where("n = 1")
+    rest = [c for c in base.columns if c not in ("src", "dst")]
+    # An aggregate, so that an edge that changes very often is summed up where its changes are; of equal changes the largest value stays.
+    last = changes.groupBy("src", "dst").agg(F.max(F.struct("batch", (-F.col("op")).alias("gone"), *rest)).alias("last"))
     kept = base.join(last.select("src", "dst"), ["src", "dst"], "left_anti")
-    return kept.unionByName(last.where("op = 1").select(*base.columns))
+    return kept.unionByName(last.where("last.gone = -1").select("src", "dst", *(F.col("last")[c].alias(c) for c in rest)))
 
 
 def buffered_degrees(degrees: DataFrame, changes: DataFrame) -> DataFrame:
@@ -135,9 +136,12 @@ class DynamicGraph:
 
     def due(self) -> bool:
         """Whether the log or its deletions have grown enough for compaction."""
-        base, rows = self.counts()
-        deleted = self.log().where("op = -1").count()
-        return rows >= BUFFER_FULL * self.buffer_limit or base > 0 and deleted >= DELETED_SHARE * base
+        rows, deleted = self.log().agg(F.count("*"), F.count_if(F.col("op") == -1)).first()
+        if rows >= BUFFER_FULL * self.buffer_limit or not deleted:
+            return rows >= BUFFER_FULL * self.buffer_limit
+        # Only deletions make the base's size matter.
+        base = self.base().count()
+        return base > 0 and deleted >= DELETED_SHARE * base
 
     def compact(self, force: bool = False) -> bool:
         """Write the current edges as a new base, dealt by ranges of targets: as many as their size asks for, so shards that have grown
