@@ -55,17 +55,18 @@ def tidy(spark: SparkSession) -> None:
 FILE_ROWS, LEAST_FILES = 250_000, 8
 
 
-def cut(df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy", at_most: int = 0) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
 
     rows: df has at most so many, which are narrow. They are written to files of about FILE_ROWS instead of one for each partition.
+    at_most: of rows that are megabytes each no file gets more, as writer and reader hold a file's first hundred rows at once.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(files(rows))
     # Ids and hashes do not compress, and zstd's contexts take native memory of each writer: it is for texts and tokens.
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("maxRecordsPerFile", at_most).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

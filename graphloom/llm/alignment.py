@@ -34,6 +34,8 @@ RUN = 1 << 13
 MOST_LINKS = 4096
 #: Parts that the blocks of a pair are dealt to before they meet.
 SALTS = 16
+#: Blocks of a file, and of a task that tells them their counts, about.
+HELD, TOLD = 8, 4
 _B = 32
 
 
@@ -402,7 +404,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[li
 def encoded_blocks(docs: DataFrame, path_a: str, path_b: str, size: int = BLOCK) -> DataFrame:
     """Blocks of docs (doc_id, text), encoded and aligned, as a written table."""
     rows = small_batches(docs.select(F.col("doc_id").cast("long"), "text"))
-    return cut(rows.mapInArrow(_encoder(path_a, path_b, size), _BLOCK), "aligned", compression="zstd")
+    return cut(rows.mapInArrow(_encoder(path_a, path_b, size), _BLOCK), "aligned", compression="zstd", at_most=HELD)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -449,8 +451,10 @@ def alignments(docs: DataFrame, path_a: str | None = None, path_b: str | None =
     asked = blocks.select(F.col("block").alias("asker"), F.explode("pair").alias("pair"))
     total, top = counts.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
     answers = join_by_weight(asked, counts, "pair", "blocks", total, top).select("asker", "pair", "n", "best")
-    kept = blocks.drop("held")
-    return kept.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_answered, _TOLD)
+    # A task sorts its blocks whole, so their number, not Spark's settings, says how many tasks there are.
+    parts = blocks.count() // TOLD + 1
+    kept = blocks.drop("held").repartition(parts, "block")
+    return kept.groupBy("block").cogroup(answers.repartition(parts, "asker").groupBy("asker")).applyInArrow(_answered, _TOLD)
 
 
 def token_groups(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, size: int = BLOCK) -> DataFrame:
