@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NO_MATCH = "No match"
+#: Ids that are put together at a time.
+PIECE = 100_000
 
 
-def match_lines(matches: DataFrame, per_line: int = 100_000) -> DataFrame:
+def match_lines(matches: DataFrame, per_line: int | None = 100_000) -> DataFrame:
     """(q, part, value): for each query node a line with its number, then lines of its ids ascending, each followed by a tab.
 
-    Ids are cut into lines of per_line, so that no line holds an unbounded group.
+    Ids are cut into lines of per_line, so that no line holds an unbounded group. With None a query node has one line: its
+    pieces are made on their own, and only their texts meet, of which a string has room for 2 GB.
     """
     from graphloom.runtime import in_order
 
     placed = in_order(matches.select("q", "id"), "q", "id")
     first = placed.groupBy("q").agg(F.min("index").alias("first"))
-    parts = placed.join(F.broadcast(first), "q").withColumn("part", F.floor((F.col("index") - F.col("first")) / per_line).cast("int") + 1)
+    parts = placed.join(F.broadcast(first), "q").withColumn("part", F.floor((F.col("index") - F.col("first")) / (per_line or PIECE)).cast("int") + 1)
     ids = parts.groupBy("q", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     body = ids.select("q", "part", F.array_join(F.transform("ids", lambda x: F.concat(x.cast("string"), F.lit("\t"))), "").alias("value"))
+    if per_line is None:
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "value"))), lambda x: x["value"]), "")
+        body = body.groupBy("q").agg(whole.alias("value")).select("q", F.lit(1).alias("part"), "value")
     return body.unionByName(first.select("q", F.lit(0).alias("part"), F.col("q").cast("string").alias("value")))
 
 
