@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges of a random graph that a task makes, about; the first ones make up to twice as many.
+SLICE = 20_000_000
+
+
 def _edges(ids: DataFrame, steps: list[tuple[Column, Column]]) -> DataFrame:
     """(src, dst) for each id and step whose condition holds: steps are (condition, target)."""
     targets = F.array_compact(F.array(*(F.when(ok, to) for ok, to in steps)))
@@ -74,7 +78,8 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 0) -> DataFra
                 turn = rng.random(len(j)) < 0.5
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(turn, j, i)), pa.array(np.where(turn, i, j))], ["src", "dst"])
 
-    return spark.range(n).mapInArrow(draw, "src long, dst long")
+    slices = max(spark.sparkContext.defaultParallelism, int(n * n / 2 * p) // SLICE + 1)
+    return spark.range(0, n, 1, slices).mapInArrow(draw, "src long, dst long")
 
 
 def random_weights(edges: DataFrame, seed: int = 0, limit: int = 100_000_000) -> DataFrame:
