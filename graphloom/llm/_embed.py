@@ -126,6 +126,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets, as steps from one to the next, and how often each occurs; in types as narrow as they allow, as a fit holds
+    the bags of all its examples."""
+    u, n = np.unique(buckets, return_counts=True)
+    steps = np.diff(u, prepend=0)
+    return steps.astype(np.min_scalar_type(steps.max(initial=0))), n.astype(np.min_scalar_type(n.max(initial=0)))
+
+
 def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
@@ -149,13 +157,14 @@ def train(texts: list[str], labels: list[str], features: Features, *, dim: int =
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         found = np.concatenate([x for x, _ in features.of(raw, np.array([0, len(raw)]))]) if len(raw) else np.zeros(0, np.int64)
-        u, n = np.unique(found[found < features.size], return_counts=True)
-        bags.append((u.astype(np.int32), (n / max(1, n.sum() + features.prior)).astype(np.float32)))
+        bags.append(bag(found[found < features.size]))
     fit = [i for i in np.flatnonzero(~held) if len(bags[i][0])]
     step, steps = 0, max(1, epochs * len(fit))
     for _ in range(epochs):
         for i in rng.permutation(fit):
-            u, n = bags[i]
+            apart, counts = bags[i]
+            u = np.cumsum(apart, dtype=np.int64)
+            n = (counts / max(1, counts.sum(dtype=np.int64) + features.prior)).astype(np.float32)
             rows = e[u]
             v = n @ rows
             p = softmax((v @ w + b)[None])[0]
