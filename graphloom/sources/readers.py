@@ -106,24 +106,38 @@ def parse_cassovary(lines: DataFrame, mode: str = "fail") -> DataFrame:
     an earlier block. A line that is neither, a target before any source and a wrong count fail, or are dropped with mode="drop" (of
     a wrong count, nothing is dropped).
     """
-    rows = numbered(content_lines(lines)).withColumn("t", F.transform(tokens(F.col("value")), lambda x: x.try_cast("long")))
-    rows = _sound(rows, F.forall("t", lambda x: x.isNotNull() & (x >= 0)) & F.size("t").isin(1, 2), mode)
-    head = F.when(F.size("t") == 2, F.struct("n", F.get("t", F.lit(0)).alias("src"), F.get("t", F.lit(1)).alias("due")))
-    own = W.partitionBy("file", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(own))
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    ends = rows.groupBy("file", "block").agg(F.max("head").alias("end"))
-    ends = ends.select("file", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    rows = rows.join(ends, ["file", "block"]).withColumn("head", F.coalesce("head", "carried"))
-    rows = _sound(rows, F.col("head").isNotNull(), mode)
-    edges = rows.where(F.size("t") == 1).select(F.col("head.src").alias("src"), F.get("t", F.lit(0)).alias("dst")).where("src <> dst")
-    if mode == "drop":
-        return edges
-    # One row a source, by its line: those whose count is not the one it tells.
-    wrong = rows.groupBy("file", F.col("head.n").alias("n")).agg(F.max("head.src").alias("src"), F.max("head.due").alias("due"), F.count_if(F.size("t") == 1).alias("had")).where("due <> had")
-    told = F.concat(F.lit("source "), F.col("src"), F.lit(" tells "), F.col("due"), F.lit(" targets and has "), F.col("had"))
-    failing = wrong.select(F.raise_error(told).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
-    return edges.unionByName(failing)
+    rows = content_lines(lines).withColumn("t", F.transform(tokens(F.col("value")), lambda x: x.try_cast("long")))
+    # Said here, as the join below says it for one of its sides alone, which would then deal the lines for itself.
+    rows = rows.where("file is not null and block is not null")
+    rows = _sound(rows, F.forall("t", lambda x: x.isNotNull() & (x >= 0)) & F.size("t").isin(1, 2), mode).select("file", "block", "at", "t")
+    # Blocks are sorted once. Counts are places that are subtracted: of a source that another follows in its block at once, and of the
+    # last one of a block from a row a block.
+    own = W.partitionBy("file", "block").orderBy("at")
+    rows = rows.withColumn("place", F.row_number().over(own))
+    head = F.when(F.size("t") == 2, F.struct("place", F.get("t", F.lit(0)).alias("src"), F.get("t", F.lit(1)).alias("due")))
+    rows = rows.withColumn("previous", F.last(head, ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1)))
+    if mode == "fail":
+        rows = _counted(rows, F.size("t") == 2, F.col("previous"), F.col("place") - F.col("previous.place") - 1)
+    rows = rows.withColumn("head", F.coalesce(head, "previous"))
+    ends = rows.groupBy("file", "block").agg(F.max("head").alias("end"), F.count_if(F.col("head").isNull()).alias("lead"), F.max("place").alias("lines"))
+    blocks = W.partitionBy("file").orderBy("block")
+    ends = ends.withColumn("led", F.sum("lead").over(blocks.rowsBetween(W.unboundedPreceding, 0))).withColumn("final", F.lead("block").over(blocks).isNull())
+    still = F.when(F.col("end").isNotNull(), F.struct("end.src", "end.due", (F.col("lines") - F.col("end.place") - F.col("led")).alias("had")))
+    ends = ends.withColumn("open", still).withColumn("carried", F.last("open", ignorenulls=True).over(blocks.rowsBetween(W.unboundedPreceding, -1)))
+    if mode == "fail":
+        ends = _counted(ends, F.col("end").isNotNull(), F.col("carried"), F.col("led") + F.col("carried.had"))
+        ends = ends.withColumn("open", F.coalesce("open", "carried"))
+        ends = _counted(ends, F.col("final"), F.col("open"), F.col("led") + F.col("open.had"))
+    rows = rows.join(ends.select("file", "block", F.col("carried.src").alias("carried")), ["file", "block"])
+    rows = rows.select("t", F.coalesce("head.src", "carried").alias("src"), F.array_join(F.col("t").cast("array<string>"), " ").alias("value"))
+    rows = _sound(rows, F.col("src").isNotNull(), mode)
+    return rows.where(F.size("t") == 1).select("src", F.get("t", F.lit(0)).alias("dst")).where("src <> dst")
+
+
+def _counted(rows: DataFrame, closed: Column, head: Column, had: Column) -> DataFrame:
+    """rows; where one closes a source and its targets are not as many as it tells, the query fails."""
+    told = F.concat(F.lit("source "), head["src"], F.lit(" tells "), head["due"], F.lit(" targets and has "), had)
+    return rows.where(F.when(closed & head.isNotNull() & (head["due"] != had), F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
 
 
 def _record(value: str | None) -> np.dtype:
