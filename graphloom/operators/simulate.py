@@ -108,7 +108,8 @@ def _shrunk(state: DataFrame, edges: _Edges, needs: list[int]) -> DataFrame:
 def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False, max_rounds: int | None = None, dual: bool = False) -> tuple[DataFrame, int, bool]:
     """(state(id, mask), rounds, whether every query node is matched); see simulate.
 
-    Where the matched vertices have become less than half as many, edges that touch others are dropped.
+    Edges that stand for no edge of the pattern between candidates are dropped at once. Where the matched vertices have become less than
+    half as many, those that touch others are.
     """
     if not 0 < len(pattern.nodes) <= MAX_BITS:
         raise ValueError(f"a pattern must have 1 to {MAX_BITS} nodes here; see simulate")
@@ -120,6 +121,9 @@ def relation(graph: Graph, pattern: Pattern, *, include_isolated: bool = False,
     count, union, size = held.agg(told.alias("x")).first().x
     rounds, dealt, size_then = 0, [], size
     if union == full and any(needs):
+        # No other edge can support anything, now or later, as masks only shrink.
+        simple = table(useful(simple, held, pattern), "edges")
+        source.unpersist()
         dealt = [_Edges(simple)] + ([_Edges(_reversed(simple))] if dual else [])
     while dealt:
         if max_rounds is not None and rounds >= max_rounds:
@@ -168,6 +172,20 @@ def _between(edges: DataFrame, state: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def matched_edge(pattern: Pattern, source: Column, target: Column) -> Column:
+    """Whether some edge of the pattern leads from a bit of one mask to a bit of another."""
+    has = lambda mask, q: F.getbit(mask, F.lit(q)) == 1
+    return reduce(lambda a, b: a | b, (has(source, s) & has(target, t) for s, t in sorted(set(pattern.edges))), F.lit(False))
+
+
+def useful(edges: DataFrame, state: DataFrame, pattern: Pattern, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, src, dst) of edges (keys, src, dst) that stand for an edge of the pattern under state (keys, id, mask)."""
+    source = state.select(*keys, F.col("id").alias("src"), F.col("mask").alias("source_mask"))
+    target = state.select(*keys, F.col("id").alias("dst"), F.col("mask").alias("target_mask"))
+    found = edges.join(source, [*keys, "src"]).join(target, [*keys, "dst"])
+    return found.where(matched_edge(pattern, F.col("source_mask"), F.col("target_mask"))).select(*keys, "src", "dst")
+
+
 def confined(graph: Graph, pattern: Pattern) -> Graph:
     """The part of a graph that a match can depend on: candidates of the pattern's nodes and what they lead to.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph, Pattern
-from graphloom.operators.simulate import HUB, HUBS, relation, surviving
+from graphloom.operators.simulate import HUB, HUBS, relation, surviving, useful
 from graphloom.runtime import table
 
 
@@ -88,23 +88,9 @@ def balls(edges: DataFrame, centres: DataFrame, radius: int, members: DataFrame
     return seen if members is None else seen.join(members.select("id").distinct(), "id", "left_semi").select("centre", "id")
 
 
-def matched_edge(pattern: Pattern, source: Column, target: Column) -> Column:
-    """Whether some edge of the pattern leads from a bit of one mask to a bit of another."""
-    has = lambda mask, q: F.getbit(mask, F.lit(q)) == 1
-    return reduce(lambda a, b: a | b, (has(source, s) & has(target, t) for s, t in sorted(set(pattern.edges))), F.lit(False))
-
-
-def _between(state: DataFrame, edges: DataFrame, pattern: Pattern, keys: list[str]) -> DataFrame:
-    """(keys, src, dst) of edges (keys, src, dst) that stand for an edge of the pattern under state (keys, id, mask)."""
-    source = state.select(*keys, F.col("id").alias("src"), F.col("mask").alias("source_mask"))
-    target = state.select(*keys, F.col("id").alias("dst"), F.col("mask").alias("target_mask"))
-    found = edges.join(source, [*keys, "src"]).join(target, [*keys, "dst"])
-    return found.where(matched_edge(pattern, F.col("source_mask"), F.col("target_mask"))).select(*keys, "src", "dst")
-
-
 def match_graph(graph: Graph, pattern: Pattern, state: DataFrame) -> DataFrame:
     """(src, dst): edges of the graph that stand for an edge of the pattern, between vertices of state (id, mask)."""
-    return _between(state, graph.simple(), pattern, [])
+    return useful(graph.simple(), state, pattern)
 
 
 def _ball_round(state: DataFrame, edges: DataFrame, needs: list[int], to: str, back: str) -> DataFrame:
@@ -131,7 +117,7 @@ def dual_in_balls(state: DataFrame, edges: DataFrame, pattern: Pattern) -> DataF
 
 def around_centres(state: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
     """The rows of state (centre, id, mask) that edges of the match lead to from the centre, in any direction."""
-    pairs = _between(state, edges, pattern, ["centre"])
+    pairs = useful(edges, state, pattern, ("centre",))
     back = pairs.select("centre", F.col("dst").alias("src"), F.col("src").alias("dst"))
     pairs = pairs.unionByName(back).distinct().persist()
     seen = front = table(state.where("id = centre").select("centre", "id"), "around")
