@@ -1,8 +1,9 @@
 """Bounded simulation: an edge of the pattern stands for a path of at most so many edges, or of any length.
 
 A round spreads the surviving query nodes of vertices, as bits, backwards over edges: after k hops a vertex knows which query nodes
-it reaches by paths of 1 to k edges. No pairs of vertices are made. Paths of any length are spread from vertices whose bits are new
-alone, until none are, and only for query nodes that have lost a vertex in the round before.
+it reaches by paths of 1 to k edges. No pairs of vertices are made. For paths of any length chains of vertices with a single edge are
+passed over first, in rounds that double how far is seen; over what is left bits are spread from vertices whose bits are new alone,
+until none are. This is done only for query nodes that have lost a vertex in the round before.
 """
 
 from __future__ import annotations
@@ -37,12 +38,17 @@ def _hop(edges: _Edges, masks: DataFrame) -> DataFrame:
     return edges.joined(masks).groupBy(F.col("src").alias("id")).agg(F.bit_or("mask").alias("mask"))
 
 
-def within(edges: _Edges, masks: DataFrame, bounds: list[int]) -> DataFrame:
-    """(id, reach_k for each bound k): the bits of masks (id, mask) that a vertex has at the end of paths of 1 to k edges."""
+def within(edges: _Edges, masks: DataFrame, bounds: dict[int, int]) -> DataFrame:
+    """(id, reach_k for each bound k): the bits of masks (id, mask), of those that bounds[k] has, that a vertex has at the end of paths
+    of 1 to k edges."""
     out, reach = None, None
     for k in range(1, max(bounds) + 1):
-        # Bits to spread: those that vertices have themselves and those that they reach in fewer hops.
-        spread = masks if reach is None else masks.unionByName(reach).groupBy("id").agg(F.bit_or("mask").alias("mask"))
+        # Bits to spread: those that vertices have themselves and those that they reach in fewer hops, as far as they are asked for.
+        spread = masks if reach is None else masks.unionByName(reach)
+        asked = F.col("mask").bitwiseAND(F.lit(reduce(int.__or__, (x for j, x in bounds.items() if j >= k))).cast("long"))
+        spread = spread.select("id", asked.alias("mask")).where("mask <> 0")
+        if reach is not None:
+            spread = spread.groupBy("id").agg(F.bit_or("mask").alias("mask"))
         reach = table(_hop(edges, spread), "reach")
         if k in bounds:
             found = reach.withColumnRenamed("mask", f"reach_{k}")
@@ -50,15 +56,56 @@ def within(edges: _Edges, masks: DataFrame, bounds: list[int]) -> DataFrame:
     return out
 
 
+def chains(singles: DataFrame, masks: DataFrame) -> DataFrame:
+    """(id, mask, end) of vertices with a single edge (id, next): the bits of masks from the vertex on, up to and without the first
+    vertex that is none of them, which is its end; null where there is none, but a cycle.
+
+    Each round doubles how far a vertex has looked, so their number is the logarithm of the longest chain. The join is one of unique
+    ids, which adaptive execution splits where very many look to one vertex.
+    """
+    looking = table(singles.join(masks, "id", "left").select("id", F.coalesce("mask", _zero()).alias("mask"), "next"), "chains")
+    done = looking.select("id", "mask", F.col("next").alias("end")).where(F.lit(False))
+    while True:
+        known = looking.select("id", "mask", F.col("next").alias("to"), F.lit(True).alias("open")).unionByName(done.select("id", "mask", F.col("end").alias("to"), F.lit(False).alias("open")))
+        seen = known.select(F.col("id").alias("next"), F.col("mask").alias("told"), "to", "open")
+        mask = F.col("mask").bitwiseOR(F.coalesce("told", _zero()))
+        step = table(looking.join(seen, "next", "left").select("id", mask.alias("mask"), F.coalesce("to", "next").alias("next"), F.coalesce("open", F.lit(False)).alias("open"), (mask != F.col("mask")).alias("new")), "chains")
+        n_open, n_closed, n_new = step.agg(F.count_if("open"), F.count_if(~F.col("open")), F.count_if("new")).first()
+        looking = step.where("open").select("id", "mask", "next")
+        done = done.unionByName(step.where("not open").select("id", "mask", F.col("next").alias("end")))
+        # On a chain that ends some vertex gets to the end in each round; where none does all lead to cycles.
+        if not n_open or not n_closed and not n_new:
+            return done.unionByName(looking.select("id", "mask", F.lit(None).cast("long").alias("end")))
+
+
 def anywhere(edges: _Edges, masks: DataFrame) -> DataFrame:
-    """(id, mask): the bits that a vertex has at the end of paths of any length from 1 on. A hop joins the bits that are new alone."""
-    reach = front = table(_hop(edges, masks), "anywhere")
-    while not front.isEmpty():
-        step = _hop(edges, front).withColumnRenamed("mask", "told")
-        both = step.join(reach, "id", "left").select("id", F.col("told").bitwiseAND(F.bitwise_not(F.coalesce("mask", _zero()))).alias("mask"))
-        front = table(both.where("mask <> 0"), "new")
-        reach = table(reach.unionByName(front).groupBy("id").agg(F.bit_or("mask").alias("mask")), "anywhere")
-    return reach
+    """(id, mask): the bits that a vertex has at the end of paths of any length from 1 on.
+
+    Vertices with one edge are passed over, so that a long chain takes few rounds. Among the others a hop joins the bits that are new alone.
+    """
+    ways = table(edges.source.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("next")), "ways")
+    found = chains(ways.where("n = 1").select(F.col("src").alias("id"), "next"), masks)
+    forks = ways.where("n > 1").select("src")
+    held = masks
+    if not forks.isEmpty():
+        # An edge of a fork leads to where the chain that it begins ends, and tells what that chain has.
+        to = F.when(F.col("chain"), F.col("end")).otherwise(F.col("dst"))
+        led = edges.source.join(forks, "src", "left_semi").join(found.select(F.col("id").alias("dst"), "mask", "end", F.lit(True).alias("chain")), "dst", "left")
+        led = table(led.select("src", to.alias("dst"), F.coalesce("mask", _zero()).alias("mask")), "forks")
+        core = _Edges(led.select("src", "dst").where("dst is not null").distinct())
+        told = led.where("mask <> 0").select(F.col("src").alias("id"), "mask")
+        held = front = table(masks.unionByName(told).groupBy("id").agg(F.bit_or("mask").alias("mask")), "anywhere")
+        while not front.isEmpty():
+            step = _hop(core, front).withColumnRenamed("mask", "told")
+            both = step.join(held, "id", "left").select("id", F.col("told").bitwiseAND(F.bitwise_not(F.coalesce("mask", _zero()))).alias("mask"))
+            front = table(both.where("mask <> 0"), "new")
+            held = table(held.unionByName(front).groupBy("id").agg(F.bit_or("mask").alias("mask")), "anywhere")
+        core.unpersist()
+    # Chains get what their ends have, and then each vertex what its targets have.
+    ends = held.select(F.col("id").alias("end"), F.col("mask").alias("told"))
+    passed = found.join(ends, "end", "left").select("id", F.col("mask").bitwiseOR(F.coalesce("told", _zero())).alias("mask"))
+    alone = held.join(found, "id", "left_anti")
+    return table(_hop(edges, alone.unionByName(passed.where("mask <> 0"))), "anywhere")
 
 
 def simulate_bounded(graph: Graph, pattern: Pattern, bounds: list[int | None], *, include_isolated: bool = False) -> DataFrame:
@@ -75,7 +122,7 @@ def simulate_bounded(graph: Graph, pattern: Pattern, bounds: list[int | None], *
     needs: dict[int | None, list[int]] = {}
     for (s, t), k in zip(pattern.edges, bounds, strict=True):
         needs.setdefault(k, [0] * n)[s] |= 1 << t
-    finite, far = sorted(k for k in needs if k is not ANY), reduce(int.__or__, needs.get(ANY, [0]))
+    finite, far = {k: reduce(int.__or__, x) for k, x in needs.items() if k is not ANY}, reduce(int.__or__, needs.get(ANY, [0]))
     simple = graph.simple().persist()
     held = table(_start(graph, pattern, simple, include_isolated), "state")
     bits = [F.count_if(F.getbit("mask", F.lit(q)) == 1).alias(f"n{q}") for q in range(n)]
