@@ -63,6 +63,9 @@ class IncrementalMatch:
     Vertices and their attributes stay as they are: candidates are found once.
     """
 
+    #: Steps of refutation that look up what they need in the tables; what then is left to refute goes far.
+    NEAR = 1
+
     def __init__(self, graph: Graph, pattern: Pattern, include_isolated: bool = False) -> None:
         from graphloom.functions.predicates import candidate_mask
 
@@ -96,8 +99,8 @@ class IncrementalMatch:
         return have.where(F.coalesce("n", F.lit(0)) <= 0).select("q", "id").distinct()
 
     def _refute(self, refuted: DataFrame) -> None:
-        """Refute pairs (q, id), and what stood on them."""
-        while True:
+        """Refute pairs (q, id), and what stood on them: step by step while that is near, else by what is left to refute."""
+        for _ in range(self.NEAR):
             front = self.alive.of(refuted, ["q", "id"]).withColumn("n", -F.col("n"))
             front = self.alive.add(front)
             if front.isEmpty():
@@ -105,6 +108,30 @@ class IncrementalMatch:
             into = self.edges.of(front.select(F.col("id").alias("dst")), ["dst"])
             less = self.support.add(self._support(into, front).withColumn("n", -F.col("n")))
             refuted = table(self._unsupported(less.select("id", "q", "target"), self.support.of(less, ["id", "q", "target"])), "refuted")
+        self._cascade(refuted)
+
+    def _cascade(self, refuted: DataFrame) -> None:
+        """The same for many steps: edges between surviving pairs are looked up once, and a step joins them with the pairs that the last
+        one has refuted. The tables are told once, of all together."""
+        alive = self.alive.now().select("q", "id")
+        front = table(refuted.select("q", "id").join(alive, ["q", "id"], "left_semi"), "refuted")
+        if front.isEmpty():
+            return
+        to = alive.select(F.col("q").alias("target"), F.col("id").alias("dst"))
+        led = self.edges.now().join(to, "dst").join(self.pattern_edges, "target").select(F.col("src").alias("id"), "q", "target", "dst")
+        led = table(led.join(alive, ["id", "q"], "left_semi"), "led")
+        left = self.support.now().join(alive, ["id", "q"], "left_semi")
+        fronts = []
+        while not front.isEmpty():
+            fronts.append(front)
+            lost = front.select(F.col("q").alias("target"), F.col("id").alias("dst"))
+            less = led.join(lost, ["target", "dst"]).groupBy("id", "q", "target").agg(F.count("*").alias("less"))
+            rest = left.join(front, ["id", "q"], "left_anti").join(less, ["id", "q", "target"], "left")
+            left = table(rest.select("id", "q", "target", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "left")
+            front = table(left.where("n <= 0").select("q", "id").distinct(), "refuted")
+        gone = self.alive.add(reduce(DataFrame.unionByName, fronts).withColumn("n", F.lit(-1)))
+        into = self.edges.of(gone.select(F.col("id").alias("dst")), ["dst"])
+        self.support.add(self._support(into, gone).withColumn("n", -F.col("n")))
 
     def delete(self, edges: DataFrame) -> None:
         """Take edges (src, dst) out; those that are not there don't matter."""
